@@ -1,0 +1,19 @@
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorehouse.llm.common import scratch_path, table
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -1,0 +1,73 @@
+"""The ten registered queries opN_<name> and, where SQL can say it, their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import quality_rules, url_filters
+from .common import table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))}], lower(x)))) AS n_stop
+  FROM d
+), tri AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM tri, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id
+), j AS (
+  SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM m LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(
+    f"{ {'mean_word_chars': 'word_chars / greatest(n_words, 1)', 'symbols_per_word': 'n_symbols / greatest(n_words, 1)', 'stop_word_share': 'n_stop / greatest(n_words, 1)', 'dup_line_share': 'n_dup_lines / greatest(n_lines, 1)'}[r.metric]} {op} {v}"
+    for r in quality_rules.RULES for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)} AS kept
+FROM j
+"""
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.decide(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
+
+
+OP2_SQL = f"""
+WITH r(verdict, rhost, rpath) AS (VALUES {", ".join(str(x) for x in url_filters.RULES)}),
+p AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), b AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL}
