@@ -38,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends, and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and read it back: its lineage ends, and lost executors cost nothing."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,3 +52,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo ``modulus``: the train / held-out split of every trained operator."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
+
+
+def text_column(docs: DataFrame, name: str = "text") -> Column:
+    """The text of each row, empty where it is null."""
+    return F.coalesce(docs[name].cast("string"), F.lit(""))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filters
-from .common import table
+from . import embedding_dedup, jaccard_join, language_id, quality_rules, url_filters
+from .common import bucket_of, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,23 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.training_rows(docs))
+    judged = language_id.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_ngram_jaccard, op4_language_id, op6_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,8 @@
 """URL filters: longest matching (host, path prefix) rule by a sorted sweep over reversed-host keys.
 
 A host is written label by label from the right, ``com.example.blog``, followed by the path. For each depth that
-some rule's host has (its number of labels), a url gets one canonical key: its host's last labels at that depth plus
-its path. A rule's own key is such a prefix, so it covers one interval of the sorted keys, and the intervals of one
+some rule's host has (its number of labels), a url gets one canonical key: its host's last labels at that depth, a
+slash, and its path. A rule's own key is such a prefix, so it covers one interval of the sorted keys, and the intervals of one
 depth are nested or apart. One sort merges rules and urls; the last rule passed carries the stack of rules that were
 open at its start, and the deepest of them that is still open at the url's key is the answer for that depth.
 
@@ -49,7 +49,7 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULE
 def key_at(host: Column, path: Column, depth: int) -> Column:
     """Canonical key of the host's last ``depth`` labels and the path; null for hosts with fewer labels."""
     labels = F.reverse(F.split(host, r"\."))
-    return F.when(F.size(labels) >= depth, F.concat(F.array_join(F.slice(labels, 1, depth), "."), path))
+    return F.when(F.size(labels) >= depth, F.concat(F.array_join(F.slice(labels, 1, depth), "."), F.lit("/"), path))
 
 
 def with_stacks(rules: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def with_stacks(rules: DataFrame) -> DataFrame:
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .withColumn("host", ascii_lower(F.col("host")))
         .withColumn("depth", F.size(F.split("host", r"\.")))
-        .withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), "path"))
+        .withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit("/"), "path"))
         .groupBy("depth", "key")
         .agg(F.max("verdict").alias("verdict"), F.first(F.concat("host", "path")).alias("rule"), F.first(F.length("host")).alias("host_chars"))
     )
