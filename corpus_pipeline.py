@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Stages are language ID, quality classifier, n-gram Jaccard join, mixing and packing. All but the last return the columns
+of the documents they were given. Defined results: documents without a letter go at the first stage; of a group of near
+duplicates the row with the smallest id stays, one row of several with that id; an empty table gives no pieces. No stage
+is expressible in SQL as a whole, so ``ORACLE_SQL`` is None and the stages are tested on small tables.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lorehouse.llm import jaccard_join, language_id, mixing, packing, quality_classifier
 from lorehouse.llm.common import scratch_path, table
+from lorehouse.llm.queries import TOKENIZER, labelled_rows
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, by text; those predicted ``und`` go. A missing ``lang`` is filled in."""
+    model = language_id.train(language_id.training_rows(table(spark, sf_dir, "documents")))
+    judged = language_id.predict(docs, model, pred_col="__lang_pred", score_col="__lang_score")
+    kept = judged.where(F.col("__lang_pred") != language_id.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold's quantile."""
+    model = quality_classifier.train(labelled_rows(spark, sf_dir, "quality", 4, 2))
+    return quality_classifier.score(docs, model, score_col="__score").where(F.col("__score") >= quality_classifier.CUT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: shingles of five words, similarity 0.8 or more."""
+    groups = jaccard_join.jaccard_components(docs, n=5, percent=80)
+    first = groups.where("component_id = id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(first, docs.doc_id == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate asks, so that sources meet their target weights."""
+    return mixing.taken(mixing.mix_sources(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path(TOKENIZER)))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -33,7 +33,7 @@ from .words import mix, runs_of_words
 #: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of classes, at most TOP.
 BITS, TOP = 48, 32_000
 _LOW = np.uint64((1 << BITS) - 1)
-_STEPS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, quality_rules, url_filters
-from .common import bucket_of, table
+import public_tokenizers
+
+from . import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
+from .common import bucket_of, scratch_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +78,74 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "domain", "n_words", "rate", "copies")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def labelled_rows(spark: SparkSession, sf_dir: str, label: str, modulus: int, held_out: int) -> DataFrame:
+    """Texts with their mark, without the held-out ids."""
+    marks = table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), modulus) != held_out).select("doc_id", label)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(labelled_rows(spark, sf_dir, "toxic", 5, 0))
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.train(labelled_rows(spark, sf_dir, "quality", 4, 2))
+    scored = quality_classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: inserts with words as a first count, revisions to pieces, deletes of wordless ones."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("source", "lang", token_counts.word_count(F.col("text")).alias("words"), token_counts.piece_count(F.col("text")).alias("pieces"))
+    as_state = lambda name, n: token_counts.state(F.col("source"), F.col("lang"), name, n)
+    nothing = F.lit(None).cast(token_counts.STATE)
+    versions = F.explode(F.array(as_state("words/1", F.col("words")), as_state("pieces/1", F.col("words"))))
+    inserted = counted.select(nothing.alias("before"), versions.alias("after"))
+    revised = counted.select(as_state("pieces/1", F.col("words")).alias("before"), as_state("pieces/1", F.col("pieces")).alias("after"))
+    gone = counted.where("words = 0").select(F.explode(F.array(as_state("words/1", F.col("words")), as_state("pieces/1", F.col("pieces")))).alias("before"), nothing.alias("after"))
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "token-counts"))
+    return token_counts.apply_all(ledger, [("insert", inserted), ("revise", revised), ("revise", revised), ("delete", gone)])
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '{token_counts.PIECES}')) AS pieces
+  FROM documents
+), v AS (
+  SELECT source, lang, 'words/1' AS tokenizer, words AS n FROM d WHERE words > 0
+  UNION ALL SELECT source, lang, 'pieces/1', pieces FROM d WHERE words > 0
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM v GROUP BY ALL
+"""
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+OPERATORS = (
+    op1_quality_rules, op2_url_filters, op3_ngram_jaccard, op4_language_id, op5_mixing,
+    op6_embedding_dedup, op7_toxicity, op8_quality_classifier, op9_token_counts, op10_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_ngram_jaccard, op4_language_id, op6_embedding_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_token_counts": OP9_SQL}
