@@ -57,3 +57,9 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 def text_column(docs: DataFrame, name: str = "text") -> Column:
     """The text of each row, empty where it is null."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that the optimiser computes once: a later filter on what is made of it cannot copy it into
+    each of its uses, as it could through a projection."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

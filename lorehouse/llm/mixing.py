@@ -20,6 +20,7 @@ Other columns pass through; working columns have reserved names beginning with `
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from math import log
 
@@ -55,6 +56,7 @@ def with_categories(docs: DataFrame, source_col: str, lang_col: str, text_col: s
 def posteriors(cells: DataFrame, domains: list[str], doubt: float, smooth: float = 1.0) -> DataFrame:
     """``cells`` with ``__p``, the posterior over ``domains`` in their order."""
     evidence = [c for c in CATEGORIES if c != "__declared"]
+    in_order = F.from_json(F.lit(json.dumps(domains)), "array<string>")
     spread = lambda df, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in evidence])).alias("e")).select(*keep, "e.*")
     known = cells.where("__declared <> ''").withColumn("domain", F.col("__declared"))
     per_domain = known.groupBy("domain").agg(F.sum("__docs").alias("docs"))
@@ -62,7 +64,7 @@ def posteriors(cells: DataFrame, domains: list[str], doubt: float, smooth: float
     values = counts.select("what", "value").distinct()
     kinds = values.groupBy("what").agg(F.count("*").alias("kinds"))
     listed = cells.sparkSession.createDataFrame([(d, i) for i, d in enumerate(domains)], "domain string, d int")
-    grid = values.join(kinds, "what").withColumn("domain", F.explode(F.array(*map(F.lit, domains)))).join(listed, "domain").join(per_domain, "domain", "left").join(counts, ["what", "value", "domain"], "left")
+    grid = values.join(kinds, "what").withColumn("domain", F.explode(in_order)).join(listed, "domain").join(per_domain, "domain", "left").join(counts, ["what", "value", "domain"], "left")
     logs = grid.select("what", "value", "d", F.log((F.coalesce("seen", F.lit(0)) + smooth) / (F.coalesce("docs", F.lit(0)) + smooth * F.col("kinds"))).alias("lp"))
     model = logs.groupBy("what", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "lp"))), lambda e: e["lp"]).alias("lp"))
     zero = F.array_repeat(F.lit(0.0), len(domains))
@@ -70,9 +72,9 @@ def posteriors(cells: DataFrame, domains: list[str], doubt: float, smooth: float
     summed = found.groupBy("__cell", "d").agg(F.sum("lp").alias("lp")).groupBy("__cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "lp"))), lambda e: e["lp"]).alias("lp"))
     sizes = {r["domain"]: r["docs"] for r in per_domain.collect()}  # one number per domain
     total = sum(sizes.values()) + smooth * len(domains)
-    prior = F.array(*[F.lit(log((sizes.get(d, 0) + smooth) / total)) for d in domains])
+    prior = F.from_json(F.lit(json.dumps([log((sizes.get(d, 0) + smooth) / total) for d in domains])), "array<double>")
     sure, unsure = F.lit(log(1 - doubt)), F.lit(log(doubt / max(1, len(domains) - 1)))
-    own = F.transform(F.array(*map(F.lit, domains)), lambda d: F.when(F.col("__declared") == "", F.lit(0.0)).when(F.col("__declared") == d, sure).otherwise(unsure))
+    own = F.transform(in_order, lambda d: F.when(F.col("__declared") == "", F.lit(0.0)).when(F.col("__declared") == d, sure).otherwise(unsure))
     add = lambda a, b: a + b
     joined = cells.join(summed, "__cell").withColumn("__lp", F.zip_with(F.zip_with("lp", prior, add), own, add)).withColumn("__top", F.array_max("__lp"))
     raw = joined.withColumn("__raw", F.transform("__lp", lambda x: F.exp(x - F.col("__top")))).withColumn("__all", F.aggregate("__raw", F.lit(0.0), add))
@@ -83,7 +85,7 @@ def _rate(steps: list[list[float]]) -> Column:
     """The rate after these gradient steps, each projected on the nonnegative numbers."""
     if not steps:
         return F.lit(1.0)
-    history = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # folded to one literal
     dot = lambda s: F.aggregate(F.zip_with("__p", s, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b)
     return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
@@ -124,7 +126,7 @@ def mix_sources(
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains = domains or [""]
     cells = cut(posteriors(cells, domains, doubt))
-    likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position("__p", F.array_max("__p")).cast("int"))
+    likeliest = F.element_at(F.from_json(F.lit(json.dumps(domains)), "array<string>"), F.array_position("__p", F.array_max("__p")).cast("int"))
     rates = cells.select(*[F.col(c).alias(f"{c}_of") for c in CATEGORIES], likeliest.alias("domain"), solve(cells, domains, weights, total, temper, rounds, tolerance).alias("rate"))
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), 11) / F.lit(float(1 << 53))
     same = [F.col(c) == F.col(f"{c}_of") for c in CATEGORIES]

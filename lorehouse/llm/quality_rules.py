@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import held, words_of
 
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -51,10 +51,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Repeated words: each 3-word window becomes one long, its 64-bit hash shifted to make room for its position.
     Sorting these longs puts equal windows side by side, so the cost is n log n in the text's length.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        words_of(F.col(text_col)).alias("w"),
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = held(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "w", words_of(F.col("text"))).select(
+        "doc_id",
+        "w",
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
@@ -69,13 +69,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.length(F.bin(F.size("w").cast("long"))).alias("bits"),
     )
-    keyed = counted.withColumn(
+    keyed = held(
+        counted,
         "keys",
         F.expr(
             "sort_array(slice(transform(w, (x, i) -> shiftleft(xxhash64(x, get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint)), 1, greatest(0, size(w) - 2)))"
         ),
     ).drop("w")
-    found = keyed.withColumn(
+    found = held(
+        keyed,
         "at",
         F.expr(
             "sort_array(transform(filter(keys, (x, i) -> shiftright(x, bits) = shiftright(get(keys, i - 1), bits) or shiftright(x, bits) = shiftright(get(keys, i + 1), bits)),"
