@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = _both_ways(edges)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     nodes = edges.groupBy("a").agg(F.min("b").alias("label"))
     roots = edges.select("b").distinct()
-    return nodes.select(F.col("a").alias("node"), "label").union(roots.join(nodes, roots.b == nodes.a, "left_anti").select(F.col("b").alias("node"), F.col("b").alias("label")))
+    return cut(nodes.select(F.col("a").alias("node"), "label").union(roots.select(F.col("b").alias("node"), F.col("b").alias("label"))))

@@ -3,10 +3,10 @@
 1. ``fragments``: every document's distinct n-grams, as 48-bit hashes, are cut by hash range; a fragment of a batch of
    documents is one row of packed arrays. Documents with the same set share a class ``v`` and are sent once per batch.
 2. ``active_sets``: each fragment counts in how many classes its n-grams occur. N-grams of one class alone cannot
-   overlap with anything and end here; the others return to their document as a sorted list, rarest first. A class keeps
-   its list only if at least the threshold's share of its n-grams is left.
+   overlap with anything and end here; the others return to their class as a sorted list, rarest first, in groups of
+   classes. A class keeps its list only if at least the threshold's share of its n-grams is left.
 3. ``prefix_index``: two sets of the wanted similarity share an n-gram in their prefixes of that order.
-4. ``link``: a bucket of the index compares all its classes with a few pivots, and in later waves with eight times as
+4. ``link``: a bucket of the index compares all its classes with a few pivots, and in later waves with many times as
    many, but only across components: a group of near copies that has grown together costs no more pairs. When the last
    wave ends, every two classes of a bucket are in one component or were compared, so no link is lost.
 5. ``overlaps``: candidate pairs are joined with the fragments of both sets, overlaps are counted in each fragment
@@ -32,6 +32,8 @@ from .words import mix, runs_of_words
 
 #: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of classes, at most TOP.
 BITS, TOP = 48, 32_000
+#: Classes are regrouped in so many groups; a power of two that grows with the corpus: a group must fit a task.
+GROUPS = 1 << 10
 _LOW = np.uint64((1 << BITS) - 1)
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -130,15 +132,45 @@ def _shared(group: pa.Table) -> pa.Table:
     keys = (np.minimum(seen, np.uint64(TOP)) << np.uint64(BITS) | h)[keep].view(np.int64)
     left = np.bincount(np.repeat(np.arange(len(v)), k)[keep], minlength=len(v))
     some = left > 0
-    offsets = pa.array(np.concatenate([[0], np.cumsum(left[some])]).astype(np.int32))
-    return pa.table({"v": pa.array(v[some]), "n": pa.array(n[some].astype(np.int64)), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+    return _by_group(v[some], n[some], left[some], keys)
+
+
+def _by_group(v: np.ndarray, n: np.ndarray, count: np.ndarray, keys: np.ndarray) -> pa.Table:
+    """(g, v, n, k, keys): classes and their n-grams dealt to groups, a row for each group."""
+    g = (mix(v.view(np.uint64)) & np.uint64(GROUPS - 1)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    starts = np.cumsum(count) - count
+    moved = np.repeat(starts[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(int(count.sum()))
+    g, v, n, count, keys = g[order], v[order], n[order], count[order], keys[moved]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    per_class = pa.array(np.append(first, len(g)).astype(np.int32))
+    per_key = pa.array(np.concatenate([[0], np.cumsum(count)])[np.append(first, len(g))].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(per_class, pa.array(x)) for x in (v.astype(np.int64), n.astype(np.int32), count.astype(np.int32))]
+    return pa.table([pa.array(g[first].astype(np.int32)), *lists, pa.ListArray.from_arrays(per_key, pa.array(keys))], names=["g", "v", "n", "k", "keys"])
+
+
+def _whole(percent: int):
+    """One group of classes: their shared n-grams from all fragments, rarest first, where enough are left."""
+
+    def of(group: pa.Table) -> pa.Table:
+        v, n, k, keys = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("v", "n", "k", "keys"))
+        names, first, back = np.unique(v, return_index=True, return_inverse=True)
+        count = np.bincount(back, k, minlength=len(names)).astype(np.int64)
+        good = count * 100 >= n[first].astype(np.int64) * percent
+        owner = np.repeat(back, k)
+        use = good[owner]
+        owner, keys = owner[use], keys[use]
+        keys = keys[np.lexsort((keys, owner))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count[good])]).astype(np.int32))
+        return pa.table({"v": pa.array(names[good]), "n": pa.array(n[first][good].astype(np.int64)), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+
+    return of
 
 
 def active_sets(cut_sets: DataFrame, percent: int) -> DataFrame:
     """(v, n, keys): each class's shared n-grams, rarest first, if they are at least ``percent`` of its set."""
-    shared = cut_sets.groupBy("f").applyInArrow(_shared, "v bigint, n bigint, keys array<bigint>")
-    per_class = shared.groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"))
-    return per_class.where(F.size("keys") * 100 >= F.col("n") * percent)
+    shared = cut_sets.groupBy("f").applyInArrow(_shared, "g int, v array<bigint>, n array<int>, k array<int>, keys array<bigint>")
+    return shared.groupBy("g").applyInArrow(_whole(percent), "v bigint, n bigint, keys array<bigint>")
 
 
 def prefix_index(sets: DataFrame, percent: int) -> DataFrame:
@@ -180,27 +212,31 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
 
     first = index.where(F.col("v") != F.col("p.v")).where(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), percent))
     links = cut(verified(first.select(F.col("p.v").alias("a"), F.col("v").alias("b"))))
+    index, label = index.drop("p"), None
     low, high = 0, pivots
     while True:
-        label = cut(components(links))
-        placed = index.drop("p").join(label, index.v == label.node, "left").select("key", "v", "n", "pos", "r", "size", F.coalesce("label", "v").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-        placed = cut(placed.join(split, "key"))
+        if label is None:
+            label = components(links)
+            placed = index.join(label, index.v == label.node, "left").select("key", "v", "n", "pos", "r", "size", F.coalesce("label", "v").alias("c"))
+            split = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+            placed = cut(placed.join(split, "key"))
         most = placed.agg(F.max("size")).first()[0]
         if most is None or most <= low:
             return label
         rank = F.col("r") * F.col("size")
         x = placed.where((rank >= low) & (rank < high)).select("key", *[F.col(c).alias(f"x_{c}") for c in ("v", "n", "pos", "r", "c")])
-        found = x.join(placed, "key").where((F.col("c") != F.col("x_c")) & ((F.col("r") > F.col("x_r")) | (F.col("r") == F.col("x_r")) & (F.col("v") > F.col("x_v"))))
+        found = x.join(placed.where(F.col("size") > low), "key").where((F.col("c") != F.col("x_c")) & ((F.col("r") > F.col("x_r")) | (F.col("r") == F.col("x_r")) & (F.col("v") > F.col("x_v"))))
         found = found.where(_possible(F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos"), percent))
-        links = links.union(cut(verified(found.select(F.col("x_v").alias("a"), F.col("v").alias("b")))))
-        low, high = high, high * 8
+        more = cut(verified(found.select(F.col("x_v").alias("a"), F.col("v").alias("b"))))
+        if more.limit(1).count():
+            links, label = links.union(more), None
+        low, high = high, high * 64
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row: n-word shingles, sets linked from ``percent`` similarity on."""
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(classes(docs, id_col, text_col, n))
     sets = cut(active_sets(fragments(docs, text_col, n, parts), percent))
     label = link(sets, percent)
