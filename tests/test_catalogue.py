@@ -1,0 +1,37 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from lorehouse.plans import catalogue
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(frame, columns):
+    norm = lambda v: None if v is None else repr(round(v, 6)) if isinstance(v, float) else str(v)
+    return Counter(tuple(norm(v) for v in r) for r in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    ours, theirs = catalogue.queries()[name](spark, DATA).toPandas(), duck.execute(catalogue.oracle_sql()[name]).df()
+    columns = sorted(theirs.columns)
+    assert sorted(ours.columns) == columns
+    assert rows(ours, columns) == rows(theirs, columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+def test_query_runs(spark, name):
+    assert catalogue.queries()[name](spark, DATA).count() > 0
