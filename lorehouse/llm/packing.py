@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import cut
 from .words import _BYTES, _IS_WORD, _power, mix
 
 WINDOW, END = 2048, 1
-_RUN = 1 << 20
+_RUN = 2 << 20
 #: White space besides the ASCII blanks: a text that has any is encoded whole.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _coders: dict[str, Coder] = {}
@@ -39,7 +40,7 @@ _coders: dict[str, Coder] = {}
 class Coder:
     """Ids of texts by a tokenizer file, with a bounded cache of pieces' ids kept as sorted arrays."""
 
-    most = 1_500_000
+    most, slots = 3_000_000, 1 << 20
 
     def __init__(self, path: str):
         import os
@@ -49,10 +50,12 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, self.kind)
+        self.near_key, self.near_at, self.near_size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int32)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) + len(keys) > self.most:
@@ -60,10 +63,25 @@ class Coder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in found for i in e), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(size.sum()))])
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece lie, how many they are, and which pieces are not known."""
+        slot = (key >> np.uint64(64 - 20)).astype(np.int64)
+        at, size = self.near_at[slot], self.near_size[slot]
+        far = np.flatnonzero((self.near_key[slot] != key) | (size < 0))
+        unknown = np.zeros(len(key), bool)
+        if len(far):
+            where = np.minimum(np.searchsorted(self.keys, key[far]), max(len(self.keys) - 1, 0))
+            found = self.keys[where] == key[far] if len(self.keys) else np.zeros(len(far), bool)
+            unknown[far[~found]] = True
+            got, where = far[found], where[found]
+            at[got], size[got] = self.at[where], self.size[where]
+            self.near_key[slot[got]], self.near_at[slot[got]], self.near_size[slot[got]] = key[got], at[got], size[got]
+        return at, size, unknown
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -92,17 +110,14 @@ class Coder:
             odd_docs = np.array(sorted(odd))
             plain = ~np.isin(doc, odd_docs)
             starts, ends, key, doc = starts[plain], ends[plain], key[plain], doc[plain]
-        where = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        missing = self.keys[where] != key if len(self.keys) else np.ones(len(key), bool)
+        place, size, missing = self._find(key)
         if missing.any():
             fresh, first = np.unique(key[missing], return_index=True)
             a, b = starts[missing][first], ends[missing][first]
-            before = len(self.keys)
             self._learn(fresh, [raw[x:y].decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            if len(self.keys) != before + len(fresh):  # the cache was emptied
+            place, size, missing = self._find(key)
+            if missing.any():  # the cache was emptied on the way
                 return self.encode(texts)
-            where = np.searchsorted(self.keys, key)
-        size = self.size[where]
         out_doc = np.bincount(doc, size, minlength=len(texts)).astype(np.int64)
         whole = {d: self.tokenizer.encode_batch_fast([raw[bounds[d] : bounds[d + 1]].decode("utf-8", "replace")], add_special_tokens=False)[0].ids for d in odd}
         for d, ids in whole.items():
@@ -117,7 +132,7 @@ class Coder:
             first_of_doc[doc[changes]] = inside[changes]
             target = doc_at[doc] + inside - first_of_doc[doc]
             step = np.arange(int(size.sum())) - np.repeat(inside, size)
-            out[np.repeat(target, size) + step] = self.ids[np.repeat(self.at[where], size) + step]
+            out[np.repeat(target, size) + step] = self.ids[np.repeat(place, size) + step]
         for d, ids in whole.items():
             out[doc_at[d] : doc_at[d] + len(ids)] = ids
         return out, total
@@ -131,7 +146,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         if tokenizer not in _coders:
             _coders[tokenizer] = Coder(tokenizer)
         coder = _coders[tokenizer]
-        kind = np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        kind = coder.kind
         for batch in batches:
             texts = batch.column(1)
             long = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
