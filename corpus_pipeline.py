@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorehouse.llm import jaccard_join, language_id, mixing, packing, quality_classifier
 from lorehouse.llm.common import scratch_path, table
-from lorehouse.llm.queries import TOKENIZER, labelled_rows
+from lorehouse.llm.queries import TOKENIZER, marks
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the threshold's quantile."""
-    model = quality_classifier.train(labelled_rows(spark, sf_dir, "quality", 4, 2))
+    model = quality_classifier.train(table(spark, sf_dir, "documents"), marks(spark, sf_dir, "quality", 4, 2))
     return quality_classifier.score(docs, model, score_col="__score").where(F.col("__score") >= quality_classifier.CUT).select(*docs.columns)
 
 

@@ -63,3 +63,16 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that the optimiser computes once: a later filter on what is made of it cannot copy it into
     each of its uses, as it could through a projection."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def marked_sample(docs: DataFrame, marks: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(label, h, text): at most ``per_label`` marked documents for each of the labels 0 and 1.
+
+    Ids are dealt into ``per_label`` slots by their hash, and each slot keeps its least; only the marks are shuffled,
+    summed first. The chosen ids, at most 2 * ``per_label``, are broadcast to one scan of the documents.
+    """
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    slots = marks.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("label"), F.col(id_col).alias("id"), h.alias("h"))
+    chosen = slots.groupBy("label", F.pmod("h", F.lit(per_label)).alias("slot")).agg(F.min(F.struct("h", "id")).alias("m")).select("label", "m.*")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("label", "h").agg(F.min("text").alias("text"))

@@ -86,21 +86,20 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-def labelled_rows(spark: SparkSession, sf_dir: str, label: str, modulus: int, held_out: int) -> DataFrame:
-    """Texts with their mark, without the held-out ids."""
-    marks = table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), modulus) != held_out).select("doc_id", label)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+def marks(spark: SparkSession, sf_dir: str, label: str, modulus: int, held_out: int) -> DataFrame:
+    """The marks of all ids but the held-out ones."""
+    return table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), modulus) != held_out).select("doc_id", label)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(labelled_rows(spark, sf_dir, "toxic", 5, 0))
-    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, marks(spark, sf_dir, "toxic", 5, 0)))
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_classifier.train(labelled_rows(spark, sf_dir, "quality", 4, 2))
-    scored = quality_classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, marks(spark, sf_dir, "quality", 4, 2)))
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"))
 
 

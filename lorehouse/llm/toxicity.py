@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import sample
+from .common import marked_sample
 from .words import mix, runs_of_words
 
 #: English insults.
@@ -170,8 +170,9 @@ def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4,
     return Model(names[used], w, -max(float(best[len(best) // 2]), 1e-6), [(int(h), float(a), float(c), float(k)) for h, a, c, k in zip(names[chosen], rate_toxic, rate_clean, copies, strict=False)])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> Model | None:
-    return fit(sample(labelled.where(F.col(label_col).isin(0, 1)), id_col, text_col, label_col, per_class))
+def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> Model | None:
+    """A model from the texts of ``docs`` and the 0/1 marks of their ids."""
+    return fit(marked_sample(docs, marks, label_col, per_class, id_col, text_col).orderBy("label", "h").collect())
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:

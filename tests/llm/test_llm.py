@@ -184,7 +184,7 @@ def test_toxicity_held_out_and_awkward(spark, awkward, empty):
     model = toxicity.fit(rows)
     odd = {r.doc_id: r.score for r in toxicity.score(awkward, model).collect()}
     assert len(odd) == 9 and all(odd[k] < 0.5 for k in (1, 2, 3, 6))
-    assert toxicity.train(empty.withColumn("toxic", F.lit(1))) is None and toxicity.score(awkward, None).where("score > 0").count() == 0
+    assert toxicity.train(empty, empty.withColumn("toxic", F.lit(1))) is None and toxicity.score(awkward, None).where("score > 0").count() == 0
 
 
 def test_label_model_finds_accuracy_and_copies():
@@ -202,7 +202,7 @@ def test_quality_held_out_and_awkward(spark, awkward, empty):
     x = np.random.default_rng(1).random((200, len(quality_classifier.FEATURES)))
     model = quality_classifier.fit(x, (x[:, 2] < 0.5).astype(int))
     assert model.weights[2] < 0 and len(quality_classifier.score(awkward, model).collect()) == len(AWKWARD)
-    assert quality_classifier.train(empty.withColumn("quality", F.lit(1))) is None and quality_classifier.score(awkward, None).where("score < 1").count() == 0
+    assert quality_classifier.train(empty, empty.withColumn("quality", F.lit(1))) is None and quality_classifier.score(awkward, None).where("score < 1").count() == 0
 
 
 def test_token_ledger(spark, awkward, tmp_path):
