@@ -118,7 +118,8 @@ def mix_sources(
     source_col: str = "source", lang_col: str = "lang", doubt: float = 0.01, temper: float = 0.5, rounds: int = 30, tolerance: float = 1e-3,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``domain`` (the likeliest), ``rate`` and ``copies``."""
-    told = with_categories(docs, source_col, lang_col, text_col)
+    u = F.shiftrightunsigned(F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string")), 11) / F.lit(float(1 << 53))
+    told = with_categories(docs.withColumn("__u", u), source_col, lang_col, text_col)
     cells = told.groupBy(*CATEGORIES).agg(F.count("*").alias("__docs"), F.sum("__n").alias("__words"))
     cells = cut(cells.withColumn("__cell", F.xxhash64(*CATEGORIES)))
     domains = sorted(r[0] for r in cells.where("__declared <> ''").select("__declared").distinct().limit(MAX_DOMAINS + 1).collect())
@@ -128,13 +129,12 @@ def mix_sources(
     cells = cut(posteriors(cells, domains, doubt))
     likeliest = F.element_at(F.from_json(F.lit(json.dumps(domains)), "array<string>"), F.array_position("__p", F.array_max("__p")).cast("int"))
     rates = cells.select(*[F.col(c).alias(f"{c}_of") for c in CATEGORIES], likeliest.alias("domain"), solve(cells, domains, weights, total, temper, rounds, tolerance).alias("rate"))
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), 11) / F.lit(float(1 << 53))
     same = [F.col(c) == F.col(f"{c}_of") for c in CATEGORIES]
     on = same[0]
     for c in same[1:]:
         on = on & c
-    mixed = told.join(rates, on).withColumns({"n_words": F.col("__n"), "copies": F.floor(F.col("rate") + u).cast("int")})
-    return mixed.drop("__n", *CATEGORIES, *[f"{c}_of" for c in CATEGORIES])
+    mixed = told.join(rates, on).withColumns({"n_words": F.col("__n"), "copies": F.floor(F.col("rate") + F.col("__u")).cast("int")})
+    return mixed.drop("__n", "__u", *CATEGORIES, *[f"{c}_of" for c in CATEGORIES])
 
 
 def taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
