@@ -40,30 +40,53 @@ _coders: dict[str, Coder] = {}
 class Coder:
     """Ids of texts by a tokenizer file, with a bounded cache of pieces' ids kept as sorted arrays."""
 
-    most, slots = 3_000_000, 1 << 20
+    most, slots, together = 3_000_000, 1 << 20, 256
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        before, line = self.tokenizer.pre_tokenizer, self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id that stands alone between words on lines of their own, if the byte-level rule says so.
+        plain = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.line = line[0] if plain and len(line) == 1 else None
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, self.kind)
         self.near_key, self.near_at, self.near_size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _ids_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and the number of ids of each."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(size.sum())), size
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], lines: np.ndarray) -> None:
+        """Encode new pieces; those of ``lines``, a word after at most one blank, as many lines of one text."""
         if len(self.keys) + len(keys) > self.most:
             self.forget()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        if self.line is None:
+            lines = np.zeros(len(pieces), bool)
+        order = np.concatenate([np.flatnonzero(lines), np.flatnonzero(~lines)])
+        keys, count = keys[order], int(lines.sum())
+        pieces = [pieces[k] for k in order.tolist()]
+        ids, _ = self._ids_of([b"\n".join(pieces[k : min(k + self.together, count)]) + b"\n" for k in range(0, count, self.together)])
+        ends = np.flatnonzero(ids == self.line) if count else np.empty(0, np.int64)
+        other, size = self._ids_of(pieces[count:])
+        size = np.concatenate([np.diff(ends, prepend=-1) - 1, size])
+        if len(size) != len(keys):
+            raise ValueError("the tokenizer does not keep lines apart")
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.delete(ids, ends), other])
+        order = np.argsort(keys)
+        keys, at, size = keys[order], at[order], size[order]
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
@@ -114,7 +137,8 @@ class Coder:
         if missing.any():
             fresh, first = np.unique(key[missing], return_index=True)
             a, b = starts[missing][first], ends[missing][first]
-            self._learn(fresh, [raw[x:y].decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            lines = word[a] | (data[a] == 32) & (b - a > 1) & word[np.minimum(a + 1, len(data) - 1)]
+            self._learn(fresh, [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], lines)
             place, size, missing = self._find(key)
             if missing.any():  # the cache was emptied on the way
                 return self.encode(texts)
