@@ -195,17 +195,14 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Documents with each id, number of documents, mean length: bounded by the vocabulary."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen, mark = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                n = part.column(0).to_numpy()
-                ids = np.concatenate([_ids(r, k) for r, k in zip(part.column(1).to_pylist(), n.tolist(), strict=True)])
-                once = np.unique(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32) | ids)
-                found = np.bincount((once & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                if len(found) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(found) - len(seen), np.int64)])
-                seen[: len(found)] += found
+            for n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, turn = _ids(row, n), np.arange(n)
+                if (top := int(ids.max(initial=0)) + 1) > len(seen):
+                    seen, mark = np.append(seen, np.zeros(top - len(seen), np.int64)), np.zeros(top, np.int64)
+                mark[ids] = turn  # the last place of each id stays, whatever was there
+                seen[ids[mark[ids] == turn]] += 1
         term = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term])], names=["term", "docs"])
 
