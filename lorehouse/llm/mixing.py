@@ -27,7 +27,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, words_of
+from .common import cut, words_of
 
 CATEGORIES = ("__declared", "__lang", "__long", "__chars", "__upper", "__other")
 #: At most so many domains: their totals, and nothing else, come to the driver.
@@ -38,7 +38,7 @@ def with_categories(docs: DataFrame, source_col: str, lang_col: str, text_col: s
     """``docs`` with its categories and ``__n``, its number of words."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
-    left = lambda gone: F.length(F.translate(text, gone, ""))
+    left = lambda gone: F.length(F.regexp_replace(text, f"{gone}++", ""))
     step = lambda x: F.floor(F.least(F.lit(7.0), 20 * x)).cast("int")
     n = F.size(words_of(docs[text_col].cast("string"))).cast("bigint")
     return docs.withColumn("__n", n).withColumns(
@@ -47,8 +47,8 @@ def with_categories(docs: DataFrame, source_col: str, lang_col: str, text_col: s
             "__lang": F.coalesce(docs[lang_col].cast("string"), F.lit("")),
             "__long": F.floor(F.log2(F.col("__n") + 1.0)).cast("int"),
             "__chars": F.floor(F.least(F.lit(12.0), F.length(text) / F.greatest("__n", F.lit(1)))).cast("int"),
-            "__upper": step((F.length(text) - left(UPPER)) / chars),
-            "__other": step(left(UPPER + LOWER + " .,\n") / chars),
+            "__upper": step(left("[^A-Z]") / chars),
+            "__other": step(left(r"[A-Za-z .,\n]") / chars),
         }
     )
 
