@@ -10,6 +10,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from lorehouse.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity, url_filters
 from lorehouse.llm.common import table
@@ -293,3 +294,17 @@ def test_pipeline_stages_take_awkward_rows(spark, awkward, empty, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, start, DATA)
             assert out.count() >= 0 and (name == "packing" or out.columns == start.columns)
+
+
+def test_coder_equals_tokenizer_on_awkward_texts():
+    path = public_tokenizers.path(queries.TOKENIZER)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = ["", None, " ", "\n", "a\n\nb", "  x  y ", "it's  'tis\t\nwe'll don't", "a b　c", "\r\n x\r\n", "日本 語 é\n é", "<|endoftext|> <|endoftext|>x", "x\x0by \x0c z\x1cq"]
+    texts += [" ".join(f"w{k}-{k * 7919}" for k in range(2000))]  # more new words than one text of lines holds
+    coder = packing.Coder(path)
+    assert coder.line is not None
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [packing.END] for t in texts]
+    for _ in range(2):  # new words, then known ones
+        ids, n = coder.encode(pa.array(texts))
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
