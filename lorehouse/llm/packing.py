@@ -4,8 +4,11 @@
    once per worker and looked up by a 64-bit hash afterwards; a pre-token never crosses a change from word to ASCII
    blank, so the ids are the whole text's. Texts with other white space are encoded whole.
 2. ``term_statistics``: documents with each id, over all documents. There are as many numbers as the vocabulary has ids.
-3. ``pack``: each partition of the tokens is dealt into shards of at most ``shard_docs`` documents and about
-   ``shard_tokens`` tokens. A shard has its own inverted index, with BM25 weights from the corpus statistics. Full windows
+3. ``content_order``: a document's BM25 weights are projected to ``SKETCH`` numbers. A tree of median cuts along the main
+   direction of a bounded sample's sketches puts like texts in like leaves; every document of the corpus is sent down it.
+4. ``pack``: runs of leaves are dealt into shards, their number from the corpus's documents and tokens, wherever the
+   documents are stored; a leaf larger than a shard is spread over several. A shard has at most ``shard_docs`` documents
+   and about ``shard_tokens`` tokens. It has its own inverted index, with BM25 weights from the corpus statistics. Full windows
    of a long document come first; then the next unused piece is the seed, its neighbours are taken in order of their
    scores until the window is full, and the last is cut: its rest is the next seed. Only a shard's last window can stay
    open; it is cut at powers of two. So no sequence needs padding.
@@ -35,6 +38,9 @@ _RUN = 2 << 20
 #: White space besides the ASCII blanks: a text that has any is encoded whole.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _coders: dict[str, Coder] = {}
+#: Numbers of a document's sketch, documents of the tree's sample, and those of a leaf. Shards are dealt to this share of
+#: their bounds, so that a sample's error seldom cuts a small rest off.
+SKETCH, SAMPLE, LEAF, FILL = 64, 1 << 14, 16, 0.8
 
 
 class Coder:
@@ -214,6 +220,103 @@ def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, float(mean or 1.0)
 
 
+def sketches(tokens: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    """Unit vectors: the BM25 weights of each document's terms by fixed random signs."""
+    key = (len(idf), SKETCH)
+    if key not in _signs:
+        _signs[key] = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), key)
+    out = np.zeros((len(tokens), SKETCH), np.float32)
+    for i, ids in enumerate(tokens):
+        term, tf = np.unique(ids, return_counts=True)
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean))
+        out[i] = weight.astype(np.float32) @ _signs[key][term]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+_signs: dict[tuple[int, int], np.ndarray] = {}
+
+
+class Tree:
+    """Median cuts along the main direction of a sample's sketches, to one depth; leaves are numbered in their order."""
+
+    def __init__(self, sample: np.ndarray, leaf: int = LEAF):
+        self.depth = max(0, int(np.ceil(np.log2(max(len(sample), 1) / leaf))))
+        self.direction, self.bound = np.zeros(((1 << self.depth) - 1, SKETCH), np.float32), np.zeros((1 << self.depth) - 1, np.float32)
+        rows = [np.arange(len(sample))]
+        for level in range(self.depth):
+            below = []
+            for k, at in enumerate(rows):
+                node, right = (1 << level) - 1 + k, np.zeros(len(at), bool)
+                if len(at) > 1:
+                    x = sample[at] - sample[at].mean(axis=0)
+                    main = x[np.argmax((x**2).sum(axis=1))]
+                    for _ in range(6):
+                        main = x.T @ (x @ main)
+                        main = main / max(float(np.linalg.norm(main)), 1e-12)
+                    self.direction[node] = main
+                    along = self._along(sample[at], np.full(len(at), node))
+                    self.bound[node] = np.median(along)
+                    right = along > self.bound[node]
+                below += [at[~right], at[right]]
+            rows = below
+
+    def _along(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return (x * self.direction[node]).sum(axis=1)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (self._along(x, node) > self.bound[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def content_order(tokens: DataFrame, idf: np.ndarray, n_docs: int, mean: float, shards: int) -> DataFrame:
+    """``tokens`` with their leaf and the shard, of about ``shards``, that its run of leaves belongs to."""
+    spark = tokens.sparkSession
+    shared = spark.sparkContext.broadcast(idf)  # one number per id of the vocabulary
+    of_rows = lambda batch: [_ids(row, n) for n, row in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = sketches(of_rows(batch), shared.value, mean)
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], names=["n", "x"])
+
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 11) / F.lit(float(1 << 53))
+    # At most 2 * SAMPLE sketches come to the driver: they only place the cuts, every document is dealt by them.
+    sample = tokens.where(u < SAMPLE / max(n_docs, 1)).select("n", "ids").mapInArrow(sampled, "n bigint, x binary").limit(2 * SAMPLE).collect()
+    x = np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(-1, SKETCH)
+    tree = Tree(x[np.lexsort(x.T)])
+    # A leaf's size in shards, by documents or tokens, whichever fill a shard first; leaves in order, one after the other.
+    leaf, n = tree.leaves(x), np.array([r["n"] for r in sample], float)
+    size = np.maximum(np.bincount(leaf, minlength=1 << tree.depth) / max(len(n), 1), np.bincount(leaf, n, 1 << tree.depth) / max(n.sum(), 1.0))
+    size = size / max(size.sum(), 1e-9) * shards
+    at = np.cumsum(size) - size
+    plan = spark.sparkContext.broadcast((tree, at, size))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, at, size = plan.value
+        for batch in batches:
+            leaf = tree.leaves(sketches(of_rows(batch), shared.value, mean))
+            by = batch.column("u").to_numpy(zero_copy_only=False)
+            shard = np.where(size[leaf] >= 1, at[leaf] + by * size[leaf], at[leaf] + size[leaf] / 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n", "ids", "u")], pa.array(leaf), pa.array(shard)], names=["doc_id", "n", "ids", "u", "leaf", "shard"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.withColumn("u", u).mapInArrow(dealt, f"doc_id {kind}, n bigint, ids binary, u double, leaf bigint, shard bigint")
+
+
+def _ranked(score: np.ndarray, count: int, first: int = 64) -> Iterator[int]:
+    """The ``count`` places of the greatest scores, greatest first and equal ones in their order; most are never asked for."""
+    done = 0
+    if count > first:
+        least = np.partition(score, len(score) - first)[len(score) - first]
+        top = np.flatnonzero(score >= least)
+        top = top[np.argsort(-score[top], kind="stable")]
+        done = min(len(top), count)
+        yield from top[:done].tolist()
+    yield from np.argsort(-score, kind="stable")[done:count].tolist()
+
+
 class Shard:
     """An inverted index over the documents of a shard and the greedy filling of windows from it."""
 
@@ -271,7 +374,7 @@ class Shard:
                     break
                 if turn is None:
                     s = np.where(unused, self.scores(score_of), -1.0)
-                    turn = iter(np.argsort(-s, kind="stable")[: int(unused.sum())].tolist())
+                    turn = _ranked(s, int(unused.sum()))
                 take = next(turn, -1)
                 if take < 0:
                     break
@@ -298,7 +401,7 @@ def _cut_open(pieces: list[tuple[int, int, int]], filled: int) -> Iterator[list[
         yield out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = 512, shard_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = 4096, shard_tokens: int = 1 << 22) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): every piece with its ids, packed little-endian
     unsigned 32-bit numbers."""
     tokens = cut(tokenize(docs, tokenizer, id_col, text_col))
@@ -319,23 +422,25 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), number
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, held, size = TaskContext.get().partitionId() << 40, [], [], 0
+        number, ids, held, size, now = TaskContext.get().partitionId() << 40, [], [], 0, None
         kind = pa.null()
         for batch in batches:
             kind = batch.column(0).type
-            for doc_id, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids.append(doc_id)
-                held.append(_ids(row, n))
-                size += n
-                if len(ids) >= shard_docs or size >= shard_tokens:
+            for doc_id, n, row, shard in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if ids and (shard != now or len(ids) >= shard_docs or size >= shard_tokens):
                     out, number = packed(ids, held, kind, number)
                     yield out
                     ids, held, size = [], [], 0
+                ids.append(doc_id)
+                held.append(_ids(row, n))
+                size, now = size + n, shard
         if ids:
             yield packed(ids, held, kind, number)[0]
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(of, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    shards = max(1, int(np.ceil(max(n_docs / shard_docs, n_docs * mean / shard_tokens) / FILL)))
+    ordered = content_order(tokens, idf, n_docs, mean, shards).repartition(shards, "shard").sortWithinPartitions("shard", "leaf", "u")
+    return ordered.select("doc_id", "n", "ids", "shard").mapInArrow(of, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

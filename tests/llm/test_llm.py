@@ -270,6 +270,30 @@ def test_bm25_scores_equal_formula():
     assert np.allclose(s, want)
 
 
+def test_packing_shards_hold_true_neighbours_wherever_stored(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(16 * 30)]
+    texts = [" ".join(rng.choice(words[i % 16 :: 16], 80)) for i in range(640)]  # like texts are never side by side
+    path = public_tokenizers.path(queries.TOKENIZER)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    rows = packing.tokenize(docs, path).collect()
+    tokens = [packing._ids(r.ids, r.n) for r in sorted(rows, key=lambda r: r.doc_id)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tokens]))
+    brute = packing.Shard(tokens, np.maximum(0.0, np.log((640 - df + 0.5) / (df + 0.5))), np.mean([len(t) for t in tokens]))
+    pieces = defaultdict(set)
+    for r in packing.pack(docs, path, shard_docs=64).collect():
+        pieces[r.sequence_id].add(r.doc_id)
+    beside = [(a, b) for s in pieces.values() for a in s for b in s if a != b]
+    top = {a: set(np.argsort(-brute.scores(a))[:40].tolist()) for a in {a for a, _ in beside}}
+    assert np.mean([b in top[a] for a, b in beside]) > 0.7  # 40 of 640 by chance
+
+
+def test_ranked_equals_stable_sort():
+    score = np.random.default_rng(2).integers(-1, 9, 500).astype(float)
+    for count in (0, 3, 64, 65, 200, 500):
+        assert list(packing._ranked(score, count)) == np.argsort(-score, kind="stable")[:count].tolist()
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = table(spark, DATA, "documents")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
