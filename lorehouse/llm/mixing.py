@@ -11,7 +11,10 @@
    totals only: a distributed sum over cells, as many numbers to the driver as there are domains.
 4. A document is taken ``floor(rate + u)`` times, u a fixed number in [0, 1) from its id and text.
 
-Default targets are proportional to mass ** ``temper``; the default total is the largest that no domain must repeat for.
+Default targets are proportional to mass ** ``temper``; the default total is the corpus's own words, so a small domain is
+repeated and cannot shrink the others. With it no target is more than ``REPEAT`` times its domain's words, and what
+a domain at that bound cannot take goes to the others by their weights; a total given by the caller is met without bound.
+Sources beyond the ``MAX_DOMAINS - 1`` with the most words are one domain, ``OTHERS``. ``kept_words`` reports each domain.
 
 Defined results: null and empty texts have no words, so their rate never matters to the totals and follows their cell.
 Rows without any declared source in the table leave one domain, ``""``. Repeated rows get the same rate and copies.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from math import log
+from math import inf, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from .common import cut, words_of
 CATEGORIES = ("__declared", "__lang", "__long", "__chars", "__upper", "__other")
 #: At most so many domains: their totals, and nothing else, come to the driver.
 MAX_DOMAINS = 4096
+#: The domain of all rarer sources, and how often a domain is repeated at most, on average, under the default total.
+OTHERS, REPEAT = "(other sources)", 4.0
 
 
 def with_categories(docs: DataFrame, source_col: str, lang_col: str, text_col: str) -> DataFrame:
@@ -58,7 +63,7 @@ def posteriors(cells: DataFrame, domains: list[str], doubt: float, smooth: float
     evidence = [c for c in CATEGORIES if c != "__declared"]
     in_order = F.from_json(F.lit(json.dumps(domains)), "array<string>")
     spread = lambda df, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in evidence])).alias("e")).select(*keep, "e.*")
-    known = cells.where("__declared <> ''").withColumn("domain", F.col("__declared"))
+    known = cells.where("__source <> ''").withColumn("domain", F.col("__source"))
     per_domain = known.groupBy("domain").agg(F.sum("__docs").alias("docs"))
     counts = spread(known, "domain", "__docs").groupBy("what", "value", "domain").agg(F.sum("__docs").alias("seen"))
     values = counts.select("what", "value").distinct()
@@ -74,7 +79,7 @@ def posteriors(cells: DataFrame, domains: list[str], doubt: float, smooth: float
     total = sum(sizes.values()) + smooth * len(domains)
     prior = F.from_json(F.lit(json.dumps([log((sizes.get(d, 0) + smooth) / total) for d in domains])), "array<double>")
     sure, unsure = F.lit(log(1 - doubt)), F.lit(log(doubt / max(1, len(domains) - 1)))
-    own = F.transform(in_order, lambda d: F.when(F.col("__declared") == "", F.lit(0.0)).when(F.col("__declared") == d, sure).otherwise(unsure))
+    own = F.transform(in_order, lambda d: F.when(F.col("__source") == "", F.lit(0.0)).when(F.col("__source") == d, sure).otherwise(unsure))
     add = lambda a, b: a + b
     joined = cells.join(summed, "__cell").withColumn("__lp", F.zip_with(F.zip_with("lp", prior, add), own, add)).withColumn("__top", F.array_max("__lp"))
     raw = joined.withColumn("__raw", F.transform("__lp", lambda x: F.exp(x - F.col("__top")))).withColumn("__all", F.aggregate("__raw", F.lit(0.0), add))
@@ -90,6 +95,24 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
+def targets(mass: list[float], wish: list[float], total: float | None) -> list[float]:
+    """Words wanted of each domain: ``total`` by the wishes or, if it is None, the masses' sum with at most ``REPEAT``
+    times its mass of each domain."""
+    most = [m * REPEAT if total is None else inf for m in mass]
+    left, target = sum(mass) if total is None else total, [0.0] * len(mass)
+    open_to = {i for i, w in enumerate(wish) if w > 0}
+    while open_to:
+        share = sum(wish[i] for i in open_to)
+        full = {i for i in open_to if wish[i] / share * left >= most[i]}
+        for i in full or open_to:
+            target[i] = most[i] if full else wish[i] / share * left
+        if not full:
+            break
+        left = max(0.0, left - sum(most[i] for i in full))
+        open_to -= full
+    return target
+
+
 def solve(cells: DataFrame, domains: list[str], weights: Mapping[str, float] | None, total: float | None, temper: float, rounds: int, tolerance: float) -> Column:
     """Rates of the cells as an expression of their posterior."""
 
@@ -102,9 +125,7 @@ def solve(cells: DataFrame, domains: list[str], weights: Mapping[str, float] | N
     wish = [float(weights.get(d, 0.0)) for d in domains] if weights is not None else [m**temper for m in mass]
     if sum(wish) <= 0:
         return F.lit(1.0)
-    wish = [w / sum(wish) for w in wish]
-    budget = total if total is not None else min((m / w for m, w in zip(mass, wish, strict=True) if w > 0), default=0.0)
-    target, now, steps = [w * budget for w in wish], mass, []
+    target, now, steps = targets(mass, wish, total), mass, []
     for _ in range(rounds):
         if max((abs(s - t) / max(t, 1.0) for s, t in zip(now, target, strict=True)), default=0.0) <= tolerance:
             break
@@ -122,11 +143,16 @@ def mix_sources(
     told = with_categories(docs.withColumn("__u", u), source_col, lang_col, text_col)
     cells = told.groupBy(*CATEGORIES).agg(F.count("*").alias("__docs"), F.sum("__n").alias("__words"))
     cells = cut(cells.withColumn("__cell", F.xxhash64(*CATEGORIES)))
-    domains = sorted(r[0] for r in cells.where("__declared <> ''").select("__declared").distinct().limit(MAX_DOMAINS + 1).collect())
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
-    domains = domains or [""]
-    cells = cut(posteriors(cells, domains, doubt))
+    largest = cells.where("__declared <> ''").groupBy("__declared").agg(F.sum("__words").alias("w")).orderBy(F.desc("w"), "__declared")
+    domains = [r[0] for r in largest.limit(MAX_DOMAINS + 1).collect()]
+    if folded := len(domains) > MAX_DOMAINS:
+        domains = [*{*domains[: MAX_DOMAINS - 1], OTHERS}]
+    domains = sorted(domains) or [""]
+    own = F.col("__declared")
+    if folded:
+        listed = F.array_contains(F.from_json(F.lit(json.dumps(domains)), "array<string>"), own)
+        own = F.when((own == "") | listed, own).otherwise(OTHERS)
+    cells = cut(posteriors(cells.withColumn("__source", own), domains, doubt))
     likeliest = F.element_at(F.from_json(F.lit(json.dumps(domains)), "array<string>"), F.array_position("__p", F.array_max("__p")).cast("int"))
     rates = cells.select(*[F.col(c).alias(f"{c}_of") for c in CATEGORIES], likeliest.alias("domain"), solve(cells, domains, weights, total, temper, rounds, tolerance).alias("rate"))
     same = [F.col(c) == F.col(f"{c}_of") for c in CATEGORIES]
@@ -137,6 +163,13 @@ def mix_sources(
     return mixed.drop("__n", "__u", *CATEGORIES, *[f"{c}_of" for c in CATEGORIES])
 
 
+def kept_words(mixed: DataFrame) -> DataFrame:
+    """(domain, n_docs, n_words, kept_docs, kept_words): documents left out count in the first two alone, repeats in the last."""
+    n = F.col("n_words") * F.col("copies")
+    kept = F.sum((F.col("copies") > 0).cast("bigint"))
+    return mixed.groupBy("domain").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), kept.alias("kept_docs"), F.sum(n).alias("kept_words"))
+
+
 def taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as ``copies`` says."""
     return mixed.where("copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -148,6 +148,18 @@ def test_mixing_meets_targets(spark, awkward, empty):
     assert mixing.taken(odd, awkward.columns).columns == awkward.columns
 
 
+def test_mixing_small_source_keeps_the_rest(spark, monkeypatch):
+    rows = [(i, f"some words number {i} of the one source " * 20, "en", "ab"[i % 2]) for i in range(400)] + [(900, "few words", "en", "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r.domain: r for r in mixing.kept_words(mixing.mix_sources(docs)).collect()}
+    assert all(found[s].kept_words > 0.95 * found[s].n_words for s in "ab")
+    assert mixing.targets([1e6, 1e6, 1.0], [1e3, 1e3, 1.0], None)[2] == 4.0 and sum(mixing.targets([9.0, 1.0], [3.0, 1.0], None)) == 10.0
+    assert mixing.targets([9.0, 1.0], [1.0, 1.0], 20.0) == [10.0, 10.0]
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    found = {r.domain: r.n_docs for r in mixing.kept_words(mixing.mix_sources(docs)).collect()}
+    assert found == {"a": 200, mixing.OTHERS: 201}
+
+
 def brute_links(rows, threshold):
     valid = {r[0]: (np.array(r[1], float), r[2]) for r in rows if r[0] is not None and r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])}
     links = defaultdict(set)
