@@ -2,7 +2,8 @@
 
 Stages are language ID, quality classifier, n-gram Jaccard join, mixing and packing. All but the last return the columns
 of the documents they were given. Defined results: documents without a letter go at the first stage; of a group of near
-duplicates the row with the smallest id stays, one row of several with that id; an empty table gives no pieces. No stage
+duplicates the row with the smallest id stays, a row without id only where no row has one, one row of several with that
+id; rows that share an id but not a text are documents of their own; an empty table gives no pieces. No stage
 is expressible in SQL as a whole, so ``ORACLE_SQL`` is None and the stages are tested on small tables.
 """
 
@@ -33,9 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: shingles of five words, similarity 0.8 or more."""
-    groups = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    first = groups.where("component_id = id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(first, docs.doc_id == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return jaccard_join.survivors(docs, n=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,6 +233,32 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
         low, high = high, high * 64
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
+    """One row of each component, chosen by class and not by id: the least id, null ids last, equal ids by a hash of the
+    row. A row without n-grams is linked with nothing and stays; of several with its id and text (null like any other) one."""
+    spark = docs.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sizes, v, _ in shingle_sets(batch.column(batch.num_columns - 1), n):
+                part = batch.slice(first, len(sizes))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(v.view(np.int64)), pa.array(sizes.astype(np.int64))], names=[*part.schema.names[:-1], "__v", "__n"])
+
+    # One durable copy of the rows, so that the numbers given to them hold.
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    keyed = numbered.select("__row", F.col(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__h"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("__t"), F.col(text_col).cast("string").alias("__text"))
+    kind = keyed.schema["__id"].dataType.simpleString()
+    keyed = cut(keyed.mapInArrow(of, f"__row bigint, __id {kind}, __h bigint, __t bigint, __v bigint, __n bigint"))
+    label = link(cut(active_sets(fragments(numbered, text_col, n, parts), percent)), percent)
+    order = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__row").alias("row"))).alias("m")
+    of_class = keyed.where("__n > 0").groupBy("__v").agg(order)
+    linked = of_class.join(label, F.col("__v") == F.col("node"), "left").groupBy(F.coalesce("label", "__v").alias("c")).agg(F.min("m").alias("m"))
+    bare = keyed.where("__n = 0").groupBy("__id", "__t").agg(F.min("__row").alias("__kept"))
+    kept = linked.select(F.col("m.row").alias("__kept")).unionByName(bare.select("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row: n-word shingles, sets linked from ``percent`` similarity on."""
     spark = docs.sparkSession

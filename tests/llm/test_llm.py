@@ -332,6 +332,13 @@ def test_pipeline_stages_take_awkward_rows(spark, awkward, empty, tmp_path):
             assert out.count() >= 0 and (name == "packing" or out.columns == start.columns)
 
 
+def test_near_duplicates_keep_a_row_of_each_text(spark, awkward):
+    kept = lambda df: Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, DATA).collect())
+    assert kept(awkward) == Counter({(r[0], r[1]) for r in AWKWARD} - {(None, "a b c d e f")})  # one of the repeated rows with id 4; 9 before null
+    rows = [(None, "only rows without id hold this text"), (None, "only rows without id hold this text"), (None, "and another such text it is"), (5, "one text under this id"), (5, "quite another under the same id")]
+    assert kept(spark.createDataFrame([*rows, (None, None), (None, "")], "doc_id bigint, text string")) == Counter({*rows, (None, None), (None, "")})
+
+
 def test_coder_equals_tokenizer_on_awkward_texts():
     path = public_tokenizers.path(queries.TOKENIZER)
     plain = Tokenizer.from_file(path)
