@@ -28,15 +28,26 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    temporary one, since its driver and executors are one process; a cluster is refused."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         set_to = tempfile.mkdtemp(prefix="spark-lorehouse-")
         spark.conf.set("spark.checkpoint.dir", set_to)
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: its lineage ends, and lost executors cost nothing."""
     spark, schema = df.sparkSession, df.schema

@@ -10,7 +10,9 @@ each of that many slots. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. With no labelled text at all every
 prediction is ``und`` with score 0. Equal scores go to the first language in alphabetical order. Rows are predicted one
-by one, so repeated rows agree; other columns pass through untouched.
+by one, so repeated rows agree. Other columns pass through; columns named like the results are replaced by them. Very
+long texts fill most of the ``buckets``: the more n-grams two of them have, the more alike they are, which blurs languages
+only from some hundred thousand different n-grams on.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bucket_of, free_name
+from .words import in_runs
 
 UNKNOWN = "und"
 _RUN = 1 << 18
@@ -108,20 +111,23 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(texts: pa.Array) -> pa.Array:
         m, names, scores = shared.value, [], []
-        low = [t.lower() if t else "" for t in texts.to_pylist()]
-        for a in range(0, len(low), 64):
-            part = low[a : a + 64]
-            s = m.scores(part)
-            best = s.argmax(axis=1)
-            sure = 1 / (1 + np.exp(-3 * s[np.arange(len(part)), best]))
-            for t, k, p in zip(part, best, sure, strict=True):
-                letters = any(map(str.isalpha, t))
-                names.append(m.languages[k] if letters else UNKNOWN)
-                scores.append(float(p) if letters else 0.0)
+        for _, run in in_runs(texts):  # a batch's texts are never all Python strings at once
+            low = [t.lower() if t else "" for t in run.to_pylist()]
+            for a in range(0, len(low), 64):
+                part = low[a : a + 64]
+                s = m.scores(part)
+                best = s.argmax(axis=1)
+                sure = 1 / (1 + np.exp(-3 * s[np.arange(len(part)), best]))
+                for t, k, p in zip(part, best, sure, strict=True):
+                    letters = any(map(str.isalpha, t))
+                    names.append(m.languages[k] if letters else UNKNOWN)
+                    scores.append(float(p) if letters else 0.0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    judged = docs.withColumn("__judged", of(docs[text_col].cast("string")))
-    return judged.withColumns({pred_col: F.col("__judged.lang"), score_col: F.col("__judged.score")}).drop("__judged")
+    # Not deterministic, for the optimiser: it would run the function again for each use of its result.
+    once = of.asNondeterministic()
+    judged = docs.select("*", once(docs[text_col].cast("string")).alias(free := free_name(docs, "__judged")))
+    return judged.withColumns({pred_col: F.col(f"`{free}`.lang"), score_col: F.col(f"`{free}`.score")}).drop(free)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", modulus: int = 3, held_out: int = 1) -> DataFrame:

@@ -1,8 +1,7 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index fills each seed document's window with its neighbours.
 
-1. ``tokenize``: ids of every whole text by a public tokenizer, then the end id. Text between two blanks is encoded
-   once per worker and looked up by a 64-bit hash afterwards; a pre-token never crosses a change from word to ASCII
-   blank, so the ids are the whole text's. Texts with other white space are encoded whole.
+1. ``tokenize``: ids of every whole text by a public tokenizer, then the end id; each task counts its documents with
+   each id on the way.
 2. ``term_statistics``: documents with each id, over all documents. There are as many numbers as the vocabulary has ids.
 3. ``content_order``: a document's BM25 weights are projected to ``SKETCH`` numbers. A tree of median cuts along the main
    direction of a bounded sample's sketches puts like texts in like leaves; every document of the corpus is sent down it.
@@ -19,176 +18,114 @@ no pieces. Sequence ids are unique, not consecutive. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 from collections.abc import Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import cut
-from .words import _BYTES, _IS_WORD, _power, mix
+from .words import in_runs
 
 WINDOW, END = 2048, 1
-_RUN = 2 << 20
-#: White space besides the ASCII blanks: a text that has any is encoded whole.
-_OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Fixed value: where a byte-level vocabulary cuts a text before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _coders: dict[str, Coder] = {}
 #: Numbers of a document's sketch, documents of the tree's sample, and those of a leaf. Shards are dealt to this share of
 #: their bounds, so that a sample's error seldom cuts a small rest off.
 SKETCH, SAMPLE, LEAF, FILL = 64, 1 << 14, 16, 0.8
 
 
+def _byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each id of a tokenizer file whose ids are the order of its byte merges; None for any other file."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and spec.get("normalizer") is None and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    single = sum(len(token) == 1 for token in ranks)
+    in_order = single == 256 and all(model["vocab"].get(a + b) == single + k for k, (a, b) in enumerate(merges))
+    return ranks if in_order and len(ranks) == single + len(merges) else None
+
+
 class Coder:
-    """Ids of texts by a tokenizer file, with a bounded cache of pieces' ids kept as sorted arrays."""
+    """Ids of texts by a tokenizer file, exactly as its own library gives them, strings of added tokens included.
 
-    most, slots, together = 3_000_000, 1 << 20, 256
+    A byte-level vocabulary in the order of its merges is applied by the library that is faster for those; its ids are
+    the same. Any other file is applied by its own library.
+    """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        before, line = self.tokenizer.pre_tokenizer, self.tokenizer.encode("\n", add_special_tokens=False).ids
-        #: The id that stands alone between words on lines of their own, if the byte-level rule says so.
-        plain = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
-        self.line = line[0] if plain and len(line) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, self.kind)
-        self.near_key, self.near_at, self.near_size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int32)
-
-    def _ids_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts and the number of ids of each."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), self.kind, int(size.sum())), size
-
-    def _learn(self, keys: np.ndarray, pieces: list[bytes], lines: np.ndarray) -> None:
-        """Encode new pieces; those of ``lines``, a word after at most one blank, as many lines of one text."""
-        if len(self.keys) + len(keys) > self.most:
-            self.forget()
-        if self.line is None:
-            lines = np.zeros(len(pieces), bool)
-        order = np.concatenate([np.flatnonzero(lines), np.flatnonzero(~lines)])
-        keys, count = keys[order], int(lines.sum())
-        pieces = [pieces[k] for k in order.tolist()]
-        ids, _ = self._ids_of([b"\n".join(pieces[k : min(k + self.together, count)]) + b"\n" for k in range(0, count, self.together)])
-        ends = np.flatnonzero(ids == self.line) if count else np.empty(0, np.int64)
-        other, size = self._ids_of(pieces[count:])
-        size = np.concatenate([np.diff(ends, prepend=-1) - 1, size])
-        if len(size) != len(keys):
-            raise ValueError("the tokenizer does not keep lines apart")
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.delete(ids, ends), other])
-        order = np.argsort(keys)
-        keys, at, size = keys[order], at[order], size[order]
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
-
-    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the ids of each piece lie, how many they are, and which pieces are not known."""
-        slot = (key >> np.uint64(64 - 20)).astype(np.int64)
-        at, size = self.near_at[slot], self.near_size[slot]
-        far = np.flatnonzero((self.near_key[slot] != key) | (size < 0))
-        unknown = np.zeros(len(key), bool)
-        if len(far):
-            where = np.minimum(np.searchsorted(self.keys, key[far]), max(len(self.keys) - 1, 0))
-            found = self.keys[where] == key[far] if len(self.keys) else np.zeros(len(far), bool)
-            unknown[far[~found]] = True
-            got, where = far[found], where[found]
-            at[got], size[got] = self.at[where], self.size[where]
-            self.near_key[slot[got]], self.near_at[slot[got]], self.near_size[slot[got]] = key[got], at[got], size[got]
-        return at, size, unknown
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end id, and the number of ids of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        low, high = int(offsets[0]), int(offsets[-1])
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high] if high > low else np.empty(0, np.uint8)
-        bounds = offsets - low
-        word = _IS_WORD[data]
-        new_doc = np.zeros(len(data) + 1, bool)
-        new_doc[bounds] = True
-        cuts = new_doc.copy()
-        if len(data):
-            cuts[1:-1] |= word[:-1] & ~word[1:]
-            cuts[-1] = True
-            cuts[0] = True
-        cuts = np.flatnonzero(cuts)
-        ends = cuts[1:]
-        starts = cuts[:-1]
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _power("up", len(data)), out=sums[1:])
-        key = mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts])
-        raw = data.tobytes()
-        odd = {int(np.searchsorted(bounds, m.start(), "right")) - 1 for m in _OTHER_SPACE.finditer(raw)}
-        if odd:  # one piece for the whole text
-            odd_docs = np.array(sorted(odd))
-            plain = ~np.isin(doc, odd_docs)
-            starts, ends, key, doc = starts[plain], ends[plain], key[plain], doc[plain]
-        place, size, missing = self._find(key)
-        if missing.any():
-            fresh, first = np.unique(key[missing], return_index=True)
-            a, b = starts[missing][first], ends[missing][first]
-            lines = word[a] | (data[a] == 32) & (b - a > 1) & word[np.minimum(a + 1, len(data) - 1)]
-            self._learn(fresh, [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], lines)
-            place, size, missing = self._find(key)
-            if missing.any():  # the cache was emptied on the way
-                return self.encode(texts)
-        out_doc = np.bincount(doc, size, minlength=len(texts)).astype(np.int64)
-        whole = {d: self.tokenizer.encode_batch_fast([raw[bounds[d] : bounds[d + 1]].decode("utf-8", "replace")], add_special_tokens=False)[0].ids for d in odd}
-        for d, ids in whole.items():
-            out_doc[d] = len(ids)
-        total = out_doc + 1
-        doc_at = np.cumsum(total) - total
-        out = np.full(int(total.sum()), END, np.uint32)
-        if len(size):
-            inside = np.cumsum(size) - size
-            first_of_doc = np.zeros(len(texts), np.int64)
-            changes = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            first_of_doc[doc[changes]] = inside[changes]
-            target = doc_at[doc] + inside - first_of_doc[doc]
-            step = np.arange(int(size.sum())) - np.repeat(inside, size)
-            out[np.repeat(target, size) + step] = self.ids[np.repeat(place, size) + step]
-        for d, ids in whole.items():
-            out[doc_at[d] : doc_at[d] + len(ids)] = ids
-        return out, total
-
-
-def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids packed as unsigned 16- or 32-bit numbers, as the vocabulary asks."""
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        ranks = _byte_ranks(spec)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if ranks is not None and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
+            self.fast, self.slow = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added), None
+            size = self.fast.n_vocab
+        else:
+            self.fast, self.slow = None, Tokenizer.from_file(path)
+            size = self.slow.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, then the end id."""
+        try:
+            plain = texts.to_pylist()
+        except UnicodeDecodeError:  # bytes that are no UTF-8, as a cast from binary can leave them
+            plain = [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+        out = []
+        for text in plain:
+            if not text:
+                ids = ()
+            elif self.fast is not None:
+                ids = self.fast.encode_to_numpy(text, allowed_special="all")
+            else:
+                ids = self.slow.encode(text, add_special_tokens=False).ids
+            row = np.empty(len(ids) + 1, self.kind)
+            row[:-1], row[-1] = ids, END
+            out.append(row)
+        return out
+
+
+def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+    """(doc_id, n, ids): ids packed as unsigned 16- or 32-bit numbers, as the vocabulary asks.
+
+    With ``counted`` each task adds one row of ``n`` -1 whose ``ids`` are its numbers of documents with each id, packed as
+    64-bit numbers: as many as the vocabulary has ids.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _coders:
             _coders[tokenizer] = Coder(tokenizer)
-        coder = _coders[tokenizer]
-        kind = coder.kind
+        coder, kind, seen, mark = _coders[tokenizer], None, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            texts = batch.column(1)
-            long = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            ends, first = np.cumsum(long), 0
-            while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _RUN, "right")))
-                ids, n = coder.encode(texts.slice(first, last - first))
-                flat = ids.astype(kind).tobytes()
-                at = np.concatenate([[0], np.cumsum(n)]) * kind().itemsize
-                packed = pa.array([flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), packed], names=["doc_id", "n", "ids"])
-                first = last
+            kind = batch.column(0).type
+            for first, texts in in_runs(batch.column(1)):
+                found = coder.encode(texts)
+                for ids in found if counted else ():
+                    if (top := int(ids.max()) + 1) > len(seen):
+                        seen, mark = np.append(seen, np.zeros(top, np.int64)), np.zeros(len(seen) + top, np.int64)
+                    turn = np.arange(len(ids))
+                    mark[ids] = turn  # the last place of each id stays, whatever was there
+                    seen[ids[mark[ids] == turn]] += 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n", "ids"])
+        if counted and kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([np.trim_zeros(seen, "b").tobytes()], pa.binary())], names=["doc_id", "n", "ids"])
 
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
 
@@ -197,25 +134,23 @@ def _ids(row: bytes, n: int) -> np.ndarray:
     return np.frombuffer(row, np.uint16 if len(row) == 2 * n else np.uint32).astype(np.uint32)
 
 
-def term_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Documents with each id, number of documents, mean length: bounded by the vocabulary."""
+def term_statistics(counts: DataFrame, tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Documents with each id, number of documents, mean length, from the tasks' counts: bounded by the vocabulary."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, mark = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        df = np.zeros(0, np.int64)
         for batch in batches:
-            for n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, turn = _ids(row, n), np.arange(n)
-                if (top := int(ids.max(initial=0)) + 1) > len(seen):
-                    seen, mark = np.append(seen, np.zeros(top - len(seen), np.int64)), np.zeros(top, np.int64)
-                mark[ids] = turn  # the last place of each id stays, whatever was there
-                seen[ids[mark[ids] == turn]] += 1
-        term = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term])], names=["term", "docs"])
-
-    counts = tokens.select("n", "ids").mapInArrow(of, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+            for row in batch.column(0):
+                part = np.frombuffer(row.as_buffer(), np.int64)
+                df = np.append(df, np.zeros(max(0, len(part) - len(df)), np.int64))
+                df[: len(part)] += part
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "docs"])
+
+    summed = counts.select("ids").mapInArrow(of, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
     docs, mean = tokens.agg(F.count("*"), F.avg("n")).first()
-    df = np.zeros(max((r["term"] for r in counts), default=0) + 1, np.int64)
-    for r in counts:
+    df = np.zeros(max((r["term"] for r in summed), default=0) + 1, np.int64)
+    for r in summed:
         df[r["term"]] = r["docs"]
     return df, docs, float(mean or 1.0)
 
@@ -404,8 +339,9 @@ def _cut_open(pieces: list[tuple[int, int, int]], filled: int) -> Iterator[list[
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = 4096, shard_tokens: int = 1 << 22) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): every piece with its ids, packed little-endian
     unsigned 32-bit numbers."""
-    tokens = cut(tokenize(docs, tokenizer, id_col, text_col))
-    df, n_docs, mean = term_statistics(tokens)
+    written = cut(tokenize(docs, tokenizer, id_col, text_col, counted=True))
+    tokens = written.where("n >= 0")
+    df, n_docs, mean = term_statistics(written.where("n < 0"), tokens)
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # one number per id of the vocabulary
 

@@ -185,4 +185,5 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(texts))
 
-    return docs.withColumn(score_col, of(docs[text_col].cast("string")))
+    # Not deterministic, for the optimiser: it would run the function again for each use of its result.
+    return docs.withColumn(score_col, of.asNondeterministic()(docs[text_col].cast("string")))

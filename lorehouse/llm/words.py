@@ -14,13 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN = 2 << 20
-_BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
-_powers: dict[str, np.ndarray] = {}
-
 
 @dataclass
 class Words:
@@ -42,24 +39,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: A random number for each place in a word and byte there; places beyond the table make theirs when they occur.
+_PLACES = 64
+_TABLE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if kind not in _powers or len(_powers[kind]) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n, RUN + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:n]
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The random number of each (place, byte): words hash to their sum, so two words agree with probability 2^-64."""
+    at = (np.minimum(place, _PLACES - 1) << 8) | byte
+    out = _TABLE[at]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix(((place[far].astype(np.uint64) << np.uint64(8) | byte[far]) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def _hashed(data: np.ndarray, cuts: np.ndarray, prefixes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Start and hash of each word of ``data``; no word crosses a position of ``cuts``."""
     is_word = _IS_WORD[data]
-    if not is_word.any():
-        none = np.empty(0, np.uint64)
-        return np.empty(0, np.int64), none, {k: none for k in prefixes}
     new = np.empty(len(data), bool)
     new[0] = True
     np.logical_not(is_word[:-1], out=new[1:])
@@ -68,11 +65,27 @@ def _hashed(data: np.ndarray, cuts: np.ndarray, prefixes: Sequence[int]) -> tupl
     ends_here[-1] = True
     ends_here[:-1] = new[1:] | ~is_word[1:]
     starts, ends = np.flatnonzero(is_word & new), np.flatnonzero(is_word & ends_here) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[_LOWER[data]] * _power("up", len(data)), out=sums[1:])
-    down, at_start = _power("down", len(data))[starts], sums[starts]
-    found = {k: np.where(starts + k <= ends, mix((sums[np.minimum(starts + k, ends)] - at_start) * down), np.uint64(0)) for k in prefixes}
-    return starts, mix((sums[ends] - at_start) * down), found
+    size = ends - starts
+    if not len(starts):
+        none = np.empty(0, np.uint64)
+        return np.empty(0, np.int64), none, {k: none for k in prefixes}
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_numbers(place, _LOWER[data[is_word]]), out=sums[1:])
+    at_start = sums[first]
+    upto = lambda n: mix(sums[first + n] - at_start + n.astype(np.uint64))
+    found = {k: np.where(size >= k, upto(np.minimum(size, k)), np.uint64(0)) for k in prefixes}
+    return starts, upto(size), found
+
+
+def in_runs(texts: pa.Array, run: int = RUN) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a text column of about ``run`` bytes, with their first row; a longer text is a slice of its own."""
+    ends, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + run, "right")))
+        yield first, texts.slice(first, last - first)
+        first = last
 
 
 def runs_of_words(texts: pa.Array, prefixes: Sequence[int] = ()) -> Iterator[Words]:

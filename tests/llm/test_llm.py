@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from lorehouse.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity, url_filters
+from lorehouse.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity, url_filters, words
 from lorehouse.llm.common import table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -135,7 +135,7 @@ def test_presence_kernel_equals_sets():
 
 def test_mixing_meets_targets(spark, awkward, empty):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    rows = mixing.mix_sources(docs).collect()
+    rows = mixing.mix_sources(docs, doubt=0.01).collect()
     words, got = Counter(), Counter()
     for r in rows:
         words[r.source] += r.n_words
@@ -151,15 +151,49 @@ def test_mixing_meets_targets(spark, awkward, empty):
 def test_mixing_small_source_keeps_the_rest(spark, monkeypatch):
     rows = [(i, f"some words number {i} of the one source " * 20, "en", "ab"[i % 2]) for i in range(400)] + [(900, "few words", "en", "c")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    found = {r.domain: r for r in mixing.kept_words(mixing.mix_sources(docs)).collect()}
+    found = {r.domain: r for r in mixing.kept_words(mixing.mix_sources(docs, doubt=0.01)).collect()}
     assert all(found[s].kept_words > 0.95 * found[s].n_words for s in "ab")
     assert mixing.targets([1e6, 1e6, 1.0], [1e3, 1e3, 1.0], None)[2] == 4.0 and sum(mixing.targets([9.0, 1.0], [3.0, 1.0], None)) == 10.0
     assert mixing.targets([9.0, 1.0], [1.0, 1.0], 20.0) == [10.0, 10.0]
     monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
-    found = {r.domain: r.n_docs for r in mixing.kept_words(mixing.mix_sources(docs)).collect()}
+    found = {r.domain: r.n_docs for r in mixing.kept_words(mixing.mix_sources(docs, doubt=0.01)).collect()}
     assert found == {"a": 200, mixing.OTHERS: 201}
 
 
+def topical(n, seed=4):
+    """Documents of three sources with words of their own and some common ones; a tenth has no source."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        k = rng.randrange(3)
+        words = [f"{'abc'[k]}{rng.randrange(30)}" if rng.random() < 0.6 else f"w{rng.randrange(50)}" for _ in range(rng.randrange(5, 60))]
+        rows.append((i, " ".join(words), "en", None if rng.random() < 0.1 else f"s{k}", k))
+    return rows
+
+
+def test_mixing_membership_by_text_is_held_out_and_solves_least_squares(spark):
+    docs = spark.createDataFrame(topical(900), "doc_id bigint, text string, lang string, source string, k int")
+    told = mixing.described(docs, docs.columns, "doc_id", "text", "source", "lang")
+    member = mixing.memberships(told)
+    assert member.weight > 0 and member.held_out["accuracy"] > 0.8 and member.held_out["loss"] < member.held_out["prior_loss"]
+    rows = member.table.select("k", "source", F.col(told.n).alias("n"), F.col(member.p).alias("p"), mixing.fitted(member, told.n, {"s0": 3.0, "s1": 1.0}, None, 0.5, 0.02, 400, 1e-9).alias("rate")).collect()
+    assert np.mean([np.argmax(r.p) == r.k for r in rows if r.source is None]) > 0.8  # the label is no input
+    p, n, rate = np.array([r.p for r in rows]), np.array([r.n for r in rows], float), np.array([r.rate for r in rows])
+    mass = p.T @ n
+    goal = np.array(mixing.targets(mass.tolist(), [3.0, 1.0, 0.0], None))
+    r = np.ones(len(n))  # the same least squares by plain projected gradient steps on every rate
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.5 * (p @ ((p.T @ (n * r) - goal) / mass) + 0.02 * (r - 1)))
+    assert np.abs(r - rate).max() < 1e-3 and rate.min() >= 0
+
+
+def test_mixing_keeps_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 7, 8, 9, 1), (None, None, None, None, None, None, None, None)], "doc_id bigint, text string, lang string, source string, rate int, copies int, `__n` int, `__p` int")
+    mixed = mixing.mix_sources(docs)
+    assert sorted(mixed.columns) == sorted([*docs.columns, "n_words", "domain"])
+    assert {(r["doc_id"], r["__n"], r["__p"], r["n_words"], r["domain"], r["copies"]) for r in mixed.collect()} == {(1, 9, 1, 2, "s", 1), (None, None, None, 0, "s", 1)}
+
+
 def brute_links(rows, threshold):
     valid = {r[0]: (np.array(r[1], float), r[2]) for r in rows if r[0] is not None and r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])}
     links = defaultdict(set)
@@ -214,6 +248,11 @@ def test_quality_held_out_and_awkward(spark, awkward, empty):
     assert held_out_errors(spark, "op8_quality_classifier", "quality") < 0.02
     x = np.random.default_rng(1).random((200, len(quality_classifier.FEATURES)))
     model = quality_classifier.fit(x, (x[:, 2] < 0.5).astype(int))
+    fitted = quality_classifier.train(table(spark, "/root/testdata/sf0.01", "documents"), queries.marks(spark, "/root/testdata/sf0.01", "quality", 4, 2))
+    clash = awkward.withColumns({"__w": F.lit(1), "__text": F.lit(2), "__x": F.lit(3)})
+    rated = quality_classifier.score(clash, fitted)
+    assert rated.columns == [*clash.columns, "score"] and rated.where("`__w` = 1 and `__text` = 2 and `__x` = 3").count() == len(AWKWARD)
+    assert {r.score for r in rated.where("doc_id in (1, 2, 3)").collect()} == {0.0}
     assert model.weights[2] < 0 and len(quality_classifier.score(awkward, model).collect()) == len(AWKWARD)
     assert quality_classifier.train(empty, empty.withColumn("quality", F.lit(1))) is None and quality_classifier.score(awkward, None).where("score < 1").count() == 0
 
@@ -267,7 +306,6 @@ def test_packing_awkward(spark, awkward, empty):
     more = spark.createDataFrame([(100 + i, s) for i, s in enumerate(texts)], "doc_id bigint, text string")
     rows = awkward.where("doc_id is null or doc_id <> 4").select("doc_id", "text").union(more)
     found = unpacked(packing.pack(rows, path, shard_docs=4).collect())
-    t.encode_special_tokens = True
     for r in rows.collect():
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], np.uint32)
         assert b"".join(p.ids for p in sorted(found[r.doc_id], key=lambda p: p.start)) == ids.tobytes()
@@ -340,14 +378,31 @@ def test_near_duplicates_keep_a_row_of_each_text(spark, awkward):
 
 
 def test_coder_equals_tokenizer_on_awkward_texts():
-    path = public_tokenizers.path(queries.TOKENIZER)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = ["", None, " ", "\n", "a\n\nb", "  x  y ", "it's  'tis\t\nwe'll don't", "a b　c", "\r\n x\r\n", "日本 語 é\n é", "<|endoftext|> <|endoftext|>x", "x\x0by \x0c z\x1cq"]
-    texts += [" ".join(f"w{k}-{k * 7919}" for k in range(2000))]  # more new words than one text of lines holds
-    coder = packing.Coder(path)
-    assert coder.line is not None
-    want = [plain.encode(t or "", add_special_tokens=False).ids + [packing.END] for t in texts]
-    for _ in range(2):  # new words, then known ones
-        ids, n = coder.encode(pa.array(texts))
-        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    rng = random.Random(3)
+    odd = [" ", "  ", "\n", "\t", "a", "B", "é", "ß", "1", "²", "½", "'s", "'S", "<|endoftext|>", "_", "!", "…", "日", "\u00a0", "\u2003", "\u200b", "́", "😀", "\x1c", "\x85"]
+    texts = ["", None, " ", "\n", "a\n\nb", "  x  y ", "it's  'tis\t\nwe'll don't", "\r\n x\r\n", "hello <|endoftext|> there", "x\x0by \x0c z\x1cq", THUE["a"]]
+    texts += [" ".join(f"w{k}-{k * 7919}" for k in range(2000))] + ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 14))) for _ in range(500)]
+    for name, fast in ((queries.TOKENIZER, True), ("word_bpe_49k.json", False)):
+        plain, coder = Tokenizer.from_file(public_tokenizers.path(name)), packing.Coder(public_tokenizers.path(name))
+        assert (coder.fast is not None) == fast
+        want = [plain.encode(t or "", add_special_tokens=False).ids + [packing.END] for t in texts]
+        assert [ids.tolist() for ids in coder.encode(pa.array(texts))] == want
+    assert packing.Coder(public_tokenizers.path(queries.TOKENIZER)).encode(pa.array([b"a\xff"], pa.binary()).view(pa.string()))[0].tolist() == Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)).encode("a\ufffd", add_special_tokens=False).ids + [1]
+
+
+def thue(a, b, n=2048):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits)
+
+
+#: Words of 2048 letters that a polynomial modulo a power of two cannot tell apart.
+THUE = {"a": thue("a", "b"), "b": thue("b", "a")}
+
+
+def test_words_that_defeat_polynomials_stay_apart(spark):
+    (run,) = words.runs_of_words(pa.array([THUE["a"], THUE["b"], THUE["a"].upper()]))
+    assert run.hash[0] != run.hash[1] and run.hash[0] == run.hash[2]
+    docs = spark.createDataFrame([(1, THUE["a"] + " p q r"), (2, THUE["b"] + " p q r"), (3, THUE["a"] + " P q r")], "doc_id bigint, text string")
+    assert {r.id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
