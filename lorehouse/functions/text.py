@@ -77,9 +77,10 @@ def excerpt_words(text: Column, words: int) -> Column:
     return F.when(F.size(parts) > words, F.concat(short, F.lit("…"))).otherwise(short)
 
 
-def compact(text: Column, most: int = 240) -> Column:
-    """White space as single blanks, cut to ``most`` characters."""
-    return truncate(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), most)
+def compact(text: Column, most: int = 160) -> Column:
+    """White space as single blanks, cut to ``most`` characters without a blank before the ellipsis."""
+    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(plain) > most, F.concat(F.rtrim(F.left(plain, F.lit(most))), F.lit("…"))).otherwise(plain)
 
 
 def confidence_text(confidence: Column) -> Column:
@@ -87,12 +88,21 @@ def confidence_text(confidence: Column) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    kilo, mega = 1024, 1024 * 1024
-    return (
-        F.when(size < kilo, F.format_string("%d B", size))
-        .when(size < mega, F.format_string("%.1f KB", size / F.lit(float(kilo))))
-        .otherwise(F.format_string("%.1f MB", size / F.lit(float(mega))))
-    )
+    """Bytes, or the largest unit of 1024 that fits, with one decimal below ten."""
+    value, text = size.cast("double"), F.format_string("%d B", size)
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        scaled = value / F.lit(float(1024**power))
+        text = F.when(value >= float(1024**power), F.when(scaled >= 10, F.format_string(f"%.0f {unit}", scaled)).otherwise(F.format_string(f"%.1f {unit}", scaled))).otherwise(text)
+    return text
+
+
+def text_preview(text: Column, most: int = 4096) -> Column:
+    """The first characters of a text; a line with an ellipsis follows if there are more."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n…"))).otherwise(text)
+
+
+def fits(text: Column, most: int = 128) -> Column:
+    return F.length(text) <= most
 
 
 def valid_key(key: Column) -> Column:

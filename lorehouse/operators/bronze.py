@@ -30,6 +30,11 @@ def manifest(items: DataFrame) -> DataFrame:
     return items.where(checked.isNull()).orderBy("id")
 
 
+def item(items: DataFrame, item_id: str) -> DataFrame:
+    """The item of an id, if there is one."""
+    return items.where(F.col("id") == item_id)
+
+
 def verified(uploads: DataFrame) -> DataFrame:
     """Uploads (item columns, content) whose bytes have the declared size and hash."""
     return uploads.where((F.octet_length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("hash")))

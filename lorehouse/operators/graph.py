@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import humanize, search_text
+from ..functions.text import compact, humanize, search_text, trimmed
 
 UNNAMED, UNKNOWN = "Unnamed entity", "Unknown"
 #: Relevance of each kind of match, and the tiers' preference.
@@ -34,7 +34,7 @@ def claims_of(claims: DataFrame, entity_id: str) -> DataFrame:
 
 
 def claim_counts(entities: DataFrame, claims: DataFrame) -> DataFrame:
-    """(entity_id, n_claims, rank): active claims, most first, then by label and id."""
+    """(entity_id, label, n_claims): numbers of active claims."""
     counts = attached(active(claims)).groupBy("entity_id").agg(F.count("*").alias("n_claims"))
     return labels(entities, claims).join(counts, "entity_id", "left").withColumn("n_claims", F.coalesce("n_claims", F.lit(0)))
 
@@ -73,12 +73,12 @@ def findings(open_observations: DataFrame) -> DataFrame:
 
 
 def described(claims: DataFrame, names: DataFrame) -> DataFrame:
-    """Claims with their text: ``subject — predicate → object`` for relations, ``predicate: value`` for attributes."""
+    """Claims with their text: ``subject — predicate → object`` for relations, ``predicate · value`` for attributes."""
     subject = names.select(F.col("entity_id").alias("subject_entity_id"), F.col("label").alias("_subject"))
     target = names.select(F.col("entity_id").alias("object_entity_id"), F.col("label").alias("_object"))
     both = claims.join(subject, "subject_entity_id", "left").join(target, "object_entity_id", "left")
     said = humanize(F.col("predicate"))
-    text = F.when(F.col("object_entity_id").isNotNull(), F.concat(F.coalesce("_subject", F.lit(UNKNOWN)), F.lit(" — "), said, F.lit(" → "), F.coalesce("_object", F.lit(UNKNOWN)))).otherwise(F.concat(said, F.lit(": "), F.coalesce("value", F.lit(""))))
+    text = F.when(F.col("object_entity_id").isNotNull(), F.concat(F.coalesce("_subject", F.lit(UNKNOWN)), F.lit(" — "), said, F.lit(" → "), F.coalesce("_object", F.lit(UNKNOWN)))).otherwise(F.concat(said, F.lit(" · "), F.coalesce("value", F.lit(UNKNOWN))))
     return both.withColumn("description", text).drop("_subject", "_object")
 
 
@@ -113,3 +113,104 @@ def omni_search(candidates: DataFrame, query: str, limit: int = 8) -> DataFrame:
     order = [F.desc("relevance"), F.desc("_tier"), F.length("title"), F.lower("title"), F.col("id")]
     hits = candidates.select("tier", "id", "title", scored.alias("relevance"), tier.alias("_tier")).where("relevance is not null").orderBy(*order).limit(limit)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_tier")
+
+
+def claim_rows(claims: DataFrame, names: DataFrame) -> DataFrame:
+    """Claims as rows of a list: their description, an attribute's after its subject's label if that is known."""
+    told = described(claims, names).join(names.select(F.col("entity_id").alias("subject_entity_id"), F.col("label").alias("_label")), "subject_entity_id", "left")
+    own = F.col("object_entity_id").isNull() & F.col("_label").isNotNull()
+    return told.withColumn("row", F.when(own, F.concat("_label", F.lit(" — "), "description")).otherwise(F.col("description"))).drop("_label")
+
+
+def first_page(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, with their rank."""
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def by_confidence(*then: str) -> list[Column]:
+    """The order of groups and findings: those with a confidence first, the surest first."""
+    return [F.desc_nulls_last("confidence"), *map(F.col, then)]
+
+
+def entity_page(entities: DataFrame, claims: DataFrame, n: int = 50) -> DataFrame:
+    """Entities with most active claims first, then by label and id."""
+    return first_page(claim_counts(entities, claims), [F.desc("n_claims"), F.lower("label"), F.col("entity_id")], n)
+
+
+def groups_of_entities(claims: DataFrame, observations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, predicate, value, confidence, n_claims, primary_claim_id, linked_entity_id, rank) for every entity.
+
+    ``value`` is what the group says of the entity, ``linked_entity_id`` the other end of a relation if it is known.
+    """
+    names = labels(entities, claims)
+    groups = claim_groups(claim_confidence(claims, observations))
+    label_of = lambda end: names.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("label").alias(f"_{end}"))
+    told = groups.join(label_of("subject"), "subject_entity_id", "left").join(label_of("object"), "object_entity_id", "left")
+    relation = F.concat(F.coalesce("_subject", F.lit(UNKNOWN)), F.lit(" → "), F.coalesce("_object", F.lit(UNKNOWN)))
+    told = told.withColumn("value", F.when(F.col("object_entity_id").isNotNull(), relation).otherwise(F.coalesce("value", F.lit(UNKNOWN))))
+    seen = attached(told).withColumn("_other", F.when(F.col("entity_id") == F.col("subject_entity_id"), F.col("object_entity_id")).otherwise(F.col("subject_entity_id")))
+    known = entities.select(F.col("entity_id").alias("_other"), F.col("entity_id").alias("linked_entity_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(*by_confidence("predicate", "value", "primary_claim_id")))
+    return seen.join(known, "_other", "left").select("entity_id", "predicate", "value", "confidence", "n_claims", "primary_claim_id", "linked_entity_id", rank.alias("rank"))
+
+
+def search_terms(entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """(entity_id, title, search_terms): an entity's label, then what its active claims say, each text once.
+
+    A hub's terms are as many as its different claims' texts; equal texts are summed to one before they are gathered.
+    """
+    names = labels(entities, claims)
+    label_of = lambda end: names.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("label").alias(f"_{end}"))
+    told = active(claims).join(label_of("subject"), "subject_entity_id", "left").join(label_of("object"), "object_entity_id", "left")
+    said, nothing = humanize(F.col("predicate")), F.lit("")
+    relation = F.concat_ws(" ", F.coalesce("_subject", nothing), said, F.coalesce("_object", nothing))
+    text = F.trim(F.when(F.col("object_entity_id").isNull(), F.concat_ws(" ", said, F.coalesce("value", nothing))).otherwise(relation))
+    terms = attached(told.withColumn("term", text)).where("term <> ''").groupBy("entity_id", "term").agg(F.min("claim_id").alias("first"))
+    lists = terms.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("t"))
+    rest = F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>"))
+    return names.join(lists, "entity_id", "left").select("entity_id", F.col("label").alias("title"), F.array_distinct(F.concat(F.array("label"), rest)).alias("search_terms"))
+
+
+def supporting_titles(claims: DataFrame, observations: DataFrame, evidence: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:
+    """(entity_id, source_id, title): originals behind an entity's active claims, titled by the published source, else the item."""
+    behind = attached(active(claims)).select("entity_id", "claim_id").join(provenance(active(claims), observations, evidence), "claim_id").select("entity_id", "source_id").distinct()
+    named = behind.join(sources.select(F.col("id").alias("source_id"), F.col("title").alias("_published")), "source_id", "left")
+    named = named.join(items.select(F.col("id").alias("source_id"), F.col("title").alias("_item")), "source_id", "left")
+    return named.select("entity_id", "source_id", F.coalesce("_published", "_item").alias("title"))
+
+
+def human_value(json_value: Column) -> Column:
+    """A JSON scalar as text: a string trimmed, a number or truth value as written; null for anything else and for blanks."""
+    kind = F.schema_of_variant(F.try_parse_json(json_value))
+    text = trimmed(F.get_json_object(F.concat(F.lit('{"v":'), json_value, F.lit("}")), "$.v"))
+    return F.when(kind == "STRING", F.when(text != "", text)).when(kind.isin("BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), trimmed(json_value))
+
+
+def candidate_findings(observations: DataFrame, evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """Findings from candidates that no active claim rests on.
+
+    Observations are (observation_id, kind, payload, evidence_ids, confidence), evidence is (evidence_id, excerpt). A ref
+    stands for the last label given to it in a piece of evidence, and only if an observation's evidence agrees on one.
+    """
+    at = lambda p: F.trim(F.coalesce(F.get_json_object("payload", p), F.lit("")))
+    spread = observations.where("kind = 'entity-candidate'").select("observation_id", at("$.ref").alias("ref"), at("$.label").alias("label"), F.explode("evidence_ids").alias("evidence_id"))
+    named = spread.where("ref <> '' and label <> ''").groupBy("evidence_id", "ref").agg(F.max_by("label", "observation_id").alias("label"))
+    rest = unresolved(observations, claims).where("kind in ('entity-candidate', 'attribute-candidate', 'relationship-candidate')")
+    uses = rest.select("observation_id", F.explode("evidence_ids").alias("evidence_id"), F.explode(F.array(F.struct(F.lit("subject").alias("end"), at("$.subject_ref").alias("ref")), F.struct(F.lit("object").alias("end"), at("$.object_ref").alias("ref")))).alias("u"))
+    only = lambda end: F.when(F.size(F.collect_set(F.when(F.col("end") == end, F.col("label")))) == 1, F.max(F.when(F.col("end") == end, F.col("label")))).alias(f"_{end}")
+    ends = uses.select("observation_id", "evidence_id", "u.*").join(named, ["evidence_id", "ref"]).groupBy("observation_id").agg(only("subject"), only("object"))
+    told = rest.join(ends, "observation_id", "left")
+    predicate, type_ = humanize(at("$.predicate")), at("$.type")
+    value = human_value(F.to_json(F.variant_get(F.parse_json("payload"), "$.value", "variant")))
+    shown = (
+        F.when(F.col("kind") == "entity-candidate", F.when(at("$.label") != "", at("$.label")))
+        .when(at("$.predicate") == "", F.lit(None).cast("string"))
+        .when(F.col("kind") == "attribute-candidate", F.when(value.isNotNull(), F.concat_ws(" → ", "_subject", value)))
+        .otherwise(F.concat(F.col("_subject"), F.lit(" → "), F.col("_object")))
+    )
+    said = F.when(F.col("kind") == "entity-candidate", F.concat(F.lit("Possible "), F.when(type_ != "", humanize(type_)).otherwise("entity"))).otherwise(predicate)
+    rows = told.select("observation_id", "confidence", said.alias("predicate"), shown.alias("value"), F.posexplode("evidence_ids").alias("pos", "evidence_id")).where("value is not null")
+    quoted = rows.join(evidence.select("evidence_id", trimmed(F.col("excerpt")).alias("quote")), "evidence_id", "left")
+    first = quoted.groupBy("observation_id", "confidence", "predicate", "value").agg(F.min_by("quote", F.when(F.col("quote") != "", F.col("pos"))).alias("quote"))
+    excerpt = compact(F.col("quote"), 160)
+    return findings(first.withColumn("excerpt", F.when((F.col("quote") != "") & (excerpt != F.col("value")), excerpt)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, normalize_label, stable_id, trimmed
+from ..functions.text import canonical_json, normalize_label, stable_id, trimmed, truncate
 
 #: Bounds of the contract and the confidence from which candidates count.
 REF, PREDICATE = r"^[A-Za-z0-9_-]{1,64}$", r"^[a-z][a-z0-9_-]{0,63}$"
@@ -104,6 +104,25 @@ def batched(fragments: DataFrame, target: int = 4096) -> DataFrame:
     return fragments.groupBy("source_id").applyInPandas(of, f"{fields}, batch int")
 
 
+def compact_payload(kind: Column, payload: Column) -> Column:
+    """A payload as a model gets it: a table row with named columns goes without its bare values."""
+    columns = F.get_json_object(payload, "$.columns")
+    short = F.concat(F.lit('{"row":'), F.get_json_object(payload, "$.row"), F.lit(',"columns":'), columns, F.lit("}"))
+    return F.when((kind == "parsed-table-row") & columns.isNotNull(), short).otherwise(payload)
+
+
+def valid_mapping(expected: Column, returned: Column) -> Column:
+    """Every id asked for exactly once, and no other."""
+    return (F.size(returned) == F.size(expected)) & (F.size(F.array_distinct(returned)) == F.size(returned)) & (F.size(F.array_except(expected, returned)) == 0)
+
+
+def diagnostics(rows: DataFrame, expected: Column, returned: Column, answer: Column, most: int = 160) -> DataFrame:
+    """``rows`` with what may be logged of a bad answer: numbers of ids, the ids cut short, and the answer's hash."""
+    error = F.concat(F.lit("expected "), F.size(expected).cast("string"), F.lit(" ids, got "), F.size(returned).cast("string"))
+    short = lambda ids: truncate(F.array_join(ids, ","), most)
+    return rows.withColumns({"error": error, "expected": short(expected), "returned": short(returned), "answer_hash": F.sha2(answer, 256)})
+
+
 class ContractError(Exception):
     """An answer that does not keep the contract."""
 

@@ -74,17 +74,21 @@ def lexical(chunks: DataFrame, query: str, limit: int = MOST, id_col: str = "chu
         return chunks.select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     rows = counted(chunks, wanted, id_col, text_col)
     stats = rows.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum((F.get("tf", F.lit(k)) > 0).cast("bigint")).alias(f"df{k}") for k in range(len(wanted))]).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
-    score = F.lit(0.0)
-    for k in range(len(wanted)):
-        df = stats[f"df{k}"] or 0
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)))
-        tf = F.get("tf", F.lit(k)).cast("double")
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / mean))
+    score = bm25(F.col("tf"), F.col("n_tokens"), [stats[f"df{k}"] for k in range(len(wanted))], stats["n"], stats["mean"] or 1.0)
     hits = rows.where(F.exists("tf", lambda x: x > 0)).select("chunk_id", F.round(score, 9).alias("score")).orderBy("score", "chunk_id").limit(limit)
     return ranked(hits, F.col("score"))
 
 
+def bm25(tf: Column, n_tokens: Column, df: Sequence[int], n: int, mean: float) -> Column:
+    """Smaller is better; ``tf`` is an array of the phrases' counts in a chunk, ``df`` the chunks that have each."""
+    score = F.lit(0.0)
+    for k, with_it in enumerate(df):
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(n)) - (with_it or 0) + 0.5) / ((with_it or 0) + 0.5)))
+        count = F.get(tf, F.lit(k)).cast("double")
+        score = score - idf * count * (K1 + 1) / (count + K1 * (1 - B + B * n_tokens / mean))
+    return score
+
+
 def ranked(hits: DataFrame, by: Column) -> DataFrame:
     """At most ``MOST`` rows with their rank; the window holds no more than a query's top rows."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(by, "chunk_id")))
@@ -125,11 +129,3 @@ def search(chunks: DataFrame, query: str, limit: int | None = None, vectors: Dat
 
 def missing_embeddings(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     return chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti")
-
-
-def chunk_set_digest(chunks: DataFrame, source_col: str = "source_id") -> DataFrame:
-    """A digest of each source's ordered chunk ids. A hot source's ids are hashed in 256 parts first: xor of the
-    parts' hashes would forget order, so parts are ranges of the id and their digests are joined in order."""
-    part = F.left(F.col("chunk_id").cast("string"), F.lit(2))
-    parts = chunks.groupBy(source_col, part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("chunk_id").cast("string"))), ","), 256).alias("digest"))
-    return parts.groupBy(source_col).agg(F.sum("n").alias("n_chunks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: p["digest"]), ","), 256).alias("digest"))

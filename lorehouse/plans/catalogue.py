@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,32 +12,13 @@ from ..operators import knowledge as K
 from ..operators import retrieval as R
 from ..operators import sync as S
 from ..sources import dispatch, parsers
+from . import lifecycle, navigation, presentation, search_index  # noqa: F401  their queries register themselves
 from . import tables as D
+from .registry import oracle_sql, queries, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 TEXT_QUERY, PHRASE_QUERY, OMNI_QUERY = "the and license", "of-the is-the", "customer#00000001"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
 
@@ -264,14 +243,6 @@ def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing_embeddings(chunks(spark, sf_dir), vectors(spark, sf_dir)[0]).select("chunk_id")
 
 
-@query(
-    """WITH p AS (SELECT source, left(CAST(doc_id AS VARCHAR), 2) AS part, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM documents GROUP BY ALL)
-SELECT source, CAST(sum(n) AS BIGINT) AS n_chunks, sha256(string_agg(digest, ',' ORDER BY part, digest)) AS digest FROM p GROUP BY source"""
-)
-def chunk_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.chunk_set_digest(chunks(spark, sf_dir), "source")
-
-
 # Knowledge ------------------------------------------------------------------------------------------------------------
 
 
@@ -333,7 +304,7 @@ def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.claim_counts(_entities(spark, sf_dir), D.claims(spark, sf_dir))
 
 
-@query(f"WITH {LABEL_SQL} SELECT claim_id, CASE WHEN object_entity_id IS NULL THEN replace(predicate, '_', ' ') || ': ' || value ELSE s.label || ' — located in → ' || o.label END AS description FROM claim JOIN names s ON s.entity_id = subject_entity_id LEFT JOIN names o ON o.entity_id = object_entity_id")
+@query(f"WITH {LABEL_SQL} SELECT claim_id, CASE WHEN object_entity_id IS NULL THEN replace(predicate, '_', ' ') || ' · ' || value ELSE s.label || ' — located in → ' || o.label END AS description FROM claim JOIN names s ON s.entity_id = subject_entity_id LEFT JOIN names o ON o.entity_id = object_entity_id")
 def claim_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = D.claims(spark, sf_dir)
     return G.described(c, G.labels(_entities(spark, sf_dir), c)).select("claim_id", "description")
@@ -453,7 +424,7 @@ def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", T.excerpt_words(F.col("text"), 8).alias("title"))
 
 
-@query(r"WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 240 THEN left(t, 240) || '…' ELSE t END AS excerpt FROM c")
+@query(r"WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 160 THEN rtrim(left(t, 160)) || '…' ELSE t END AS excerpt FROM c")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select("doc_id", T.compact(F.coalesce("text", F.lit(""))).alias("excerpt"))
 

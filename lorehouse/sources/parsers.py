@@ -341,3 +341,21 @@ def retrieval_text(kind: Column, payload: Column, number_text: bool = True) -> C
     )
 
 
+
+
+def chunks(observations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(source_id, chunk_id, observation_id, evidence_id, selector, text, producer): what search sees of observations.
+
+    Observations are (observation_id, kind, payload, evidence_ids, producer), evidence is (evidence_id, source_id, selector).
+    Only those of the extraction with one piece of evidence count; evidence that is missing fails the query.
+    """
+    from ..operators.index import chunk_id
+    from ..operators.jobs import EXTRACTION
+
+    told = observations.where((F.col("producer") == EXTRACTION) & (F.size("evidence_ids") == 1))
+    told = told.select("observation_id", "producer", F.col("evidence_ids")[0].alias("evidence_id"), retrieval_text(F.col("kind"), F.col("payload")).alias("text")).where(trimmed(F.col("text")) != "")
+    found = told.join(evidence.select("evidence_id", "source_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
+    found = found.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an observation refers to missing evidence")).isNull()).drop("_there")
+    parts = found.withColumn("parts", F.when(F.octet_length("text") <= CHUNK_BYTES, F.array(trimmed(F.col("text")))).otherwise(split_for_retrieval(F.col("text"))))
+    spread = parts.select("source_id", "observation_id", "evidence_id", "selector", "producer", F.posexplode("parts").alias("part", "text"))
+    return spread.select("source_id", chunk_id(F.col("observation_id"), F.col("evidence_id"), F.col("part")).alias("chunk_id"), "observation_id", "evidence_id", "selector", "text", "producer")
