@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the bytes of the batches that go to Python functions in this session, whole texts being of any length; a
+    smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if not (digits and now.rstrip("bB") == digits and 0 < int(digits) <= most):
+        spark.conf.set(name, str(most))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

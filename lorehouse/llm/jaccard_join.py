@@ -1,17 +1,25 @@
 """N-gram Jaccard join by vertical partitioning: the global n-gram order is cut into fragments.
 
-1. ``fragments``: every document's distinct n-grams, as 48-bit hashes, are cut by hash range; a fragment of a batch of
-   documents is one row of packed arrays. Documents with the same set share a class ``v`` and are sent once per batch.
-2. ``active_sets``: each fragment counts in how many classes its n-grams occur. N-grams of one class alone cannot
+1. ``classes``: documents with the same set of n-grams share a class ``v``. A second 64-bit hash of the set is compared in
+   every class; should two sets ever share a class, all are hashed again with another salt.
+2. ``fragments``: every document's distinct n-grams are cut by hash range, into as many fragments as hold ``FRAGMENT``
+   n-grams each; a fragment of a batch of documents is one row of packed arrays, a class is sent once per batch.
+3. ``active_sets``: each fragment counts in how many classes its n-grams occur. N-grams of one class alone cannot
    overlap with anything and end here; the others return to their class as a sorted list, rarest first, in groups of
-   classes. A class keeps its list only if at least the threshold's share of its n-grams is left.
-3. ``prefix_index``: two sets of the wanted similarity share an n-gram in their prefixes of that order.
-4. ``link``: a bucket of the index compares all its classes with a few pivots, and in later waves with many times as
+   classes whose number grows like that of the fragments. A class keeps its list only if at least the threshold's share
+   of its n-grams is left. N-grams so frequent that they would fill a fragment (``heavy``, found in a sample of the
+   batches) skip the count: they are shared and come last in the order.
+4. ``prefix_index``: two sets of the wanted similarity share an n-gram in their prefixes of that order.
+5. ``link``: a bucket of the index compares all its classes with a few pivots, and in later waves with many times as
    many, but only across components: a group of near copies that has grown together costs no more pairs. When the last
    wave ends, every two classes of a bucket are in one component or were compared, so no link is lost.
-5. ``overlaps``: candidate pairs are joined with the fragments of both sets, overlaps are counted in each fragment
+6. ``overlaps``: candidate pairs are joined with the fragments of both sets, overlaps are counted in each fragment
    separately and summed per pair.
 
+N-grams are 48-bit hashes within a document: two of one pair of documents collide with probability |A| |B| / 2^48, 1 in
+10^8 for two documents of 1600 n-grams, and then count as one; on all 256410 documents of the larger check table the set
+sizes equal those by 64-bit hashes. Words and sets have 64 and 128 bits.
+
 Defined results: null and empty texts, and texts of blanks, have no n-gram, are linked with nothing and are their own
 component. Rows with equal sets are one class; repeated rows of one document each get its result. A null id is never a
 component's id unless all ids of the component are null. Only the id and text columns are read.
@@ -26,19 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, small_batches
 from .components import components
 from .words import mix, runs_of_words
 
 #: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of classes, at most TOP.
 BITS, TOP = 48, 32_000
-#: Classes are regrouped in so many groups; a power of two that grows with the corpus: a group must fit a task.
-GROUPS = 1 << 10
+#: N-grams of a fragment, and of a group of classes; one in so many runs is looked through for heavy n-grams.
+FRAGMENT, SAMPLED = 1_500_000, 16
 _LOW = np.uint64((1 << BITS) - 1)
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, n: int, salt: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per run of documents: its first row, set sizes, class ids ``v`` and the distinct hashes, ordered by document."""
     for run in runs_of_words(texts):
         words = np.bincount(run.doc, minlength=run.n_docs)
@@ -59,63 +67,133 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         sizes = np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=run.n_docs)
         hashes = key & _LOW
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes * _STEPS[0] + _STEPS[1]), dtype=np.uint64)])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        v = np.where(sizes > 0, mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(np.uint64) * _STEPS[2]), np.uint64(0))
-        yield run.first, sizes, v, hashes
+        yield run.first, sizes, set_hash(hashes, sizes, salt), hashes
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, v, n) of each row: the class of its set and the set's size."""
+def set_hash(hashes: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each set, whatever the order of its n-grams; 0 for an empty set."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes * _STEPS[0] + _STEPS[3 + salt]), out=sums[1:])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return np.where(sizes > 0, mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(np.uint64) * _STEPS[2]), np.uint64(0))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sizes, v, _ in shingle_sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(v.view(np.int64)), pa.array(sizes.astype(np.int64))], names=["id", "v", "n"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, v bigint, n bigint")
+def _frequent(v: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in a twentieth of a run's classes, and in how many."""
+    first = np.unique(v[v != 0], return_index=True)[1]
+    once = np.zeros(len(v), bool)
+    once[np.flatnonzero(v != 0)[first]] = True
+    h, count = np.unique(hashes[np.repeat(once, sizes)], return_counts=True)
+    often = count >= max(8, once.sum() // 20)
+    return h[often], count[often]
 
 
-def fragments(docs: DataFrame, text_col: str, n: int, parts: int) -> DataFrame:
-    """(f, v, n, k, lo, hi): for each run of documents and fragment, the classes with n-grams there, their set sizes
-    and numbers of n-grams in the fragment, and these n-grams' hashes in two packed arrays."""
+def _classed(rows: DataFrame, kept: str, n: int, salt: int) -> DataFrame:
+    """``rows``, their text last, with v, w and n in place of the text; and a row (v: an n-gram, n: minus its classes,
+    else null) for each frequent n-gram of a sampled run."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            for _, sizes, v, hashes in shingle_sets(batch.column(0), n):
-                once = np.zeros(len(v), bool)
-                once[np.unique(v, return_index=True)[1]] = True
-                doc = np.repeat(np.arange(len(v)), sizes)
-                hashes, doc = hashes[once[doc]], doc[once[doc]]
-                f = ((hashes >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(f * len(v) + doc, kind="stable")
-                f, doc, hashes = f[order], doc[order], hashes[order]
-                if not len(f):
-                    continue
-                new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])]))
-                count, in_f, who = np.diff(np.append(new, len(f))), f[new], doc[new]
-                lists = np.flatnonzero(np.concatenate([[True], in_f[1:] != in_f[:-1]]))
-                offsets = pa.array(np.append(lists, len(in_f)).astype(np.int32))
-                bounds = np.append(new[lists], len(f))
-                lo, hi = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(in_f[lists].astype(np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(v[who].view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(sizes[who].astype(np.int32))),
-                        pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
-                        pa.array([lo[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                        pa.array([hi[2 * a : 2 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                    ],
-                    names=["f", "v", "n", "k", "lo", "hi"],
-                )
+            names = [*batch.schema.names[:-1], "v", "w", "n"]
+            for first, sizes, v, hashes in shingle_sets(batch.column(batch.num_columns - 1), n, salt):
+                part = batch.slice(first, len(sizes))
+                w = set_hash(hashes, sizes, 30 + salt)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(sizes.astype(np.int64))], names=names)
+                if turn % SAMPLED == 0 and len(hashes):
+                    h, count = _frequent(v, sizes, hashes)
+                    none = [pa.nulls(len(h), c.type) for c in part.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(-count.astype(np.int64))], names=names)
+                turn += 1
+
+    return rows.mapInArrow(of, f"{kept}, v bigint, w bigint, n bigint")
+
+
+def classes(rows: DataFrame, kept: str, n: int) -> tuple[DataFrame, np.ndarray, int, int]:
+    """Rows (the columns ``kept``, v, w, n) of each document, the heavy n-grams, the number of n-grams, and the salt of v."""
+    for salt in range(3):
+        told = cut(_classed(rows, kept, n, salt))
+        found = told.where("n >= 0")
+        if not found.where("n > 0").groupBy("v").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b").limit(1).count():
+            break
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # At most 100000 n-grams: each stands for that share of all of them, or for a quarter of a fragment.
+    often = told.where("n < 0").groupBy("v").agg((-SAMPLED * F.sum("n")).alias("n")).where(F.col("n") > max(FRAGMENT // 4, total // 100_000))
+    heavy = np.sort(np.array([r["v"] for r in often.select("v").collect()], np.int64).view(np.uint64))
+    return found, heavy, total, salt
+
+
+def sizes_of(total: int) -> tuple[int, int]:
+    """Numbers of fragments and of groups of classes for so many n-grams."""
+    parts = max(1, -(-total // FRAGMENT))
+    return parts, 1 << max(4, (parts - 1).bit_length())
+
+
+def fragments(docs: DataFrame, text_col: str, n: int, parts: int, salt: int = 0, heavy: np.ndarray | None = None) -> DataFrame:
+    """(f, v, n, k, lo, hi): for each batch of documents and fragment, the classes with n-grams there, their set sizes
+    and numbers of n-grams in the fragment, and these n-grams' hashes in two packed arrays. Heavy n-grams are in fragments
+    of their own, numbered from ``parts`` on by class."""
+    heavy = np.empty(0, np.uint64) if heavy is None else heavy
+    spread = max(1, parts // 4)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs together until they have about a million n-grams, so that a fragment's row is not too short."""
+        held, size = [], 0
+        for batch in batches:
+            for _, sizes, v, hashes in shingle_sets(batch.column(0), n, salt):
+                if held and size + len(hashes) > 1_000_000:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, size = [], 0
+                held.append((sizes, v, hashes))
+                size += len(hashes)
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sizes, v, hashes in runs(batches):
+            once = np.zeros(len(v), bool)
+            once[np.unique(v, return_index=True)[1]] = True
+            doc = np.repeat(np.arange(len(v), dtype=np.int32), sizes)
+            hashes, doc = hashes[once[doc]], doc[once[doc]]
+            f = ((hashes >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+                f = np.where(heavy[at] == hashes, parts + (v[doc] % np.uint64(spread)).astype(np.int64), f)
+            order = np.argsort(f * len(v) + doc, kind="stable")
+            f, doc, hashes = f[order], doc[order], hashes[order]
+            if not len(f):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])]))
+            count, in_f, who = np.diff(np.append(new, len(f))), f[new], doc[new]
+            lists = np.flatnonzero(np.concatenate([[True], in_f[1:] != in_f[:-1]]))
+            offsets = pa.array(np.append(lists, len(in_f)).astype(np.int32))
+            bounds = np.append(new[lists], len(f))
+            lo, hi = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint16).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(in_f[lists].astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array(v[who].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(sizes[who].astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
+                    pa.array([lo[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                    pa.array([hi[2 * a : 2 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                ],
+                names=["f", "v", "n", "k", "lo", "hi"],
+            )
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(of, "f int, v array<bigint>, n array<int>, k array<int>, lo binary, hi binary")
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """One fragment: the n-grams found in two classes or more, by class, under their number of classes."""
+def _shared(parts: int, groups: int):
+    """Of one fragment: the n-grams found in two classes or more, by class, under their number of classes."""
+
+    def of(key: tuple, group: pa.Table) -> pa.Table:
+        return _shared_of(group, groups, key[0].as_py() >= parts)
+
+    return of
+
+
+def _shared_of(group: pa.Table, groups: int, heavy: bool) -> pa.Table:
     flat = lambda name: group.column(name).combine_chunks().flatten().to_numpy()
     packed = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind).astype(np.uint64)
     v, n, k = flat("v"), flat("n"), flat("k")
@@ -128,16 +206,18 @@ def _shared(group: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     seen = np.empty(len(h), np.uint64)
     seen[order] = np.repeat(lengths := np.diff(np.append(new, len(h))), lengths).astype(np.uint64)
+    if heavy:
+        seen[:] = TOP
     keep = seen > 1
     keys = (np.minimum(seen, np.uint64(TOP)) << np.uint64(BITS) | h)[keep].view(np.int64)
     left = np.bincount(np.repeat(np.arange(len(v)), k)[keep], minlength=len(v))
     some = left > 0
-    return _by_group(v[some], n[some], left[some], keys)
+    return _by_group(v[some], n[some], left[some], keys, groups)
 
 
-def _by_group(v: np.ndarray, n: np.ndarray, count: np.ndarray, keys: np.ndarray) -> pa.Table:
+def _by_group(v: np.ndarray, n: np.ndarray, count: np.ndarray, keys: np.ndarray, groups: int) -> pa.Table:
     """(g, v, n, k, keys): classes and their n-grams dealt to groups, a row for each group."""
-    g = (mix(v.view(np.uint64)) & np.uint64(GROUPS - 1)).astype(np.int64)
+    g = (mix(v.view(np.uint64)) & np.uint64(groups - 1)).astype(np.int64)
     order = np.argsort(g, kind="stable")
     starts = np.cumsum(count) - count
     moved = np.repeat(starts[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(int(count.sum()))
@@ -167,9 +247,9 @@ def _whole(percent: int):
     return of
 
 
-def active_sets(cut_sets: DataFrame, percent: int) -> DataFrame:
+def active_sets(cut_sets: DataFrame, percent: int, parts: int, groups: int) -> DataFrame:
     """(v, n, keys): each class's shared n-grams, rarest first, if they are at least ``percent`` of its set."""
-    shared = cut_sets.groupBy("f").applyInArrow(_shared, "g int, v array<bigint>, n array<int>, k array<int>, keys array<bigint>")
+    shared = cut_sets.groupBy("f").applyInArrow(_shared(parts, groups), "g int, v array<bigint>, n array<int>, k array<int>, keys array<bigint>")
     return shared.groupBy("g").applyInArrow(_whole(percent), "v bigint, n bigint, keys array<bigint>")
 
 
@@ -233,39 +313,36 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
         low, high = high, high * 64
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
-    """One row of each component, chosen by class and not by id: the least id, null ids last, equal ids by a hash of the
-    row. A row without n-grams is linked with nothing and stays; of several with its id and text (null like any other) one."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _labels(docs: DataFrame, text_col: str, n: int, percent: int, total: int, salt: int, heavy: np.ndarray) -> DataFrame:
+    parts, groups = sizes_of(total)
+    return link(cut(active_sets(fragments(docs, text_col, n, parts, salt, heavy), percent, parts, groups)), percent)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sizes, v, _ in shingle_sets(batch.column(batch.num_columns - 1), n):
-                part = batch.slice(first, len(sizes))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(v.view(np.int64)), pa.array(sizes.astype(np.int64))], names=[*part.schema.names[:-1], "__v", "__n"])
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component, chosen by class and not by id: the least id, null ids last, equal ids by a hash of the
+    row. A row without n-grams is linked with nothing and stays; of several with its id and text (null like any other) one."""
+    small_batches(docs.sparkSession)
+    row, name = free_name(docs, "__row"), free_name(docs, "__kept")
     # One durable copy of the rows, so that the numbers given to them hold.
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    keyed = numbered.select("__row", F.col(id_col).alias("__id"), F.xxhash64(*docs.columns).alias("__h"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("__t"), F.col(text_col).cast("string").alias("__text"))
-    kind = keyed.schema["__id"].dataType.simpleString()
-    keyed = cut(keyed.mapInArrow(of, f"__row bigint, __id {kind}, __h bigint, __t bigint, __v bigint, __n bigint"))
-    label = link(cut(active_sets(fragments(numbered, text_col, n, parts), percent)), percent)
-    order = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__row").alias("row"))).alias("m")
-    of_class = keyed.where("__n > 0").groupBy("__v").agg(order)
-    linked = of_class.join(label, F.col("__v") == F.col("node"), "left").groupBy(F.coalesce("label", "__v").alias("c")).agg(F.min("m").alias("m"))
-    bare = keyed.where("__n = 0").groupBy("__id", "__t").agg(F.min("__row").alias("__kept"))
-    kept = linked.select(F.col("m.row").alias("__kept")).unionByName(bare.select("__kept"))
-    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, parts: int | None = None) -> DataFrame:
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    text = F.col(text_col)
+    keyed = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.xxhash64(text.isNull(), text).alias("t"), text.cast("string").alias("text"))
+    keyed, heavy, total, salt = classes(keyed, f"row bigint, id {keyed.schema['id'].dataType.simpleString()}, h bigint, t bigint", n)
+    label = _labels(numbered, text_col, n, percent, total, salt, heavy)
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "row")).alias("m")
+    of_class = keyed.where("n > 0").groupBy("v").agg(order)
+    linked = of_class.join(label, F.col("v") == F.col("node"), "left").groupBy(F.coalesce("label", "v").alias("c")).agg(F.min("m").alias("m"))
+    bare = keyed.where("n = 0").groupBy("id", "t").agg(F.min("row").alias(name))
+    kept = linked.select(F.col("m.row").alias(name)).unionByName(bare.select(name))
+    return numbered.join(kept, F.col(row) == F.col(name), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) of every row: n-word shingles, sets linked from ``percent`` similarity on."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(classes(docs, id_col, text_col, n))
-    sets = cut(active_sets(fragments(docs, text_col, n, parts), percent))
-    label = link(sets, percent)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, heavy, total, salt = classes(rows, f"id {rows.schema['id'].dataType.simpleString()}", n)
+    label = _labels(docs, text_col, n, percent, total, salt, heavy)
     named = rows.where("n > 0").groupBy("v").agg(F.min("id").alias("least"))
     named = named.join(label, named.v == label.node, "left").select("v", "least", F.coalesce("label", "v").alias("c"))
     component = named.groupBy("c").agg(F.min("least").alias("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, free_name
+from .common import bucket_of, free_name, small_batches
 from .words import in_runs
 
 UNKNOWN = "und"
@@ -106,6 +106,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
     if model is None:
         return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # landmarks x buckets and landmarks x languages numbers
 
     @F.arrow_udf("struct<lang:string,score:double>")

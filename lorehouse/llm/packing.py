@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut
+from .common import cut, small_batches
 from .words import in_runs
 
 WINDOW, END = 2048, 1
@@ -107,6 +107,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     With ``counted`` each task adds one row of ``n`` -1 whose ``ids`` are its numbers of documents with each id, packed as
     64-bit numbers: as many as the vocabulary has ids.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

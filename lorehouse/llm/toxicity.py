@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked_sample
+from .common import marked_sample, small_batches
 from .words import mix, runs_of_words
 
 #: English insults.
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
     """``docs`` with a score in [0, 1] for each whole text."""
     if model is None:
         return docs.withColumn(score_col, F.lit(0.0))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers at most: features above the evidence bound
 
     @F.arrow_udf("double")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN = 2 << 20
+RUN = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
@@ -46,8 +46,7 @@ _TABLE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E37
 
 def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
     """The random number of each (place, byte): words hash to their sum, so two words agree with probability 2^-64."""
-    at = (np.minimum(place, _PLACES - 1) << 8) | byte
-    out = _TABLE[at]
+    out = _TABLE[(np.minimum(place, _PLACES - 1) << 8) | byte]
     far = np.flatnonzero(place >= _PLACES)
     if len(far):
         out[far] = mix(((place[far].astype(np.uint64) << np.uint64(8) | byte[far]) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -70,7 +69,7 @@ def _hashed(data: np.ndarray, cuts: np.ndarray, prefixes: Sequence[int]) -> tupl
         none = np.empty(0, np.uint64)
         return np.empty(0, np.int64), none, {k: none for k in prefixes}
     first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
     sums = np.zeros(len(place) + 1, np.uint64)
     np.cumsum(_numbers(place, _LOWER[data[is_word]]), out=sums[1:])
     at_start = sums[first]

@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from lorehouse.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity, url_filters, words
+from lorehouse.llm import components, embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts, toxicity, url_filters, words
 from lorehouse.llm.common import table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -406,3 +406,27 @@ def test_words_that_defeat_polynomials_stay_apart(spark):
     assert run.hash[0] != run.hash[1] and run.hash[0] == run.hash[2]
     docs = spark.createDataFrame([(1, THUE["a"] + " p q r"), (2, THUE["b"] + " p q r"), (3, THUE["a"] + " P q r")], "doc_id bigint, text string")
     assert {r.id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_jaccard_with_many_fragments_and_heavy_shingles_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 400)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 1)
+    rows = [(i, t) for i, t in enumerate(near_copies(4, 200))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    _, heavy, total, _ = jaccard_join.classes(docs.select(F.col("doc_id").alias("id"), "text"), "id bigint", 4)
+    assert len(heavy) > 20 and jaccard_join.sizes_of(total)[0] > 20
+    found = jaccard_join.jaccard_components(docs)
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows, 4, 85)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HUB", 3)
+    monkeypatch.setattr(components, "SHARE", 1e-9)
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 40)] + [(500, i) for i in range(400, 440)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(600, 640), rng.randrange(600, 640)) for _ in range(30)] + [(7, 7)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == label
