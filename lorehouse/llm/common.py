@@ -50,6 +50,14 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def hub_join(rows: DataFrame, table: DataFrame, key: str, hub: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once. Rows of the keys that are ``hub``, a condition on the
+    table that bounds their number, stay where they are and meet a broadcast; only the others are dealt out by key."""
+    hubs = F.broadcast(table.where(hub))
+    plain = rows.join(hubs.select(key), key, "left_anti").join(table.where(~hub), key)
+    return rows.join(hubs, key).unionByName(plain)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hub_join
 
 #: A node is a hub from so many edges on, and from this share of all edges on: so there are at most 2 / SHARE hubs.
 LEAST_HUB, SHARE = 64, 1e-3
@@ -22,9 +22,7 @@ def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     nodes' rows are dealt out by node, so no task gets the rows of a hub.
     """
     bound = max(LEAST_HUB, int(n_edges * SHARE))
-    hubs = F.broadcast(least.where(F.col("n") > bound).select("a", "m"))
-    plain = rows.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
-    return rows.join(hubs, "a").select("a", "b", "m").union(plain.select("a", "b", "m"))
+    return hub_join(rows, least, "a", F.col("n") > bound).select("a", "b", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -430,3 +430,35 @@ def test_components_with_hubs(spark, monkeypatch):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == label
+
+
+def test_embedding_classes_labels_and_lengths(spark):
+    rows = [(i, [1.0, 2.0, 3.0], "a") for i in range(20_000)] + [(20_000 + i, [1.0, 2.0, 3.001], "a") for i in range(5)] + [(30_000, [1.0, 2.0, 3.0], "1.2"), (30_001, [1.0, 2.0, 3.0], "1.7"), (30_002, [1.0, 2.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string")
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert len(found) == len(rows) and found[7].n_links == 20_004 and found[20_003].n_links == 20_004 and found[20_003].component_id == 0
+    assert all(found[k].n_links == 0 and found[k].kept for k in (30_000, 30_001, 30_002))
+
+
+def test_embedding_plan_grows_with_the_largest_label():
+    small, large = embedding_dedup.plan(5_000, 0.98), embedding_dedup.plan(10**8, 0.98)
+    assert small[1] == 6 and 10 <= small[0] <= 20 and large[1] > 10 and large[0] < 80
+    near = embedding_dedup.meeting(0.2)
+    for tables, hashes in (small, large):
+        assert 1 - (1 - near**hashes) ** tables >= embedding_dedup.RECALL
+
+
+def test_embedding_recall_on_planted_pairs(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()
+    rng = np.random.default_rng(3)
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in docs]
+    for k in range(300):  # near the threshold, on both sides
+        x = np.array(rows[k][1])
+        y = rng.standard_normal(len(x))
+        y -= x * (x @ y) / (x @ x)
+        cos = rng.uniform(0.975, 0.995)
+        rows.append((100_000 + k, (cos * x / np.linalg.norm(x) + np.sqrt(1 - cos**2) * y / np.linalg.norm(y)).tolist(), rows[k][2]))
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    links = brute_links(rows, 0.98)
+    want, got = sum(map(len, links.values())), sum(r.n_links for r in found)
+    assert want > 400 and 0.99 * want <= got <= want and all(r.n_links <= len(links[r.vec_id]) for r in found)
