@@ -462,3 +462,106 @@ def test_embedding_recall_on_planted_pairs(spark):
     links = brute_links(rows, 0.98)
     want, got = sum(map(len, links.values())), sum(r.n_links for r in found)
     assert want > 400 and 0.99 * want <= got <= want and all(r.n_links <= len(links[r.vec_id]) for r in found)
+
+
+def test_toxicity_catches_toxic_rows_and_leaves_clean_ones(spark):
+    rows = queries.op7_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
+    caught = np.mean([r.predicted == 1 for r in rows if r.toxic == 1])
+    left = np.mean([r.predicted == 0 for r in rows if r.toxic == 0])
+    assert caught > 0.85 and left > 0.95
+
+
+def test_toxicity_posteriors_do_not_follow_the_marks():
+    votes = np.zeros((40, 3))
+    votes[:20, :2], votes[20:, 2] = 1, 1
+    assert toxicity.majority(votes).tolist() == [1.0] * 20 + [0.0] * 20
+    assert not toxicity.majority(np.array([[0.0, 0.0, 1.0], [0.0, 0.0, 0.0]])).any()
+
+
+def test_language_regression_is_the_closed_form():
+    rng = np.random.default_rng(5)
+    rows = [{"text": " ".join(rng.choice(["oui", "non", "merci"] if k else ["yes", "no", "thanks"], 6)) + f" {i}", "label": "fr" if k else "en"} for i in range(120) for k in (i % 3 == 0,)]
+    ridge, model = 1e-3, language_id.fit(rows, landmarks=16)
+    x = language_id.presence([r["text"] for r in rows], model.buckets, model.longest).astype(float)
+    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    label = np.array([model.languages.index(r["label"]) for r in rows])
+    y = np.where(label[:, None] == np.arange(2), 1.0, -1.0)
+    weight = (1 / np.bincount(label))[label] * len(label) / 2
+    kernel, inner = x @ model.landmarks.T, (model.landmarks @ model.landmarks.T).astype(float)
+
+    def loss(w):  # the penalty is the norm of the function, not of the landmark weights
+        return (weight[:, None] * (kernel @ w - y) ** 2).sum() + ridge * len(rows) * np.einsum("ik,ij,jk->", w, inner, w)
+
+    best = loss(model.weights.astype(float))
+    values, vectors = np.linalg.eigh(inner)
+    span = vectors[:, values > 1e-6 * values[-1]]
+    assert all(loss(model.weights + 0.02 * span @ rng.standard_normal((span.shape[1], 2))) > best for _ in range(50))
+    assert np.allclose(model.scores([r["text"] for r in rows]), kernel @ model.weights, atol=1e-4)
+
+
+def test_language_of_very_long_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.train(language_id.training_rows(docs))
+    long = {k: " ".join(r.text for r in docs.where(F.col("lang") == k).limit(60).collect()) for k in model.languages}
+    rows = spark.createDataFrame([(k, t * 3) for k, t in long.items()], "lang string, text string")
+    assert all(r.lang == r.lang_pred for r in language_id.predict(rows, model).collect())
+
+
+def test_quality_fit_is_the_pairwise_minimum_and_cuts_at_the_quantile():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, len(quality_classifier.FEATURES)))
+    mark = (x[:, 0] - 0.5 * x[:, 3] + rng.standard_normal(300) > 0.3).astype(int)
+    model = quality_classifier.fit(x, mark, epochs=3000)
+    w, s = np.array(model.weights), x @ np.array(model.weights)
+    good, bad = x[mark == 1], x[mark == 0]
+    all_pairs = lambda w: np.log1p(np.exp(-((good @ w)[:, None] - (bad @ w)[None, :]))).mean()
+    assert all(all_pairs(w + d) > all_pairs(w) - 1e-3 for d in 0.2 * rng.standard_normal((40, len(w))))
+    assert abs(np.mean(s < model.threshold) - np.mean(mark == 0)) <= 1 / 300
+    scaled = 1 / (1 + np.exp(-(s - model.threshold) * model.scale - np.log(0.7 / 0.3)))
+    assert ((scaled >= quality_classifier.CUT) == (s >= model.threshold)).all()
+
+
+def greedy(tokens, idf, mean, window):
+    """Full windows by the rule alone: seeds in order, unused neighbours by score, a cut document seeds the next."""
+    left = {d: [0, len(t)] for d, t in enumerate(tokens)}
+    out = []
+    for d, t in enumerate(tokens):
+        while len(t) - left[d][0] >= window:
+            out.append([(d, left[d][0], window)])
+            left[d][0] += window
+    left = {d: at for d, (at, n) in left.items() if at < n}
+    tf = [Counter(t.tolist()) for t in tokens]
+
+    def score(seed, d):
+        return sum(idf[w] * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * len(tokens[d]) / mean)) for w in tf[seed] if w in tf[d] and idf[w] > 0)
+
+    seed = None
+    while left:
+        seed = min(left) if seed is None else seed
+        pieces, room, take, order, first, seed = [], window, seed, None, seed, None
+        while take is not None:
+            n = min(len(tokens[take]) - left[take], room)
+            pieces.append((take, left[take], n))
+            left[take] += n
+            room -= n
+            if left[take] == len(tokens[take]):
+                del left[take]
+            if not room:
+                seed = take if take in left else None
+                break
+            order = iter(sorted(left, key=lambda d: (-round(score(first, d), 9), d))) if order is None else order
+            take = next(order, None)
+        if room:
+            break
+        out.append(pieces)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packing_fills_greedily(seed):
+    rng = np.random.default_rng(seed)
+    tokens = [rng.integers(0, 40, rng.integers(1, 90)).astype(np.uint32) for _ in range(50)]
+    idf = np.concatenate([np.zeros(4), rng.uniform(0.1, 3, 36)])
+    found = [p for p in packing.Shard(tokens, idf, 45.0).windows(64) if sum(x[2] for x in p) == 64]
+    want = greedy(tokens, idf, 45.0, 64)
+    assert found[: len(want)] == want and sum(x[2] for p in want for x in p) > 0.9 * sum(map(len, tokens)) - 64
