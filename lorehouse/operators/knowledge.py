@@ -14,7 +14,7 @@ from ..functions.text import canonical_json, normalize_label, stable_id, trimmed
 #: Bounds of the contract and the confidence from which candidates count.
 REF, PREDICATE = r"^[A-Za-z0-9_-]{1,64}$", r"^[a-z][a-z0-9_-]{0,63}$"
 MOST_FRAGMENTS, MOST_CANDIDATES, ATTEMPTS, LABEL_CHARS, CONFIDENT = 512, 128, 3, 200, 0.70
-RESOLVER = "label-type-v1"
+RESOLVER, MOST_INPUTS = "label-type-v1", 128
 
 
 def valid_confidence(c: Column) -> Column:
@@ -76,32 +76,48 @@ def coverage(batches: DataFrame) -> DataFrame:
     return per.withColumn("state", state)
 
 
-def batches_of(sizes: list[int], contexts: list[tuple[str, int] | None], structural: list[bool], target: int) -> list[int]:
-    """Batch number of each fragment: a batch is cut before the fragment that would pass ``target`` bytes."""
-    out, batch, used, seen = [], 0, 0, set()
+def batches_of(sizes: list[int], contexts: list[tuple[str, int] | None], structural: list[bool], target: int, base: int = 0) -> list[int]:
+    """Batch number of each fragment: a batch, of ``base`` bytes when empty, is cut before the fragment that would pass
+    ``target`` bytes. A context counts once a batch; structural fragments count nothing and never cut."""
+    out, batch, used, seen, begun = [], 0, base, set(), False
     for size, context, alone in zip(sizes, contexts, structural, strict=True):
-        extra = context[1] if context and context[0] not in seen else 0
-        if used and not alone and used + size + extra > target:
-            batch, used, seen = batch + 1, 0, set()
+        extra = context[1] if context and context[0] not in seen and not alone else 0
+        if begun and not alone and used + size + extra > target:
+            batch, used, seen = batch + 1, base, set()
             extra = context[1] if context else 0
-        if context:
-            seen.add(context[0])
-        used += 0 if alone else size + extra
+        if not alone:
+            used += size + extra
+            if context:
+                seen.add(context[0])
+        begun = True
         out.append(batch)
     return out
 
 
-def batched(fragments: DataFrame, target: int = 4096) -> DataFrame:
-    """``fragments`` with ``batch``: ordered greedy batches per source. A source has at most 8 MiB, so its fragments fit a task."""
+def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = None) -> DataFrame:
+    """``fragments`` (source_id, ordinal, title, mime, kind, selector, payload, text, context, structural_only) with
+    ``batch``: ordered greedy batches per source, by the bytes of the input that a model would get of each.
+
+    Sizes are made by expressions; only they meet in one task, and a source has at most 8 MiB.
+    """
+    target = min(target, most_bytes or target)
+    evidence = stable_id("evidence", F.to_json(F.struct(F.col("source_id").cast("string").alias("source"), F.col("selector"))))
+    context_id = F.when(F.col("context").isNotNull(), stable_id("context", F.col("context")))
+    parent = F.coalesce(F.concat(F.lit(',"parent_context_id":"'), context_id, F.lit('"')), F.lit(""))
+    entry = F.concat(F.lit('{"id":"'), evidence, F.lit('","kind":"'), "kind", F.lit('"'), parent, F.lit(',"payload":'), compact_payload(F.col("kind"), F.col("payload")), F.lit(',"selector":'), "selector", F.lit("},"))
+    about = F.concat(F.lit('{"id":"'), context_id, F.lit('",'), F.substring("context", 2, 1 << 30), F.lit(","))
+    head = F.octet_length(F.to_json(F.struct(F.lit(1).alias("contexts"), F.lit(1).alias("fragments"), F.coalesce("mime", F.lit("")).alias("mime"), F.coalesce("title", F.lit("")).alias("title"))))
+    silent = F.col("structural_only") | (trimmed(F.coalesce("text", F.lit(""))) == "")
+    sized = fragments.select("*", F.octet_length(entry).alias("_size"), context_id.alias("_context"), F.octet_length(about).alias("_about"), head.alias("_head"), silent.alias("_silent"))
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal", kind="stable")
-        contexts = [None if not c else (c, len(c.encode())) for c in group["context"]]
-        sizes = [len(canonical_json({"text": t}).encode()) for t in group["text"]]
-        return group.assign(batch=batches_of(sizes, contexts, group["structural_only"].tolist(), target))
+        contexts = [None if c is None else (c, int(n)) for c, n in zip(group["_context"], group["_about"], strict=True)]
+        return group[["source_id", "ordinal"]].assign(batch=batches_of(group["_size"].tolist(), contexts, group["_silent"].tolist(), target, int(group["_head"].iloc[0])))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fragments.schema)
-    return fragments.groupBy("source_id").applyInPandas(of, f"{fields}, batch int")
+    kinds = {c: fragments.schema[c].dataType.simpleString() for c in ("source_id", "ordinal")}
+    dealt = sized.select("source_id", "ordinal", "_size", "_context", "_about", "_head", "_silent").groupBy("source_id").applyInPandas(of, f"source_id {kinds['source_id']}, ordinal {kinds['ordinal']}, batch int")
+    return fragments.join(dealt, ["source_id", "ordinal"])
 
 
 def compact_payload(kind: Column, payload: Column) -> Column:
@@ -133,25 +149,52 @@ class Extractor(Protocol):
     def extract(self, fragments: list[tuple[str, str]]) -> dict[str, dict]: ...
 
 
+def candidates_in(answer: dict[str, dict]) -> int:
+    return sum(len(a.get(k, ())) for a in answer.values() for k in ("entities", "attributes", "relationships"))
+
+
+class Budget:
+    """Fragments and candidates that all answers of one batch may have together."""
+
+    def __init__(self, fragments: int = MOST_FRAGMENTS, candidates: int = MOST_CANDIDATES):
+        self.fragments, self.candidates = fragments, candidates
+
+    def reserve(self, answer: dict[str, dict]) -> None:
+        if len(answer) > self.fragments:
+            raise ContractError(f"{len(answer)} fragments; {self.fragments} remain")
+        if (n := candidates_in(answer)) > self.candidates:
+            raise ContractError(f"{n} candidates; {self.candidates} remain")
+        self.fragments -= len(answer)
+        self.candidates -= n
+
+
 def check_answer(asked: list[tuple[str, str]], answer: dict[str, dict]) -> dict[str, dict]:
     if len(asked) > MOST_FRAGMENTS or set(answer) != {i for i, _ in asked}:
         raise ContractError("fragment ids differ")
-    if any(sum(len(a.get(k, ())) for k in ("entities", "attributes", "relationships")) > MOST_CANDIDATES for a in answer.values()):
+    if any(set(a) - {"entities", "attributes", "relationships"} or any(not isinstance(v, list) for v in a.values()) for a in answer.values()):
+        raise ContractError("unknown fields")
+    if candidates_in(answer) > MOST_CANDIDATES:
         raise ContractError("too many candidates")
     return answer
 
 
-def recovered(fragments: list[tuple[str, str]], extract: Callable[[list[tuple[str, str]]], dict[str, dict]], attempts: int = ATTEMPTS) -> dict[str, dict | None]:
-    """Answers by fragment: after ``attempts`` refusals a list is halved, and a single fragment is skipped (None)."""
+def recovered(
+    fragments: list[tuple[str, str]], extract: Callable[[list[tuple[str, str]]], dict[str, dict]], attempts: int = ATTEMPTS, budget: Budget | None = None
+) -> dict[str, dict | None]:
+    """Answers by fragment: after ``attempts`` refusals a list is halved, and a single fragment is skipped (None). What a
+    half uses of the batch's budget is gone for the other; an answer that needs more than is left ends the batch."""
+    budget = budget or Budget()
     for _ in range(attempts):
         try:
-            return dict(check_answer(fragments, extract(fragments)))
+            answer = dict(check_answer(fragments, extract(fragments)))
         except ContractError:
             continue
+        budget.reserve(answer)
+        return answer
     if len(fragments) == 1:
         return {fragments[0][0]: None}
     half = len(fragments) // 2
-    return recovered(fragments[:half], extract, attempts) | recovered(fragments[half:], extract, attempts)
+    return recovered(fragments[:half], extract, attempts, budget) | recovered(fragments[half:], extract, attempts, budget)
 
 
 def extracted(fragments: DataFrame, extractor: Extractor) -> DataFrame:
@@ -173,7 +216,14 @@ def embedded(chunks: DataFrame, embed: Callable[[pd.Series], list[list[float]]],
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "embedding": embed(b["text"])})
+            found = []
+            for a in range(0, len(b), MOST_INPUTS):
+                part = b["text"].iloc[a : a + MOST_INPUTS].reset_index(drop=True)
+                vectors = list(embed(part))
+                if len(vectors) != len(part):
+                    raise ContractError("the embedder returned another number of vectors")
+                found += vectors
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "embedding": found})
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     rows = chunks.select("chunk_id", "text").mapInPandas(of, f"chunk_id {kind}, embedding array<float>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import retrieval as R
 from ..operators import sync as S
-from ..sources import dispatch, parsers
+from ..sources import dispatch, ingest, parsers
 from . import lifecycle, navigation, presentation, search_index  # noqa: F401  their queries register themselves
 from . import tables as D
 from .registry import oracle_sql, queries, query  # noqa: F401
@@ -152,23 +152,57 @@ def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every original through its own parser, with the text that search sees."""
-    o = originals(spark, sf_dir).withColumn("parser", dispatch.parser_of(F.col("title"), F.col("mime")))
-    return parsers.parse(o).withColumn("retrieval_text", parsers.retrieval_text(F.col("kind"), F.col("payload"))).select("source_id", "ordinal", "kind", "selector", "structural_only", F.sha2(F.coalesce("retrieval_text", F.lit("")), 256).alias("text_hash"))
+    """Every original that is ready through its own parser, with the text that search sees."""
+    found = ingest.fragments(originals(spark, sf_dir))
+    return found.withColumn("retrieval_text", parsers.retrieval_text(F.col("kind"), F.col("payload"))).select("source_id", "ordinal", "kind", "selector", "structural_only", F.sha2(F.coalesce("retrieval_text", F.lit("")), 256).alias("text_hash"))
 
 
-@query()
+@query(
+    """SELECT 'events-' || event_id AS source_id, 'ready' AS state, NULL AS reason, CASE WHEN props IS NULL THEN 0 ELSE len(json_keys(props)) END AS n_fragments FROM events
+UNION ALL SELECT 'png-' || doc_id, 'skipped', 'unsupported_content', 0 FROM documents UNION ALL SELECT 'bad-' || doc_id, 'failed', 'invalid_utf8', 0 FROM documents"""
+)
+def ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of originals: events, documents under a picture's name, and documents behind a byte that is no text."""
+    row = lambda t, key, prefix, title, mime, content: D.table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("source_id"), F.lit(title).alias("title"), F.lit(mime).alias("mime"), content.alias("content"))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    kinds = (row("events", "event_id", "events-", "event", "application/json", F.encode("props", "UTF-8")), row("documents", "doc_id", "png-", "a.PNG", "", text), row("documents", "doc_id", "bad-", "a.txt", "text/plain", F.concat(F.unhex(F.lit("FF")), text)))
+    return ingest.ingested(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+
+
+_STRIP = "E' \\t\\n\\r\\x0b\\x0c'"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS part, CAST(NULL AS VARCHAR) AS chunk, trim(coalesce(text, ''), {_STRIP}) AS rest FROM documents
+UNION ALL SELECT doc_id, part + 1, trim(left(rest, cut), {_STRIP}), trim(substr(rest, cut + 1), {_STRIP}) FROM (
+  SELECT doc_id, part, rest, CASE WHEN strlen(rest) <= 3072 THEN length(rest) WHEN blank > 0 AND strlen(left(head, blank - 1)) >= 1536 THEN blank - 1 ELSE length(head) END AS cut FROM (
+    SELECT *, length(head) - length(regexp_extract(head, '[^ \\t\\r\\n]*$')) AS blank FROM (
+      SELECT doc_id, part, rest, coalesce(TRY(decode(array_slice(encode(rest), 1, 3072))), TRY(decode(array_slice(encode(rest), 1, 3071))), TRY(decode(array_slice(encode(rest), 1, 3070))), decode(array_slice(encode(rest), 1, 3069))) AS head FROM c WHERE rest <> ''))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS part, CAST(strlen(chunk) AS INTEGER) AS n_bytes, sha256(chunk) AS chunk_hash FROM c WHERE chunk <> ''"""
+)
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval parts of at most 3072 bytes of every document."""
     d = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsers.split_for_retrieval(F.col("text"))).alias("part", "chunk"))
     return d.select("doc_id", "part", F.octet_length("chunk").alias("n_bytes"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D.CONVERSATION_SQL}, e AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS BIGINT) AS n,
+  strlen('{{"id":"","kind":"text-block","payload":{{"text":' || to_json(text) || '}},"selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}}},') + 64 AS size FROM blocks),
+g AS (SELECT source_id, n, 0 AS batch, size + 51 AS used FROM e WHERE n = 0
+  UNION ALL SELECT e.source_id, e.n, CASE WHEN used + size > 700 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 700 THEN 51 + size ELSE used + size END FROM g JOIN e ON e.source_id = g.source_id AND e.n = g.n + 1)
+SELECT source_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, CAST(min(n) AS INTEGER) AS first FROM g GROUP BY ALL"""
+)
 def fragment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of the fragments of each conversation."""
-    c = D.conversations(spark, sf_dir).select(F.col("conv_id").alias("source_id"), F.lit("text").alias("parser"), F.col("text").alias("content"))
-    return K.batched(parsers.parse(c)).groupBy("source_id", "batch").agg(F.count("*").alias("n_fragments"), F.min("ordinal").alias("first"))
+    """Greedy batches, of at most 700 bytes of model input, of the blocks of each conversation."""
+    b = parsers.text_blocks(D.conversations(spark, sf_dir), "conv_id")
+    ordinal = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")) - 1
+    selector = F.to_json(F.struct(F.col("end"), F.lit("utf8-byte-range").alias("kind"), F.col("start")))
+    f = b.select(
+        F.col("conv_id").cast("string").alias("source_id"), ordinal.alias("ordinal"), F.lit("t").alias("title"), F.lit("text/plain").alias("mime"), F.lit("text-block").alias("kind"), selector.alias("selector"),
+        F.to_json(F.struct("text")).alias("payload"), "text", F.lit(None).cast("string").alias("context"), F.lit(False).alias("structural_only"),
+    )
+    return K.batched(f, 700).groupBy("source_id", "batch").agg(F.count("*").alias("n_fragments"), F.min("ordinal").alias("first"))
 
 
 # Retrieval ------------------------------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Originals into fragments: JSON, CSV, Markdown and plain text, with the selectors that point back into the bytes.
 
-Plain-text blocks and retrieval parts are the common case and are native (``text_blocks``). Formats that need a real
-grammar go through one Arrow-batched function per document, ``fragments_of``, which is a dispatch over small helpers;
-Spark deals out the documents and everything after the fragments is native again.
+The common originals are read by expressions (``native``). Those that need a real grammar go through one Arrow-batched
+function per document, ``fragments_of``, which is a dispatch over small helpers; Spark deals out the documents and
+everything after the fragments is native again.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import canonical_json, trimmed
+from . import native
 
 #: Bounds in bytes, except where named otherwise.
 TEXT_BYTES, CHUNK_BYTES, EXCERPT_CHARS, DEEPEST = 4096, 3072, 240, 4
@@ -273,25 +275,35 @@ def fragments_of(parser: str, content: bytes) -> list[dict]:
 
 
 def parse(originals: DataFrame, id_col: str = "source_id", parser_col: str = "parser", content_col: str = "content") -> DataFrame:
-    """(id, ordinal, fragment columns): all fragments of each original, in order. Selectors and payloads are canonical JSON."""
+    """(id, ordinal, fragment columns): all fragments of each original, in order. Selectors and payloads are canonical JSON.
+
+    Flat JSON, plain CSV and plain text are read by expressions; only the other originals go through Python.
+    """
     rows = originals.select(F.col(id_col).alias("source_id"), F.col(parser_col).alias("parser"), F.col(content_col).cast("binary").alias("content"))
-    as_json = lambda x: None if x is None else canonical_json(x)
+    routed = rows.withColumn("route", native.route(F.col("parser"), F.col("content")))
+    told = routed.where("route is not null").select("source_id", F.posexplode(native.fragments(F.col("route"), F.col("content"))).alias("ordinal", "f"))
+    return told.select("source_id", "ordinal", "f.*").unionByName(by_grammar(routed.where("route is null")))
 
-    columns = ["source_id", "ordinal", *(c.split()[0] for c in FRAGMENT.split(", "))]
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+def by_grammar(rows: DataFrame) -> DataFrame:
+    """Fragments of originals (source_id, parser, content) by the parsers of this module, in Arrow batches."""
+    as_json = lambda x: None if x is None else canonical_json(x)
+    names = ["source_id", "ordinal", *(c.split()[0] for c in FRAGMENT.split(", "))]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, parser, content in zip(batch["source_id"], batch["parser"], batch["content"], strict=True):
+            kind, held = batch.column(0).type, []
+            arrays = lambda rows, kind=kind: [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int32(), *[pa.string()] * 6, pa.bool_()), strict=True)]
+            for source, parser, content in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 for i, f in enumerate(fragments_of(parser, content or b"")):
                     held.append((source, i, f["kind"], as_json(f["selector"]), f["excerpt"], as_json(f["payload"]), f["text"], as_json(f["context"]), f["structural_only"]))
                 if len(held) >= 5000:
-                    yield pd.DataFrame(held, columns=columns)
+                    yield pa.RecordBatch.from_arrays(arrays(held), names=names)
                     held = []
-        if held:
-            yield pd.DataFrame(held, columns=columns)
+            if held:
+                yield pa.RecordBatch.from_arrays(arrays(held), names=names)
 
-    return rows.mapInPandas(of, f"source_id {rows.schema['source_id'].dataType.simpleString()}, ordinal int, {FRAGMENT}")
+    return rows.select("source_id", "parser", "content").mapInArrow(of, f"source_id {rows.schema['source_id'].dataType.simpleString()}, ordinal int, {FRAGMENT}")
 
 
 def text_blocks(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -6,34 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.dispatch import parser_of
-from ..sources.parsers import parse
+from ..sources.ingest import fragments, outcomes
 
 ORIGINAL = "source_id string, title string, mime string, content binary"
 
 
-def fragments(originals: DataFrame) -> DataFrame:
-    """Fragments of originals (source_id, title, mime, content); batch and stream share this."""
-    told = originals.withColumn("parser", parser_of(F.col("title"), F.col("mime")))
-    return parse(told)
-
-
 def publish(spark: SparkSession, inbox: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Stream parquet originals from ``inbox`` to fragments under ``out``, one folder per micro-batch.
+    """Stream parquet originals from ``inbox`` to fragments and outcomes under ``out``, one folder of each a micro-batch.
 
-    A batch that is replayed after a failure overwrites its own folder, so nothing is published twice. Without ``every``
-    all waiting files are read and the query ends.
+    A batch that is replayed after a failure overwrites its own folders, so nothing is published twice. Outcomes are
+    written last: a source counts from the batch that has its outcome on. Without ``every`` all waiting files are read and
+    the query ends.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        fragments(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fragments(batch).write.mode("overwrite").parquet(f"{out}/fragments/batch={number}")
+        outcomes(batch).select("source_id", F.sha2("content", 256).alias("hash"), "title", "mime", "state", "reason").write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
 
     writer = spark.readStream.schema(ORIGINAL).parquet(inbox).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def published(spark: SparkSession, out: str) -> DataFrame:
-    """The newest fragments of each source: those of the last batch that had it."""
-    rows = spark.read.parquet(out)
-    last = rows.groupBy("source_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["source_id", "batch"], "left_semi")
+def latest(spark: SparkSession, out: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(source_id, hash, title, mime, state, reason, batch): the last outcome of each source. With a manifest (id, hash,
+    title, mime, deleted) only of sources whose item is live and still the same."""
+    told = spark.read.parquet(f"{out}/outcomes")
+    last = told.groupBy("source_id").agg(F.max("batch").alias("batch"))
+    told = told.join(last, ["source_id", "batch"], "left_semi")
+    if manifest is None:
+        return told
+    live = manifest.where(~F.col("deleted")).select(F.col("id").alias("source_id"), "hash", "title", "mime")
+    return told.join(live, ["source_id", "hash", "title", "mime"], "left_semi")
+
+
+def published(spark: SparkSession, out: str, manifest: DataFrame | None = None) -> DataFrame:
+    """The fragments of each source's last batch."""
+    return spark.read.parquet(f"{out}/fragments").join(latest(spark, out, manifest), ["source_id", "batch"], "left_semi")

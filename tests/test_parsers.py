@@ -10,36 +10,36 @@ def kinds(parser, content):
 
 
 def test_kinds():
-    assert kinds("json", b'{"person":{"name":"Ada Lovelace"}}') == ["parsed-json-value"]
-    assert kinds("csv", b"name,email\nAda Lovelace,ada@example.test\n") == ["parsed-table-header", "parsed-table-row", "parsed-table-cell", "parsed-table-cell"]
-    assert kinds("markdown", b"# Project Notes\n\nAda Lovelace drafted this.") == ["markdown-heading", "text-block"]
-    assert kinds("csv", b'name\n"unterminated') == ["text-block"]
-    assert kinds("text", b"") == []
+    assert kinds("json", b'{"boat":{"mast":"pine","oars":[2,null]}}') == ["parsed-json-value"] * 3
+    assert kinds("csv", b"harbour,depth\nMolde,11\nBergen,\n") == ["parsed-table-header", "parsed-table-row", "parsed-table-cell", "parsed-table-cell", "parsed-table-row", "parsed-table-cell"]
+    assert kinds("markdown", b"Intro line\n## Tides\nhigh at noon\n\n#no heading") == ["text-block", "markdown-heading", "text-block", "text-block"]
+    assert kinds("csv", b'depth\n"eleven') == ["text-block"] and kinds("json", b"[1, 2") == ["text-block"]
+    assert kinds("text", b"") == [] and kinds("text", b" \n\n\t") == []
 
 
 def test_csv_quotes():
-    assert [v for v, _, _ in P.csv_records('a,b\n"Lovelace, Ada","engine, analytical"\n')[1][1]] == ["Lovelace, Ada", "engine, analytical"]
-    record = P.csv_records('a,b,c\n"first line\r\nsecond line",,x\r\n')[1]
-    assert record[0] == 2 and [v for v, _, _ in record[1]] == ["first line\nsecond line", "", "x"]
-    assert P.csv_records("a,b\n1\n") is None and P.csv_records('a\nx"y\n') is None
+    assert [v for v, _, _ in P.csv_records('k,v\n"rope, 4 m","""tarred"", old"\n')[1][1]] == ["rope, 4 m", '"tarred", old']
+    record = P.csv_records('p,q,r\n"wind\r\nand rain",,z\r\n')[1]
+    assert record[0] == 2 and [v for v, _, _ in record[1]] == ["wind\nand rain", "", "z"]
+    assert P.csv_records("p,q\n7\n") is None and P.csv_records('p\nm"n\n') is None
 
 
 def test_cell_with_lines_is_split():
     cell = "\n".join(f"k{i}: v{i}" for i in range(6))
-    found = P.fragments_of("csv", f'Name,Notes\nAda,"{cell}"\n'.encode())
+    found = P.fragments_of("csv", f'Ship,Log\nSvan,"{cell}"\n'.encode())
     lines = [f for f in found if f["kind"] == "parsed-key-value"]
     assert [f["payload"]["key"] for f in lines] == [f"k{i}" for i in range(6)]
-    assert all(f["selector"]["row"] == 2 and f["selector"]["column"] == "Notes" and f["context"] for f in lines)
+    assert all(f["selector"]["row"] == 2 and f["selector"]["column"] == "Log" and f["context"] for f in lines)
 
 
 def test_json_structure_and_refusals():
-    found = P.json_fragments('{"notes":"a: 1\\nb: 2","metadata":"{\\"Country\\": \\"SE\\"}","prose":"x","n":1.10,"none":null}')
-    assert [f["structural_only"] for f in found if f["kind"] == "parsed-json-value"] == [True, False, False, True, False]
+    found = P.json_fragments('{"log":"wind: 4\\nsea: 2","nested":"{\\"Port\\": \\"Vardo\\"}","prose":"x","n":1.10,"none":null}')
+    assert [f["structural_only"] for f in found if f["kind"] == "parsed-json-value"] == [True, False, True, False, False]
     assert next(f["text"] for f in found if f["selector"].get("pointer") == "/n") == "1.10"
     assert P.json_fragments("{} x") is None and P.json_fragments("NaN") is None and P.json_fragments('{"a":[]}') == []
 
 
-@pytest.mark.parametrize(("name", "text"), [("text", "﻿  " + "å" * 4096 + "  "), ("markdown", "  # Heading  \n\n  Body text  \n"), ("text", "  Birthday: 1986-08-27\nCity: Stockholm\nCountry: Sweden  ")])
+@pytest.mark.parametrize(("name", "text"), [("text", "\ufeff\n\n" + "ø" * 5000 + " end\t"), ("markdown", "\n ### Log \n first line\nsecond\n\n last"), ("text", "\n Port: Vardo\n\tMaster: unknown\n Tons: 40 \n\nafter")])
 def test_ranges_slice_back(name, text):
     data = text.encode()
     for f in P.fragments_of(name, data):
@@ -66,3 +66,20 @@ def test_native_blocks_equal_parser(spark):
     native = sorted((r.id, r.start, r.end, r.text) for r in P.text_blocks(df, "id").collect())
     plain = sorted((i, f["selector"]["start"], f["selector"]["end"], f["text"]) for i, t in enumerate(texts) for f in P.text_fragments(t))
     assert native == plain
+
+
+def test_expressions_equal_the_grammar(spark):
+    texts = [
+        ("json", '{"b": 12, "a": "x y", "c/~d": null, "e": true}'), ("json", '{"n": 1.10}'), ("json", '{"a": "{1}"}'), ("json", ' {"only" : -3 }\n'), ("json", '{"a": 1, "a": 2}'), ("json", "{}"), ("json", '{"a": [1]}'), ("json", '{"a": "q\\"z"}'),
+        ("json", "{" + ", ".join(f'"k{i:02}": "{"v" * (i * 9)}"' for i in range(40)) + "}"), ("json", '{"a": 01}'), ("json", '{"a": -0}'), ("json", "12"),
+        ("csv", "p,q,r\n1, ,three\n\n4,ø,\\back\n"), ("csv", "p,q\n1\n"), ("csv", 'p,q\n"1",2\n'), ("csv", "p,p\n1,2\n"), ("csv", "p,\n1,2\n"), ("csv", "p,q\r\n1,2\r\n"), ("csv", "p,q\n[1],2\n"), ("csv", "p"), ("csv", ""), ("csv", "\n\np,q\n\n7,8"),
+        ("csv", ",".join(f"c{i}" for i in range(40)) + "\n" + ",".join("w" * i for i in range(40)) + "\n"), ("csv", "p,q\nkey: v,w\n"), ("csv", "p,q\n" + "x" * 300 + ",\u00a0\n"),
+        ("text", "one\n\n  two lines\nhere \n\n\n\u00a0\n\nthree ø"), ("text", "k: v\nl: w"), ("text", "k: v\nno pair"), ("text", "k: v"), ("text", '{"a": 1}'), ("text", "[no json"), ("text", "x" * 5000), ("text", 'q"uo\\te\ttab'), ("text", "a\x01b"), ("text", "\ufeffmark"), ("text", ""),
+        ("text", "a:b\nc:d\n\nplain"), ("text", ": v\n: w"), ("text", "k:\nl: w"), ("markdown", "# h\n\nbody"),
+    ]
+    rows = spark.createDataFrame([(i, p, bytearray(t.encode())) for i, (p, t) in enumerate(texts)], "source_id int, parser string, content binary")
+    told, plain = P.parse(rows), P.by_grammar(rows)
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select(*plain.columns).collect())
+    assert key(told) == key(plain)
+    routed = rows.select("source_id", P.native.route(rows.parser, rows.content).alias("r")).where("r is not null")
+    assert {texts[r.source_id][0] for r in routed.collect()} == {"json", "csv", "text"} and 12 < routed.count() < len(texts) - 12
