@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +74,49 @@ def cut(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    written._folder = path.rsplit("/", 1)[0]
+    return written
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lorehouse-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/lorehouse-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """Collects the folders of the working tables that are written inside the block, for ``release``."""
+    _owned.append([])
+    try:
+        yield _owned[-1]
+    finally:
+        _owned.pop()
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete working tables that nothing reads any more, and let Spark drop the shuffles that nothing refers to."""
+    jvm = spark._jvm  # the file system that Spark itself uses for the path
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
+    gc.collect()
+    jvm.System.gc()
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the folders of tables from ``cut`` that nothing reads any more."""
+    jvm = spark._jvm
+    for table_ in tables:
+        if folder := getattr(table_, "_folder", None):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucket_of(doc_id: Column, modulus: int) -> Column:

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small_batches
+from .common import cut, discard, free_name, small_batches
 from .components import components
 from .words import mix, runs_of_words
 
 #: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of classes, at most TOP.
 BITS, TOP = 48, 32_000
 #: N-grams of a fragment, and of a group of classes; one in so many runs is looked through for heavy n-grams.
-FRAGMENT, SAMPLED = 1_500_000, 16
+FRAGMENT, SAMPLED = 600_000, 16
 _LOW = np.uint64((1 << BITS) - 1)
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -137,11 +137,11 @@ def fragments(docs: DataFrame, text_col: str, n: int, parts: int, salt: int = 0,
     spread = max(1, parts // 4)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Runs together until they have about a million n-grams, so that a fragment's row is not too short."""
-        held, size = [], 0
+        """Runs together until they have ``most`` n-grams, so that a fragment's row is not too short."""
+        held, size, most = [], 0, min(2_000_000, max(300_000, 64 * parts))
         for batch in batches:
             for _, sizes, v, hashes in shingle_sets(batch.column(0), n, salt):
-                if held and size + len(hashes) > 1_000_000:
+                if held and size + len(hashes) > most:
                     yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held, size = [], 0
                 held.append((sizes, v, hashes))
@@ -284,7 +284,7 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
     """(node, label): components of the classes under the exact similarity; classes without a link are left out."""
     index = prefix_index(sets, percent)
     size = index.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("pos", "v", "n")).alias("p")).where("size > 1")
-    index = cut(index.join(size, "key"))
+    index = first_index = cut(index.join(size, "key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -302,6 +302,7 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
             placed = cut(placed.join(split, "key"))
         most = placed.agg(F.max("size")).first()[0]
         if most is None or most <= low:
+            discard(sets.sparkSession, first_index, placed)
             return label
         rank = F.col("r") * F.col("size")
         x = placed.where((rank >= low) & (rank < high)).select("key", *[F.col(c).alias(f"x_{c}") for c in ("v", "n", "pos", "r", "c")])
@@ -315,7 +316,10 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
 
 def _labels(docs: DataFrame, text_col: str, n: int, percent: int, total: int, salt: int, heavy: np.ndarray) -> DataFrame:
     parts, groups = sizes_of(total)
-    return link(cut(active_sets(fragments(docs, text_col, n, parts, salt, heavy), percent, parts, groups)), percent)
+    sets = cut(active_sets(fragments(docs, text_col, n, parts, salt, heavy), percent, parts, groups))
+    label = link(sets, percent)
+    discard(docs.sparkSession, sets)
+    return label
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:

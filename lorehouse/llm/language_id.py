@@ -81,16 +81,22 @@ def fit(rows: list, landmarks: int = 128, buckets: int = 1 << 14, longest: int =
     if not rows:
         return None
     languages = sorted({r["label"] for r in rows})
-    x = presence([r["text"].lower() for r in rows], buckets, longest)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    texts = [r["text"].lower() for r in rows]
+
+    def unit(part: list[str]) -> np.ndarray:
+        x = presence(part, buckets, longest)
+        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        return x
+
     label = np.array([languages.index(r["label"]) for r in rows])
     rng, each = np.random.default_rng(seed), max(1, landmarks // len(languages))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:each] for k in range(len(languages))])
-    z = x[chosen]
+    z = unit([texts[k] for k in chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     use = values > 1e-6 * values[-1]
     nystrom = vectors[:, use] / np.sqrt(values[use])
-    phi = (x @ z.T).astype(np.float64) @ nystrom
+    # In parts: the sample's rows are never all there at once.
+    phi = np.concatenate([(unit(texts[a : a + 64]) @ z.T).astype(np.float64) for a in range(0, len(texts), 64)]) @ nystrom
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = (1 / np.bincount(label))[label][:, None] * len(label) / len(languages)  # each language counts alike
     solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(label) * np.eye(phi.shape[1]), phi.T @ (weight * target))
