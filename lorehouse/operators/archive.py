@@ -104,6 +104,20 @@ def snapshot_rows(text: DataFrame, column: str = "snapshot") -> DataFrame:
     return one.select("revision", "s.id", "s.hash", "s.title", "s.mime", F.col("s.representations.deterministic.state").alias("det_state"), F.col("s.representations.knowledge.state").alias("know_state"), "s.observation_ids", "s.stale")
 
 
+def remaining(items: DataFrame, submitted: DataFrame) -> DataFrame:
+    """What is left of a draft (position, more) after some of its parts (position) went through."""
+    return items.join(submitted.select("position").distinct(), "position", "left_anti")
+
+
+def status_text(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text, the form in which a status travels."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def status_rows(texts: DataFrame, schema: str) -> DataFrame:
+    return texts.select(F.from_json("json", schema).alias("s")).select("s.*")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Bounds and addresses from the environment; every number is positive, every address stays on this machine."""

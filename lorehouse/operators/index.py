@@ -30,8 +30,9 @@ def chunk_id(observation: Column, evidence: Column, part: Column) -> Column:
 
 
 def source_digests(chunks: DataFrame) -> DataFrame:
-    """(source_id, n_chunks, digest): SHA-256 of the source's chunk identities by id. A source is one original of at most 8 MiB."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", F.to_json(F.struct(*IDENTITY)).alias("identity"))))
+    """(source_id, n_chunks, digest): SHA-256 of the hashes of the source's chunk identities, by id. Texts are hashed before the
+    shuffle; a source is one original of at most 8 MiB, which bounds its chunks."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2(F.to_json(F.struct(*IDENTITY)), 256).alias("identity"))))
     per = chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"), ordered.alias("c"))
     return per.select("source_id", "n_chunks", F.sha2(F.array_join(F.transform("c", lambda x: x["identity"]), "\n"), 256).alias("digest"))
 
@@ -121,11 +122,11 @@ class SearchIndex:
         """
         done, wanted = self._generations(), source_digests(chunks)
         gen = done[-1] + 1 if done else 1
+        if done and not (told := chunk_actions(self.sources(), wanted)).where("action <> 'keep'").limit(1).count():
+            return told
         path = f"{self.path}/v{VERSION}/actions/gen={gen}"
         chunk_actions(self.sources(), wanted).join(wanted, "source_id", "left").write.mode("overwrite").parquet(path)
         actions = self.spark.read.parquet(path)
-        if done and not actions.where("action <> 'keep'").limit(1).count():
-            return actions.select("source_id", "action")
         fresh = chunks.join(actions.where("action in ('insert', 'replace')").select("source_id"), "source_id", "left_semi")
         fresh.select(*[c.split()[0] for c in self.CHUNK.split(", ")]).write.mode("overwrite").parquet(self._at("chunks", gen))
         added = self.spark.read.schema(self.CHUNK).parquet(self._at("chunks", gen))
@@ -142,6 +143,11 @@ class SearchIndex:
         gen = (self._generations() or [0])[-1] + 1
         without_sources(self.sources(), source_ids).write.mode("overwrite").parquet(self._at("sources", gen))
 
+    def term_statistics(self) -> DataFrame:
+        """(term, n_docs_with, n_occurrences) for every term in force."""
+        found = self._live("postings", "bucket int, term string, source_id string, at array<int>")
+        return found.groupBy("term").agg(F.count("*").alias("n_docs_with"), F.sum(F.size("at")).alias("n_occurrences"))
+
     def lexical(self, query: str, limit: int = R.MOST) -> DataFrame:
         """(chunk_id, score, rank) by BM25 from the postings of the query's terms alone."""
         wanted = R.phrases(query)

@@ -120,6 +120,35 @@ def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = N
     return fragments.join(dealt, ["source_id", "ordinal"])
 
 
+ANSWER = (
+    "struct<entities:array<struct<ref:string,label:string,type:string,confidence:double>>,"
+    "attributes:array<struct<subject_ref:string,predicate:string,value:variant,confidence:double>>,"
+    "relationships:array<struct<subject_ref:string,predicate:string,object_ref:string,confidence:double>>>"
+)
+
+
+def semantic(fragments: DataFrame) -> DataFrame:
+    """Fragments that a model is asked about: not structural alone, and with a text."""
+    return fragments.where(~F.col("structural_only") & (trimmed(F.coalesce("text", F.lit(""))) != ""))
+
+
+def candidate_observations(answers: DataFrame, evidence: DataFrame, producer: str) -> DataFrame:
+    """(observation_id, kind, payload, evidence_id, confidence, producer) of model answers (evidence_id, answer).
+
+    A null answer is a fragment that was skipped. An answer on evidence that is not there fails the query.
+    """
+    told = answers.where("answer is not null").join(evidence.select("evidence_id", F.lit(True).alias("_there")), "evidence_id", "left")
+    told = told.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an answer refers to missing evidence")).isNull())
+    a = F.from_json("answer", ANSWER)
+    row = lambda kind, payload, x: F.struct(F.lit(f"{kind}-candidate").alias("kind"), F.to_json(payload).alias("payload"), x["confidence"].alias("confidence"))
+    entity = lambda x: row("entity", F.struct(trimmed(x["label"]).alias("label"), x["ref"].alias("ref"), trimmed(F.coalesce(x["type"], F.lit(""))).alias("type")), x)
+    attribute = lambda x: row("attribute", F.struct(x["predicate"].alias("predicate"), x["subject_ref"].alias("subject_ref"), x["value"].alias("value")), x)
+    relation = lambda x: row("relationship", F.struct(x["object_ref"].alias("object_ref"), x["predicate"].alias("predicate"), x["subject_ref"].alias("subject_ref")), x)
+    rows = told.select("evidence_id", a.alias("a")).select("evidence_id", F.explode(F.concat(*[F.coalesce(F.transform(f"a.{k}", f), F.array()) for k, f in (("entities", entity), ("attributes", attribute), ("relationships", relation))])).alias("r"))
+    identity = F.to_json(F.struct(F.col("r.kind").alias("kind"), F.array("evidence_id").alias("evidence"), F.col("r.payload").alias("payload"), F.col("r.confidence").alias("confidence"), F.lit(producer).alias("producer")))
+    return rows.select(stable_id("observation", identity).alias("observation_id"), "r.kind", "r.payload", "evidence_id", "r.confidence", F.lit(producer).alias("producer"))
+
+
 def compact_payload(kind: Column, payload: Column) -> Column:
     """A payload as a model gets it: a table row with named columns goes without its bare values."""
     columns = F.get_json_object(payload, "$.columns")

@@ -212,7 +212,7 @@ WORDS = r"regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p
 
 @query(f"WITH w AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs_with, count(*) AS n_occurrences FROM w GROUP BY term")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.corpus_statistics(chunks(spark, sf_dir))
+    return D.index(spark, sf_dir).term_statistics()
 
 
 def _bm25_sql(phrases: list[list[str]], limit: int) -> str:
@@ -232,14 +232,18 @@ def _bm25_sql(phrases: list[list[str]], limit: int) -> str:
     WHERE {hit}) ORDER BY score, chunk_id LIMIT {limit})"""
 
 
+def _lexical(spark: SparkSession, sf_dir: str, text: str, limit: int) -> DataFrame:
+    return D.index(spark, sf_dir).lexical(text, limit).withColumn("chunk_id", F.col("chunk_id").cast("bigint"))
+
+
 @query(f"WITH {_bm25_sql(R.phrases(TEXT_QUERY), 10)} SELECT * FROM lexical")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical(chunks(spark, sf_dir), TEXT_QUERY, 10)
+    return _lexical(spark, sf_dir, TEXT_QUERY, 10)
 
 
 @query(f"WITH {_bm25_sql(R.phrases(PHRASE_QUERY), 10)} SELECT * FROM lexical")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical(chunks(spark, sf_dir), PHRASE_QUERY, 10)
+    return _lexical(spark, sf_dir, PHRASE_QUERY, 10)
 
 
 VECTOR_SQL = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), nearest AS (
@@ -268,7 +272,8 @@ SELECT top.*, source, lang, sha256(text) AS text_hash FROM top JOIN documents ON
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = vectors(spark, sf_dir)
-    hits = R.search(chunks(spark, sf_dir), TEXT_QUERY, 10, v, q).withColumn("text_hash", F.sha2("text", 256)).drop("text")
+    hits = R.fuse(_lexical(spark, sf_dir, TEXT_QUERY, R.fetch(10)), R.nearest(v, q, R.fetch(10)), 10)
+    hits = chunks(spark, sf_dir).join(F.broadcast(hits), "chunk_id").withColumn("text_hash", F.sha2("text", 256)).drop("text")
     return hits.withColumns({c: F.col(c).cast("double") for c in ("lexical_rank", "semantic_rank")})
 
 

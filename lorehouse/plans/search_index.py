@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index as I
+from ..operators import knowledge as K
 from ..operators import publication as P
 from ..operators.jobs import EXTRACTION
 from ..sources import parsers
@@ -33,7 +34,7 @@ CHUNK_SQL = f"""{D.CONVERSATION_SQL}, ev AS (SELECT CAST(conv_id AS VARCHAR) AS
   sha256('evidence' || chr(0) || '{{"source":"' || conv_id || '","selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}}}') AS evidence_id FROM blocks),
 ob AS (SELECT *, sha256('observation' || chr(0) || '{{"kind":"text-block","evidence":["' || evidence_id || '"]}}') AS observation_id FROM ev WHERE pos % 5 <> 4),
 chunk AS (SELECT *, sha256('chunk' || chr(0) || '{{"evidence":"' || evidence_id || '","observation":"' || observation_id || '","part":0,"processor":"{I.CHUNKER}","version":"{I.CHUNKER_VERSION}"}}') AS chunk_id FROM ob),
-digests AS (SELECT source_id, count(*) AS n_chunks, sha256(string_agg('{{"chunk_id":"' || chunk_id || '","observation_id":"' || observation_id || '","evidence_id":"' || evidence_id || '","selector":' || to_json(selector) || ',"text":' || to_json(text) || ',"producer":"{EXTRACTION}"}}', chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY source_id)"""
+digests AS (SELECT source_id, count(*) AS n_chunks, sha256(string_agg(sha256('{{"chunk_id":"' || chunk_id || '","observation_id":"' || observation_id || '","evidence_id":"' || evidence_id || '","selector":' || to_json(selector) || ',"text":' || to_json(text) || ',"producer":"{EXTRACTION}"}}'), chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY source_id)"""
 
 
 @query(f"WITH {CHUNK_SQL} SELECT source_id, chunk_id, observation_id, evidence_id, selector, sha256(text) AS text_hash FROM chunk")
@@ -97,3 +98,33 @@ def batch_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("end").cast("string").alias("payload"), F.lit(None).cast("string").alias("context"), F.lit(False).alias("structural_only"),
     )
     return P.batch_digests(f)
+
+
+@query(f"WITH {CHUNK_SQL} SELECT source_id, observation_id, 'text-block' AS kind, selector, sha256(text) AS text_hash, evidence_id FROM ob")
+def rehydrated_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments again from stored observations and their evidence."""
+    f = parsers.rehydrated(*observed(spark, sf_dir))
+    return f.select("source_id", "observation_id", "kind", "selector", F.sha2("text", 256).alias("text_hash"), "evidence_id")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, 'e' || s_suppkey AS evidence_id, s_name, CAST(trunc(s_acctbal) AS BIGINT) AS bal FROM supplier WHERE s_suppkey % 5 > 0)
+SELECT evidence_id, 'entity-candidate' AS kind, '{"label":"' || s_name || '","ref":"a","type":"partner"}' AS payload, 0.75 AS confidence FROM s
+UNION ALL SELECT evidence_id, 'entity-candidate', '{"label":"place","ref":"b","type":""}', 0.5 FROM s
+UNION ALL SELECT evidence_id, 'attribute-candidate', '{"predicate":"balance","subject_ref":"a","value":' || bal || '}', 0.25 FROM s
+UNION ALL SELECT evidence_id, 'relationship-candidate', '{"object_ref":"b","predicate":"in","subject_ref":"a"}', 1.0 FROM s WHERE k % 2 = 0"""
+)
+def semantic_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of model answers; every fifth fragment was skipped."""
+    s = D.table(spark, sf_dir, "supplier")
+    entity = lambda ref, label, kind, sure: F.struct(F.lit(ref).alias("ref"), label.alias("label"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))
+    attribute = F.struct(F.lit("a").alias("subject_ref"), F.lit("balance").alias("predicate"), F.col("s_acctbal").cast("bigint").alias("value"), F.lit(0.25).alias("confidence"))
+    relation = F.struct(F.lit("a").alias("subject_ref"), F.lit("in").alias("predicate"), F.lit("b").alias("object_ref"), F.lit(1.0).alias("confidence"))
+    answer = F.to_json(
+        F.struct(
+            F.array(entity("a", F.concat(F.lit("  "), "s_name"), "partner", 0.75), entity("b", F.lit("place"), " ", 0.5)).alias("entities"), F.array(attribute).alias("attributes"),
+            F.when(F.col("s_suppkey") % 2 == 0, F.array(relation)).alias("relationships"),
+        )
+    )
+    rows = s.select(F.format_string("e%d", "s_suppkey").alias("evidence_id"), F.when(F.col("s_suppkey") % 5 > 0, answer).alias("answer"))
+    return K.candidate_observations(rows, rows, "knowledge/1").select("evidence_id", "kind", "payload", "confidence")

@@ -355,6 +355,30 @@ def retrieval_text(kind: Column, payload: Column, number_text: bool = True) -> C
 
 
 
+def fragment_text(kind: Column, payload: Column) -> Column:
+    """The text that a stored fragment had, from its payload."""
+    at = lambda p: F.get_json_object(payload, p)
+    values = F.from_json(at("$.values"), "array<string>")
+    return (
+        F.when(kind.isin("text-block", "markdown-heading"), at("$.text"))
+        .when(kind == "parsed-table-row", F.array_join(values, " "))
+        .when(kind == "parsed-table-header", "")
+        .when(kind == "parsed-key-value", F.concat(at("$.key"), F.lit(": "), at("$.value")))
+        .otherwise(F.coalesce(at("$.value"), F.lit("")))
+    )
+
+
+def rehydrated(observations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(source_id, observation_id, kind, selector, payload, text, evidence_id): fragments again, from what the extraction
+    stored. Observations of other producers, or with several pieces of evidence, are none; missing evidence fails."""
+    from ..operators.jobs import EXTRACTION
+
+    own = observations.where((F.col("producer") == EXTRACTION) & (F.size("evidence_ids") == 1)).withColumn("evidence_id", F.col("evidence_ids")[0])
+    found = own.join(evidence.select("evidence_id", "source_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
+    found = found.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an observation refers to missing evidence")).isNull())
+    return found.select("source_id", "observation_id", "kind", "selector", "payload", fragment_text(F.col("kind"), F.col("payload")).alias("text"), "evidence_id")
+
+
 def chunks(observations: DataFrame, evidence: DataFrame) -> DataFrame:
     """(source_id, chunk_id, observation_id, evidence_id, selector, text, producer): what search sees of observations.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,3 +44,12 @@ def latest(spark: SparkSession, out: str, manifest: DataFrame | None = None) ->
 def published(spark: SparkSession, out: str, manifest: DataFrame | None = None) -> DataFrame:
     """The fragments of each source's last batch."""
     return spark.read.parquet(f"{out}/fragments").join(latest(spark, out, manifest), ["source_id", "batch"], "left_semi")
+
+
+def contained(step: Callable[[], object]) -> str:
+    """Run one reconciliation; what goes wrong is returned as text, so the next one still comes. Empty if all went well."""
+    try:
+        step()
+    except Exception as wrong:  # noqa: BLE001  a step that fails must not end the loop
+        return f"{type(wrong).__name__}: {wrong}"[:1000]
+    return ""
