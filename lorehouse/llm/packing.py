@@ -258,24 +258,35 @@ class Shard:
 
     def __init__(self, tokens: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         self.tokens, self.n = tokens, np.array([len(t) for t in tokens])
-        both = np.sort(np.concatenate(tokens).astype(np.uint64) << np.uint64(24) | np.repeat(np.arange(len(tokens), dtype=np.uint64), self.n))
-        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        tf = np.diff(np.append(new, len(both)))
-        term, doc = (both[new] >> np.uint64(24)).astype(np.int64), (both[new] & np.uint64(0xFFFFFF)).astype(np.int64)
+        # One number for each token, (term, document), as narrow as it can be and sorted in place: it is the largest array here.
+        many = len(tokens)
+        key = np.empty(int(self.n.sum()), np.uint32 if len(idf) * many < 1 << 32 else np.uint64)
+        at = 0
+        for d, ids in enumerate(tokens):
+            np.multiply(ids, many, out=key[at : at + len(ids)], dtype=key.dtype, casting="unsafe")
+            key[at : at + len(ids)] += key.dtype.type(d)
+            at += len(ids)
+        key.sort()
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+        tf, key = np.diff(np.append(new, np.int32(len(key)))), key[new]
+        term = (key // key.dtype.type(many)).astype(np.int32)
         use = idf[term] > 0
-        term, self.doc, tf = term[use], doc[use], tf[use]
+        term, tf, self.doc = term[use], tf[use], (key[use] % key.dtype.type(many)).astype(np.int32)
+        del key, new, use
         self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * self.n[self.doc] / mean))
         starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
-        self.start, self.count = starts, np.diff(np.append(starts, len(term)))
-        list_of = np.repeat(np.arange(len(starts)), self.count)
+        self.start, self.count = starts.astype(np.int32), np.diff(np.append(starts, len(term))).astype(np.int32)
+        list_of = np.repeat(np.arange(len(starts), dtype=np.int32), self.count)
         order = np.argsort(self.doc, kind="stable")
-        self.terms = np.split(list_of[order], np.cumsum(np.bincount(self.doc, minlength=len(tokens)))[:-1])
+        self.terms = np.split(list_of[order], np.cumsum(np.bincount(self.doc, minlength=many))[:-1])
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document for the terms of ``doc``."""
         lists = self.terms[doc]
         count = self.count[lists]
-        at = np.repeat(self.start[lists] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        ends = np.cumsum(count, dtype=np.int32)
+        at = np.repeat(self.start[lists] - (ends - count), count)
+        at += np.arange(len(at), dtype=np.int32)
         return np.bincount(self.doc[at], self.weight[at], minlength=len(self.tokens))
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
