@@ -175,22 +175,23 @@ def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RECORD_SQL} SELECT live.id, NOT coalesce(det_current, false) AS stale, list(rid ORDER BY pos, rid) FILTER (kind = 'observation') AS observation_ids, list(rid ORDER BY pos, rid) FILTER (kind = 'entity') AS entity_ids
+    f"""WITH {RECORD_SQL} SELECT live.id, NOT coalesce(det_current, false) AS stale, string_agg(rid, ',' ORDER BY pos, rid) FILTER (kind = 'observation') AS observation_ids, string_agg(rid, ',' ORDER BY pos, rid) FILTER (kind = 'entity') AS entity_ids
 FROM live JOIN c USING (id) JOIN rec ON rec.source_id = live.id GROUP BY ALL"""
 )
 def snapshot_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live sources with the ids of their records in order and whether they are stale."""
     m = manifest(spark, sf_dir)
     stale = J.currency(m, published(spark, sf_dir), MODEL, LIMIT).select("id", (~F.col("det_current")).alias("stale"))
-    return P.with_ids(P.live_sources(published(spark, sf_dir), m).select("id").join(stale, "id"), records(spark, sf_dir), ["observation", "entity"])
+    found = P.with_ids(P.live_sources(published(spark, sf_dir), m).select("id").join(stale, "id"), records(spark, sf_dir), ["observation", "entity"])
+    return found.withColumns({c: F.array_join(c, ",") for c in ("observation_ids", "entity_ids")})
 
 
-@query(f"WITH {RECORD_SQL} SELECT live.id, list(rid ORDER BY pos, rid) AS observation_ids FROM live JOIN rec ON rec.source_id = live.id WHERE kind = 'observation' AND pos = 0 GROUP BY ALL")
+@query(f"WITH {RECORD_SQL} SELECT live.id, string_agg(rid, ',' ORDER BY pos, rid) AS observation_ids FROM live JOIN rec ON rec.source_id = live.id WHERE kind = 'observation' AND pos = 0 GROUP BY ALL")
 def deterministic_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot that later representations read: records of the extraction alone."""
     r = records(spark, sf_dir).withColumn("producer", F.when(F.col("pos") == 0, J.EXTRACTION).otherwise(MODEL))
     live = P.live_sources(published(spark, sf_dir), manifest(spark, sf_dir)).select("id")
-    return P.with_ids(live, P.deterministic(r), ["observation"])
+    return P.with_ids(live, P.deterministic(r), ["observation"]).withColumn("observation_ids", F.array_join("observation_ids", ","))
 
 
 # Checkpoints and publication ------------------------------------------------------------------------------------------

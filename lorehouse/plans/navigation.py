@@ -42,10 +42,10 @@ def claim_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {NAMES_SQL}, {ATTACHED_SQL}, t AS (SELECT entity_id, claim_id, CASE WHEN object_entity_id IS NULL THEN replace(predicate, '_', ' ') || ' ' || value ELSE s_label || ' ' || replace(predicate, '_', ' ') || ' ' || o_label END AS term FROM attached),
 d AS (SELECT entity_id, term, min(claim_id) AS first FROM t GROUP BY ALL), l AS (SELECT entity_id, list(term ORDER BY first, term) AS terms FROM d GROUP BY entity_id)
-SELECT entity_id, label AS title, list_filter(list_concat([label], coalesce(terms, [])), lambda x, i: i = 1 OR x <> label) AS search_terms FROM names LEFT JOIN l USING (entity_id)"""
+SELECT entity_id, label AS title, array_to_string(list_filter(list_concat([label], coalesce(terms, [])), lambda x, i: i = 1 OR x <> label), '|') AS search_terms FROM names LEFT JOIN l USING (entity_id)"""
 )
 def entity_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.search_terms(entities(spark, sf_dir), D.claims(spark, sf_dir))
+    return G.search_terms(entities(spark, sf_dir), D.claims(spark, sf_dir)).withColumn("search_terms", F.array_join("search_terms", "|"))
 
 
 @query(
