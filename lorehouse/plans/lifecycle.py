@@ -142,14 +142,14 @@ def sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.sync_snapshot(j)
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'completed' ELSE 'queued' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 2 = 0 THEN 9 END AS completed_at FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'completed' ELSE 'queued' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 2 = 0 THEN 9 ELSE 0 END AS completed_at FROM orders")
 def sync_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completing jobs twice, or ones that were completed before, changes nothing more."""
     o = D.table(spark, sf_dir, "orders")
     done = F.col("o_orderkey") % 3 == 0
     j = o.select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(done, "completed").otherwise("queued").alias("state"), F.when(done, 1).cast("int").alias("completed_at"))
     ids = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("job_id"))
-    return J.completed_once(j, ids.unionByName(ids), F.lit(9))
+    return J.completed_once(j, ids.unionByName(ids), F.lit(9)).withColumn("completed_at", F.coalesce("completed_at", F.lit(0)))
 
 
 # Snapshots ------------------------------------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def mirror_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 2 END AS schema_version, CASE WHEN event_id % 5 > 0 THEN event_id END AS revision, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 3 AS INTEGER) ELSE 0 END AS n_sources,
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS schema_version, CASE WHEN event_id % 5 > 0 THEN event_id ELSE 0 END AS revision, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 3 AS INTEGER) ELSE 0 END AS n_sources,
 CASE WHEN event_id % 5 > 0 AND event_id % 3 > 0 THEN 'ready' END AS first_state FROM events"""
 )
 def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,4 +282,4 @@ def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.struct(F.lit("i").alias("id"), F.struct(F.struct(F.lit("ready").alias("state"), F.lit("").alias("error")).alias("deterministic")).alias("representations"))
     made = F.to_json(F.struct(F.when(F.col("event_id") % 10 == 5, 1).otherwise(2).alias("schema_version"), F.col("event_id").alias("revision"), F.array_repeat(source, n).alias("sources")))
     rows = D.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(made).alias("json"))
-    return A.snapshots(rows, "json").select("event_id", "snapshot.schema_version", "snapshot.revision", F.coalesce(F.size("snapshot.sources"), F.lit(0)).alias("n_sources"), F.try_element_at("snapshot.sources", F.lit(1))["representations"]["deterministic"]["state"].alias("first_state"))
+    return A.snapshots(rows, "json").select("event_id", F.coalesce("snapshot.schema_version", F.lit(0)).alias("schema_version"), F.coalesce("snapshot.revision", F.lit(0)).alias("revision"), F.coalesce(F.size("snapshot.sources"), F.lit(0)).alias("n_sources"), F.try_element_at("snapshot.sources", F.lit(1))["representations"]["deterministic"]["state"].alias("first_state"))
