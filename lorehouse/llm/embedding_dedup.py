@@ -152,7 +152,22 @@ def _near(group: pa.Table) -> pa.Table:
     """(bucket, cls) with another of a like sketch in their bucket."""
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
     kept = np.zeros(len(sketch), bool)
-    for left, right, same in _pairs(group):
+    bucket = group.column("bucket").to_numpy()
+    _, place, count = np.unique(bucket, return_inverse=True, return_counts=True)
+    short = (count <= 64)[place] & (group.column("bi").to_numpy() == group.column("bj").to_numpy())
+    rows = np.argsort(bucket, kind="stable")
+    rows = rows[short[rows]]
+    of, told = bucket[rows], sketch[rows]
+    for step in range(1, 64):  # every row of a short bucket with the next, the one after, and so on
+        at = np.flatnonzero(of[step:] == of[:-step])
+        if not len(at):
+            break
+        near = at[np.bitwise_count(told[at] ^ told[at + step]).sum(axis=1, dtype=np.int16) <= NEAR]
+        kept[rows[near]] = True
+        kept[rows[near + step]] = True
+    long = np.flatnonzero(~short)
+    for left, right, same in _pairs(group.take(pa.array(long))) if len(long) else ():
+        left, right = long[left], long[right]
         for s in range(0, len(left), 1000):
             part = left[s : s + 1000]
             near = np.bitwise_count(sketch[part][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int16) <= NEAR
@@ -227,8 +242,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     per = reps.select("cls", "least", "size").join(links, "cls", "left").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    component = per.groupBy("label").agg(F.min("least").alias("component_id"))
-    per = per.join(component, "label").select("cls", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    component = per.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    per = hub_join(per, component, "label", F.col("many") > max(64, units.count() // 1000)).select("cls", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     n = max(1000, told.count() // 1000)
     rows = hub_join(good.select("vec_id", "cls"), per, "cls", F.col("size") > n).select("vec_id", "n_links", "component_id")
     alone = told.where("cls is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, free_name, small_batches
+from .common import cut, discard, free_name, hub_join, small_batches
 from .components import components
 from .words import mix, runs_of_words
 
@@ -347,9 +347,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows, heavy, total, salt = classes(rows, f"id {rows.schema['id'].dataType.simpleString()}", n)
     label = _labels(docs, text_col, n, percent, total, salt, heavy)
-    named = rows.where("n > 0").groupBy("v").agg(F.min("id").alias("least"))
-    named = named.join(label, named.v == label.node, "left").select("v", "least", F.coalesce("label", "v").alias("c"))
-    component = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = named.join(component, "c").select("v", "component_id")
+    named = rows.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    named = cut(named.join(label, named.v == label.node, "left").select("v", "least", "size", F.coalesce("label", "v").alias("c")))
+    n_classes, n_rows = named.agg(F.count("*"), F.sum("size")).first()
+    component = named.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    named = hub_join(named, component, "c", F.col("many") > max(64, n_classes // 1000)).select("v", "component_id", "size")
     empty = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return rows.where("n > 0").join(named, "v").select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    return hub_join(rows.where("n > 0"), named, "v", F.col("size") > max(1000, (n_rows or 0) // 1000)).select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)

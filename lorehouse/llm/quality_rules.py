@@ -3,6 +3,10 @@
 ``measure`` adds per-document counts, ``RULES`` is the threshold table over their ratios, and ``compile_rules``
 turns the table into one boolean expression. No shuffle, no user function: a document never leaves its task.
 
+Repeated windows are found by hash: of a text of n words, whose number has b bits, each hash keeps 64 - b bits, so a chance
+repeat has probability n^2 / 2^(65 - b): 1 in 20 million for 10,000 words, 1 in 35 for a
+million.
+
 Defined results: a null or empty text has no word, so every count is 0 and ``base_failed`` is true. Repeated rows
 are judged each on their own. Columns of the input are kept out of the way: only ``id_col`` and ``text_col`` are read.
 """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
-from .common import bucket_of, scratch_path, table
+from .common import bucket_of, cut, scratch_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: inserts with words as a first count, revisions to pieces, deletes of wordless ones."""
     docs = table(spark, sf_dir, "documents")
-    counted = docs.select("source", "lang", token_counts.word_count(F.col("text")).alias("words"), token_counts.piece_count(F.col("text")).alias("pieces"))
+    # Texts are read once; the batches are made of their numbers.
+    counted = cut(docs.select("source", "lang", token_counts.word_count(F.col("text")).alias("words"), token_counts.piece_count(F.col("text")).alias("pieces")))
     as_state = lambda name, n: token_counts.state(F.col("source"), F.col("lang"), name, n)
     nothing = F.lit(None).cast(token_counts.STATE)
     versions = F.explode(F.array(as_state("words/1", F.col("words")), as_state("pieces/1", F.col("words"))))

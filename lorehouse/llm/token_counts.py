@@ -7,13 +7,13 @@ no hot group. ``Ledger`` keeps each batch's deltas in a folder of its own, named
 ``totals`` adds up the complete batches; ``compact`` folds them into one table and remembers which it holds.
 
 Defined results: null sources and languages are keys of their own; null and empty texts count as documents with 0
-tokens; repeated rows count each. Keys whose documents and tokens are back at 0 are left out of the totals.
+tokens; repeated rows count each; an empty table gives no rows. A ledger has one writer at a time and needs a classic
+session, whose file system it asks for complete batches. Keys whose documents and tokens are back at 0 are left out of the totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,13 +77,12 @@ class Ledger:
         done = self._complete()
         if name in done:
             return False
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return True
 
     def totals(self) -> DataFrame:
         live = self._live()
-        empty = self.spark.createDataFrame([], self.SCHEMA)
-        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{n}") for n in live], empty)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{n}" for n in live]) if live else self.spark.createDataFrame([], self.SCHEMA)
         summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 or n_tokens <> 0")
 
@@ -93,7 +92,7 @@ class Ledger:
         number = 1 + max((int(n.split("-")[1]) for n in done if n.startswith("base-")), default=0)
         held = [(n,) for n in done if n.startswith("batch-")]
         self.spark.createDataFrame(held, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/held-{number}")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{number}")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/base-{number}")
 
 
 def apply_all(ledger: Ledger, batches: Iterable[tuple[str, DataFrame]]) -> DataFrame:

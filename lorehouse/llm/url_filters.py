@@ -6,9 +6,9 @@ slash, and its path. A rule's own key is such a prefix, so it covers one interva
 depth are nested or apart. One sort merges rules and urls; the last rule passed carries the stack of rules that were
 open at its start, and the deepest of them that is still open at the url's key is the answer for that depth.
 
-The sweep runs inside salts: urls are dealt to ``salts`` parts by a hash of their row, the rules go to each part. All
-depths share this one shuffle. A hot host or url therefore never meets in one task, and a part holds
-rows / salts urls plus the rules.
+The sweep runs inside salts: urls are dealt to ``salts`` parts by the number of their row, the rules go to each part. All
+depths share this one shuffle. A hot host, url or repeated row therefore never meets in one task, and a part holds
+rows / salts urls plus the rules, so the rules must be few against a part's urls.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and fits no rule; repeated rows are
 each judged; equally long rules give the one with the longer host; identical rules that disagree give ``block``.
@@ -42,8 +42,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
-    rows = [(v, h, p) for v, h, p in rules]
-    return spark.createDataFrame(rows, "verdict string, host string, path string")
+    """The rules as literals: no Python worker takes part."""
+    kind = "array<struct<verdict:string,host:string,path:string>>"
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    return spark.range(1).select(F.inline(rows.cast(kind)))
 
 
 def key_at(host: Column, path: Column, depth: int) -> Column:
@@ -83,7 +85,7 @@ def decide(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     salts = salts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = parsed.select(
-        F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"),
         F.lit(1).alias("kind"), "page_id", "host", "path",
         *[key_at(F.col("host"), F.col("path"), d).alias(f"key{d}") for d in depths],
         *[F.lit(None).cast(rules.schema["stack"].dataType).alias(f"stack{d}") for d in depths],

@@ -565,3 +565,14 @@ def test_packing_fills_greedily(seed):
     found = [p for p in packing.Shard(tokens, idf, 45.0).windows(64) if sum(x[2] for x in p) == 64]
     want = greedy(tokens, idf, 45.0, 64)
     assert found[: len(want)] == want and sum(x[2] for p in want for x in p) > 0.9 * sum(map(len, tokens)) - 64
+
+
+def test_token_counts_of_an_empty_table(spark, tmp_path):
+    table(spark, DATA, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op9_token_counts(spark, str(tmp_path)).count() == 0
+
+
+def test_url_filters_spread_repeated_rows(spark):
+    pages = spark.range(2000).select(F.lit(1).alias("page_id"), F.lit("http://a.com/en/").alias("url"))
+    found = url_filters.decide(pages, url_filters.rule_table(spark), salts=16)
+    assert found.count() == 2000 and found.where("rule = 'com/en/' and verdict = 'block'").count() == 2000
