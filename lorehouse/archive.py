@@ -17,7 +17,7 @@ from .sources import ingest
 from .sources.versioned import VersionedTable
 
 BLOB = "hash string, content binary"
-JOB = "job_id string, key string, source_id string, title string, direction string, state string, queued_at bigint, completed_at bigint"
+JOB = "job_id string, key string, original_id string, title string, direction string, state string, queued_at bigint, completed_at bigint"
 
 
 class Archive:
@@ -68,7 +68,7 @@ class Archive:
 
     def originals(self) -> DataFrame:
         """Live originals as the ingest chain takes them."""
-        return bronze.readable(self.items.read(), self.blobs.read()).select(F.col("id").alias("source_id"), "title", "mime", "content")
+        return bronze.readable(self.items.read(), self.blobs.read()).select(F.col("id").alias("original_id"), "title", "mime", "content")
 
     def fragments(self) -> DataFrame:
         return ingest.fragments(self.originals())
@@ -84,20 +84,20 @@ class Archive:
         return self.index.search(query, limit, embed)
 
     def plan_sync(self, plan: DataFrame, now: int) -> DataFrame:
-        """(key, job_id) for a whole plan (key, source_id, title, direction). Queued jobs that it lacks are completed."""
+        """(key, job_id) for a whole plan (key, original_id, title, direction). Queued jobs that it lacks are completed."""
         if sync.invalid_plan_rows(plan).limit(1).count():
             raise ValueError("invalid synchronisation plan")
         old = self.sync_jobs.read()
         queued = old.where("state = 'queued'")
         last = old.agg(F.max(F.substring_index("job_id", "-", -1).cast("bigint"))).first()[0] or 0
         new = numbered(plan.join(queued.select("key"), "key", "left_anti"), "key", "n", last)
-        added = new.select(F.concat(F.lit("sync-"), F.col("n").cast("string")).alias("job_id"), "key", "source_id", "title", "direction", F.lit("queued").alias("state"), F.lit(now).cast("bigint").alias("queued_at"), F.lit(None).cast("bigint").alias("completed_at"))
-        told = plan.select("key", F.col("source_id").alias("_source"), F.lit(True).alias("_there"))
+        added = new.select(F.concat(F.lit("sync-"), F.col("n").cast("string")).alias("job_id"), "key", "original_id", "title", "direction", F.lit("queued").alias("state"), F.lit(now).cast("bigint").alias("queued_at"), F.lit(None).cast("bigint").alias("completed_at"))
+        told = plan.select("key", F.col("original_id").alias("_source"), F.lit(True).alias("_there"))
         kept = old.join(told, "key", "left")
         open_ = F.col("state") == "queued"
         closed = open_ & F.col("_there").isNull()
         kept = kept.withColumns(
-            {"completed_at": F.when(closed, F.lit(now)).otherwise(F.col("completed_at")), "source_id": F.when(open_, F.coalesce("source_id", "_source")).otherwise(F.col("source_id")), "state": F.when(closed, "completed").otherwise(F.col("state"))}
+            {"completed_at": F.when(closed, F.lit(now)).otherwise(F.col("completed_at")), "original_id": F.when(open_, F.coalesce("original_id", "_source")).otherwise(F.col("original_id")), "state": F.when(closed, "completed").otherwise(F.col("state"))}
         )
         self.sync_jobs.write(kept.select(*old.columns).unionByName(added))
         return self.sync_jobs.read().where("state = 'queued'").select("key", "job_id")

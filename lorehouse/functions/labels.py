@@ -81,7 +81,7 @@ def search_title(title: Column, text: Column) -> Column:
 
 
 def private_word(texts: DataFrame) -> DataFrame:
-    """(source_id, word): of texts (order, source_id, text) the first word of five letters or more that is not common."""
+    """(original_id, word): of texts (order, original_id, text) the first word of five letters or more that is not common."""
     found = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{5,})"), F.lit(1)), lambda w: ~w.isin(*COMMON))
-    words = texts.select("order", "source_id", F.get(found, F.lit(0)).alias("word")).where("word is not null")
-    return words.orderBy("order").limit(1).select("source_id", "word")
+    words = texts.select("order", "original_id", F.get(found, F.lit(0)).alias("word")).where("word is not null")
+    return words.orderBy("order").limit(1).select("original_id", "word")

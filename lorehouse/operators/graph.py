@@ -55,10 +55,10 @@ def claim_groups(claims: DataFrame) -> DataFrame:
 
 
 def provenance(claims: DataFrame, observations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_id, source_id): the originals behind each claim."""
+    """(claim_id, original_id): the originals behind each claim."""
     supports = claims.select("claim_id", F.explode("supporting_observation_ids").alias("observation_id"))
     found = observations.select("observation_id", F.explode("evidence_ids").alias("evidence_id"))
-    return supports.join(found, "observation_id").join(evidence.select("evidence_id", "source_id"), "evidence_id").select("claim_id", "source_id").distinct()
+    return supports.join(found, "observation_id").join(evidence.select("evidence_id", "original_id"), "evidence_id").select("claim_id", "original_id").distinct()
 
 
 def unresolved(observations: DataFrame, claims: DataFrame) -> DataFrame:
@@ -172,11 +172,11 @@ def search_terms(entities: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def supporting_titles(claims: DataFrame, observations: DataFrame, evidence: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:
-    """(entity_id, source_id, title): originals behind an entity's active claims, titled by the published source, else the item."""
-    behind = attached(active(claims)).select("entity_id", "claim_id").join(provenance(active(claims), observations, evidence), "claim_id").select("entity_id", "source_id").distinct()
-    named = behind.join(sources.select(F.col("id").alias("source_id"), F.col("title").alias("_published")), "source_id", "left")
-    named = named.join(items.select(F.col("id").alias("source_id"), F.col("title").alias("_item")), "source_id", "left")
-    return named.select("entity_id", "source_id", F.coalesce("_published", "_item").alias("title"))
+    """(entity_id, original_id, title): originals behind an entity's active claims, titled by the published source, else the item."""
+    behind = attached(active(claims)).select("entity_id", "claim_id").join(provenance(active(claims), observations, evidence), "claim_id").select("entity_id", "original_id").distinct()
+    named = behind.join(sources.select(F.col("id").alias("original_id"), F.col("title").alias("_published")), "original_id", "left")
+    named = named.join(items.select(F.col("id").alias("original_id"), F.col("title").alias("_item")), "original_id", "left")
+    return named.select("entity_id", "original_id", F.coalesce("_published", "_item").alias("title"))
 
 
 def human_value(json_value: Column) -> Column:

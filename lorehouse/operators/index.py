@@ -30,24 +30,24 @@ def chunk_id(observation: Column, evidence: Column, part: Column) -> Column:
 
 
 def source_digests(chunks: DataFrame) -> DataFrame:
-    """(source_id, n_chunks, digest): SHA-256 of the hashes of the source's chunk identities, by id. Texts are hashed before the
+    """(original_id, n_chunks, digest): SHA-256 of the hashes of the source's chunk identities, by id. Texts are hashed before the
     shuffle; a source is one original of at most 8 MiB, which bounds its chunks."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2(F.to_json(F.struct(*IDENTITY)), 256).alias("identity"))))
-    per = chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"), ordered.alias("c"))
-    return per.select("source_id", "n_chunks", F.sha2(F.array_join(F.transform("c", lambda x: x["identity"]), "\n"), 256).alias("digest"))
+    per = chunks.groupBy("original_id").agg(F.count("*").alias("n_chunks"), ordered.alias("c"))
+    return per.select("original_id", "n_chunks", F.sha2(F.array_join(F.transform("c", lambda x: x["identity"]), "\n"), 256).alias("digest"))
 
 
 def chunk_actions(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source_id, action): keep, replace, insert or delete, from both sides' (source_id, n_chunks, digest)."""
-    a = stored.select("source_id", F.col("n_chunks").alias("_n"), F.col("digest").alias("_digest"))
+    """(original_id, action): keep, replace, insert or delete, from both sides' (original_id, n_chunks, digest)."""
+    a = stored.select("original_id", F.col("n_chunks").alias("_n"), F.col("digest").alias("_digest"))
     same = (F.col("_n") == F.col("n_chunks")) & (F.col("_digest") == F.col("digest"))
     action = F.when(F.col("digest").isNull(), "delete").when(F.col("_digest").isNull(), "insert").when(same, "keep").otherwise("replace")
-    return a.join(wanted, "source_id", "full_outer").select("source_id", action.alias("action"))
+    return a.join(wanted, "original_id", "full_outer").select("original_id", action.alias("action"))
 
 
 def without_sources(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Chunks, postings or vectors that are left once their sources (source_id) are deleted."""
-    return rows.join(gone.select("source_id").distinct(), "source_id", "left_anti")
+    """Chunks, postings or vectors that are left once their sources (original_id) are deleted."""
+    return rows.join(gone.select("original_id").distinct(), "original_id", "left_anti")
 
 
 @dataclass(frozen=True)
@@ -69,10 +69,10 @@ def embedding_plan(chunks: DataFrame, vectors: DataFrame, stored: Model | None,
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(bucket, term, source_id, chunk_id, n_tokens, at): places of each term in each chunk."""
-    words = chunks.select("source_id", "chunk_id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
-    spread = words.select("source_id", "chunk_id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("pos", "term"))
-    grouped = spread.groupBy("term", "source_id", "chunk_id", "n_tokens").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    """(bucket, term, original_id, chunk_id, n_tokens, at): places of each term in each chunk."""
+    words = chunks.select("original_id", "chunk_id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
+    spread = words.select("original_id", "chunk_id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("pos", "term"))
+    grouped = spread.groupBy("term", "original_id", "chunk_id", "n_tokens").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     return grouped.withColumn("bucket", bucket(F.col("term")))
 
 
@@ -83,7 +83,7 @@ def bucket(term: Column) -> Column:
 class SearchIndex:
     """An index under ``path``, a folder that driver and executors share."""
 
-    CHUNK = "source_id string, chunk_id string, observation_id string, evidence_id string, selector string, text string, producer string"
+    CHUNK = "original_id string, chunk_id string, observation_id string, evidence_id string, selector string, text string, producer string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -102,15 +102,15 @@ class SearchIndex:
         return f"{self.path}/v{VERSION}/{table}/gen={gen}"
 
     def sources(self) -> DataFrame:
-        """(source_id, n_chunks, n_tokens, digest, gen) of the generation in force."""
+        """(original_id, n_chunks, n_tokens, digest, gen) of the generation in force."""
         done = self._generations()
-        schema = "source_id string, n_chunks bigint, n_tokens bigint, digest string, gen int"
+        schema = "original_id string, n_chunks bigint, n_tokens bigint, digest string, gen int"
         return self.spark.read.schema(schema).parquet(self._at("sources", done[-1])) if done else self.spark.createDataFrame([], schema)
 
     def _live(self, table: str, schema: str) -> DataFrame:
         """Rows of the sources in force, each from the generation that its source names."""
         rows = self.spark.read.schema(f"{schema}, gen int").option("basePath", f"{self.path}/v{VERSION}/{table}").parquet(f"{self.path}/v{VERSION}/{table}")
-        return rows.join(self.sources().select("source_id", "gen"), ["source_id", "gen"], "left_semi").drop("gen")
+        return rows.join(self.sources().select("original_id", "gen"), ["original_id", "gen"], "left_semi").drop("gen")
 
     def chunks(self) -> DataFrame:
         return self._live("chunks", self.CHUNK)
@@ -125,27 +125,27 @@ class SearchIndex:
         if done and not (told := chunk_actions(self.sources(), wanted)).where("action <> 'keep'").limit(1).count():
             return told
         path = f"{self.path}/v{VERSION}/actions/gen={gen}"
-        chunk_actions(self.sources(), wanted).join(wanted, "source_id", "left").write.mode("overwrite").parquet(path)
+        chunk_actions(self.sources(), wanted).join(wanted, "original_id", "left").write.mode("overwrite").parquet(path)
         actions = self.spark.read.parquet(path)
-        fresh = chunks.join(actions.where("action in ('insert', 'replace')").select("source_id"), "source_id", "left_semi")
+        fresh = chunks.join(actions.where("action in ('insert', 'replace')").select("original_id"), "original_id", "left_semi")
         fresh.select(*[c.split()[0] for c in self.CHUNK.split(", ")]).write.mode("overwrite").parquet(self._at("chunks", gen))
         added = self.spark.read.schema(self.CHUNK).parquet(self._at("chunks", gen))
         postings(added).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("postings", gen))
-        lengths = added.select("source_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n")).groupBy("source_id").agg(F.sum("n").alias("n_tokens"))
-        new = actions.where("action in ('insert', 'replace')").select("source_id", "n_chunks", "digest").join(lengths, "source_id", "left")
-        new = new.select("source_id", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "digest", F.lit(gen).alias("gen"))
-        kept = self.sources().join(actions.where("action = 'keep'").select("source_id"), "source_id", "left_semi")
+        lengths = added.select("original_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n")).groupBy("original_id").agg(F.sum("n").alias("n_tokens"))
+        new = actions.where("action in ('insert', 'replace')").select("original_id", "n_chunks", "digest").join(lengths, "original_id", "left")
+        new = new.select("original_id", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "digest", F.lit(gen).alias("gen"))
+        kept = self.sources().join(actions.where("action = 'keep'").select("original_id"), "original_id", "left_semi")
         kept.unionByName(new).write.mode("overwrite").parquet(self._at("sources", gen))
-        return actions.select("source_id", "action")
+        return actions.select("original_id", "action")
 
-    def delete(self, source_ids: DataFrame) -> None:
-        """Drop sources (source_id) with all their chunks, postings and vectors."""
+    def delete(self, original_ids: DataFrame) -> None:
+        """Drop sources (original_id) with all their chunks, postings and vectors."""
         gen = (self._generations() or [0])[-1] + 1
-        without_sources(self.sources(), source_ids).write.mode("overwrite").parquet(self._at("sources", gen))
+        without_sources(self.sources(), original_ids).write.mode("overwrite").parquet(self._at("sources", gen))
 
     def term_statistics(self) -> DataFrame:
         """(term, n_docs_with, n_occurrences) for every term in force."""
-        found = self._live("postings", "bucket int, term string, source_id string, at array<int>")
+        found = self._live("postings", "bucket int, term string, original_id string, at array<int>")
         return found.groupBy("term").agg(F.count("*").alias("n_docs_with"), F.sum(F.size("at")).alias("n_occurrences"))
 
     def lexical(self, query: str, limit: int = R.MOST) -> DataFrame:
@@ -157,7 +157,7 @@ class SearchIndex:
             return self.spark.createDataFrame([], "chunk_id string, score double, rank int")
         listed = F.array(*map(F.lit, terms))
         buckets = [r["b"] for r in self.spark.range(1).select(F.explode(listed).alias("t")).select(bucket(F.col("t")).alias("b")).distinct().collect()]
-        found = self._live("postings", "bucket int, term string, source_id string, chunk_id string, n_tokens int, at array<int>")
+        found = self._live("postings", "bucket int, term string, original_id string, chunk_id string, n_tokens int, at array<int>")
         found = found.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
         by_term = F.map_from_entries(F.collect_list(F.struct("term", "at")))  # at most as many as the query has terms
         rows = found.groupBy("chunk_id").agg(F.first("n_tokens").alias("n_tokens"), by_term.alias("at"))

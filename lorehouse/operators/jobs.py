@@ -1,6 +1,6 @@
 """Processor jobs: what a manifest asks for, how jobs change state, and what is shown of them.
 
-A job is (job_id, seq, source_id, hash, title, mime, representation, producer, input, state, attempts, retryable, retry_at,
+A job is (job_id, seq, original_id, hash, title, mime, representation, producer, input, state, attempts, retryable, retry_at,
 n_checkpoints, n_batches). A published source is (id, hash, title, mime, det_state, det_producer, det_input, know_state,
 know_producer, know_input). ``input`` is the identity of what a representation was made from.
 """
@@ -68,8 +68,8 @@ def needed(manifest: DataFrame, published: DataFrame, model: str | None = None,
 
 def matched(jobs: DataFrame, manifest: DataFrame, model: str | None = None, most_bytes: int = 0) -> DataFrame:
     """Jobs with ``known`` (their item is in the manifest), ``deleted`` and ``matches``: made for the item as it is now."""
-    now = _wanted(manifest, model, most_bytes).select(F.col("id").alias("source_id"), "deleted", *[F.col(c).alias(f"now_{c}") for c in ("hash", "title", "mime")], "want_det", "want_know", "want_producer")
-    both = jobs.join(now, "source_id", "left")
+    now = _wanted(manifest, model, most_bytes).select(F.col("id").alias("original_id"), "deleted", *[F.col(c).alias(f"now_{c}") for c in ("hash", "title", "mime")], "want_det", "want_know", "want_producer")
+    both = jobs.join(now, "original_id", "left")
     same = (F.col("hash") == F.col("now_hash")) & (F.col("title") == F.col("now_title")) & (F.col("mime") == F.col("now_mime"))
     det = (F.col("producer") == EXTRACTION) & (F.col("input") == F.col("want_det"))
     know = F.col("producer").eqNullSafe(F.col("want_producer")) & (F.col("input") == F.col("want_know"))
@@ -78,7 +78,7 @@ def matched(jobs: DataFrame, manifest: DataFrame, model: str | None = None, most
 
 
 def planned(manifest: DataFrame, published: DataFrame, jobs: DataFrame, model: str | None = None, most_bytes: int = 0, last_number: int = 0) -> DataFrame:
-    """(job_id, source_id, representation, state, change): jobs after a manifest was taken in.
+    """(job_id, original_id, representation, state, change): jobs after a manifest was taken in.
 
     Jobs of deleted items go (``removed``). Active jobs made for an item as it no longer is are ``cancelled``. An item
     that needs a representation gets one new job, unless a job that is not cancelled was made for just that; new jobs are
@@ -87,11 +87,11 @@ def planned(manifest: DataFrame, published: DataFrame, jobs: DataFrame, model: s
     placed = matched(jobs, manifest, model, most_bytes)
     gone = F.col("known") & F.col("deleted")
     change = F.when(gone, "removed").when(F.col("known") & ~F.col("matches") & F.col("state").isin(*ACTIVE), "cancelled").otherwise("kept")
-    old = placed.select("job_id", "source_id", "representation", F.when(change == "cancelled", "cancelled").otherwise(F.col("state")).alias("state"), change.alias("change"))
-    there = placed.where("matches and state <> 'cancelled'").select(F.col("source_id").alias("id"), "representation").distinct()
+    old = placed.select("job_id", "original_id", "representation", F.when(change == "cancelled", "cancelled").otherwise(F.col("state")).alias("state"), change.alias("change"))
+    there = placed.where("matches and state <> 'cancelled'").select(F.col("original_id").alias("id"), "representation").distinct()
     new = needed(manifest, published, model, most_bytes).where("representation is not null").join(there, ["id", "representation"], "left_anti")
     new = numbered(new.select("id", "representation"), "id", "number", last_number)
-    added = new.select(F.concat(F.lit("job-"), F.col("number").cast("string")).alias("job_id"), F.col("id").alias("source_id"), "representation", F.lit("queued").alias("state"), F.lit("new").alias("change"))
+    added = new.select(F.concat(F.lit("job-"), F.col("number").cast("string")).alias("job_id"), F.col("id").alias("original_id"), "representation", F.lit("queued").alias("state"), F.lit("new").alias("change"))
     return old.unionByName(added)
 
 
@@ -123,7 +123,7 @@ def failed(jobs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
     again = ~F.coalesce("permanent", F.lit(False))
     at = F.when(again, now + retry_delay(F.greatest(attempts, F.lit(1)))).otherwise(F.lit(0))
     return rows.select(
-        "job_id", "source_id", F.when(hit, "failed").otherwise(F.col("state")).alias("state"), F.when(hit, F.col("error")).alias("error"),
+        "job_id", "original_id", F.when(hit, "failed").otherwise(F.col("state")).alias("state"), F.when(hit, F.col("error")).alias("error"),
         F.when(hit, again).otherwise(F.col("retryable")).alias("retryable"), attempts.cast("int").alias("attempts"), F.when(hit, at).otherwise(F.col("retry_at")).cast("bigint").alias("retry_at"),
     )
 
@@ -141,7 +141,7 @@ def recovered(jobs: DataFrame) -> DataFrame:
 
 def processing(jobs: DataFrame) -> DataFrame:
     """Unfinished jobs with their progress, by source."""
-    return jobs.where(~F.col("state").isin(*ENDED)).select("source_id", "representation", "state", F.col("n_checkpoints").alias("completed_batches"), F.col("n_batches").alias("total_batches"), "retryable").orderBy("source_id", "representation")
+    return jobs.where(~F.col("state").isin(*ENDED)).select("original_id", "representation", "state", F.col("n_checkpoints").alias("completed_batches"), F.col("n_batches").alias("total_batches"), "retryable").orderBy("original_id", "representation")
 
 
 def status(sync_jobs: DataFrame, processor_jobs: DataFrame, sync_revision: int, processor_revision: int, shown: int = 5) -> DataFrame:
@@ -168,8 +168,8 @@ def key_source(key: Column) -> Column:
 
 def sync_snapshot(jobs: DataFrame) -> DataFrame:
     """Synchronisation jobs as shown: a missing source id comes from the key, and the key itself is blank."""
-    source = F.when(F.coalesce("source_id", F.lit("")) == "", key_source(F.col("key"))).otherwise(F.col("source_id"))
-    return jobs.withColumns({"source_id": source, "key": F.lit(""), "state": F.when(F.col("state") == "completed", "completed").otherwise("queued")})
+    source = F.when(F.coalesce("original_id", F.lit("")) == "", key_source(F.col("key"))).otherwise(F.col("original_id"))
+    return jobs.withColumns({"original_id": source, "key": F.lit(""), "state": F.when(F.col("state") == "completed", "completed").otherwise("queued")})
 
 
 def completed_once(jobs: DataFrame, job_ids: DataFrame, now: Column) -> DataFrame:

@@ -70,8 +70,8 @@ def resolve_relationships(relations: DataFrame, entities: DataFrame, keys: list[
 
 
 def coverage(batches: DataFrame) -> DataFrame:
-    """(source_id, n_semantic, n_completed, state, reason): ready when all is done, skipped when nothing is, else partial."""
-    per = batches.groupBy("source_id").agg(F.sum("n_semantic").alias("n_semantic"), F.sum("n_completed").alias("n_completed"), F.array_join(F.array_sort(F.collect_set("skip_reason")), ",").alias("reason"))
+    """(original_id, n_semantic, n_completed, state, reason): ready when all is done, skipped when nothing is, else partial."""
+    per = batches.groupBy("original_id").agg(F.sum("n_semantic").alias("n_semantic"), F.sum("n_completed").alias("n_completed"), F.array_join(F.array_sort(F.collect_set("skip_reason")), ",").alias("reason"))
     state = F.when(F.col("n_completed") >= F.col("n_semantic"), "ready").when(F.col("n_completed") == 0, "skipped").otherwise("partial")
     return per.withColumn("state", state)
 
@@ -95,13 +95,13 @@ def batches_of(sizes: list[int], contexts: list[tuple[str, int] | None], structu
 
 
 def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = None) -> DataFrame:
-    """``fragments`` (source_id, ordinal, title, mime, kind, selector, payload, text, context, structural_only) with
+    """``fragments`` (original_id, ordinal, title, mime, kind, selector, payload, text, context, structural_only) with
     ``batch``: ordered greedy batches per source, by the bytes of the input that a model would get of each.
 
     Sizes are made by expressions; only they meet in one task, and a source has at most 8 MiB.
     """
     target = min(target, most_bytes or target)
-    evidence = stable_id("evidence", F.to_json(F.struct(F.col("source_id").cast("string").alias("source"), F.col("selector"))))
+    evidence = stable_id("evidence", F.to_json(F.struct(F.col("original_id").cast("string").alias("source"), F.col("selector"))))
     context_id = F.when(F.col("context").isNotNull(), stable_id("context", F.col("context")))
     parent = F.coalesce(F.concat(F.lit(',"parent_context_id":"'), context_id, F.lit('"')), F.lit(""))
     entry = F.concat(F.lit('{"id":"'), evidence, F.lit('","kind":"'), "kind", F.lit('"'), parent, F.lit(',"payload":'), compact_payload(F.col("kind"), F.col("payload")), F.lit(',"selector":'), "selector", F.lit("},"))
@@ -113,11 +113,11 @@ def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = N
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal", kind="stable")
         contexts = [None if c is None else (c, int(n)) for c, n in zip(group["_context"], group["_about"], strict=True)]
-        return group[["source_id", "ordinal"]].assign(batch=batches_of(group["_size"].tolist(), contexts, group["_silent"].tolist(), target, int(group["_head"].iloc[0])))
+        return group[["original_id", "ordinal"]].assign(batch=batches_of(group["_size"].tolist(), contexts, group["_silent"].tolist(), target, int(group["_head"].iloc[0])))
 
-    kinds = {c: fragments.schema[c].dataType.simpleString() for c in ("source_id", "ordinal")}
-    dealt = sized.select("source_id", "ordinal", "_size", "_context", "_about", "_head", "_silent").groupBy("source_id").applyInPandas(of, f"source_id {kinds['source_id']}, ordinal {kinds['ordinal']}, batch int")
-    return fragments.join(dealt, ["source_id", "ordinal"])
+    kinds = {c: fragments.schema[c].dataType.simpleString() for c in ("original_id", "ordinal")}
+    dealt = sized.select("original_id", "ordinal", "_size", "_context", "_about", "_head", "_silent").groupBy("original_id").applyInPandas(of, f"original_id {kinds['original_id']}, ordinal {kinds['ordinal']}, batch int")
+    return fragments.join(dealt, ["original_id", "ordinal"])
 
 
 ANSWER = (
@@ -227,17 +227,17 @@ def recovered(
 
 
 def extracted(fragments: DataFrame, extractor: Extractor) -> DataFrame:
-    """(source_id, batch, fragment_id, answer): the model's answers as JSON, null where a fragment was skipped."""
+    """(original_id, batch, fragment_id, answer): the model's answers as JSON, null where a fragment was skipped."""
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal", kind="stable")
         asked = [(str(i), t) for i, t in zip(group["ordinal"], group["text"], strict=True) if t.strip()]
         answers = recovered(asked, extractor.extract) if asked else {}
-        rows = [(group["source_id"].iloc[0], group["batch"].iloc[0], k, None if a is None else canonical_json(a)) for k, a in answers.items()]
-        return pd.DataFrame(rows, columns=["source_id", "batch", "fragment_id", "answer"])
+        rows = [(group["original_id"].iloc[0], group["batch"].iloc[0], k, None if a is None else canonical_json(a)) for k, a in answers.items()]
+        return pd.DataFrame(rows, columns=["original_id", "batch", "fragment_id", "answer"])
 
-    kind = fragments.schema["source_id"].dataType.simpleString()
-    return fragments.where(~F.col("structural_only")).groupBy("source_id", "batch").applyInPandas(of, f"source_id {kind}, batch int, fragment_id string, answer string")
+    kind = fragments.schema["original_id"].dataType.simpleString()
+    return fragments.where(~F.col("structural_only")).groupBy("original_id", "batch").applyInPandas(of, f"original_id {kind}, batch int, fragment_id string, answer string")
 
 
 def embedded(chunks: DataFrame, embed: Callable[[pd.Series], list[list[float]]], dimensions: int) -> DataFrame:

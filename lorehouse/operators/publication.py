@@ -17,7 +17,7 @@ def live_sources(published: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def latest_records(records: DataFrame) -> DataFrame:
     """(kind, id, value, n_sources): one row for each record id, from the last source that has it."""
-    return records.groupBy("kind", "id").agg(F.max_by("value", "source_id").alias("value"), F.count("*").alias("n_sources"))
+    return records.groupBy("kind", "id").agg(F.max_by("value", "original_id").alias("value"), F.count("*").alias("n_sources"))
 
 
 def deterministic(records: DataFrame) -> DataFrame:
@@ -31,15 +31,15 @@ def with_ids(sources: DataFrame, records: DataFrame, kinds: list[str]) -> DataFr
     A source is one original of at most 8 MiB, which bounds its records.
     """
     order = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", F.col("record_id").alias("id")))))
-    named = records.withColumnsRenamed({"id": "record_id", "source_id": "id"})
+    named = records.withColumnsRenamed({"id": "record_id", "original_id": "id"})
     lists = named.groupBy("id").agg(*[order(k).alias(f"_{k}") for k in kinds])
     ids = lambda k: F.when(F.size(f"_{k}") > 0, F.transform(f"_{k}", lambda x: x["id"])).alias(f"{k}_ids")
     return sources.join(lists.select("id", *[ids(k) for k in kinds]), "id", "left")
 
 
 def of_source(source: DataFrame, records: DataFrame, ids_col: str) -> DataFrame:
-    """(source_id, record columns): records whose id is in a source's id array."""
-    wanted = source.select(F.col("id").alias("source_id"), F.explode(ids_col).alias("id")).distinct()
+    """(original_id, record columns): records whose id is in a source's id array."""
+    wanted = source.select(F.col("id").alias("original_id"), F.explode(ids_col).alias("id")).distinct()
     return wanted.join(records, "id")
 
 
@@ -68,11 +68,11 @@ def knowledge_state(checkpoints: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def batch_digests(fragments: DataFrame) -> DataFrame:
-    """(source_id, batch, n_fragments, digest): SHA-256 of a batch's fragment identities in order; a batch has a bounded size."""
+    """(original_id, batch, n_fragments, digest): SHA-256 of a batch's fragment identities in order; a batch has a bounded size."""
     identity = F.to_json(F.struct("kind", "selector", "payload", "context", "structural_only"))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", identity.alias("identity"))))
-    per = fragments.groupBy("source_id", "batch").agg(F.count("*").alias("n_fragments"), ordered.alias("f"))
-    return per.select("source_id", "batch", "n_fragments", F.sha2(F.array_join(F.transform("f", lambda x: x["identity"]), "\n"), 256).alias("digest"))
+    per = fragments.groupBy("original_id", "batch").agg(F.count("*").alias("n_fragments"), ordered.alias("f"))
+    return per.select("original_id", "batch", "n_fragments", F.sha2(F.array_join(F.transform("f", lambda x: x["identity"]), "\n"), 256).alias("digest"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

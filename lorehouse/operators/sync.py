@@ -32,9 +32,9 @@ def sync_key(item_id: Column, revision: Column, direction: Column) -> Column:
 
 
 def invalid_plan_rows(plan: DataFrame) -> DataFrame:
-    """Rows (key, source_id, title, direction) that break the rules, and all rows of a key that occurs twice."""
+    """Rows (key, original_id, title, direction) that break the rules, and all rows of a key that occurs twice."""
     ok = (F.length("key").between(1, 256)) & ~F.col("key").rlike(r"[\r\n]") & F.col("direction").isin("upload", "download")
-    ok = ok & (F.col("source_id").isNull() | F.startswith("key", F.concat("source_id", F.lit(":"))))
+    ok = ok & (F.col("original_id").isNull() | F.startswith("key", F.concat("original_id", F.lit(":"))))
     twice = plan.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wrong = plan.where(~F.coalesce(ok, F.lit(False)))
     return wrong.unionByName(plan.where(F.coalesce(ok, F.lit(False))).join(twice, "key", "left_semi"))
@@ -75,8 +75,8 @@ def latest_completed(jobs: DataFrame, shown: int = SHOWN) -> DataFrame:
 def job_items(jobs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item_id): the item named by the job's source id, else the only item of its title."""
     by_title = items.groupBy("title").agg(F.count("*").alias("n"), F.min("id").alias("title_id")).where("n = 1").select("title", "title_id")
-    by_id = items.select(F.col("id").alias("source_id"), F.col("id").alias("found_id"))
-    return jobs.join(by_id, "source_id", "left").join(by_title, "title", "left").select("key", F.coalesce("found_id", "title_id").alias("item_id"))
+    by_id = items.select(F.col("id").alias("original_id"), F.col("id").alias("found_id"))
+    return jobs.join(by_id, "original_id", "left").join(by_title, "title", "left").select("key", F.coalesce("found_id", "title_id").alias("item_id"))
 
 
 def reconcile(manifest: DataFrame, published: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def bronze_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = lambda t, key, title, mime, text: D.table(spark, sf_dir, t).select(F.concat(F.lit(f"{t}-"), F.col(key).cast("string")).alias("source_id"), title.alias("title"), F.lit(mime).alias("mime"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("content"))
+    row = lambda t, key, title, mime, text: D.table(spark, sf_dir, t).select(F.concat(F.lit(f"{t}-"), F.col(key).cast("string")).alias("original_id"), title.alias("title"), F.lit(mime).alias("mime"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("content"))
     kinds = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".csv", ".PNG"))), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = row("documents", "doc_id", F.concat(F.lit("doc"), kinds), "text/plain; charset=utf-8", "text")
     pages = row("pages", "page_id", F.lit("page.html"), " TEXT/HTML", "html")
@@ -89,14 +89,14 @@ def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'documents-' || doc_id AS source_id, CASE doc_id % 4 WHEN 1 THEN 'markdown' WHEN 2 THEN 'csv' ELSE 'text' END AS parser,
+    """SELECT 'documents-' || doc_id AS original_id, CASE doc_id % 4 WHEN 1 THEN 'markdown' WHEN 2 THEN 'csv' ELSE 'text' END AS parser,
        CASE WHEN doc_id % 4 = 3 THEN 'skipped' ELSE 'ready' END AS state, CASE WHEN doc_id % 4 = 3 THEN 'unsupported_content' END AS reason FROM documents
 UNION ALL SELECT 'pages-' || page_id, 'text', 'ready', NULL FROM pages UNION ALL SELECT 'events-' || event_id, 'json', 'ready', NULL FROM events"""
 )
 def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = originals(spark, sf_dir)
     how = dispatch.outcome(F.col("title"), F.col("mime"), F.octet_length("content"), F.col("content"))
-    return o.select("source_id", dispatch.parser_of(F.col("title"), F.col("mime")).alias("parser"), how.alias("o")).select("source_id", "parser", "o.state", "o.reason")
+    return o.select("original_id", dispatch.parser_of(F.col("title"), F.col("mime")).alias("parser"), how.alias("o")).select("original_id", "parser", "o.state", "o.reason")
 
 
 @query(f'WITH {D.CONVERSATION_SQL} SELECT conv_id, pos, "start", "end", text FROM blocks')
@@ -104,41 +104,41 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.text_blocks(D.conversations(spark, sf_dir), "conv_id")
 
 
-@query("SELECT event_id AS source_id, '/' || j.key AS path, j.value AS value, '/' || j.key || ': ' || j.value AS retrieval_text FROM events, json_each(props) j WHERE props IS NOT NULL")
+@query("SELECT event_id AS original_id, '/' || j.key AS path, j.value AS value, '/' || j.key || ': ' || j.value AS retrieval_text FROM events, json_each(props) j WHERE props IS NOT NULL")
 def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("source_id"), F.lit("json").alias("parser"), F.col("props").alias("content"))
+    e = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("original_id"), F.lit("json").alias("parser"), F.col("props").alias("content"))
     found = parsers.parse(e).where("kind = 'parsed-json-value'")
     shown = parsers.retrieval_text(F.col("kind"), F.col("payload"))
-    return found.select("source_id", F.get_json_object("payload", "$.path").alias("path"), F.col("text").alias("value"), shown.alias("retrieval_text"))
+    return found.select("original_id", F.get_json_object("payload", "$.path").alias("path"), F.col("text").alias("value"), shown.alias("retrieval_text"))
 
 
 CSV_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
 
 
 @query(
-    """WITH r AS (SELECT o_custkey AS source_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS BIGINT) AS row, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders)
-SELECT source_id, row, name AS column, value FROM (UNPIVOT r ON o_orderkey, o_orderstatus, o_orderpriority INTO NAME name VALUE value) WHERE trim(value) <> ''"""
+    """WITH r AS (SELECT o_custkey AS original_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS BIGINT) AS row, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders)
+SELECT original_id, row, name AS column, value FROM (UNPIVOT r ON o_orderkey, o_orderstatus, o_orderpriority INTO NAME name VALUE value) WHERE trim(value) <> ''"""
 )
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = D.table(spark, sf_dir, "orders")
     line = F.struct("o_orderkey", F.concat_ws(",", *[F.col(c).cast("string") for c in CSV_COLUMNS]).alias("line"))
     files = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
     content = F.concat(F.lit(",".join(CSV_COLUMNS) + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    found = parsers.parse(files.select(F.col("o_custkey").alias("source_id"), F.lit("csv").alias("parser"), content.alias("content"))).where("kind = 'parsed-table-cell'")
+    found = parsers.parse(files.select(F.col("o_custkey").alias("original_id"), F.lit("csv").alias("parser"), content.alias("content"))).where("kind = 'parsed-table-cell'")
     at = lambda p: F.get_json_object("payload", p)
-    return found.select("source_id", at("$.row").cast("bigint").alias("row"), at("$.column").alias("column"), F.col("text").alias("value"))
+    return found.select("original_id", at("$.row").cast("bigint").alias("row"), at("$.column").alias("column"), F.col("text").alias("value"))
 
 
 @query(
-    """SELECT c_custkey AS source_id, p.key AS key, p.value AS value, p.key || ': ' || p.value AS text FROM customer,
+    """SELECT c_custkey AS original_id, p.key AS key, p.value AS value, p.key || ': ' || p.value AS text FROM customer,
 LATERAL (VALUES ('Name', c_name), ('Market segment', c_mktsegment), ('Nation', CAST(c_nationkey AS VARCHAR))) p(key, value)"""
 )
 def key_value_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = D.table(spark, sf_dir, "customer")
     text = F.concat(F.lit(" Name: "), "c_name", F.lit("\nMarket segment:"), "c_mktsegment", F.lit("  \n\nNation : ").substr(F.lit(1), F.lit(3)), F.lit("Nation: "), F.col("c_nationkey").cast("string"))
-    found = parsers.parse(c.select(F.col("c_custkey").alias("source_id"), F.lit("text").alias("parser"), F.regexp_replace(text, "\n+", "\n").alias("content"))).where("kind = 'parsed-key-value'")
+    found = parsers.parse(c.select(F.col("c_custkey").alias("original_id"), F.lit("text").alias("parser"), F.regexp_replace(text, "\n+", "\n").alias("content"))).where("kind = 'parsed-key-value'")
     at = lambda p: F.get_json_object("payload", p)
-    return found.select("source_id", at("$.key").alias("key"), at("$.value").alias("value"), F.concat(at("$.key"), F.lit(": "), at("$.value")).alias("text"))
+    return found.select("original_id", at("$.key").alias("key"), at("$.value").alias("value"), F.concat(at("$.key"), F.lit(": "), at("$.value")).alias("text"))
 
 
 @query(
@@ -154,16 +154,16 @@ def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every original that is ready through its own parser, with the text that search sees."""
     found = ingest.fragments(originals(spark, sf_dir))
-    return found.withColumn("retrieval_text", parsers.retrieval_text(F.col("kind"), F.col("payload"))).select("source_id", "ordinal", "kind", "selector", "structural_only", F.sha2(F.coalesce("retrieval_text", F.lit("")), 256).alias("text_hash"))
+    return found.withColumn("retrieval_text", parsers.retrieval_text(F.col("kind"), F.col("payload"))).select("original_id", "ordinal", "kind", "selector", "structural_only", F.sha2(F.coalesce("retrieval_text", F.lit("")), 256).alias("text_hash"))
 
 
 @query(
-    """SELECT 'events-' || event_id AS source_id, 'ready' AS state, NULL AS reason, CASE WHEN props IS NULL THEN 0 ELSE len(json_keys(props)) END AS n_fragments FROM events
+    """SELECT 'events-' || event_id AS original_id, 'ready' AS state, NULL AS reason, CASE WHEN props IS NULL THEN 0 ELSE len(json_keys(props)) END AS n_fragments FROM events
 UNION ALL SELECT 'png-' || doc_id, 'skipped', 'unsupported_content', 0 FROM documents UNION ALL SELECT 'bad-' || doc_id, 'failed', 'invalid_utf8', 0 FROM documents"""
 )
 def ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of originals: events, documents under a picture's name, and documents behind a byte that is no text."""
-    row = lambda t, key, prefix, title, mime, content: D.table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("source_id"), F.lit(title).alias("title"), F.lit(mime).alias("mime"), content.alias("content"))
+    row = lambda t, key, prefix, title, mime, content: D.table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("original_id"), F.lit(title).alias("title"), F.lit(mime).alias("mime"), content.alias("content"))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     kinds = (row("events", "event_id", "events-", "event", "application/json", F.encode("props", "UTF-8")), row("documents", "doc_id", "png-", "a.PNG", "", text), row("documents", "doc_id", "bad-", "a.txt", "text/plain", F.concat(F.unhex(F.lit("FF")), text)))
     return ingest.ingested(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
@@ -187,11 +187,11 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {D.CONVERSATION_SQL}, e AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS BIGINT) AS n,
+    f"""WITH RECURSIVE {D.CONVERSATION_SQL}, e AS (SELECT CAST(conv_id AS VARCHAR) AS original_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS BIGINT) AS n,
   strlen('{{"id":"","kind":"text-block","payload":{{"text":' || to_json(text) || '}},"selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}}},') + 64 AS size FROM blocks),
-g AS (SELECT source_id, n, 0 AS batch, size + 51 AS used FROM e WHERE n = 0
-  UNION ALL SELECT e.source_id, e.n, CASE WHEN used + size > 700 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 700 THEN 51 + size ELSE used + size END FROM g JOIN e ON e.source_id = g.source_id AND e.n = g.n + 1)
-SELECT source_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, CAST(min(n) AS INTEGER) AS first FROM g GROUP BY ALL"""
+g AS (SELECT original_id, n, 0 AS batch, size + 51 AS used FROM e WHERE n = 0
+  UNION ALL SELECT e.original_id, e.n, CASE WHEN used + size > 700 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 700 THEN 51 + size ELSE used + size END FROM g JOIN e ON e.original_id = g.original_id AND e.n = g.n + 1)
+SELECT original_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, CAST(min(n) AS INTEGER) AS first FROM g GROUP BY ALL"""
 )
 def fragment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy batches, of at most 700 bytes of model input, of the blocks of each conversation."""
@@ -199,10 +199,10 @@ def fragment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")) - 1
     selector = F.to_json(F.struct(F.col("end"), F.lit("utf8-byte-range").alias("kind"), F.col("start")))
     f = b.select(
-        F.col("conv_id").cast("string").alias("source_id"), ordinal.alias("ordinal"), F.lit("t").alias("title"), F.lit("text/plain").alias("mime"), F.lit("text-block").alias("kind"), selector.alias("selector"),
+        F.col("conv_id").cast("string").alias("original_id"), ordinal.alias("ordinal"), F.lit("t").alias("title"), F.lit("text/plain").alias("mime"), F.lit("text-block").alias("kind"), selector.alias("selector"),
         F.to_json(F.struct("text")).alias("payload"), "text", F.lit(None).cast("string").alias("context"), F.lit(False).alias("structural_only"),
     )
-    return K.batched(f, 700).groupBy("source_id", "batch").agg(F.count("*").alias("n_fragments"), F.min("ordinal").alias("first"))
+    return K.batched(f, 700).groupBy("original_id", "batch").agg(F.count("*").alias("n_fragments"), F.min("ordinal").alias("first"))
 
 
 # Retrieval ------------------------------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def resolve_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source AS source_id, CAST(sum(2) AS BIGINT) AS n_semantic, CAST(sum(quality + toxic) AS BIGINT) AS n_completed,
+    """SELECT source AS original_id, CAST(sum(2) AS BIGINT) AS n_semantic, CAST(sum(quality + toxic) AS BIGINT) AS n_completed,
        coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN quality = 0 THEN 'quality' WHEN toxic = 0 THEN 'toxic' END))), ','), '') AS reason,
        CASE WHEN sum(quality + toxic) >= sum(2) THEN 'ready' WHEN sum(quality + toxic) = 0 THEN 'skipped' ELSE 'partial' END AS state
 FROM labels JOIN documents USING (doc_id) GROUP BY source"""
@@ -319,7 +319,7 @@ FROM labels JOIN documents USING (doc_id) GROUP BY source"""
 def coverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "labels").join(D.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     reason = F.when(F.col("quality") == 0, "quality").when(F.col("toxic") == 0, "toxic")
-    return K.coverage(rows.select(F.col("source").alias("source_id"), F.lit(2).cast("bigint").alias("n_semantic"), (F.col("quality") + F.col("toxic")).cast("bigint").alias("n_completed"), reason.alias("skip_reason")))
+    return K.coverage(rows.select(F.col("source").alias("original_id"), F.lit(2).cast("bigint").alias("n_semantic"), (F.col("quality") + F.col("toxic")).cast("bigint").alias("n_completed"), reason.alias("skip_reason")))
 
 
 # Graph ----------------------------------------------------------------------------------------------------------------
@@ -357,7 +357,7 @@ def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.claim_groups(G.claim_confidence(D.claims(spark, sf_dir), D.observations(spark, sf_dir)))
 
 
-@query(f"WITH {D.CLAIM_SQL} SELECT claim_id, format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS source_id FROM claim")
+@query(f"WITH {D.CLAIM_SQL} SELECT claim_id, format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS original_id FROM claim")
 def provenance_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.provenance(D.claims(spark, sf_dir), D.observations(spark, sf_dir), D.evidence(spark, sf_dir))
 

@@ -42,7 +42,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = J.deterministic_input(F.col("id"), hash_, F.col("title"), F.col("mime"))
     knows = F.col("six") == 1
     return b.select(
-        F.format_string("job-%d", "doc_id").alias("job_id"), F.col("doc_id").alias("seq"), F.col("id").alias("source_id"), hash_.alias("hash"), "title", "mime",
+        F.format_string("job-%d", "doc_id").alias("job_id"), F.col("doc_id").alias("seq"), F.col("id").alias("original_id"), hash_.alias("hash"), "title", "mime",
         F.when(knows, J.KNOWLEDGE).otherwise(J.DETERMINISTIC).alias("representation"), F.when(knows, MODEL).otherwise(J.EXTRACTION).alias("producer"),
         F.when(knows, J.knowledge_input(det, LIMIT)).otherwise(det).alias("input"),
         F.when(F.col("six") == 0, "queued").when(F.col("six") == 1, "failed").when(F.col("six") == 3, "running").otherwise("completed").alias("state"),
@@ -58,7 +58,7 @@ c AS (SELECT m.doc_id, m.id, m.deleted, p.id IS NOT NULL AS is_published, coales
         coalesce(p.same AND CASE WHEN skipped THEN doc_id % 20 = 7 ELSE five IN (0, 2) END, false) AS know_none,
         CASE WHEN skipped THEN true ELSE five IN (0, 2) END AS know_complete
       FROM m LEFT JOIN p USING (doc_id)),
-j AS (SELECT 'job-' || doc_id AS job_id, doc_id, id AS source_id, deleted, doc_id % 6 AS six, CASE WHEN doc_id % 6 = 1 THEN 'knowledge' ELSE 'deterministic' END AS representation,
+j AS (SELECT 'job-' || doc_id AS job_id, doc_id, id AS original_id, deleted, doc_id % 6 AS six, CASE WHEN doc_id % 6 = 1 THEN 'knowledge' ELSE 'deterministic' END AS representation,
         CASE doc_id % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' WHEN 3 THEN 'running' ELSE 'completed' END AS state, doc_id % 6 <> 3 AS matches FROM m WHERE doc_id % 6 IN (0, 1, 3, 5))"""
 
 
@@ -70,8 +70,8 @@ def needed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {STATE_SQL}, need AS (SELECT id, CASE WHEN deleted OR know_model THEN NULL WHEN NOT det_current THEN 'deterministic' ELSE 'knowledge' END AS representation FROM c),
-new AS (SELECT id, representation FROM need WHERE representation IS NOT NULL AND NOT EXISTS (SELECT 1 FROM j WHERE j.source_id = need.id AND j.representation = need.representation AND matches))
-SELECT job_id, source_id, representation, CASE WHEN NOT deleted AND NOT matches THEN 'cancelled' ELSE state END AS state, CASE WHEN deleted THEN 'removed' WHEN NOT matches THEN 'cancelled' ELSE 'kept' END AS change FROM j
+new AS (SELECT id, representation FROM need WHERE representation IS NOT NULL AND NOT EXISTS (SELECT 1 FROM j WHERE j.original_id = need.id AND j.representation = need.representation AND matches))
+SELECT job_id, original_id, representation, CASE WHEN NOT deleted AND NOT matches THEN 'cancelled' ELSE state END AS state, CASE WHEN deleted THEN 'removed' WHEN NOT matches THEN 'cancelled' ELSE 'kept' END AS change FROM j
 UNION ALL SELECT 'job-' || (1000000 + row_number() OVER (ORDER BY id)), id, representation, 'queued', 'new' FROM new"""
 )
 def job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +85,16 @@ def publication_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.publication_changes(manifest(spark, sf_dir), published(spark, sf_dir))
 
 
-@query(f"WITH {STATE_SQL} SELECT job_id, source_id FROM j WHERE state = 'queued' ORDER BY doc_id LIMIT 1")
+@query(f"WITH {STATE_SQL} SELECT job_id, original_id FROM j WHERE state = 'queued' ORDER BY doc_id LIMIT 1")
 def next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.next_job(jobs(spark, sf_dir)).select("job_id", "source_id")
+    return J.next_job(jobs(spark, sf_dir)).select("job_id", "original_id")
 
 
 @query(f"WITH {STATE_SQL} SELECT 'run-' || job_id AS job_id, CASE WHEN deleted THEN 'fail' WHEN NOT matches THEN 'cancel' ELSE 'process' END AS action FROM j UNION ALL SELECT 'lost-' || job_id, 'fail' FROM j WHERE doc_id % 50 = 0")
 def job_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running jobs against the manifest as it is now; some of them are of items that the manifest never had."""
     j = jobs(spark, sf_dir).withColumn("state", F.lit("running"))
-    lost = j.where("seq % 50 = 0").withColumns({"job_id": F.concat(F.lit("lost-"), "job_id"), "source_id": F.lit("none")})
+    lost = j.where("seq % 50 = 0").withColumns({"job_id": F.concat(F.lit("lost-"), "job_id"), "original_id": F.lit("none")})
     return J.dispatched(j.withColumn("job_id", F.concat(F.lit("run-"), "job_id")).unionByName(lost), manifest(spark, sf_dir), MODEL, LIMIT)
 
 
@@ -107,7 +107,7 @@ def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running jobs meet errors, every fifth number's for good."""
     j = jobs(spark, sf_dir)
     errors = j.where("seq % 3 = 0").select("job_id", F.concat(F.lit("error "), F.col("seq").cast("string")).alias("error"), (F.col("seq") % 5 == 0).alias("permanent"))
-    return J.failed(j, errors, F.lit(NOW)).drop("source_id")
+    return J.failed(j, errors, F.lit(NOW)).drop("original_id")
 
 
 @query(f"WITH {STATE_SQL} SELECT job_id, CASE WHEN six = 3 THEN 'queued' WHEN six = 1 AND doc_id % 8 > 3 AND doc_id % 1000 <= 500 THEN 'queued' ELSE state END AS state FROM j")
@@ -116,7 +116,7 @@ def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.requeued(J.recovered(jobs(spark, sf_dir)), F.lit(NOW)).select("job_id", "state")
 
 
-@query(f"WITH {STATE_SQL} SELECT source_id, representation, state, CAST(doc_id % 5 AS INTEGER) AS completed_batches, CAST(doc_id % 5 + doc_id % 3 AS INTEGER) AS total_batches, doc_id % 8 > 3 AS retryable FROM j WHERE state <> 'completed'")
+@query(f"WITH {STATE_SQL} SELECT original_id, representation, state, CAST(doc_id % 5 AS INTEGER) AS completed_batches, CAST(doc_id % 5 + doc_id % 3 AS INTEGER) AS total_batches, doc_id % 8 > 3 AS retryable FROM j WHERE state <> 'completed'")
 def processing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.processing(jobs(spark, sf_dir))
 
@@ -133,12 +133,12 @@ def status_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {D.BRONZE_SQL} SELECT 'sync-' || doc_id AS job_id, CASE doc_id % 4 WHEN 0 THEN id WHEN 1 THEN id WHEN 2 THEN '' ELSE 'given' END AS source_id, '' AS key, CASE WHEN doc_id % 3 = 0 THEN 'completed' ELSE 'queued' END AS state FROM bronze"""
+    f"""WITH {D.BRONZE_SQL} SELECT 'sync-' || doc_id AS job_id, CASE doc_id % 4 WHEN 0 THEN id WHEN 1 THEN id WHEN 2 THEN '' ELSE 'given' END AS original_id, '' AS key, CASE WHEN doc_id % 3 = 0 THEN 'completed' ELSE 'queued' END AS state FROM bronze"""
 )
 def sync_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = F.col("doc_id") % 4
     key = F.when(four < 2, F.concat("id", F.lit(":1:upload"))).when(four == 2, F.concat(F.lit("x:"), "id")).otherwise(F.col("id"))
-    j = D.bronze(spark, sf_dir).select(F.format_string("sync-%d", "doc_id").alias("job_id"), F.when(four == 3, "given").when(four == 0, "").alias("source_id"), key.alias("key"), F.when(F.col("doc_id") % 3 == 0, "completed").otherwise("running").alias("state"))
+    j = D.bronze(spark, sf_dir).select(F.format_string("sync-%d", "doc_id").alias("job_id"), F.when(four == 3, "given").when(four == 0, "").alias("original_id"), key.alias("key"), F.when(F.col("doc_id") % 3 == 0, "completed").otherwise("running").alias("state"))
     return J.sync_snapshot(j)
 
 
@@ -156,27 +156,27 @@ def sync_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, kind, id, pos, value): two observations an item and one entity that many share; the entity's value differs."""
+    """(original_id, kind, id, pos, value): two observations an item and one entity that many share; the entity's value differs."""
     b = D.bronze(spark, sf_dir)
     row = lambda kind, pos, id_: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), id_.alias("id"))
     three = F.array(row("observation", 1, F.concat(F.lit("b"), "id")), row("observation", 0, F.concat(F.lit("a"), "id")), row("entity", 0, F.format_string("e%03d", F.col("doc_id") % 50)))
-    return b.select(F.col("id").alias("source_id"), "doc_id", F.explode(three).alias("r")).select("source_id", "r.*", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("value"))
+    return b.select(F.col("id").alias("original_id"), "doc_id", F.explode(three).alias("r")).select("original_id", "r.*", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("value"))
 
 
-RECORD_SQL = f"""{STATE_SQL}, rec AS (SELECT id AS source_id, k.kind, k.pos, CASE k.n WHEN 0 THEN 'b' || id WHEN 1 THEN 'a' || id ELSE format('e{{:03d}}', doc_id % 50) END AS rid, 'v' || doc_id AS value
+RECORD_SQL = f"""{STATE_SQL}, rec AS (SELECT id AS original_id, k.kind, k.pos, CASE k.n WHEN 0 THEN 'b' || id WHEN 1 THEN 'a' || id ELSE format('e{{:03d}}', doc_id % 50) END AS rid, 'v' || doc_id AS value
   FROM bronze, (VALUES (0, 'observation', 1), (1, 'observation', 0), (2, 'entity', 0)) k(n, kind, pos)), live AS (SELECT c.id FROM c WHERE is_published AND NOT deleted AND det_current)"""
 
 
-@query(f"WITH {RECORD_SQL} SELECT kind, rid AS id, arg_max(value, source_id) AS value, count(*) AS n_sources FROM rec JOIN live ON live.id = source_id GROUP BY kind, rid")
+@query(f"WITH {RECORD_SQL} SELECT kind, rid AS id, arg_max(value, original_id) AS value, count(*) AS n_sources FROM rec JOIN live ON live.id = original_id GROUP BY kind, rid")
 def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the live sources, each id once: the last source that has it tells its value."""
     live = P.live_sources(published(spark, sf_dir), manifest(spark, sf_dir)).select("id")
-    return P.latest_records(records(spark, sf_dir).join(live.withColumnRenamed("id", "source_id"), "source_id", "left_semi"))
+    return P.latest_records(records(spark, sf_dir).join(live.withColumnRenamed("id", "original_id"), "original_id", "left_semi"))
 
 
 @query(
     f"""WITH {RECORD_SQL} SELECT live.id, NOT coalesce(det_current, false) AS stale, string_agg(rid, ',' ORDER BY pos, rid) FILTER (kind = 'observation') AS observation_ids, string_agg(rid, ',' ORDER BY pos, rid) FILTER (kind = 'entity') AS entity_ids
-FROM live JOIN c USING (id) JOIN rec ON rec.source_id = live.id GROUP BY ALL"""
+FROM live JOIN c USING (id) JOIN rec ON rec.original_id = live.id GROUP BY ALL"""
 )
 def snapshot_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live sources with the ids of their records in order and whether they are stale."""
@@ -186,7 +186,7 @@ def snapshot_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("observation_ids", "entity_ids")})
 
 
-@query(f"WITH {RECORD_SQL} SELECT live.id, string_agg(rid, ',' ORDER BY pos, rid) AS observation_ids FROM live JOIN rec ON rec.source_id = live.id WHERE kind = 'observation' AND pos = 0 GROUP BY ALL")
+@query(f"WITH {RECORD_SQL} SELECT live.id, string_agg(rid, ',' ORDER BY pos, rid) AS observation_ids FROM live JOIN rec ON rec.original_id = live.id WHERE kind = 'observation' AND pos = 0 GROUP BY ALL")
 def deterministic_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot that later representations read: records of the extraction alone."""
     r = records(spark, sf_dir).withColumn("producer", F.when(F.col("pos") == 0, J.EXTRACTION).otherwise(MODEL))

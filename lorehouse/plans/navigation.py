@@ -62,7 +62,7 @@ def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {D.CLAIM_SQL}, a AS (SELECT subject_entity_id AS entity_id, c_custkey FROM claim WHERE state = 'active' UNION SELECT object_entity_id, c_custkey FROM claim WHERE object_entity_id IS NOT NULL AND state = 'active')
-SELECT DISTINCT entity_id, format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS source_id, CASE WHEN c_custkey % 100 % 2 = 0 THEN 'silver ' || c_custkey % 100 WHEN c_custkey % 100 % 3 = 0 THEN 'doc-' || c_custkey % 100 || '.txt' END AS title FROM a"""
+SELECT DISTINCT entity_id, format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS original_id, CASE WHEN c_custkey % 100 % 2 = 0 THEN 'silver ' || c_custkey % 100 WHEN c_custkey % 100 % 3 = 0 THEN 'doc-' || c_custkey % 100 || '.txt' END AS title FROM a"""
 )
 def supporting_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals behind each entity; a third of them are known to neither side."""
@@ -73,14 +73,14 @@ def supporting_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {D.CLAIM_SQL}, s AS (SELECT format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS source_id, claim_id, predicate, c_custkey FROM claim)
-SELECT DISTINCT source_id, claim_id AS id, predicate FROM s WHERE c_custkey % 4 > 0"""
+    f"""WITH {D.CLAIM_SQL}, s AS (SELECT format('{{:08x}}-0000-4000-8000-{{:012x}}', c_custkey % 100, c_custkey % 100) AS original_id, claim_id, predicate, c_custkey FROM claim)
+SELECT DISTINCT original_id, claim_id AS id, predicate FROM s WHERE c_custkey % 4 > 0"""
 )
 def source_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims of each source by the ids that the source lists."""
     listed = G.provenance(D.claims(spark, sf_dir), D.observations(spark, sf_dir), D.evidence(spark, sf_dir))
     listed = listed.where(F.split("claim_id", "-")[1].cast("bigint") % 4 > 0)
-    source = listed.groupBy(F.col("source_id").alias("id")).agg(F.collect_list("claim_id").alias("claim_ids"))
+    source = listed.groupBy(F.col("original_id").alias("id")).agg(F.collect_list("claim_id").alias("claim_ids"))
     return P.of_source(source, D.claims(spark, sf_dir).select(F.col("claim_id").alias("id"), "predicate"), "claim_ids")
 
 

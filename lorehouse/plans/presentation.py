@@ -101,12 +101,12 @@ def human_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{5,}}'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in L.COMMON)}], x)) AS w FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS source_id, w[1] AS word FROM w WHERE len(w) > 0 ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0') LIMIT 1"""
+SELECT CAST(doc_id AS VARCHAR) AS original_id, w[1] AS word FROM w WHERE len(w) > 0 ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0') LIMIT 1"""
 )
 def private_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word that only this archive's texts would be asked for."""
-    d = D.table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("order"), F.col("doc_id").cast("string").alias("source_id"), "text")
-    return L.private_word(d).select("source_id", "word")
+    d = D.table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("order"), F.col("doc_id").cast("string").alias("original_id"), "text")
+    return L.private_word(d).select("original_id", "word")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '{"row":' || o_orderkey || ',"columns":{"a":"1"}}' ELSE '{"row":' || o_orderkey || ',"values":["1"]}' END AS payload FROM orders""")

@@ -23,21 +23,21 @@ def observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     producer = F.when(F.col("pos") % 5 == 4, "knowledge/1").otherwise(EXTRACTION)
     payload = F.to_json(F.struct("text"))
     observations = b.select(observation.alias("observation_id"), F.lit("text-block").alias("kind"), payload.alias("payload"), F.array("evidence_id").alias("evidence_ids"), producer.alias("producer"))
-    return observations, b.select("evidence_id", F.col("conv_id").cast("string").alias("source_id"), selector.alias("selector"))
+    return observations, b.select("evidence_id", F.col("conv_id").cast("string").alias("original_id"), selector.alias("selector"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.chunks(*observed(spark, sf_dir))
 
 
-CHUNK_SQL = f"""{D.CONVERSATION_SQL}, ev AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, pos, text, '{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}' AS selector,
+CHUNK_SQL = f"""{D.CONVERSATION_SQL}, ev AS (SELECT CAST(conv_id AS VARCHAR) AS original_id, pos, text, '{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}' AS selector,
   sha256('evidence' || chr(0) || '{{"source":"' || conv_id || '","selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}}}') AS evidence_id FROM blocks),
 ob AS (SELECT *, sha256('observation' || chr(0) || '{{"kind":"text-block","evidence":["' || evidence_id || '"]}}') AS observation_id FROM ev WHERE pos % 5 <> 4),
 chunk AS (SELECT *, sha256('chunk' || chr(0) || '{{"evidence":"' || evidence_id || '","observation":"' || observation_id || '","part":0,"processor":"{I.CHUNKER}","version":"{I.CHUNKER_VERSION}"}}') AS chunk_id FROM ob),
-digests AS (SELECT source_id, count(*) AS n_chunks, sha256(string_agg(sha256('{{"chunk_id":"' || chunk_id || '","observation_id":"' || observation_id || '","evidence_id":"' || evidence_id || '","selector":' || to_json(selector) || ',"text":' || to_json(text) || ',"producer":"{EXTRACTION}"}}'), chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY source_id)"""
+digests AS (SELECT original_id, count(*) AS n_chunks, sha256(string_agg(sha256('{{"chunk_id":"' || chunk_id || '","observation_id":"' || observation_id || '","evidence_id":"' || evidence_id || '","selector":' || to_json(selector) || ',"text":' || to_json(text) || ',"producer":"{EXTRACTION}"}}'), chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY original_id)"""
 
 
-@query(f"WITH {CHUNK_SQL} SELECT source_id, chunk_id, observation_id, evidence_id, selector, sha256(text) AS text_hash FROM chunk")
+@query(f"WITH {CHUNK_SQL} SELECT original_id, chunk_id, observation_id, evidence_id, selector, sha256(text) AS text_hash FROM chunk")
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of what the extraction observed, with their evidence."""
     return chunks(spark, sf_dir).withColumn("text_hash", F.sha2("text", 256)).drop("text", "producer")
@@ -49,12 +49,12 @@ def chunk_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHUNK_SQL}, k AS (SELECT source_id, length(digest) AS x, CAST(source_id AS BIGINT) % 5 AS five FROM digests)
-SELECT source_id, CASE five WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' WHEN 2 THEN 'delete' WHEN 3 THEN 'replace' ELSE 'keep' END AS action FROM k"""
+    f"""WITH {CHUNK_SQL}, k AS (SELECT original_id, length(digest) AS x, CAST(original_id AS BIGINT) % 5 AS five FROM digests)
+SELECT original_id, CASE five WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' WHEN 2 THEN 'delete' WHEN 3 THEN 'replace' ELSE 'keep' END AS action FROM k"""
 )
 def chunk_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an index does with each source: other text, a new source, one that went, one chunk more, and no change."""
-    now, five = I.source_digests(chunks(spark, sf_dir)), F.col("source_id").cast("bigint") % 5
+    now, five = I.source_digests(chunks(spark, sf_dir)), F.col("original_id").cast("bigint") % 5
     stored = now.where(five != 1).withColumns({"digest": F.when(five == 0, F.sha2("digest", 256)).otherwise(F.col("digest")), "n_chunks": F.when(five == 3, F.col("n_chunks") + 1).otherwise(F.col("n_chunks"))})
     return I.chunk_actions(stored, now.where(five != 2))
 
@@ -75,36 +75,36 @@ def embedding_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.select("chunk_id", F.lit(state).alias("state"))
 
 
-@query(f"WITH {CHUNK_SQL} SELECT source_id, chunk_id FROM chunk WHERE CAST(source_id AS BIGINT) % 3 <> 0")
+@query(f"WITH {CHUNK_SQL} SELECT original_id, chunk_id FROM chunk WHERE CAST(original_id AS BIGINT) % 3 <> 0")
 def source_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).select("source_id", "chunk_id")
-    return I.without_sources(c, c.where(F.col("source_id").cast("bigint") % 3 == 0))
+    c = chunks(spark, sf_dir).select("original_id", "chunk_id")
+    return I.without_sources(c, c.where(F.col("original_id").cast("bigint") % 3 == 0))
 
 
-@query(f"WITH {CHUNK_SQL} SELECT count(DISTINCT source_id) AS n_sources, count(*) AS n_chunks, CAST(max(strlen(text)) AS INTEGER) AS largest FROM chunk")
+@query(f"WITH {CHUNK_SQL} SELECT count(DISTINCT original_id) AS n_sources, count(*) AS n_chunks, CAST(max(strlen(text)) AS INTEGER) AS largest FROM chunk")
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).agg(F.count_distinct("source_id").alias("n_sources"), F.count("*").alias("n_chunks"), F.max(F.octet_length("text")).alias("largest"))
+    return chunks(spark, sf_dir).agg(F.count_distinct("original_id").alias("n_sources"), F.count("*").alias("n_chunks"), F.max(F.octet_length("text")).alias("largest"))
 
 
 @query(
-    f"""WITH {D.CONVERSATION_SQL}, i AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, pos, pos // 4 AS batch, '{{"kind":"text-block","selector":"' || "start" || '","payload":"' || "end" || '","structural_only":false}}' AS identity FROM blocks)
-SELECT source_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, sha256(string_agg(identity, chr(10) ORDER BY pos)) AS digest FROM i GROUP BY ALL"""
+    f"""WITH {D.CONVERSATION_SQL}, i AS (SELECT CAST(conv_id AS VARCHAR) AS original_id, pos, pos // 4 AS batch, '{{"kind":"text-block","selector":"' || "start" || '","payload":"' || "end" || '","structural_only":false}}' AS identity FROM blocks)
+SELECT original_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, sha256(string_agg(identity, chr(10) ORDER BY pos)) AS digest FROM i GROUP BY ALL"""
 )
 def batch_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each batch of fragments; here four blocks make a batch."""
     b = parsers.text_blocks(D.conversations(spark, sf_dir), "conv_id")
     f = b.select(
-        F.col("conv_id").cast("string").alias("source_id"), F.col("pos").alias("ordinal"), F.floor(F.col("pos") / 4).cast("int").alias("batch"), F.lit("text-block").alias("kind"), F.col("start").cast("string").alias("selector"),
+        F.col("conv_id").cast("string").alias("original_id"), F.col("pos").alias("ordinal"), F.floor(F.col("pos") / 4).cast("int").alias("batch"), F.lit("text-block").alias("kind"), F.col("start").cast("string").alias("selector"),
         F.col("end").cast("string").alias("payload"), F.lit(None).cast("string").alias("context"), F.lit(False).alias("structural_only"),
     )
     return P.batch_digests(f)
 
 
-@query(f"WITH {CHUNK_SQL} SELECT source_id, observation_id, 'text-block' AS kind, selector, sha256(text) AS text_hash, evidence_id FROM ob")
+@query(f"WITH {CHUNK_SQL} SELECT original_id, observation_id, 'text-block' AS kind, selector, sha256(text) AS text_hash, evidence_id FROM ob")
 def rehydrated_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments again from stored observations and their evidence."""
     f = parsers.rehydrated(*observed(spark, sf_dir))
-    return f.select("source_id", "observation_id", "kind", "selector", F.sha2("text", 256).alias("text_hash"), "evidence_id")
+    return f.select("original_id", "observation_id", "kind", "selector", F.sha2("text", 256).alias("text_hash"), "evidence_id")
 
 
 @query(

@@ -29,7 +29,7 @@ def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
         _indexes[key] = SearchIndex(spark, f"{shared.rstrip('/')}/lorehouse-index-{uuid.uuid4().hex}")
     name = F.lpad(F.col("doc_id").cast("string"), 20, "0")
     none = F.lit("")
-    _indexes[key].sync(table(spark, sf_dir, "documents").select(name.alias("source_id"), name.alias("chunk_id"), none.alias("observation_id"), none.alias("evidence_id"), none.alias("selector"), "text", none.alias("producer")))
+    _indexes[key].sync(table(spark, sf_dir, "documents").select(name.alias("original_id"), name.alias("chunk_id"), none.alias("observation_id"), none.alias("evidence_id"), none.alias("selector"), "text", none.alias("producer")))
     return _indexes[key]
 
 
@@ -126,7 +126,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.format_string("e-%d", "c_custkey").alias("evidence_id"), item_id(F.col("c_custkey") % 100).alias("source_id"))
+    return table(spark, sf_dir, "customer").select(F.format_string("e-%d", "c_custkey").alias("evidence_id"), item_id(F.col("c_custkey") % 100).alias("original_id"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

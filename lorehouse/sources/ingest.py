@@ -10,7 +10,7 @@ from .parsers import parse
 
 
 def outcomes(originals: DataFrame) -> DataFrame:
-    """Originals (source_id, title, mime, content) with ``parser``, ``state`` and ``reason``; a null content is empty."""
+    """Originals (original_id, title, mime, content) with ``parser``, ``state`` and ``reason``; a null content is empty."""
     content = F.coalesce("content", F.lit(b"").cast("binary"))
     told = originals.withColumn("content", content).withColumn("parser", parser_of(F.col("title"), F.col("mime")))
     return told.withColumn("_o", outcome(F.col("title"), F.col("mime"), F.octet_length("content"), F.col("content"))).select("*", "_o.state", "_o.reason").drop("_o")
@@ -22,6 +22,6 @@ def fragments(originals: DataFrame) -> DataFrame:
 
 
 def ingested(originals: DataFrame) -> DataFrame:
-    """(source_id, state, reason, n_fragments): an empty original is ready and has none."""
-    counts = fragments(originals).groupBy("source_id").agg(F.count("*").alias("n"))
-    return outcomes(originals).select("source_id", "state", "reason").join(counts, "source_id", "left").select("source_id", "state", "reason", F.coalesce("n", F.lit(0)).alias("n_fragments"))
+    """(original_id, state, reason, n_fragments): an empty original is ready and has none."""
+    counts = fragments(originals).groupBy("original_id").agg(F.count("*").alias("n"))
+    return outcomes(originals).select("original_id", "state", "reason").join(counts, "original_id", "left").select("original_id", "state", "reason", F.coalesce("n", F.lit(0)).alias("n_fragments"))

@@ -274,21 +274,21 @@ def fragments_of(parser: str, content: bytes) -> list[dict]:
     return out
 
 
-def parse(originals: DataFrame, id_col: str = "source_id", parser_col: str = "parser", content_col: str = "content") -> DataFrame:
+def parse(originals: DataFrame, id_col: str = "original_id", parser_col: str = "parser", content_col: str = "content") -> DataFrame:
     """(id, ordinal, fragment columns): all fragments of each original, in order. Selectors and payloads are canonical JSON.
 
     Flat JSON, plain CSV and plain text are read by expressions; only the other originals go through Python.
     """
-    rows = originals.select(F.col(id_col).alias("source_id"), F.col(parser_col).alias("parser"), F.col(content_col).cast("binary").alias("content"))
+    rows = originals.select(F.col(id_col).alias("original_id"), F.col(parser_col).alias("parser"), F.col(content_col).cast("binary").alias("content"))
     routed = rows.withColumn("route", native.route(F.col("parser"), F.col("content")))
-    told = routed.where("route is not null").select("source_id", F.posexplode(native.fragments(F.col("route"), F.col("content"))).alias("ordinal", "f"))
-    return told.select("source_id", "ordinal", "f.*").unionByName(by_grammar(routed.where("route is null")))
+    told = routed.where("route is not null").select("original_id", F.posexplode(native.fragments(F.col("route"), F.col("content"))).alias("ordinal", "f"))
+    return told.select("original_id", "ordinal", "f.*").unionByName(by_grammar(routed.where("route is null")))
 
 
 def by_grammar(rows: DataFrame) -> DataFrame:
-    """Fragments of originals (source_id, parser, content) by the parsers of this module, in Arrow batches."""
+    """Fragments of originals (original_id, parser, content) by the parsers of this module, in Arrow batches."""
     as_json = lambda x: None if x is None else canonical_json(x)
-    names = ["source_id", "ordinal", *(c.split()[0] for c in FRAGMENT.split(", "))]
+    names = ["original_id", "ordinal", *(c.split()[0] for c in FRAGMENT.split(", "))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +303,7 @@ def by_grammar(rows: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays(arrays(held), names=names)
 
-    return rows.select("source_id", "parser", "content").mapInArrow(of, f"source_id {rows.schema['source_id'].dataType.simpleString()}, ordinal int, {FRAGMENT}")
+    return rows.select("original_id", "parser", "content").mapInArrow(of, f"original_id {rows.schema['original_id'].dataType.simpleString()}, ordinal int, {FRAGMENT}")
 
 
 def text_blocks(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -369,20 +369,20 @@ def fragment_text(kind: Column, payload: Column) -> Column:
 
 
 def rehydrated(observations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(source_id, observation_id, kind, selector, payload, text, evidence_id): fragments again, from what the extraction
+    """(original_id, observation_id, kind, selector, payload, text, evidence_id): fragments again, from what the extraction
     stored. Observations of other producers, or with several pieces of evidence, are none; missing evidence fails."""
     from ..operators.jobs import EXTRACTION
 
     own = observations.where((F.col("producer") == EXTRACTION) & (F.size("evidence_ids") == 1)).withColumn("evidence_id", F.col("evidence_ids")[0])
-    found = own.join(evidence.select("evidence_id", "source_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
+    found = own.join(evidence.select("evidence_id", "original_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
     found = found.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an observation refers to missing evidence")).isNull())
-    return found.select("source_id", "observation_id", "kind", "selector", "payload", fragment_text(F.col("kind"), F.col("payload")).alias("text"), "evidence_id")
+    return found.select("original_id", "observation_id", "kind", "selector", "payload", fragment_text(F.col("kind"), F.col("payload")).alias("text"), "evidence_id")
 
 
 def chunks(observations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(source_id, chunk_id, observation_id, evidence_id, selector, text, producer): what search sees of observations.
+    """(original_id, chunk_id, observation_id, evidence_id, selector, text, producer): what search sees of observations.
 
-    Observations are (observation_id, kind, payload, evidence_ids, producer), evidence is (evidence_id, source_id, selector).
+    Observations are (observation_id, kind, payload, evidence_ids, producer), evidence is (evidence_id, original_id, selector).
     Only those of the extraction with one piece of evidence count; evidence that is missing fails the query.
     """
     from ..operators.index import chunk_id
@@ -390,8 +390,8 @@ def chunks(observations: DataFrame, evidence: DataFrame) -> DataFrame:
 
     told = observations.where((F.col("producer") == EXTRACTION) & (F.size("evidence_ids") == 1))
     told = told.select("observation_id", "producer", F.col("evidence_ids")[0].alias("evidence_id"), retrieval_text(F.col("kind"), F.col("payload")).alias("text")).where(trimmed(F.col("text")) != "")
-    found = told.join(evidence.select("evidence_id", "source_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
+    found = told.join(evidence.select("evidence_id", "original_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
     found = found.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an observation refers to missing evidence")).isNull()).drop("_there")
     parts = found.withColumn("parts", F.when(F.octet_length("text") <= CHUNK_BYTES, F.array(trimmed(F.col("text")))).otherwise(split_for_retrieval(F.col("text"))))
-    spread = parts.select("source_id", "observation_id", "evidence_id", "selector", "producer", F.posexplode("parts").alias("part", "text"))
-    return spread.select("source_id", chunk_id(F.col("observation_id"), F.col("evidence_id"), F.col("part")).alias("chunk_id"), "observation_id", "evidence_id", "selector", "text", "producer")
+    spread = parts.select("original_id", "observation_id", "evidence_id", "selector", "producer", F.posexplode("parts").alias("part", "text"))
+    return spread.select("original_id", chunk_id(F.col("observation_id"), F.col("evidence_id"), F.col("part")).alias("chunk_id"), "observation_id", "evidence_id", "selector", "text", "producer")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.ingest import fragments, outcomes
 
-ORIGINAL = "source_id string, title string, mime string, content binary"
+ORIGINAL = "original_id string, title string, mime string, content binary"
 
 
 def publish(spark: SparkSession, inbox: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -23,27 +23,27 @@ def publish(spark: SparkSession, inbox: str, out: str, checkpoint: str, every: s
 
     def sink(batch: DataFrame, number: int) -> None:
         fragments(batch).write.mode("overwrite").parquet(f"{out}/fragments/batch={number}")
-        outcomes(batch).select("source_id", F.sha2("content", 256).alias("hash"), "title", "mime", "state", "reason").write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+        outcomes(batch).select("original_id", F.sha2("content", 256).alias("hash"), "title", "mime", "state", "reason").write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
 
     writer = spark.readStream.schema(ORIGINAL).parquet(inbox).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def latest(spark: SparkSession, out: str, manifest: DataFrame | None = None) -> DataFrame:
-    """(source_id, hash, title, mime, state, reason, batch): the last outcome of each source. With a manifest (id, hash,
+    """(original_id, hash, title, mime, state, reason, batch): the last outcome of each source. With a manifest (id, hash,
     title, mime, deleted) only of sources whose item is live and still the same."""
     told = spark.read.parquet(f"{out}/outcomes")
-    last = told.groupBy("source_id").agg(F.max("batch").alias("batch"))
-    told = told.join(last, ["source_id", "batch"], "left_semi")
+    last = told.groupBy("original_id").agg(F.max("batch").alias("batch"))
+    told = told.join(last, ["original_id", "batch"], "left_semi")
     if manifest is None:
         return told
-    live = manifest.where(~F.col("deleted")).select(F.col("id").alias("source_id"), "hash", "title", "mime")
-    return told.join(live, ["source_id", "hash", "title", "mime"], "left_semi")
+    live = manifest.where(~F.col("deleted")).select(F.col("id").alias("original_id"), "hash", "title", "mime")
+    return told.join(live, ["original_id", "hash", "title", "mime"], "left_semi")
 
 
 def published(spark: SparkSession, out: str, manifest: DataFrame | None = None) -> DataFrame:
     """The fragments of each source's last batch."""
-    return spark.read.parquet(f"{out}/fragments").join(latest(spark, out, manifest), ["source_id", "batch"], "left_semi")
+    return spark.read.parquet(f"{out}/fragments").join(latest(spark, out, manifest), ["original_id", "batch"], "left_semi")
 
 
 def contained(step: Callable[[], object]) -> str:

@@ -47,7 +47,7 @@ def test_originals_come_and_go(spark, tmp_path):
 
 def test_plans_and_completions(spark, tmp_path):
     a = Archive(spark, str(tmp_path / "a"))
-    plan = lambda *keys: spark.createDataFrame([(k, None, "t", "upload") for k in keys], "key string, source_id string, title string, direction string")
+    plan = lambda *keys: spark.createDataFrame([(k, None, "t", "upload") for k in keys], "key string, original_id string, title string, direction string")
     first = {r.key: r.job_id for r in a.plan_sync(plan("k1", "k2"), 10).collect()}
     assert first == {"k1": "sync-1", "k2": "sync-2"}
     second = {r.key: r.job_id for r in a.plan_sync(plan("k2", "k3"), 20).collect()}

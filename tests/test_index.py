@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def chunks(spark, rows):
-    df = spark.createDataFrame(rows, "source_id string, chunk_id string, text string")
-    return df.select("source_id", "chunk_id", F.lit("o").alias("observation_id"), F.lit("e").alias("evidence_id"), F.lit("{}").alias("selector"), "text", F.lit("p").alias("producer"))
+    df = spark.createDataFrame(rows, "original_id string, chunk_id string, text string")
+    return df.select("original_id", "chunk_id", F.lit("o").alias("observation_id"), F.lit("e").alias("evidence_id"), F.lit("{}").alias("selector"), "text", F.lit("p").alias("producer"))
 
 
 FIRST = [("s1", "a", "copper kettle on the copper shelf"), ("s1", "b", "tin kettle"), ("s2", "c", "glass foo-bar kettle"), ("s3", "d", None), ("s4", "e", "bar foo")]
@@ -28,12 +28,12 @@ def test_sync_writes_only_what_changed(spark, tmp_path):
     same_as_scan(found, df)
     assert {r.action for r in found.sync(df).collect()} == {"keep"} and found._generations() == [1]
     now = chunks(spark, [r for r in FIRST if r[0] != "s4"][:-2] + [("s2", "c", "glass kettle, other words"), ("s3", "d", None), ("s5", "f", "new copper")])
-    assert {r.source_id: r.action for r in found.sync(now).collect()} == {"s1": "keep", "s2": "replace", "s3": "keep", "s4": "delete", "s5": "insert"}
+    assert {r.original_id: r.action for r in found.sync(now).collect()} == {"s1": "keep", "s2": "replace", "s3": "keep", "s4": "delete", "s5": "insert"}
     same_as_scan(found, now)
     assert spark.read.parquet(found._at("chunks", 2)).count() == 2
     assert {r.chunk_id for r in found.chunks().collect()} == {"a", "b", "c", "d", "f"}
-    found.delete(spark.createDataFrame([("s1",)], "source_id string"))
-    same_as_scan(found, now.where("source_id <> 's1'"))
+    found.delete(spark.createDataFrame([("s1",)], "original_id string"))
+    same_as_scan(found, now.where("original_id <> 's1'"))
 
 
 def test_a_generation_without_its_mark_does_not_count(spark, tmp_path):

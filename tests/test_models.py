@@ -88,9 +88,9 @@ def test_stream_forgets_deleted_originals(spark, tmp_path):
     rows = [("s1", "a.json", "application/json", bytearray(b'{"a": 1}')), ("s2", "p.png", "image/png", bytearray(b"\x89PNG")), ("s3", "n.txt", "text/plain", bytearray(b"\xff"))]
     spark.createDataFrame(rows, reconcile.ORIGINAL).write.parquet(str(tmp_path / "in"))
     reconcile.publish(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    told = {r.source_id: (r.state, r.reason) for r in reconcile.latest(spark, str(tmp_path / "out")).collect()}
+    told = {r.original_id: (r.state, r.reason) for r in reconcile.latest(spark, str(tmp_path / "out")).collect()}
     assert told == {"s1": ("ready", None), "s2": ("skipped", "unsupported_content"), "s3": ("failed", "invalid_utf8")}
-    one = reconcile.latest(spark, str(tmp_path / "out")).where("source_id = 's1'").first()
+    one = reconcile.latest(spark, str(tmp_path / "out")).where("original_id = 's1'").first()
     manifest = lambda deleted: spark.createDataFrame([("s1", one["hash"], "a.json", "application/json", deleted)], "id string, hash string, title string, mime string, deleted boolean")
     count = lambda *a: reconcile.published(spark, str(tmp_path / "out"), *a).count()
     assert (count(), count(manifest(False)), count(manifest(True))) == (1, 1, 0)

@@ -69,7 +69,7 @@ def test_entities_collide_by_label_and_type(spark):
 
 
 def test_coverage_of_nothing_is_ready(spark):
-    df = spark.createDataFrame([("s", 0, 0, None)], "source_id string, n_semantic bigint, n_completed bigint, skip_reason string")
+    df = spark.createDataFrame([("s", 0, 0, None)], "original_id string, n_semantic bigint, n_completed bigint, skip_reason string")
     assert knowledge.coverage(df).first()["state"] == "ready"
 
 
@@ -88,10 +88,10 @@ def test_omni_relevance(spark):
 
 
 def test_sync_rules(spark):
-    plan = spark.createDataFrame([("a:1", "a", "t", "upload"), ("a:1", "a", "t", "upload"), ("x", "b", "t", "upload"), ("c", None, "t", "sideways"), ("d", None, "t", "download")], "key string, source_id string, title string, direction string")
+    plan = spark.createDataFrame([("a:1", "a", "t", "upload"), ("a:1", "a", "t", "upload"), ("x", "b", "t", "upload"), ("c", None, "t", "sideways"), ("d", None, "t", "download")], "key string, original_id string, title string, direction string")
     assert sorted(r.key for r in sync.invalid_plan_rows(plan).collect()) == ["a:1", "a:1", "c", "x"]
     items = spark.createDataFrame([("i1", "one"), ("i2", "two"), ("i3", "two")], "id string, title string")
-    jobs = spark.createDataFrame([("k1", "i2", "x"), ("k2", None, "one"), ("k3", None, "two")], "key string, source_id string, title string")
+    jobs = spark.createDataFrame([("k1", "i2", "x"), ("k2", None, "one"), ("k3", None, "two")], "key string, original_id string, title string")
     assert {r.key: r.item_id for r in sync.job_items(jobs, items).collect()} == {"k1": "i2", "k2": "i1", "k3": None}
 
 
@@ -101,7 +101,7 @@ def test_stream_equals_batch(spark, tmp_path):
     originals.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         reconcile.publish(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    pick = lambda df: sorted((r.source_id, r.ordinal, r.kind, r.text) for r in df.collect())
+    pick = lambda df: sorted((r.original_id, r.ordinal, r.kind, r.text) for r in df.collect())
     assert pick(reconcile.published(spark, str(tmp_path / "out"))) == pick(reconcile.fragments(originals))
 
 

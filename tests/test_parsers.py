@@ -77,9 +77,9 @@ def test_expressions_equal_the_grammar(spark):
         ("text", "one\n\n  two lines\nhere \n\n\n\u00a0\n\nthree ø"), ("text", "k: v\nl: w"), ("text", "k: v\nno pair"), ("text", "k: v"), ("text", '{"a": 1}'), ("text", "[no json"), ("text", "x" * 5000), ("text", 'q"uo\\te\ttab'), ("text", "a\x01b"), ("text", "\ufeffmark"), ("text", ""),
         ("text", "a:b\nc:d\n\nplain"), ("text", ": v\n: w"), ("text", "k:\nl: w"), ("markdown", "# h\n\nbody"),
     ]
-    rows = spark.createDataFrame([(i, p, bytearray(t.encode())) for i, (p, t) in enumerate(texts)], "source_id int, parser string, content binary")
+    rows = spark.createDataFrame([(i, p, bytearray(t.encode())) for i, (p, t) in enumerate(texts)], "original_id int, parser string, content binary")
     told, plain = P.parse(rows), P.by_grammar(rows)
     key = lambda df: sorted(tuple(map(str, r)) for r in df.select(*plain.columns).collect())
     assert key(told) == key(plain)
-    routed = rows.select("source_id", P.native.route(rows.parser, rows.content).alias("r")).where("r is not null")
-    assert {texts[r.source_id][0] for r in routed.collect()} == {"json", "csv", "text"} and 12 < routed.count() < len(texts) - 12
+    routed = rows.select("original_id", P.native.route(rows.parser, rows.content).alias("r")).where("r is not null")
+    assert {texts[r.original_id][0] for r in routed.collect()} == {"json", "csv", "text"} and 12 < routed.count() < len(texts) - 12
