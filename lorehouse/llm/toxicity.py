@@ -39,6 +39,8 @@ LEXICON = (
     "imbécil idiota estúpido basura escoria patético asqueroso payaso inútil tonto cabrón gilipollas cretino tarado"
 ).split()
 STEMS = (4, 5)
+#: Rows of the sample that a feature has to be in: one in fewer is never evidence enough, nor a sign of a copy.
+SEEN = 3
 _BITS = np.uint64(40)
 _SALT = {k: np.uint64(k << 32 | 1) for k in (0, *STEMS)}
 
@@ -136,14 +138,20 @@ def apart(n: int, doc: np.ndarray, col: np.ndarray, n_cols: int, bands: int = 8,
     return keep
 
 
-def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4, contrast: float = 12.0, least: float = 20.0) -> Model | None:
+def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4, contrast: float = 12.0, least: float = 30.0) -> Model | None:
     """Label model and classifier from (text, label) rows, label 0 or 1."""
     if not rows or len({r["label"] for r in rows}) < 2:
         return None
     mark = np.array([float(r["label"]) for r in rows])
     parts = [(first + doc, f) for first, _, doc, f in features_of(pa.array([r["text"] for r in rows], pa.large_string()))]
-    doc = np.concatenate([p[0] for p in parts])
-    names, col = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    doc, f = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
+    del parts
+    names, many = np.unique(f, return_counts=True)
+    names = names[many >= SEEN]
+    col = np.minimum(np.searchsorted(names, f), max(len(names) - 1, 0)).astype(np.int32)
+    use = names[col] == f if len(names) else np.zeros(len(f), bool)
+    doc, col = doc[use], col[use]
+    del f, use, many
     keep = apart(len(rows), doc, col, len(names))
     doc, col, mark = (np.cumsum(keep) - 1)[doc[keep[doc]]], col[keep[doc]], mark[keep]
     n = len(mark)
