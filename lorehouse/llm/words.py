@@ -19,6 +19,7 @@ _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
+
 @dataclass
 class Words:
     """Words of ``n_docs`` documents from row ``first`` of the batch on."""
