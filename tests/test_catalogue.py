@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from lorehouse.functions.text import canonical_json
 from lorehouse.plans import catalogue
+from lorehouse.sources import ingest, parsers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,3 +37,14 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
+
+
+def test_document_fragments_equal_the_grammar(spark):
+    """The query without SQL, against the parsers of single documents on every original that is ready."""
+    found = catalogue.document_fragments(spark, DATA).select("original_id", "ordinal", "kind", "selector", "structural_only").collect()
+    ready = ingest.outcomes(catalogue.originals(spark, DATA)).where("state = 'ready'").select("original_id", "parser", "content").collect()
+    want = Counter()
+    for r in ready:
+        for i, f in enumerate(parsers.fragments_of(r.parser, bytes(r.content))):
+            want[(r.original_id, i, f["kind"], canonical_json(f["selector"]), f["structural_only"])] += 1
+    assert Counter(map(tuple, found)) == want
