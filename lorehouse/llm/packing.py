@@ -274,20 +274,32 @@ class Shard:
         term, tf, self.doc = term[use], tf[use], (key[use] % key.dtype.type(many)).astype(np.int32)
         del key, new, use
         self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * self.n[self.doc] / mean))
-        starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
-        self.start, self.count = starts.astype(np.int32), np.diff(np.append(starts, len(term))).astype(np.int32)
-        list_of = np.repeat(np.arange(len(starts), dtype=np.int32), self.count)
+        new = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
+        self.list_of = np.cumsum(new, dtype=np.int32) - np.int32(1)
         order = np.argsort(self.doc, kind="stable")
-        self.terms = np.split(list_of[order], np.cumsum(np.bincount(self.doc, minlength=many))[:-1])
+        self.terms = np.split(self.list_of[order], np.cumsum(np.bincount(self.doc, minlength=many))[:-1])
+        self.left = many
+        self._bound(int(new.sum()))
+
+    def _bound(self, lists: int) -> None:
+        ends = np.cumsum(np.bincount(self.list_of, minlength=lists))
+        self.bounds = np.concatenate([[0], ends]).tolist()
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Drop the postings of used documents once a fifth of those that are left have been used: no score is asked of them."""
+        now = int(unused.sum())
+        if now <= 0.8 * self.left:
+            keep = unused[self.doc]
+            self.doc, self.weight, self.list_of, self.left = self.doc[keep], self.weight[keep], self.list_of[keep], now
+            self._bound(len(self.bounds) - 1)
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the terms of ``doc``."""
-        lists = self.terms[doc]
-        count = self.count[lists]
-        ends = np.cumsum(count, dtype=np.int32)
-        at = np.repeat(self.start[lists] - (ends - count), count)
-        at += np.arange(len(at), dtype=np.int32)
-        return np.bincount(self.doc[at], self.weight[at], minlength=len(self.tokens))
+        """BM25 of every document that was not dropped for the terms of ``doc``."""
+        b = self.bounds
+        parts = [slice(b[k], b[k + 1]) for k in self.terms[doc].tolist()]
+        if not parts:
+            return np.zeros(len(self.tokens))
+        return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), minlength=len(self.tokens))
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Pieces (document, start, length) of each sequence."""
@@ -320,6 +332,7 @@ class Shard:
                         seed = take
                     break
                 if turn is None:
+                    self.forget(unused)
                     s = np.where(unused, self.scores(score_of), -1.0)
                     turn = _ranked(s, int(unused.sum()))
                 take = next(turn, -1)
