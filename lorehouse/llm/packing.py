@@ -35,8 +35,8 @@ from .common import cut, small_batches
 from .words import in_runs
 
 WINDOW, END = 2048, 1
-#: Fixed value: where a byte-level vocabulary cuts a text before its merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: where a byte-level vocabulary cuts a text before its merges, in a form that never looks back.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _coders: dict[str, Coder] = {}
 #: Numbers of a document's sketch, documents of the tree's sample, and those of a leaf. Shards are dealt to this share of
 #: their bounds, so that a sample's error seldom cuts a small rest off.
