@@ -1,4 +1,4 @@
-"""The ten registered queries opN_<name> and, where SQL can say it, their DuckDB equivalents."""
+"""The registered queries opN_<name> and, where SQL can say it, their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
+from . import embedding_dedup, jaccard_join, language_id, merkle, mixing, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filters
 from .common import bucket_of, cut, scratch_path, table
 
 
@@ -138,9 +138,65 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest by source, checked against documents of which some are tampered with."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    told = merkle.manifest(table(spark, sf_dir, "documents"), fields, "source", "doc_id", {"text": merkle.lowered_sometimes(F.col("doc_id"), F.col("text"))})
+    return merkle.verified(told).withColumnRenamed("key", "doc_id")
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Levels that a tree doesn't have pass its root on, with null siblings; 16 ** 8 leaves are more than any table here has."""
+
+    def nodes(name: str, below: str, tree: str) -> str:
+        run = f"PARTITION BY {tree}, pos // 16 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}s AS (SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lft,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS rgt FROM {below}),
+{name} AS (SELECT {tree}, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h FROM {below} GROUP BY {tree}, pos // 16, (n + 15) // 16)"""
+
+    own, last = ["leaf", *[f"s{k}" for k in range(1, levels + 1)]], ["sub", *[f"r{k}" for k in range(1, levels + 1)]]
+    parts = [nodes(own[k + 1], own[k], "src") for k in range(levels)] + [f"sub AS (SELECT 0 AS one, src, h, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM {own[-1]})"]
+    parts += [nodes(last[k + 1], last[k], "one") for k in range(levels)]
+    at = [f"s{k}s" for k in range(1, levels + 1)]
+    joins = " ".join(f"JOIN {a} ON {a}.src IS NOT DISTINCT FROM l.src AND {a}.pos = l.pos // {16**k}" for k, a in enumerate(at))
+    joins += " JOIN sub ON sub.src IS NOT DISTINCT FROM l.src " + " ".join(f"JOIN r{k}s ON r{k}s.pos = sub.pos // {16 ** (k - 1)}" for k in range(1, levels + 1))
+    both = [*at, *[f"r{k}s" for k in range(1, levels + 1)]]
+    fold = "l.chk"
+    steps = []
+    for k, a in enumerate(both):
+        before = fold if k == 0 else f"f{k - 1}"
+        steps.append(f"CASE WHEN {a}_l IS NULL THEN {before} ELSE sha256({a}_l || {before} || {a}_r) END AS f{k}")
+    told = ", ".join(f"{a}.lft AS {a}_l, {a}.rgt AS {a}_r" for a in both)
+    nested, columns = f"(SELECT l.doc_id, l.h, l.chk, sub.h AS subroot, r{levels}.h AS root, {told} FROM leaf l {joins} JOIN r{levels} ON true)", ""
+    for k, step in enumerate(steps):
+        nested = f"(SELECT *, {step.replace('l.chk', 'chk')} FROM {nested})"
+    proof = " || ".join(f"coalesce({a}_l || {a}_r, '')" for a in both)
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    fields = " || ".join(map(value, ("doc_id", "source", "lang", "n_chars")))
+    table_ = "list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    crc = "xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda i: ascii(k[i]))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+    return f"""WITH tampered AS (SELECT *, CASE WHEN coalesce({crc} % 5 = 0, false) THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END AS other
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS k, {table_} AS t FROM documents)),
+leaf AS (SELECT doc_id, source AS src, h, chk, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, sha256({fields} || {value("text")}) AS h, sha256({fields} || {value("other")}) AS chk FROM tampered)),
+{", ".join(parts)}
+SELECT doc_id, h AS leaf, subroot, root, sha256({proof}) AS proof_sha256, f{len(both) - 1} AS folded_root, f{len(both) - 1} = root AS verified FROM {nested}"""
+
+
+OP11_SQL = _merkle_sql()
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents")).drop("n_words")
+
+
 OPERATORS = (
     op1_quality_rules, op2_url_filters, op3_ngram_jaccard, op4_language_id, op5_mixing,
-    op6_embedding_dedup, op7_toxicity, op8_quality_classifier, op9_token_counts, op10_packing,
+    op6_embedding_dedup, op7_toxicity, op8_quality_classifier, op9_token_counts, op10_packing, op11_merkle_manifest, op12_secret_scan, op13_periodic_runs,
 )
 
 
@@ -149,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_token_counts": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_token_counts": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
