@@ -136,9 +136,10 @@ def repeats(value: str) -> list[list[int]]:
     return out
 
 
-def guess_bits(value: str, bits: dict[str, float]) -> float:
-    """The least sum of bits over all ways to cut the value into segments, from left to right."""
-    n, walk, times = len(value), walks(value), repeats(value)
+def guess_bits(value: str, bits: dict[str, float], units: dict[str, float] | None = None) -> float:
+    """The least sum of bits over all ways to cut the value into segments, from left to right; ``units`` has what repeated
+    units cost, once each."""
+    n, walk, times, units = len(value), walks(value), repeats(value), {} if units is None else units
     best = [0.0] + [math.inf] * n
     for i in range(n):
         best[i + 1] = min(best[i + 1], best[i] + single(value[i]))
@@ -150,8 +151,9 @@ def guess_bits(value: str, bits: dict[str, float]) -> float:
         for size in range(1, len(times)):
             if (k := times[size][i]) > 1 and k * size >= 3:
                 unit = value[i : i + size]
-                own = guess_bits(unit, bits) if size > 1 else single(unit)
-                best[i + k * size] = min(best[i + k * size], best[i] + own + math.log2(k))
+                if unit not in units:
+                    units[unit] = guess_bits(unit, bits, units) if size > 1 else single(unit)
+                best[i + k * size] = min(best[i + k * size], best[i] + units[unit] + math.log2(k))
     return best[n]
 
 
