@@ -76,17 +76,28 @@ def coverage(batches: DataFrame) -> DataFrame:
     return per.withColumn("state", state)
 
 
+#: Bytes of the contexts' member, ``,"contexts":[]``, of an encoded input that has any.
+CONTEXTS = 14
+
+
 def batches_of(sizes: list[int], contexts: list[tuple[str, int] | None], structural: list[bool], target: int, base: int = 0) -> list[int]:
     """Batch number of each fragment: a batch, of ``base`` bytes when empty, is cut before the fragment that would pass
-    ``target`` bytes. A context counts once a batch; structural fragments count nothing and never cut."""
-    out, batch, used, seen, begun = [], 0, base, set(), False
+    ``target`` bytes. Entries of a list have commas between them, a context counts once a batch; structural fragments count
+    nothing and never cut."""
+    out, batch, used, seen, begun, entries = [], 0, base, set(), False, 0
+
+    def grown(size: int, context: tuple[str, int] | None) -> int:
+        own = size + (1 if entries else 0)
+        if context and context[0] not in seen:
+            own += context[1] + (1 if seen else CONTEXTS)
+        return own
+
     for size, context, alone in zip(sizes, contexts, structural, strict=True):
-        extra = context[1] if context and context[0] not in seen and not alone else 0
-        if begun and not alone and used + size + extra > target:
-            batch, used, seen = batch + 1, base, set()
-            extra = context[1] if context else 0
+        if begun and not alone and used + grown(size, context) > target:
+            batch, used, seen, entries = batch + 1, base, set(), 0
         if not alone:
-            used += size + extra
+            used += grown(size, context)
+            entries += 1
             if context:
                 seen.add(context[0])
         begun = True
@@ -94,21 +105,37 @@ def batches_of(sizes: list[int], contexts: list[tuple[str, int] | None], structu
     return out
 
 
+def encoded_bytes(text: Column) -> Column:
+    """Bytes of JSON text once ``<``, ``>``, ``&`` and the two line separators are written as escapes."""
+    times = lambda marks: F.length(text) - F.length(F.translate(text, marks, ""))
+    return F.octet_length(text) + 5 * times("<>&") + 3 * times("\u2028\u2029")
+
+
+def model_input(fragments: DataFrame) -> DataFrame:
+    """``fragments`` with the parts of the JSON that a model gets of a batch: ``_head`` without any entry, ``_entry``, and
+    ``_about`` of its context, whose id is ``_context``."""
+    evidence = stable_id("evidence", F.to_json(F.struct(F.col("original_id").cast("string").alias("source"), F.col("selector"))))
+    context_id = F.when(F.col("context").isNotNull(), stable_id("context", F.col("context")))
+    parent = F.coalesce(F.concat(F.lit(',"parent_context_id":"'), context_id, F.lit('"')), F.lit(""))
+    kind = F.to_json(F.struct("kind"))
+    entry = F.concat(F.lit('{"fragment_id":"'), evidence, F.lit('",'), F.substring(kind, F.lit(2), F.length(kind) - 2), F.lit(',"selector":'), "selector", parent, F.lit(',"payload":'), compact_payload(F.col("kind"), F.col("payload")), F.lit("}"))
+    about = F.concat(F.lit('{"context_id":"'), context_id, F.lit('",'), F.substring("context", 2, 1 << 30))
+    named = F.to_json(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("mime", F.lit("")).alias("mime")))
+    head = F.concat(F.substring(named, F.lit(1), F.length(named) - 1), F.lit(',"fragments":[]}'))
+    return fragments.select("*", head.alias("_head"), entry.alias("_entry"), context_id.alias("_context"), about.alias("_about"))
+
+
 def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = None) -> DataFrame:
     """``fragments`` (original_id, ordinal, title, mime, kind, selector, payload, text, context, structural_only) with
-    ``batch``: ordered greedy batches per source, by the bytes of the input that a model would get of each.
+    ``batch``: ordered greedy batches per source, by the bytes of the encoded input that a model would get of each.
 
     Sizes are made by expressions; only they meet in one task, and a source has at most 8 MiB.
     """
     target = min(target, most_bytes or target)
-    evidence = stable_id("evidence", F.to_json(F.struct(F.col("original_id").cast("string").alias("source"), F.col("selector"))))
-    context_id = F.when(F.col("context").isNotNull(), stable_id("context", F.col("context")))
-    parent = F.coalesce(F.concat(F.lit(',"parent_context_id":"'), context_id, F.lit('"')), F.lit(""))
-    entry = F.concat(F.lit('{"id":"'), evidence, F.lit('","kind":"'), "kind", F.lit('"'), parent, F.lit(',"payload":'), compact_payload(F.col("kind"), F.col("payload")), F.lit(',"selector":'), "selector", F.lit("},"))
-    about = F.concat(F.lit('{"id":"'), context_id, F.lit('",'), F.substring("context", 2, 1 << 30), F.lit(","))
-    head = F.octet_length(F.to_json(F.struct(F.lit(1).alias("contexts"), F.lit(1).alias("fragments"), F.coalesce("mime", F.lit("")).alias("mime"), F.coalesce("title", F.lit("")).alias("title"))))
     silent = F.col("structural_only") | (trimmed(F.coalesce("text", F.lit(""))) == "")
-    sized = fragments.select("*", F.octet_length(entry).alias("_size"), context_id.alias("_context"), F.octet_length(about).alias("_about"), head.alias("_head"), silent.alias("_silent"))
+    sized = model_input(fragments).select(
+        "original_id", "ordinal", encoded_bytes(F.col("_entry")).alias("_size"), "_context", encoded_bytes(F.col("_about")).alias("_about"), encoded_bytes(F.col("_head")).alias("_head"), silent.alias("_silent")
+    )
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal", kind="stable")
@@ -116,7 +143,7 @@ def batched(fragments: DataFrame, target: int = 4096, most_bytes: int | None = N
         return group[["original_id", "ordinal"]].assign(batch=batches_of(group["_size"].tolist(), contexts, group["_silent"].tolist(), target, int(group["_head"].iloc[0])))
 
     kinds = {c: fragments.schema[c].dataType.simpleString() for c in ("original_id", "ordinal")}
-    dealt = sized.select("original_id", "ordinal", "_size", "_context", "_about", "_head", "_silent").groupBy("original_id").applyInPandas(of, f"original_id {kinds['original_id']}, ordinal {kinds['ordinal']}, batch int")
+    dealt = sized.groupBy("original_id").applyInPandas(of, f"original_id {kinds['original_id']}, ordinal {kinds['ordinal']}, batch int")
     return fragments.join(dealt, ["original_id", "ordinal"])
 
 

@@ -186,11 +186,15 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "part", F.octet_length("chunk").alias("n_bytes"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 
+_ESCAPED = "replace(replace(replace(replace(replace(CAST(to_json(text) AS VARCHAR), '<', '_u003c'), '>', '_u003e'), '&', '_u0026'), chr(8232), '_u2028'), chr(8233), '_u2029')"
+
+
 @query(
     f"""WITH RECURSIVE {D.CONVERSATION_SQL}, e AS (SELECT CAST(conv_id AS VARCHAR) AS original_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS BIGINT) AS n,
-  strlen('{{"id":"","kind":"text-block","payload":{{"text":' || to_json(text) || '}},"selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}}}},') + 64 AS size FROM blocks),
-g AS (SELECT original_id, n, 0 AS batch, size + 51 AS used FROM e WHERE n = 0
-  UNION ALL SELECT e.original_id, e.n, CASE WHEN used + size > 700 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 700 THEN 51 + size ELSE used + size END FROM g JOIN e ON e.original_id = g.original_id AND e.n = g.n + 1)
+  strlen('{{"fragment_id":"","kind":"text-block","selector":{{"end":' || "end" || ',"kind":"utf8-byte-range","start":' || "start" || '}},"payload":{{"text":' || {_ESCAPED} || '}}}}') + 64 AS size,
+  strlen('{{"title":"t","mime":"text/plain","fragments":[]}}') AS head FROM blocks),
+g AS (SELECT original_id, n, 0 AS batch, head + size AS used FROM e WHERE n = 0
+  UNION ALL SELECT e.original_id, e.n, CASE WHEN used + 1 + size > 700 THEN batch + 1 ELSE batch END, CASE WHEN used + 1 + size > 700 THEN head + size ELSE used + 1 + size END FROM g JOIN e ON e.original_id = g.original_id AND e.n = g.n + 1)
 SELECT original_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_fragments, CAST(min(n) AS INTEGER) AS first FROM g GROUP BY ALL"""
 )
 def fragment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

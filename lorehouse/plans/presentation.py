@@ -73,16 +73,12 @@ def note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * (o_custkey + 1) AS DOUBLE) AS b FROM orders), u AS (SELECT *, CASE WHEN b < 1024 THEN 0 WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 WHEN b < 1099511627776 THEN 3 ELSE 4 END AS u FROM v)
-SELECT o_orderkey, CASE WHEN u = 0 THEN CAST(b AS BIGINT) || ' B' WHEN b / pow(1024, u) >= 10 THEN format('{:.0f}', b / pow(1024, u)) || ['', ' KB', ' MB', ' GB', ' TB'][u + 1] ELSE format('{:.1f}', b / pow(1024, u)) || ['', ' KB', ' MB', ' GB', ' TB'][u + 1] END AS text
-FROM u WHERE b / pow(1024, u) * 10 % 1 NOT BETWEEN 0.499999 AND 0.500001 AND b / pow(1024, u) % 1 NOT BETWEEN 0.499999 AND 0.500001"""
+SELECT o_orderkey, CASE WHEN u = 0 THEN CAST(b AS BIGINT) || ' B' WHEN b / pow(1024, u) >= 10 THEN format('{:.0f}', floor(b / pow(1024, u) + 0.5)) || ['', ' KB', ' MB', ' GB', ' TB'][u + 1] ELSE format('{:.1f}', floor(b / pow(1024, u) * 10 + 0.5) / 10) || ['', ' KB', ' MB', ' GB', ' TB'][u + 1] END AS text
+FROM u"""
 )
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes as text, where rounding is not a matter of halves."""
-    o = D.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * (F.col("o_custkey") + 1)).alias("b"))
-    b = F.col("b").cast("double")
-    v = F.when(b < 1024.0, b).when(b < 1024.0**2, b / 1024.0).when(b < 1024.0**3, b / 1024.0**2).when(b < 1024.0**4, b / 1024.0**3).otherwise(b / 1024.0**4)
-    whole = lambda x: ~(x % 1).between(0.499999, 0.500001)
-    return o.where(whole(v * 10) & whole(v)).select("o_orderkey", T.file_size(F.col("b")).alias("text"))
+    """Sizes as text; halves are rounded up, and dividing by a power of two keeps them exact."""
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", T.file_size(F.col("o_orderkey") * F.col("o_orderkey") * (F.col("o_custkey") + 1)).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 500 THEN left(text, 500) || chr(10) || '…' ELSE coalesce(text, '') END AS preview, length(coalesce(text, '')) <= 128 AS fits FROM documents")

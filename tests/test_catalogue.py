@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL."""
 
 from collections import Counter
 from pathlib import Path
@@ -10,7 +10,7 @@ from lorehouse.functions.text import canonical_json
 from lorehouse.plans import catalogue
 from lorehouse.sources import ingest, parsers
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 def rows(frame, columns):

@@ -1,6 +1,7 @@
 """Connectors against deterministic transports, and recovery within a budget."""
 
 import json
+import random
 
 import pytest
 from lorehouse.operators import archive, knowledge, models
@@ -72,11 +73,45 @@ def test_halves_share_one_budget():
 
 def test_batches_count_contexts_once_and_structure_never():
     context = [("c", 30)] * 4
-    assert knowledge.batches_of([10, 10, 10, 10], context, [False] * 4, 60, 5) == [0, 0, 1, 1]
+    assert knowledge.batches_of([10, 10, 10, 10], context, [False] * 4, 5 + 30 + knowledge.CONTEXTS + 10 + 1 + 10, 5) == [0, 0, 1, 1]
     assert knowledge.batches_of([10, 99, 10], [None] * 3, [False, True, False], 25, 0) == [0, 0, 0]
     assert knowledge.batches_of([99, 1], [None] * 2, [False] * 2, 25, 0) == [0, 1]
 
 
+def test_batches_are_cut_by_the_encoded_input(spark):
+    """Batches as if each candidate's input were assembled and encoded whole."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        text = rnd.choice(["plain", "a < b & c > d", "é\u2028\u2029", "  ", 'quote " back \\', "tab\t"]) * rnd.randrange(1, 6)
+        context = json.dumps({"kind": "heading", "payload": {"text": f"<{k // 7}>"}, "selector": {"n": k // 7}}, separators=(",", ":")) if k % 5 else None
+        rows.append((f"s{k % 2}", k, "A & <B>", "text/x", "text-block", json.dumps({"n": k}, separators=(",", ":")), json.dumps({"text": text}, ensure_ascii=False, separators=(",", ":")), text, context, k % 11 == 0))
+    df = spark.createDataFrame(rows, "original_id string, ordinal int, title string, mime string, kind string, selector string, payload string, text string, context string, structural_only boolean")
+    ids = {(r.original_id, r.ordinal): (r._entry[16:80], r._context) for r in knowledge.model_input(df).collect()}
+
+    def encoded(group):
+        out = {"title": "A & <B>", "mime": "text/x"}
+        told = {ids[r[:2]][1]: r[8] for r in group if r[8]}
+        if told:
+            out["contexts"] = [{"context_id": i} | json.loads(c) for i, c in told.items()]
+        out["fragments"] = [{"fragment_id": ids[r[:2]][0], "kind": r[4], "selector": json.loads(r[5])} | ({"parent_context_id": ids[r[:2]][1]} if r[8] else {}) | {"payload": json.loads(r[6])} for r in group]
+        text = json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+        for mark in "<>&\u2028\u2029":
+            text = text.replace(mark, f"\\u{ord(mark):04x}")
+        return len(text.encode())
+
+    want = {}
+    for source in ("s0", "s1"):
+        batch, now, begun = 0, [], False
+        for r in (r for r in rows if r[0] == source):
+            silent = r[9] or not r[7].strip()
+            if not silent and begun and encoded([*now, r]) > 900:
+                batch, now = batch + 1, []
+            now, begun = now if silent else [*now, r], True
+            want[r[:2]] = batch
+    assert {(r.original_id, r.ordinal): r.batch for r in knowledge.batched(df, 900).collect()} == want and max(want.values()) > 3
+
+
 def test_small_rules(spark):
     assert reconcile.contained(lambda: 1 / 0).startswith("ZeroDivisionError") and reconcile.contained(lambda: 1) == ""
     draft = spark.createDataFrame([(0, "a"), (1, "b")], "position int, name string")

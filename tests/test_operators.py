@@ -48,7 +48,7 @@ def test_vectors_and_fusion(spark):
 
 
 def test_batches_and_recovery():
-    assert knowledge.batches_of([20, 20, 600, 20], [None] * 4, [False] * 4, 40) == [0, 0, 1, 2]
+    assert knowledge.batches_of([20, 20, 600, 20], [None] * 4, [False] * 4, 41) == [0, 0, 1, 2]
     calls = {}
 
     def short(asked):
