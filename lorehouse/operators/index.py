@@ -1,28 +1,57 @@
-"""The persisted search index: chunks, postings by term, and vectors, brought up to date source by source.
+"""The persisted search index: chunks, block-max postings, term statistics and vectors, brought up to date from changes.
 
-Under its folder, ``chunks`` and ``postings`` hold what each generation added, ``sources`` holds, for each generation, all
-sources with their digest and the generation that has their rows. A generation counts once its ``sources`` are complete,
-so a synchronisation that failed half-way leaves the last one in force and is written again. Rows that no source points
-to any more stay until ``compact``. Postings lie in folders by a hash of their term: a query reads those of its terms.
+All tables lie in one ``Store``, so what a synchronisation adds counts as a whole or not at all. A commit adds the chunks of
+the originals that changed, and for what they replace only marks (``dead``) and negative statistics: nothing is rewritten
+until ``compact``.
+
+Chunks are dealt into blocks of about ``PER_BLOCK``, chunks of similar length together, and numbered inside. A posting row is
+one term in one block, with the highest count and the least length in it: an upper bound of what the term can add to any
+chunk there. A query reads these bounds first, scores the ``FIRST`` best blocks, and then only those whose bound reaches the
+last of the hits so far; the others cannot hold a better one. Postings and statistics are filed by a hash of the term, so
+only the files of the query's terms are opened; frequent terms are spread over several files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import hashlib
+import json
+import math
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id, tokens
+from ..sources.store import Corrupt, Store, latest
 from . import retrieval as R
 from .knowledge import embedded
 
-#: The index's own version, folders of postings, and the processor that cuts chunks.
-VERSION, BUCKETS = 1, 64
+#: The index's own version, chunks in a block and for a term file, blocks scored first, blocks and ties that the driver may
+#: hold, and the processor that cuts chunks.
+VERSION, PER_BLOCK, PER_FILE, FIRST = 2, 512, 1024, 8
+BLOCKS, TIES = 1000, 200
 CHUNKER, CHUNKER_VERSION = "retrieval-chunks", "1"
 IDENTITY = ("chunk_id", "observation_id", "evidence_id", "selector", "text", "producer")
+CHUNK = "original_id string, chunk_id string, observation_id string, evidence_id string, selector string, text string, producer string"
+TABLES = {
+    "chunks": f"{CHUNK}, n_tokens int, block bigint, ord int",
+    "originals": "original_id string, n_chunks bigint, n_tokens bigint, digest string, live boolean",
+    "postings": "term string, block bigint, max_tf int, min_len int, n_docs bigint, n_occurrences bigint, entries array<struct<ord:int,n:int,at:array<int>>>",
+    "terms": "term string, n_docs bigint, n_occurrences bigint",
+    "dead": "of bigint, block bigint, ord int",
+    "vectors": "chunk_id string, embedding array<float>",
+    "plan": "original_id string, n_chunks bigint, digest string, action string",
+}
+HIT = "chunk_id string, score double, rank int"
 
 
 def chunk_id(observation: Column, evidence: Column, part: Column) -> Column:
@@ -30,8 +59,8 @@ def chunk_id(observation: Column, evidence: Column, part: Column) -> Column:
 
 
 def source_digests(chunks: DataFrame) -> DataFrame:
-    """(original_id, n_chunks, digest): SHA-256 of the hashes of the source's chunk identities, by id. Texts are hashed before the
-    shuffle; a source is one original of at most 8 MiB, which bounds its chunks."""
+    """(original_id, n_chunks, digest): SHA-256 of the hashes of the original's chunk identities, by id. Texts are hashed before
+    the shuffle; an original has at most 8 MiB, which bounds its chunks."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2(F.to_json(F.struct(*IDENTITY)), 256).alias("identity"))))
     per = chunks.groupBy("original_id").agg(F.count("*").alias("n_chunks"), ordered.alias("c"))
     return per.select("original_id", "n_chunks", F.sha2(F.array_join(F.transform("c", lambda x: x["identity"]), "\n"), 256).alias("digest"))
@@ -39,14 +68,18 @@ def source_digests(chunks: DataFrame) -> DataFrame:
 
 def chunk_actions(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """(original_id, action): keep, replace, insert or delete, from both sides' (original_id, n_chunks, digest)."""
+    return _planned(stored, wanted).select("original_id", "action")
+
+
+def _planned(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     a = stored.select("original_id", F.col("n_chunks").alias("_n"), F.col("digest").alias("_digest"))
     same = (F.col("_n") == F.col("n_chunks")) & (F.col("_digest") == F.col("digest"))
     action = F.when(F.col("digest").isNull(), "delete").when(F.col("_digest").isNull(), "insert").when(same, "keep").otherwise("replace")
-    return a.join(wanted, "original_id", "full_outer").select("original_id", action.alias("action"))
+    return a.join(wanted, "original_id", "full_outer").select("original_id", "n_chunks", "digest", action.alias("action"))
 
 
 def without_sources(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Chunks, postings or vectors that are left once their sources (original_id) are deleted."""
+    """Chunks, postings or vectors that are left once their originals (original_id) are deleted."""
     return rows.join(gone.select("original_id").distinct(), "original_id", "left_anti")
 
 
@@ -68,135 +101,347 @@ def embedding_plan(chunks: DataFrame, vectors: DataFrame, stored: Model | None,
     return "rebuilding", R.missing_embeddings(chunks, vectors)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(bucket, term, original_id, chunk_id, n_tokens, at): places of each term in each chunk."""
-    words = chunks.select("original_id", "chunk_id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
-    spread = words.select("original_id", "chunk_id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("pos", "term"))
-    grouped = spread.groupBy("term", "original_id", "chunk_id", "n_tokens").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    return grouped.withColumn("bucket", bucket(F.col("term")))
+def located(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``n_tokens``, ``block`` and ``ord``, their number in the block by id."""
+    counted = chunks.withColumn("n_tokens", F.size(tokens(F.coalesce("text", F.lit("")))))
+    length = F.floor(4 * F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).cast("int")
+    sizes = {r["c"]: r["n"] for r in chunks.groupBy(length.alias("c")).agg(F.count("*").alias("n")).collect()}  # four for each doubling
+    if not sizes:
+        return counted.withColumns({"block": F.lit(0).cast("bigint"), "ord": F.lit(0)})
+    blocks = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / PER_BLOCK))]), length)
+    block = F.shiftleft(length.cast("bigint"), 40) + F.pmod(F.xxhash64("chunk_id"), blocks)
+    return counted.withColumn("block", block).withColumn("ord", F.row_number().over(Window.partitionBy("block").orderBy("chunk_id")))
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def postings(chunks: DataFrame) -> DataFrame:
+    """Posting rows of located chunks. A block, of a bounded number of chunks, is inverted in one task as Arrow columns."""
+    words = chunks.select("block", "ord", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    return words.groupBy("block").applyInArrow(_inverted, TABLES["postings"])
+
+
+def _inverted(table: pa.Table) -> pa.Table:
+    table = table.sort_by("ord").combine_chunks()
+    words = table["w"].combine_chunks()
+    length = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    chunk = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(chunk), dtype=np.int32) - np.repeat(np.cumsum(length) - length, length).astype(np.int32)
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")  # by term, then chunk, then place
+    code, chunk = code[order], chunk[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])
+    entry = np.flatnonzero(new)
+    code, chunk, times = code[entry], chunk[entry], np.diff(np.append(entry, len(order)))
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    each = lambda f, x, kind: pa.array(f.reduceat(x, first) if len(first) else x[:0], kind)
+    at = pa.ListArray.from_arrays(pa.array(np.append(entry, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    entries = pa.StructArray.from_arrays([pa.array(table["ord"].to_numpy()[chunk], pa.int32()), pa.array(length[chunk], pa.int32()), at], ["ord", "n", "at"])
+    columns = {
+        "term": coded.dictionary.take(pa.array(code[first])), "block": pa.array([table["block"][0].as_py()] * len(first), pa.int64()), "max_tf": each(np.maximum, times, pa.int32()), "min_len": each(np.minimum, length[chunk], pa.int32()),
+        "n_docs": pa.array(np.diff(np.append(first, len(code))), pa.int64()), "n_occurrences": each(np.add, times, pa.int64()), "entries": pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), entries),
+    }
+    return pa.table(columns)
+
+
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(term, n_docs, n_occurrences) of stored chunks with their text."""
+    at = ["_version", "block", "ord"]
+    words = chunks.select(*at, F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    return words.groupBy("term", *at).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_occurrences"))
 
 
 class SearchIndex:
-    """An index under ``path``, a folder that driver and executors share."""
-
-    CHUNK = "original_id string, chunk_id string, observation_id string, evidence_id string, selector string, text string, producer string"
+    """An index under ``path``, a folder that driver and executors share. ``chunks`` gives all chunks for a rebuild, should
+    a file of the index be found damaged."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    CHUNK = CHUNK
 
-    def _generations(self) -> list[int]:
-        """Complete generations of this version; those of another version do not count, so the index is built anew."""
-        jvm = self.spark._jvm  # the file system that Spark itself uses for the path
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{VERSION}/sources")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("gen=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, chunks: Callable[[], DataFrame] | None = None):
+        self.spark, self.path, self.all_chunks = spark, path.rstrip("/"), chunks
+        self.store = Store(spark, path, TABLES, VERSION)
 
-    def _at(self, table: str, gen: int) -> str:
-        return f"{self.path}/v{VERSION}/{table}/gen={gen}"
+    # What is in force.
 
-    def sources(self) -> DataFrame:
-        """(original_id, n_chunks, n_tokens, digest, gen) of the generation in force."""
-        done = self._generations()
-        schema = "original_id string, n_chunks bigint, n_tokens bigint, digest string, gen int"
-        return self.spark.read.schema(schema).parquet(self._at("sources", done[-1])) if done else self.spark.createDataFrame([], schema)
+    def originals(self, upto: int | None = None) -> DataFrame:
+        """(original_id, n_chunks, n_tokens, digest, of): the originals in force, and the commit that has their chunks."""
+        now = latest(self.store.read("originals", upto=upto), "original_id")
+        return now.where("live").select("original_id", "n_chunks", "n_tokens", "digest", F.col("_version").alias("of"))
 
-    def _live(self, table: str, schema: str) -> DataFrame:
-        """Rows of the sources in force, each from the generation that its source names."""
-        rows = self.spark.read.schema(f"{schema}, gen int").option("basePath", f"{self.path}/v{VERSION}/{table}").parquet(f"{self.path}/v{VERSION}/{table}")
-        return rows.join(self.sources().select("original_id", "gen"), ["original_id", "gen"], "left_semi").drop("gen")
+    def _live(self) -> DataFrame:
+        """Chunk rows in force, with their place and commit."""
+        now = self.originals().select("original_id", F.col("of").alias("_version"))
+        return self.store.read("chunks").join(now, ["original_id", "_version"], "left_semi")
 
     def chunks(self) -> DataFrame:
-        return self._live("chunks", self.CHUNK)
+        return self._live().select(*[c.split()[0] for c in CHUNK.split(", ")])
 
-    def sync(self, chunks: DataFrame) -> DataFrame:
-        """Bring the index to ``chunks`` (the columns of ``CHUNK``); returns the action taken for each source.
+    def changes(self, since: int = 0) -> DataFrame:
+        """(original_id, action): what all commits after ``since`` did together; reads no text."""
+        now = latest(self.store.read("originals", since), "original_id").select("original_id", "live")
+        before = self.originals(upto=since).select("original_id", F.lit(True).alias("_was")) if since else now.select("original_id", F.lit(None).cast("boolean").alias("_was")).limit(0)
+        action = F.when(F.col("live"), F.when(F.col("_was"), "replace").otherwise("insert")).when(F.col("_was"), "delete")
+        return now.join(before, "original_id", "left").select("original_id", action.alias("action")).where("action is not null")
 
-        Unchanged sources cost their digest alone; only changed and new ones are cut into terms.
+    def counts(self) -> DataFrame:
+        """One row: originals, chunks and tokens in force, kept additively by the commits."""
+        facts = self.store.facts()
+        return self.spark.range(1).select(*[F.lit(int(facts.get(n, 0))).cast("bigint").alias(n) for n in ("n_sources", "n_chunks", "n_tokens")])
+
+    # Changes.
+
+    def sync(self, chunks: DataFrame, version: str | None = None) -> DataFrame:
+        """Bring the index to ``chunks``, all there are (the columns of ``CHUNK``); returns the action for each original.
+
+        ``version`` names the state of the input: if the index was last brought to the same one, no text is read. Without it
+        every original costs its digest, written once; only changed ones are cut into terms.
         """
-        done, wanted = self._generations(), source_digests(chunks)
-        gen = done[-1] + 1 if done else 1
-        if done and not (told := chunk_actions(self.sources(), wanted)).where("action <> 'keep'").limit(1).count():
-            return told
-        path = f"{self.path}/v{VERSION}/actions/gen={gen}"
-        chunk_actions(self.sources(), wanted).join(wanted, "original_id", "left").write.mode("overwrite").parquet(path)
-        actions = self.spark.read.parquet(path)
-        fresh = chunks.join(actions.where("action in ('insert', 'replace')").select("original_id"), "original_id", "left_semi")
-        fresh.select(*[c.split()[0] for c in self.CHUNK.split(", ")]).write.mode("overwrite").parquet(self._at("chunks", gen))
-        added = self.spark.read.schema(self.CHUNK).parquet(self._at("chunks", gen))
-        postings(added).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("postings", gen))
-        lengths = added.select("original_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n")).groupBy("original_id").agg(F.sum("n").alias("n_tokens"))
-        new = actions.where("action in ('insert', 'replace')").select("original_id", "n_chunks", "digest").join(lengths, "original_id", "left")
-        new = new.select("original_id", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "digest", F.lit(gen).alias("gen"))
-        kept = self.sources().join(actions.where("action = 'keep'").select("original_id"), "original_id", "left_semi")
-        kept.unionByName(new).write.mode("overwrite").parquet(self._at("sources", gen))
-        return actions.select("original_id", "action")
+        if self.store.damaged():
+            self.store.quarantine()
+        if version is not None and self.store.facts().get("input") == version:
+            return self.originals().select("original_id", F.lit("keep").alias("action"))
+        after = self.store.version()
+        told = _planned(self.originals(), source_digests(chunks))
+        plan = self.store.staged("plan", self.store.stage("plan", told))
+        facts = {} if version is None else {"input": version}
+        changed = plan.where("action <> 'keep'")
+        if not changed.isEmpty():
+            fresh = chunks.join(changed.where("action <> 'delete'").select("original_id"), "original_id", "left_semi")
+            self._commit(after, fresh, changed.select("original_id"), changed.where("action <> 'delete'").select("original_id", "digest"), facts)
+        elif facts:
+            self.store.commit({}, after, facts)
+        return plan.select("original_id", "action")
+
+    def put(self, chunks: DataFrame, original_ids: DataFrame) -> None:
+        """The chunks of some originals (original_id) in place of what the index has of them; no other text is read."""
+        ids = original_ids.select("original_id").distinct()
+        self._commit(self.store.version(), chunks.join(ids, "original_id", "left_semi"), ids, None, {"input": None})
 
     def delete(self, original_ids: DataFrame) -> None:
-        """Drop sources (original_id) with all their chunks, postings and vectors."""
-        gen = (self._generations() or [0])[-1] + 1
-        without_sources(self.sources(), original_ids).write.mode("overwrite").parquet(self._at("sources", gen))
+        """Drop originals (original_id) with all their chunks, postings and vectors."""
+        none = self.spark.createDataFrame([], CHUNK)
+        self._commit(self.store.version(), none, original_ids.select("original_id").distinct(), None, {"input": None})
+
+    def _commit(self, after: int, fresh: DataFrame, touched: DataFrame, digests: DataFrame | None, facts: dict, anew: bool = False) -> None:
+        """One commit: new chunks, and what the originals touched had until now no longer counts."""
+        store, v = self.store, after + 1
+        parts = {"chunks": [store.stage("chunks", located(fresh.select(*[c.split()[0] for c in CHUNK.split(", ")])))]}
+        added = store.staged("chunks", parts["chunks"][0], v)
+        if digests is None:
+            digests = source_digests(added).select("original_id", "digest")
+        new = added.groupBy("original_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).join(digests, "original_id").withColumn("live", F.lit(True))
+        old = self.originals() if not anew else self.originals().limit(0)
+        gone = old.join(touched, "original_id", "left_semi")
+        ended = gone.select("original_id").join(new.select("original_id"), "original_id", "left_anti")
+        ended = ended.select("original_id", F.lit(0).cast("bigint").alias("n_chunks"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit("").alias("digest"), F.lit(False).alias("live"))
+        parts["originals"] = [store.stage("originals", new.unionByName(ended))]
+        sums = lambda df: df.agg(*[F.coalesce(x, F.lit(0)).cast("bigint").alias(n) for n, x in (("n_sources", F.count("*")), ("n_chunks", F.sum("n_chunks")), ("n_tokens", F.sum("n_tokens")))]).first().asDict()
+        plus, minus = sums(store.staged("originals", parts["originals"][0], v).where("live")), sums(gone)
+        facts_now = store.facts()
+        before = {} if anew else facts_now
+        totals = {n: int(before.get(n, 0)) + plus[n] - minus[n] for n in plus}
+        parts["postings"] = [self._by_term("postings", postings(added), plus["n_chunks"])]
+        # The same postings in sum, so no text is cut twice.
+        counts = store.staged("postings", parts["postings"][0], v).groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_occurrences").alias("n_occurrences"))
+        if minus["n_chunks"]:
+            left = store.read("chunks").join(gone.select("original_id", F.col("of").alias("_version")), ["original_id", "_version"], "left_semi")
+            parts["dead"] = [store.stage("dead", left.select(F.col("_version").alias("of"), "block", "ord"))]
+            less = term_counts(left).select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_occurrences")).alias("n_occurrences"))
+            both = counts.unionByName(less).groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_occurrences").alias("n_occurrences"))
+            counts = both.where("n_docs <> 0 or n_occurrences <> 0")
+        parts["terms"] = [self._by_term("terms", counts, plus["n_chunks"])]
+        if anew and (model := self.model()) is not None:
+            parts["vectors"] = [store.stage("vectors", self.vectors())]
+            whole = R.missing_embeddings(self._live(), self.vectors()).isEmpty()
+            facts = facts | {"embedded": v if whole else 0, "model": asdict(model)}
+        store.commit(parts, after, totals | facts, [t for t in TABLES if t != "plan"] if anew else [])
+
+    def _by_term(self, table: str, rows: DataFrame, n_chunks: int) -> dict:
+        """Stage rows in files by a hash of their term; posting rows of one term also by block."""
+        files = max(1, math.ceil(n_chunks / PER_FILE))
+        spread = math.ceil(math.sqrt(files)) if table == "postings" else 1
+        buckets = math.ceil(files / spread)
+        slot = F.pmod(F.xxhash64("term"), F.lit(buckets)) * spread
+        if spread > 1:
+            slot = slot + F.pmod(F.xxhash64("block"), F.lit(spread))
+        dealt = rows.repartitionById(buckets * spread, slot.cast("int")).sortWithinPartitions("term")
+        return self.store.stage(table, dealt, {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10)}) | {"buckets": buckets, "spread": spread}
+
+    def compact(self) -> None:
+        """Write what lives as one commit without the marks and negative statistics of the past, and delete what went."""
+        if self.store.version():
+            self._commit(self.store.version(), self.chunks(), self.originals().select("original_id"), self.originals().select("original_id", "digest"), {}, anew=True)
+            self.store.vacuum(1)
+
+    # Reading terms.
+
+    def _of_terms(self, table: str, terms: Sequence[str]) -> DataFrame:
+        """A table's rows of some terms, from the files that can have them."""
+        hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in terms]  # as Spark's, but unsigned
+        folders = []
+        for f in self.store.folders(table):
+            slots = {(h - (1 << 64) if h >> 63 else h) % f["buckets"] for h in hashes}
+            keep = {n: s for n, s in f["files"].items() if int(re.match(r"part-(\d+)", n)[1]) // f["spread"] in slots}
+            folders.append(f | {"files": keep})
+        return self.store.read(table, of=folders).where(F.col("term").isin(*terms))
 
     def term_statistics(self) -> DataFrame:
-        """(term, n_docs_with, n_occurrences) for every term in force."""
-        found = self._live("postings", "bucket int, term string, original_id string, at array<int>")
-        return found.groupBy("term").agg(F.count("*").alias("n_docs_with"), F.sum(F.size("at")).alias("n_occurrences"))
+        """(term, n_docs_with, n_occurrences) for every term in force: the sum of what commits added and took."""
+        found = self.store.read("terms").groupBy("term").agg(F.sum("n_docs").alias("n_docs_with"), F.sum("n_occurrences").alias("n_occurrences"))
+        return found.where("n_docs_with > 0")
 
-    def lexical(self, query: str, limit: int = R.MOST) -> DataFrame:
-        """(chunk_id, score, rank) by BM25 from the postings of the query's terms alone."""
-        wanted = R.phrases(query)
-        stats = self.sources().agg(F.sum("n_chunks").alias("n"), F.sum("n_tokens").alias("t")).first()
+    def _scored(self, blocks: DataFrame, wanted: list[list[str]]) -> DataFrame:
+        """(of, block, ord, n, tf): chunks in force of these blocks (of, block) that have one of the phrases' words."""
         terms = sorted({w for p in wanted for w in p})
-        if not terms or not stats["n"]:
-            return self.spark.createDataFrame([], "chunk_id string, score double, rank int")
-        listed = F.array(*map(F.lit, terms))
-        buckets = [r["b"] for r in self.spark.range(1).select(F.explode(listed).alias("t")).select(bucket(F.col("t")).alias("b")).distinct().collect()]
-        found = self._live("postings", "bucket int, term string, original_id string, chunk_id string, n_tokens int, at array<int>")
-        found = found.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        rows = self._of_terms("postings", terms).withColumnRenamed("_version", "of").join(blocks, ["of", "block"], "left_semi")
+        rows = rows.select("of", "block", "term", F.explode("entries").alias("e")).select("of", "block", "term", "e.*")
+        if self.store.folders("dead"):
+            rows = rows.join(self.store.read("dead").select("of", "block", "ord"), ["of", "block", "ord"], "left_anti")
         by_term = F.map_from_entries(F.collect_list(F.struct("term", "at")))  # at most as many as the query has terms
-        rows = found.groupBy("chunk_id").agg(F.first("n_tokens").alias("n_tokens"), by_term.alias("at"))
-        tf = F.array(*[_starts(F.col("at"), p) for p in wanted])
-        rows = rows.select("chunk_id", "n_tokens", F.explode(F.array(tf)).alias("tf"))
-        df = rows.agg(*[F.count_if(F.get("tf", F.lit(k)) > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
-        score = R.bm25(F.col("tf"), F.col("n_tokens"), [df[f"df{k}"] for k in range(len(wanted))], stats["n"], stats["t"] / stats["n"] or 1.0)
-        hits = rows.where(F.exists("tf", lambda x: x > 0)).select("chunk_id", F.round(score, 9).alias("score")).orderBy("score", "chunk_id").limit(limit)
-        return R.ranked(hits, F.col("score"))
+        per = rows.groupBy("of", "block", "ord", "n").agg(by_term.alias("at"))
+        return per.select("of", "block", "ord", "n", F.explode(F.array(F.array(*[_starts(F.col("at"), p) for p in wanted]))).alias("tf"))
 
-    def vectors(self) -> DataFrame:
-        """(chunk_id, embedding) of the model that the index last used, of chunks in force."""
-        model = self.model()
-        if model is None:
-            return self.spark.createDataFrame([], "chunk_id string, embedding array<float>")
-        rows = self.spark.read.parquet(f"{self.path}/v{VERSION}/vectors/{_folder(model)}")
-        return rows.join(self.chunks().select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+    def bounds(self, wanted: list[list[str]], idf: Sequence[float], mean: float) -> DataFrame:
+        """(of, block, bound): the most that any chunk of a block can score. Only the bounds' columns are read."""
+        terms = sorted({w for p in wanted for w in p})
+        heads = self._of_terms("postings", terms).select(F.col("_version").alias("of"), "block", "term", F.struct("max_tf", "min_len").alias("m"))
+        per = heads.groupBy("of", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "m"))).alias("m"))
+        most = F.lit(0.0)
+        for p, weight in zip(wanted, idf, strict=True):
+            at = [F.try_element_at("m", F.lit(w)) for w in dict.fromkeys(p)]
+            tf, length = reduce(F.least, [a["max_tf"] for a in at]) if len(at) > 1 else at[0]["max_tf"], reduce(F.greatest, [a["min_len"] for a in at]) if len(at) > 1 else at[0]["min_len"]
+            every = reduce(lambda x, y: x & y, [a.isNotNull() for a in at])
+            most = most + F.when(every, weight * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / mean))).otherwise(0.0)
+        return per.select("of", "block", most.alias("bound")).where("bound > 0")
+
+    def lexical(self, query: str, limit: int = R.MOST) -> DataFrame:
+        """(chunk_id, score, rank) by BM25, from the blocks that can hold a hit."""
+        return self.lexical_search(query, limit)[0]
+
+    def lexical_search(self, query: str, limit: int = R.MOST) -> tuple[DataFrame, int]:
+        """The hits, and how many blocks were scored for them."""
+        wanted, facts = R.phrases(query), self.store.facts()
+        n = int(facts.get("n_chunks", 0))
+        if not wanted or not n:
+            return self.spark.createDataFrame([], HIT), 0
+        mean = facts["n_tokens"] / n or 1.0
+        df = self._document_counts(wanted)
+        if not any(df):
+            return self.spark.createDataFrame([], HIT), 0
+        idf = [max(R.LEAST_IDF, math.log((n - d + 0.5) / (d + 0.5))) for d in df]
+        bounds = self.bounds(wanted, idf, mean)
+        heads = bounds.orderBy(F.desc("bound"), "of", "block").limit(BLOCKS + 1).collect()
+        first = self._listed(heads[:FIRST])
+        best = self._top(first, wanted, df, n, mean, limit)
+        reach = -best[limit - 1][0] - 1e-8 if len(best) >= limit else 0.0  # an equal score may win by its id
+        if len(heads) <= BLOCKS:
+            chosen = [r for r in heads[FIRST:] if r["bound"] >= reach]
+            rest, more = self._listed(chosen), len(chosen)
+        else:
+            rest = bounds.where(F.col("bound") >= reach).select("of", "block").join(first, ["of", "block"], "left_anti")
+            more = rest.count()
+        if more:
+            best = sorted(best + self._top(rest, wanted, df, n, mean, limit))
+        return self.spark.createDataFrame([(c, x, k) for k, (x, c) in enumerate(best[:limit], 1)], HIT), len(heads[:FIRST]) + more
+
+    def _listed(self, blocks: list) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(r["of"], r["block"]) for r in blocks], "of bigint, block bigint"))
+
+    def _document_counts(self, wanted: list[list[str]]) -> list[int]:
+        """Chunks that have each phrase: of single words from the statistics, of others from the blocks that have all its words."""
+        single = sorted({p[0] for p in wanted if len(p) == 1})
+        told = {}
+        if single:
+            sums = self._of_terms("terms", single).groupBy("term").agg(F.sum("n_docs").alias("n")).collect()
+            told = {(r["term"],): int(r["n"]) for r in sums}
+        for p in {tuple(p) for p in wanted if len(p) > 1}:
+            blocks = self.bounds([list(p)], [1.0], 1.0).select("of", "block")
+            told[p] = self._scored(blocks, [list(p)]).where(F.get("tf", F.lit(0)) > 0).count()
+        return [told.get(tuple(p), 0) for p in wanted]
+
+    def _top(self, blocks: DataFrame, wanted: list[list[str]], df: Sequence[int], n: int, mean: float, limit: int) -> list[tuple[float, str]]:
+        """(score, chunk_id) of the best hits of some blocks, ties by id."""
+        score = F.round(R.bm25(F.col("tf"), F.col("n"), df, n, mean), 9)
+        rows = self._scored(blocks, wanted).where(F.exists("tf", lambda x: x > 0)).select("of", "block", "ord", score.alias("score"))
+        got = rows.orderBy("score").limit(limit + TIES).collect()
+        if not got:
+            return []
+        last = got[min(limit, len(got)) - 1]["score"]  # the ids decide among equals
+        named = self.store.read("chunks").select(F.col("_version").alias("of"), "block", "ord", "chunk_id")
+        if len(got) < limit + TIES or got[-1]["score"] > last:
+            kept = [r for r in got if r["score"] <= last]
+            hits = F.broadcast(self.spark.createDataFrame(kept, "of bigint, block bigint, ord int, score double"))
+            named = named.where(F.col("block").isin(*{r["block"] for r in kept}))
+        else:
+            hits = rows.where(F.col("score") <= last)
+        top = named.join(hits, ["of", "block", "ord"]).orderBy("score", "chunk_id").limit(limit).collect()
+        return [(r["score"], r["chunk_id"]) for r in top]
+
+    # Vectors.
 
     def model(self) -> Model | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{VERSION}/model/_SUCCESS")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return Model(**self.spark.read.parquet(f"{self.path}/v{VERSION}/model").first().asDict())
+        told = self.store.facts().get("model")
+        return Model(**told) if told else None
+
+    def vectors(self) -> DataFrame:
+        """(chunk_id, embedding) of the model that the index last used, of chunks in force: a vector that is older than its
+        chunk doesn't count."""
+        if self.model() is None:
+            return self.spark.createDataFrame([], "chunk_id string, embedding array<float>")
+        now = self._live().select("chunk_id", F.col("_version").alias("of"))
+        return latest(self.store.read("vectors"), "chunk_id").join(now, "chunk_id").where("_version >= of").select("chunk_id", "embedding")
 
     def sync_embeddings(self, model: Model | None, embed: Callable[[pd.Series], list[list[float]]] | None) -> str:
-        """Add the vectors that are missing, all of them under a new model; the state afterwards."""
+        """Add the vectors that are missing, all of them under a new model; the state afterwards.
+
+        Chunks are those of the commits since the vectors were last complete, so a change costs what it changed. A batch is a
+        commit of its own and never overwrites another.
+        """
         if model is None or embed is None:
             return "unavailable"
-        chunks = self.chunks().select("chunk_id", "text")
-        there = self.vectors() if self.model() == model else None
-        _, missing = embedding_plan(chunks, there if there is not None else chunks, self.model(), model)
-        batch = 0 if there is None else there.count()
-        embedded(missing, embed, model.dimensions).write.mode("overwrite").parquet(f"{self.path}/v{VERSION}/vectors/{_folder(model)}/after={batch}")
-        self.spark.range(1).select(F.lit(model.model_id).alias("model_id"), F.lit(model.revision).alias("revision"), F.lit(model.dimensions).alias("dimensions")).write.mode("overwrite").parquet(f"{self.path}/v{VERSION}/model")
-        return "ready" if not R.missing_embeddings(chunks, self.vectors()).limit(1).count() else "failed"
+        same, after = self.model() == model, self.store.version()
+        since = int(self.store.facts().get("embedded", 0)) if same else 0
+        wanted = self._live().where(F.col("_version") > since).select("chunk_id", "text")
+        if same:
+            wanted = embedding_plan(wanted, self.vectors(), model, model)[1]
+        n = wanted.count()
+        if not n and same:
+            if since < after:
+                self.store.add({}, {"embedded": after})
+            return "ready"
+        part = self.store.stage("vectors", embedded(wanted, embed, model.dimensions))
+        done = self.store.staged("vectors", part).count() == n
+        facts = {"model": asdict(model), "embedded": after if done else since}
+        if same:
+            self.store.add({"vectors": [part]}, facts)
+        else:
+            self.store.commit({"vectors": [part]}, after, facts, ["vectors"])
+        return "ready" if done else "failed"
+
+    # Search.
 
     def search(self, query: str, limit: int | None = None, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
-        """Fused hits with the chunks' own columns; lexical alone where there are no vectors or the query cannot be embedded."""
+        """Fused hits with the chunks' own columns; lexical alone where there are no vectors or the query cannot be embedded.
+        An index that is found damaged is put aside and built anew, never answered from in part."""
         query, limit = R.check_request(query, limit)
+        try:
+            return self._found(query, limit, embed)
+        except (PySparkException, Py4JJavaError):
+            if not self.recover():
+                raise
+            return self._found(query, limit, embed)
+
+    def recover(self) -> bool:
+        """Put a damaged index aside and build it anew from all chunks; whether it was damaged."""
+        if not self.store.damaged() and not self.store.unreadable():
+            return False
+        if self.all_chunks is None:
+            raise Corrupt(f"{self.path} is damaged; synchronise it to build it anew")
+        self.store.quarantine()
+        self.sync(self.all_chunks())
+        return True
+
+    def _found(self, query: str, limit: int, embed: Callable[[str], list[float]] | None) -> DataFrame:
         by_text, vector = self.lexical(query, R.fetch(limit)), None
         if embed is not None and self.model() is not None:
             try:
@@ -204,17 +449,19 @@ class SearchIndex:
             except Exception:  # noqa: BLE001  a model that fails leaves the search lexical
                 vector = None
         by_vector = by_text.limit(0).select("chunk_id", F.lit(0.0).alias("distance"), "rank") if vector is None else R.nearest(self.vectors(), vector, R.fetch(limit))
-        return self.chunks().join(F.broadcast(R.fuse(by_text, by_vector, limit)), "chunk_id")  # at most 50 rows
-
-    def counts(self) -> DataFrame:
-        """One row: sources, chunks and tokens in force."""
-        return self.sources().agg(F.count("*").alias("n_sources"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-
-
-def _folder(model: Model) -> str:
-    import hashlib
-
-    return "model=" + hashlib.sha256(f"{model.model_id}\0{model.revision}\0{model.dimensions}".encode()).hexdigest()[:32]
+        hits = R.fuse(by_text, by_vector, limit).collect()  # at most 50
+        fused = self.spark.createDataFrame(hits, "chunk_id string, lexical_rank int, lexical_score double, semantic_rank int, semantic_distance double, score double, rank int")
+        return self.chunks().where(F.col("chunk_id").isin(*[h["chunk_id"] for h in hits])).join(F.broadcast(fused), "chunk_id")
+
+
+def fingerprint(spark: SparkSession, df: DataFrame) -> str:
+    """The state of a table's files: their names, sizes and times of change. Asks the file system, reads nothing."""
+    told = []
+    for name in sorted(df.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        told.append((name, int(s.getLen()), int(s.getModificationTime())))
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()
 
 
 def _starts(at: Column, phrase: list[str]) -> Column:

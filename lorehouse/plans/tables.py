@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from ..operators.index import SearchIndex
+from ..operators.index import SearchIndex, fingerprint
 from ..operators.knowledge import entity_id
-
-
-_indexes: dict[tuple[str, str], SearchIndex] = {}
+from ..sources.store import Conflict, shared_folder
 
 
 def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The session's search index over the documents, one chunk each, brought up to date. It is built once; afterwards a call
-    costs the digests of the texts, and only documents that changed are cut into terms again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-            shared = tempfile.mkdtemp(prefix="spark-lorehouse-")
-        _indexes[key] = SearchIndex(spark, f"{shared.rstrip('/')}/lorehouse-index-{uuid.uuid4().hex}")
-    name = F.lpad(F.col("doc_id").cast("string"), 20, "0")
-    none = F.lit("")
-    _indexes[key].sync(table(spark, sf_dir, "documents").select(name.alias("original_id"), name.alias("chunk_id"), none.alias("observation_id"), none.alias("evidence_id"), none.alias("selector"), "text", none.alias("producer")))
-    return _indexes[key]
+    """The search index over the documents, one chunk each, in the shared folder. It is brought up to date when the table's
+    files are others than it was last made from; a query over the same files reads no text."""
+    path = f"{shared_folder(spark)}/lorehouse-index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:32]}"
+    docs, name, none = table(spark, sf_dir, "documents"), F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("")
+    found = SearchIndex(spark, path)
+    try:
+        found.sync(docs.select(name.alias("original_id"), name.alias("chunk_id"), none.alias("observation_id"), none.alias("evidence_id"), none.alias("selector"), "text", none.alias("producer")), fingerprint(spark, docs))
+    except Conflict:  # another query has just done it
+        pass
+    return found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
