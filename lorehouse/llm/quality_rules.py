@@ -3,9 +3,7 @@
 ``measure`` adds per-document counts, ``RULES`` is the threshold table over their ratios, and ``compile_rules``
 turns the table into one boolean expression. No shuffle, no user function: a document never leaves its task.
 
-Repeated windows are found by hash: of a text of n words, whose number has b bits, each hash keeps 64 - b bits, so a chance
-repeat has probability n^2 / 2^(65 - b): 1 in 20 million for 10,000 words, 1 in 35 for a
-million.
+Repeated windows are found exactly: the windows of a text are sorted by their words, so equal ones are neighbours.
 
 Defined results: a null or empty text has no word, so every count is 0 and ``base_failed`` is true. Repeated rows
 are judged each on their own. Columns of the input are kept out of the way: only ``id_col`` and ``text_col`` are read.
@@ -52,8 +50,8 @@ RULES: tuple[Rule, ...] = (
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
 
-    Repeated words: each 3-word window becomes one long, its 64-bit hash shifted to make room for its position.
-    Sorting these longs puts equal windows side by side, so the cost is n log n in the text's length.
+    Repeated words: sorting the 3-word windows with their places puts equal ones side by side, so the cost is n log n in the
+    text's length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = held(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "w", words_of(F.col("text"))).select(
@@ -71,24 +69,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.length(F.bin(F.size("w").cast("long"))).alias("bits"),
     )
     keyed = held(
         counted,
         "keys",
-        F.expr(
-            "sort_array(slice(transform(w, (x, i) -> shiftleft(xxhash64(x, get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint)), 1, greatest(0, size(w) - 2)))"
-        ),
+        F.expr("sort_array(slice(transform(w, (x, i) -> struct(x as a, get(w, i + 1) as b, get(w, i + 2) as c, i as i)), 1, greatest(0, size(w) - 2)))"),
     ).drop("w")
-    found = held(
-        keyed,
-        "at",
-        F.expr(
-            "sort_array(transform(filter(keys, (x, i) -> shiftright(x, bits) = shiftright(get(keys, i - 1), bits) or shiftright(x, bits) = shiftright(get(keys, i + 1), bits)),"
-            " x -> x & (shiftleft(1L, bits) - 1)))"
-        ),
-    ).drop("keys")
-    return found.withColumn("n_repeat_words", F.expr("aggregate(transform(at, (x, i) -> least(3L, coalesce(get(at, i + 1) - x, 3L))), 0L, (a, b) -> a + b)")).drop("at", "bits")
+    same = "x.a = get(keys, i {0}).a and x.b = get(keys, i {0}).b and x.c = get(keys, i {0}).c"
+    found = held(keyed, "at", F.expr(f"sort_array(transform(filter(keys, (x, i) -> {same.format('- 1')} or {same.format('+ 1')}), x -> x.i))")).drop("keys")
+    return found.withColumn("n_repeat_words", F.expr("aggregate(transform(at, (x, i) -> least(3, coalesce(get(at, i + 1) - x, 3))), 0L, (a, b) -> a + b)")).drop("at")
 
 
 def ratios(measured: DataFrame) -> DataFrame:
