@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ranked_within, top_within
 from ..functions.text import compact, humanize, search_text, trimmed
 
 UNNAMED, UNKNOWN = "Unnamed entity", "Unknown"
@@ -109,9 +110,13 @@ def omni_search(candidates: DataFrame, query: str, limit: int = 8) -> DataFrame:
     if not wanted or limit <= 0:
         return candidates.select("tier", "id", "title", F.lit(0).alias("relevance"), F.lit(0).alias("rank")).limit(0)
     scored = F.array_max(F.transform("search_terms", lambda t, i: relevance(wanted, search_text(t)) - i * 10))
+    return _best(candidates.select("tier", "id", "title", scored.alias("relevance")).where("relevance is not null"), limit)
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
     tier = F.coalesce(*[F.when(F.col("tier") == name, rank) for name, rank in TIERS.items()], F.lit(-1))
     order = [F.desc("relevance"), F.desc("_tier"), F.length("title"), F.lower("title"), F.col("id")]
-    hits = candidates.select("tier", "id", "title", scored.alias("relevance"), tier.alias("_tier")).where("relevance is not null").orderBy(*order).limit(limit)
+    hits = scored.withColumn("_tier", tier).orderBy(*order).limit(limit)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_tier")
 
 
@@ -137,10 +142,12 @@ def entity_page(entities: DataFrame, claims: DataFrame, n: int = 50) -> DataFram
     return first_page(claim_counts(entities, claims), [F.desc("n_claims"), F.lower("label"), F.col("entity_id")], n)
 
 
-def groups_of_entities(claims: DataFrame, observations: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity_id, predicate, value, confidence, n_claims, primary_claim_id, linked_entity_id, rank) for every entity.
+def groups_of_entities(claims: DataFrame, observations: DataFrame, entities: DataFrame, most: int | None = None) -> DataFrame:
+    """(entity_id, predicate, value, confidence, n_claims, primary_claim_id, linked_entity_id, rank) for every entity; the first
+    ``most`` groups of each, if a number is given.
 
-    ``value`` is what the group says of the entity, ``linked_entity_id`` the other end of a relation if it is known.
+    ``value`` is what the group says of the entity, ``linked_entity_id`` the other end of a relation if it is known. An entity
+    that half of all claims are about is ranked in many tasks.
     """
     names = labels(entities, claims)
     groups = claim_groups(claim_confidence(claims, observations))
@@ -150,8 +157,9 @@ def groups_of_entities(claims: DataFrame, observations: DataFrame, entities: Dat
     told = told.withColumn("value", F.when(F.col("object_entity_id").isNotNull(), relation).otherwise(F.coalesce("value", F.lit(UNKNOWN))))
     seen = attached(told).withColumn("_other", F.when(F.col("entity_id") == F.col("subject_entity_id"), F.col("object_entity_id")).otherwise(F.col("subject_entity_id")))
     known = entities.select(F.col("entity_id").alias("_other"), F.col("entity_id").alias("linked_entity_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(*by_confidence("predicate", "value", "primary_claim_id")))
-    return seen.join(known, "_other", "left").select("entity_id", "predicate", "value", "confidence", "n_claims", "primary_claim_id", "linked_entity_id", rank.alias("rank"))
+    rows = seen.join(known, "_other", "left").select("entity_id", "predicate", "value", "confidence", "n_claims", "primary_claim_id", "linked_entity_id")
+    order = by_confidence("predicate", "value", "primary_claim_id")
+    return ranked_within(rows, "entity_id", order, "rank") if most is None else top_within(rows, "entity_id", order, most, "rank")
 
 
 def search_terms(entities: DataFrame, claims: DataFrame) -> DataFrame:
@@ -159,16 +167,39 @@ def search_terms(entities: DataFrame, claims: DataFrame) -> DataFrame:
 
     A hub's terms are as many as its different claims' texts; equal texts are summed to one before they are gathered.
     """
+    terms, names = _terms(entities, claims)
+    lists = terms.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("t"))
+    rest = F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>"))
+    return names.join(lists, "entity_id", "left").select("entity_id", F.col("label").alias("title"), F.array_distinct(F.concat(F.array("label"), rest)).alias("search_terms"))
+
+
+def _terms(entities: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, term, first) of what active claims say, each text once with its first claim, and the entities' labels."""
     names = labels(entities, claims)
     label_of = lambda end: names.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("label").alias(f"_{end}"))
     told = active(claims).join(label_of("subject"), "subject_entity_id", "left").join(label_of("object"), "object_entity_id", "left")
     said, nothing = humanize(F.col("predicate")), F.lit("")
     relation = F.concat_ws(" ", F.coalesce("_subject", nothing), said, F.coalesce("_object", nothing))
     text = F.trim(F.when(F.col("object_entity_id").isNull(), F.concat_ws(" ", said, F.coalesce("value", nothing))).otherwise(relation))
-    terms = attached(told.withColumn("term", text)).where("term <> ''").groupBy("entity_id", "term").agg(F.min("claim_id").alias("first"))
-    lists = terms.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("t"))
-    rest = F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>"))
-    return names.join(lists, "entity_id", "left").select("entity_id", F.col("label").alias("title"), F.array_distinct(F.concat(F.array("label"), rest)).alias("search_terms"))
+    return attached(told.withColumn("term", text)).where("term <> ''").groupBy("entity_id", "term").agg(F.min("claim_id").alias("first")), names
+
+
+def search_term_rows(entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """(entity_id, title, pos, term): the terms of ``search_terms``, one row each from 0, so that no task holds a hub's."""
+    terms, names = _terms(entities, claims)
+    label = names.select("entity_id", F.col("label").alias("title"))
+    others = terms.join(label, "entity_id").where("term <> title")
+    placed = ranked_within(others, "entity_id", [F.col("first"), F.col("term")], "pos").select("entity_id", "title", "pos", "term")
+    return label.select("entity_id", "title", F.lit(0).alias("pos"), F.col("title").alias("term")).unionByName(placed)
+
+
+def omni_search_rows(terms: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """``omni_search`` over candidates whose terms are rows (tier, id, title, pos, term): the best of each is a maximum."""
+    wanted = terms.sparkSession.range(1).select(search_text(F.lit(query)).alias("q")).first()["q"]
+    if not wanted or limit <= 0:
+        return terms.select("tier", "id", "title", F.lit(0).alias("relevance"), F.lit(0).alias("rank")).limit(0)
+    scored = terms.withColumn("relevance", relevance(wanted, search_text(F.col("term"))) - F.col("pos") * 10).where("relevance is not null")
+    return _best(scored.groupBy("tier", "id", "title").agg(F.max("relevance").alias("relevance")), limit)
 
 
 def supporting_titles(claims: DataFrame, observations: DataFrame, evidence: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:

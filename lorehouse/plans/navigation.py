@@ -48,6 +48,32 @@ def entity_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.search_terms(entities(spark, sf_dir), D.claims(spark, sf_dir)).withColumn("search_terms", F.array_join("search_terms", "|"))
 
 
+_GROUP_SQL = f"""WITH {NAMES_SQL}, {ATTACHED_SQL}, g AS (
+  SELECT a.entity_id, a.subject_entity_id, predicate, CASE WHEN object_entity_id IS NULL THEN value ELSE s_label || ' → ' || o_label END AS value, object_entity_id, max(o1.confidence) AS confidence, count(*) AS n_claims,
+         arg_min(claim_id, {{'none': o1.confidence IS NULL, 'less': -o1.confidence, 'id': claim_id}}) AS primary_claim_id
+  FROM attached a LEFT JOIN observation o1 ON o1.observation_id = supports[1] GROUP BY ALL)
+SELECT * FROM (SELECT entity_id, predicate, value, confidence, primary_claim_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC NULLS LAST, predicate, value, primary_claim_id) AS INTEGER) AS rank FROM g) WHERE rank <= 5"""
+
+
+@query(_GROUP_SQL)
+def claim_group_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five groups of each entity; a nation's are as many as its customers."""
+    told = G.groups_of_entities(D.claims(spark, sf_dir), D.observations(spark, sf_dir), entities(spark, sf_dir), 5)
+    return told.select("entity_id", "predicate", "value", "confidence", "primary_claim_id", "rank")
+
+
+_TERM_SQL = f"""WITH {NAMES_SQL}, {ATTACHED_SQL}, t AS (SELECT entity_id, claim_id, CASE WHEN object_entity_id IS NULL THEN replace(predicate, '_', ' ') || ' ' || value ELSE s_label || ' ' || replace(predicate, '_', ' ') || ' ' || o_label END AS term FROM attached),
+d AS (SELECT entity_id, term, min(claim_id) AS first FROM t GROUP BY ALL),
+terms AS (SELECT entity_id, label AS title, 0 AS pos, label AS term FROM names UNION ALL
+  SELECT entity_id, label, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY first, term) AS INTEGER), term FROM d JOIN names USING (entity_id) WHERE term <> label)"""
+
+
+@query(f"{_TERM_SQL} SELECT * FROM terms")
+def entity_term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that an entity is found by, one row each in their order."""
+    return G.search_term_rows(entities(spark, sf_dir), D.claims(spark, sf_dir))
+
+
 @query(
     f"""WITH {NAMES_SQL}, {ATTACHED_SQL}, r AS (SELECT claim_id, CASE WHEN object_entity_id IS NULL THEN replace(predicate, '_', ' ') || ' · ' || value ELSE s_label || ' — located in → ' || o_label END AS description, s_label, object_entity_id FROM told),
 p AS (SELECT claim_id, description, CASE WHEN object_entity_id IS NULL THEN s_label || ' — ' || description ELSE description END AS "row" FROM r)

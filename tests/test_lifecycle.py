@@ -2,9 +2,10 @@
 
 import pytest
 from lorehouse.functions import labels
-from lorehouse.functions.ordering import numbered
+from lorehouse.functions.ordering import numbered, ranked_within, top_within
 from lorehouse.functions.text import file_size
 from lorehouse.operators import archive, desktop, graph, jobs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,32 @@ def test_ambiguous_refs_name_nothing(spark):
     none = spark.createDataFrame([], "supporting_observation_ids array<string>, state string")
     found = {(r.predicate, r.value, r.confidence) for r in graph.candidate_findings(o, spark.createDataFrame([("e1", "x")], "evidence_id string, excerpt string"), none).collect()}
     assert found == {("Possible entity", "Ida", 0.9), ("Possible entity", "Per", 0.9), ("born in", "1931", None)}
+
+
+def test_a_hub_is_ranked_in_many_tasks(spark):
+    """Half of all rows are one value's: ranks equal the window's, and no range has more than twice the mean."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hub").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), "id")
+    order = [F.desc("v"), F.col("id")]
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    rows = lambda x: sorted((r.id, r.n) for r in x.select("id", "n").collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ranked_within(df, "k", order, "n")
+        sizes = [r["count"] for r in df.repartitionByRange(F.col("k").asc(), *order).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(found) == rows(want) and len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert rows(top_within(df, "k", order, 3, "n")) == rows(want.where("n <= 3"))
+    assert ranked_within(df.limit(0), "k", order, "n").count() == 0
+
+
+def test_terms_as_rows_answer_as_lists_do(spark):
+    entities = spark.createDataFrame([("e1",), ("e2",), ("hub",)], "entity_id string")
+    rows = [(f"c{k:03d}", "hub", "knows", f"person {k}", None, "active") for k in range(60)] + [("n1", "e1", "name", "Ida Lund", None, "active"), ("n2", "hub", "name", "Hub", None, "active"), ("r1", "e1", "member_of", None, "hub", "active")]
+    claims = spark.createDataFrame(rows, "claim_id string, subject_entity_id string, predicate string, value string, object_entity_id string, state string")
+    lists = graph.search_terms(entities, claims).select(F.lit("SILVER").alias("tier"), F.col("entity_id").alias("id"), "title", "search_terms")
+    terms = graph.search_term_rows(entities, claims).select(F.lit("SILVER").alias("tier"), F.col("entity_id").alias("id"), "title", "pos", "term")
+    gathered = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("t"))
+    assert {r.id: r.t for r in gathered.collect()} == {r.id: r.search_terms for r in lists.collect()}
+    for q in ("person 59", "hub", "ida", "lund member", "nothing", " "):
+        assert graph.omni_search_rows(terms, q).collect() == graph.omni_search(lists, q).collect()
