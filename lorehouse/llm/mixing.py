@@ -15,8 +15,10 @@
 4. A row is taken ``floor(rate + u)`` times, u a fixed number in [0, 1) from its id and text.
 
 Default targets are proportional to mass ** ``temper``; the default total is the corpus's own words, so a small domain is
-repeated and cannot shrink the others. With it no target is more than ``REPEAT`` times its domain's words, and what
-a domain at that bound cannot take goes to the others by their weights; a total given by the caller is met without bound.
+repeated and cannot shrink the others. ``repeat``, which is off by default, bounds a target to so many times its domain's
+words; what a domain at that bound cannot take goes to the others by their weights. Every row tells of its domain the words
+wanted (``domain_target``) and the words that the rates give it in expectation (``domain_expected``): where the text does
+not tell domains apart, no rate can move one without the others, and the two differ.
 Sources beyond the ``MAX_DOMAINS - 1`` with the most words are one domain, ``OTHERS``. ``kept_words`` reports each domain.
 
 Defined results: null and empty texts have no words, so their rate never matters to the totals and follows their
@@ -36,15 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, held, words_of
 
-RESULTS = ("n_words", "domain", "rate", "copies")
+RESULTS = ("n_words", "domain", "rate", "copies", "domain_target", "domain_expected")
 #: Minimum hashes of a text, and how many values each number about a text has.
 MINS, VALUES = 3, 128
 #: At most so many domains: their totals and the classifier's counts, and nothing else, come to the driver.
 MAX_DOMAINS = 256
 #: Weights of the text's evidence to choose from, and the part of the labelled rows that chooses.
 WEIGHTS, FOLDS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0), 5
-#: The domain of all rarer sources, and how often a domain is repeated at most, on average, under the default total.
-OTHERS, REPEAT = "(other sources)", 4.0
+#: The domain of all rarer sources.
+OTHERS = "(other sources)"
 _SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 
 
@@ -165,10 +167,10 @@ def memberships(told: Described, doubt: float | None = None, smooth: float = 1.0
     return Membership(cut(held(rows, lp, logs).withColumn(p, _normal(F.col(f"`{lp}`"))).drop(lp, y, fold)), p, domains, weight, told_of)
 
 
-def targets(mass: list[float], wish: list[float], total: float | None) -> list[float]:
-    """Words wanted of each domain: ``total`` by the wishes or, if it is None, the masses' sum with at most ``REPEAT``
-    times its mass of each domain."""
-    most = [m * REPEAT if total is None else inf for m in mass]
+def targets(mass: list[float], wish: list[float], total: float | None, repeat: float | None = None) -> list[float]:
+    """Words wanted of each domain: ``total``, or the masses' sum if it is None, by the wishes, with at most ``repeat`` times
+    its mass of each domain."""
+    most = [inf if repeat is None else m * repeat for m in mass]
     left, target = sum(mass) if total is None else total, [0.0] * len(mass)
     open_to = {i for i, w in enumerate(wish) if w > 0}
     while open_to:
@@ -188,8 +190,8 @@ def _rate(p: str, moved: Sequence[float]) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot)
 
 
-def fitted(member: Membership, n_col: str, weights: Mapping[str, float] | None, total: float | None, temper: float, hold: float, rounds: int, tolerance: float) -> Column:
-    """Rates of the rows as an expression of their posterior."""
+def fitted(member: Membership, n_col: str, weights: Mapping[str, float] | None, total: float | None, temper: float, hold: float, rounds: int, tolerance: float, repeat: float | None) -> tuple[Column, list[float], list[float]]:
+    """Rates of the rows as an expression of their posterior, and the words wanted and expected of each domain."""
     size, n = len(member.domains), F.col(f"`{n_col}`")
 
     def totals(rate: Column) -> list[float]:
@@ -200,29 +202,30 @@ def fitted(member: Membership, n_col: str, weights: Mapping[str, float] | None,
     wish = [float(weights.get(d, 0.0)) for d in member.domains] if weights is not None else [m**temper for m in mass]
     moved = [0.0] * size
     if sum(wish) <= 0 or sum(mass) <= 0:
-        return F.lit(1.0)
-    target, now, pace = targets(mass, wish, total), mass, 1 / (1 + hold)
+        return F.lit(1.0), mass, mass
+    target, now, pace = targets(mass, wish, total, repeat), mass, 1 / (1 + hold)
     for _ in range(rounds):
         step = [pace * ((s - t) / m - hold * v) if m > 0 else 0.0 for s, t, m, v in zip(now, target, mass, moved, strict=True)]
         moved = [v + s for v, s in zip(moved, step, strict=True)]
         if max(map(abs, step)) <= tolerance:
             break
         now = totals(_rate(member.p, moved))
-    return _rate(member.p, moved)
+    return _rate(member.p, moved), target, now
 
 
 def mix_sources(
     docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    lang_col: str = "lang", keep: Sequence[str] | None = None, doubt: float | None = None, temper: float = 0.5, hold: float = 0.02, rounds: int = 20, tolerance: float = 1e-3,
+    lang_col: str = "lang", keep: Sequence[str] | None = None, doubt: float | None = None, temper: float = 0.5, hold: float = 0.02, rounds: int = 20, tolerance: float = 1e-3, repeat: float | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs``, all if it is None, with ``n_words``, ``domain`` (the likeliest), ``rate`` and ``copies``."""
+    """The columns ``keep`` of ``docs``, all if it is None, with ``RESULTS``; ``domain`` is the likeliest."""
     told = described(docs, docs.columns if keep is None else keep, id_col, text_col, source_col, lang_col)
     member = memberships(told, doubt)
-    rate, p = fitted(member, told.n, weights, total, temper, hold, rounds, tolerance), F.col(f"`{member.p}`")
-    likeliest = F.element_at(_literal(member.domains, "array<string>"), F.array_position(p, F.array_max(p)).cast("int"))
+    (rate, target, expected), p = fitted(member, told.n, weights, total, temper, hold, rounds, tolerance, repeat), F.col(f"`{member.p}`")
+    of_domain = lambda told_, kind: F.element_at(_literal(told_, f"array<{kind}>"), F.array_position(p, F.array_max(p)).cast("int"))
+    likeliest, whole = of_domain(member.domains, "string"), lambda x: [round(v) for v in x]
     rated = held(member.table, free := free_name(member.table, "__rate"), rate)
     r = F.col(f"`{free}`")
-    mixed = rated.withColumns({"n_words": F.col(f"`{told.n}`"), "domain": likeliest, "rate": r, "copies": F.floor(r + F.col(f"`{told.u}`")).cast("int")})
+    mixed = rated.withColumns({"n_words": F.col(f"`{told.n}`"), "domain": likeliest, "rate": r, "copies": F.floor(r + F.col(f"`{told.u}`")).cast("int"), "domain_target": of_domain(whole(target), "bigint"), "domain_expected": of_domain(whole(expected), "bigint")})
     return mixed.drop(told.n, told.x, told.u, told.source, member.p, free)
 
 

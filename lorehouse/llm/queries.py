@@ -80,7 +80,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership by text alone: the source is the classifier's label."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=("doc_id", "source")).select("doc_id", "source", "domain", "n_words", "rate", "copies")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), keep=("doc_id", "source")).select("doc_id", "source", "domain", "n_words", "rate", "copies", "domain_target", "domain_expected")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
