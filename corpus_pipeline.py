@@ -3,10 +3,12 @@
 A stage's working tables are deleted when the next stage begins, so its result has to be written before, as ``run`` does.
 
 Stages are language ID, quality classifier, n-gram Jaccard join, mixing and packing. All but the last return the columns
-of the documents they were given. Defined results: documents without a letter go at the first stage; of a group of near
-duplicates the row with the smallest id stays, a row without id only where no row has one, one row of several with that
-id; rows that share an id but not a text are documents of their own; an empty table gives no pieces. No stage
-is expressible in SQL as a whole, so ``ORACLE_SQL`` is None and the stages are tested on small tables.
+of the documents they were given. Defined results: documents without a letter, null and empty texts among them, go at the
+first stage, in which repeated rows are judged each on their own and a null language is filled in; the second scores each
+row by its text alone and keeps rows of any id; of a group of near duplicates the row with the smallest id stays, a row
+without id only where no row has one, one row of several with that id; rows that share an id but not a text are documents of
+their own; the last packs every row it gets, a null text as an empty one. An empty table gives no rows at any stage. No
+stage is expressible in SQL as a whole, so ``ORACLE_SQL`` is None and the stages are tested on small tables.
 """
 
 from __future__ import annotations
@@ -62,8 +64,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate asks. The declared source counts as evidence that is wrong once in ten times:
-    text alone may not tell sources apart, and then no rate would ever differ from 1."""
-    return mixing.taken(mixing.mix_sources(docs, doubt=0.1), docs.columns)
+    text alone may not tell sources apart, and then no rate would ever differ from 1. A source is repeated at most four
+    times on average."""
+    return mixing.taken(mixing.mix_sources(docs, doubt=0.1, repeat=4.0), docs.columns)
 
 
 @stage
