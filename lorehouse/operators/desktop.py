@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORIGINAL, ENTITY = "bronze", "silver-entity"
-KEY = ["desktop", "object_type", "object_id"]
+KEY, DEALT = ["desktop", "object_type", "object_id"], 16
 DOCUMENT = "version int, items array<struct<object_type:string,object_id:string,`order`:int>>, known_objects array<string>"
 
 
@@ -31,11 +31,10 @@ def with_originals(items: DataFrame, known: DataFrame, manifest: DataFrame) -> D
 
 
 def _each(live: DataFrame, desktops: DataFrame) -> DataFrame:
-    """Every live original for each desktop: an archive has a handful of desktops, and their names are a literal."""
-    names = [r["desktop"] for r in desktops.orderBy("desktop").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("too many desktops for one manifest")
-    return live.withColumn("desktop", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    """Every live original for each desktop. Desktops lie in ``DEALT`` groups and each original meets every group, so the pairs,
+    all of which are wanted, are made in many tasks."""
+    group = F.pmod(F.xxhash64("desktop"), F.lit(DEALT)).cast("int")
+    return live.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(desktops.withColumn("_group", group), "_group").drop("_group")
 
 
 def known_after(items: DataFrame, known: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS
 )
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval parts of at most 3072 bytes of every document."""
-    d = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsers.split_for_retrieval(F.col("text"))).alias("part", "chunk"))
+    d = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parsers.parts_for_retrieval(F.col("text"))).alias("part", "chunk"))
     return d.select("doc_id", "part", F.octet_length("chunk").alias("n_bytes"), F.sha2("chunk", 256).alias("chunk_hash"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 #: Formats that are never read as text, and the bounds on input.
 BINARY_KINDS = ("image/", "audio/", "video/", "font/")
 BINARY_TYPES = ("application/pdf", "application/zip", "application/gzip", "application/x-gzip", "application/x-7z-compressed", "application/x-rar-compressed")
@@ -13,7 +15,7 @@ SNIFF_BYTES, MOST_BYTES = 8192, 8 * 1024 * 1024
 
 
 def plain_mime(mime: Column) -> Column:
-    return F.lower(F.trim(F.substring_index(mime, ";", 1)))
+    return F.lower(trimmed(F.substring_index(mime, ";", 1)))
 
 
 def declared_text(mime: Column) -> Column:

@@ -262,9 +262,9 @@ def markdown_fragments(text: str) -> list[dict]:
 
 
 def fragments_of(parser: str, content: bytes) -> list[dict]:
-    """Fragments of one original. Content that its own parser refuses is read as plain text."""
+    """Fragments of one original. Content that its own parser refuses is read as plain text; bytes that are no UTF-8 fail."""
     mark = content.startswith(b"\xef\xbb\xbf")
-    text = content.decode("utf-8-sig", "replace")
+    text = content.decode("utf-8-sig")
     found = {"json": json_fragments, "csv": csv_fragments, "markdown": markdown_fragments}.get(parser, lambda t: None)(text)
     out = text_fragments(text) if found is None else found
     for f in out if mark else ():
@@ -338,6 +338,13 @@ def split_for_retrieval(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(retrieval_parts)
 
 
+def parts_for_retrieval(text: Column) -> Column:
+    """The parts of a text as an array. Texts that fit into one part stay in the JVM; Python gets null in their place."""
+    plain = trimmed(F.coalesce(text, F.lit("")))
+    short = F.octet_length(plain) <= CHUNK_BYTES
+    return F.when(short, F.filter(F.array(plain), lambda x: x != "")).otherwise(split_for_retrieval(F.when(~short, plain)))
+
+
 def retrieval_text(kind: Column, payload: Column, number_text: bool = True) -> Column:
     """The text that a fragment contributes to search; null for kinds that contribute none."""
     value = F.get_json_object(payload, "$.value")
@@ -379,19 +386,24 @@ def rehydrated(observations: DataFrame, evidence: DataFrame) -> DataFrame:
     return found.select("original_id", "observation_id", "kind", "selector", "payload", fragment_text(F.col("kind"), F.col("payload")).alias("text"), "evidence_id")
 
 
-def chunks(observations: DataFrame, evidence: DataFrame) -> DataFrame:
+def chunks(observations: DataFrame, evidence: DataFrame, originals: DataFrame | None = None) -> DataFrame:
     """(original_id, chunk_id, observation_id, evidence_id, selector, text, producer): what search sees of observations.
 
     Observations are (observation_id, kind, payload, evidence_ids, producer), evidence is (evidence_id, original_id, selector).
-    Only those of the extraction with one piece of evidence count; evidence that is missing fails the query.
+    Only those of the extraction with one piece of evidence count; evidence that is missing fails the query. With the
+    published ``originals`` (original_id, hash) evidence has a ``hash`` too, and what rests on other bytes than the original has
+    now is left out.
     """
     from ..operators.index import chunk_id
     from ..operators.jobs import EXTRACTION
 
     told = observations.where((F.col("producer") == EXTRACTION) & (F.size("evidence_ids") == 1))
     told = told.select("observation_id", "producer", F.col("evidence_ids")[0].alias("evidence_id"), retrieval_text(F.col("kind"), F.col("payload")).alias("text")).where(trimmed(F.col("text")) != "")
-    found = told.join(evidence.select("evidence_id", "original_id", "selector", F.lit(True).alias("_there")), "evidence_id", "left")
+    hash_ = F.lit(None).cast("string") if originals is None else F.col("hash")
+    found = told.join(evidence.select("evidence_id", "original_id", "selector", hash_.alias("_hash"), F.lit(True).alias("_there")), "evidence_id", "left")
     found = found.where(F.assert_true(F.col("_there").isNotNull(), F.lit("an observation refers to missing evidence")).isNull()).drop("_there")
-    parts = found.withColumn("parts", F.when(F.octet_length("text") <= CHUNK_BYTES, F.array(trimmed(F.col("text")))).otherwise(split_for_retrieval(F.col("text"))))
+    if originals is not None:
+        found = found.join(originals.select("original_id", F.col("hash").alias("_hash")), ["original_id", "_hash"], "left_semi")
+    parts = found.withColumn("parts", parts_for_retrieval(F.col("text")))
     spread = parts.select("original_id", "observation_id", "evidence_id", "selector", "producer", F.posexplode("parts").alias("part", "text"))
     return spread.select("original_id", chunk_id(F.col("observation_id"), F.col("evidence_id"), F.col("part")).alias("chunk_id"), "observation_id", "evidence_id", "selector", "text", "producer")

@@ -92,3 +92,11 @@ def test_terms_as_rows_answer_as_lists_do(spark):
     assert {r.id: r.t for r in gathered.collect()} == {r.id: r.search_terms for r in lists.collect()}
     for q in ("person 59", "hub", "ida", "lund member", "nothing", " "):
         assert graph.omni_search_rows(terms, q).collect() == graph.omni_search(lists, q).collect()
+
+
+def test_any_number_of_desktops_takes_a_manifest(spark):
+    none = spark.createDataFrame([], "desktop string, object_type string, object_id string")
+    known = spark.range(1500).select(F.format_string("d%04d", "id").alias("desktop"), F.lit("silver-entity").alias("object_type"), F.lit("e").alias("object_id"))
+    manifest = spark.createDataFrame([("a", False), ("b", True)], "id string, deleted boolean")
+    after = desktop.known_after(none.withColumn("position", F.lit(0)), known, manifest)
+    assert after.count() == 4500 and after.where("object_id = 'b'").select("desktop").distinct().count() == 1500

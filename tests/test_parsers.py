@@ -2,7 +2,9 @@ import json
 
 import pytest
 
+from lorehouse.sources import dispatch
 from lorehouse.sources import parsers as P
+from pyspark.sql import functions as F
 
 
 def kinds(parser, content):
@@ -83,3 +85,24 @@ def test_expressions_equal_the_grammar(spark):
     assert key(told) == key(plain)
     routed = rows.select("original_id", P.native.route(rows.parser, rows.content).alias("r")).where("r is not null")
     assert {texts[r.original_id][0] for r in routed.collect()} == {"json", "csv", "text"} and 12 < routed.count() < len(texts) - 12
+
+
+def test_parts_stay_in_the_jvm_where_they_fit(spark):
+    texts = [None, "", " \t\n", "short", "  a b ", "x" * 3072, "é" * 1536, "é" * 1537, "word " * 2000, "\u2003" * 1200 + "end", "y" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r.k: r.p for r in df.select("k", P.parts_for_retrieval(F.col("t")).alias("p")).collect()}
+    assert found == {k: P.retrieval_parts(t or "") for k, t in enumerate(texts)}
+
+
+def test_chunks_rest_on_the_bytes_that_are_there(spark):
+    o = spark.createDataFrame([(f"o{k}", "text-block", '{"text":"said"}', [f"e{k}"], "format-extraction/1") for k in range(3)], "observation_id string, kind string, payload string, evidence_ids array<string>, producer string")
+    e = spark.createDataFrame([("e0", "s", "{}", "h1"), ("e1", "s", "{}", "h0"), ("e2", "gone", "{}", "h1")], "evidence_id string, original_id string, selector string, hash string")
+    now = spark.createDataFrame([("s", "h1")], "original_id string, hash string")
+    assert {r.observation_id for r in P.chunks(o, e, now).collect()} == {"o0"} and P.chunks(o, e).count() == 3
+
+
+def test_bytes_that_are_no_text_fail(spark):
+    with pytest.raises(UnicodeDecodeError):
+        P.fragments_of("text", b"a\xff")
+    mimes = spark.createDataFrame([(" Text/Plain\t\n; charset=x",), ("\u00a0application/json",)], "m string")
+    assert [r.m for r in mimes.select(dispatch.plain_mime(F.col("m")).alias("m")).collect()] == ["text/plain", "application/json"]
