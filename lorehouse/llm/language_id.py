@@ -5,8 +5,9 @@ The kernel of two texts is the cosine of the sets of their 1- to 3-grams of lowe
 are texts of the training sample; the Nyström map whitens their kernel matrix, and one ridge regression per language
 (one against the rest) is solved on the mapped sample. Whole texts are read; texts are never cut.
 
-The sample is bounded: for each language at most ``per_language`` documents, the ones with the least hash of the id in
-each of that many slots. Everything else covers all rows.
+The sample is bounded: at most ``SAMPLE`` documents of the ``LANGUAGES`` values with the most labelled rows, shared out
+evenly, and for each at most ``per_language``, the ones with the least hash of the id in each of that many slots. Of rows that
+share an id the least text counts. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. With no labelled text at all every
 prediction is ``und`` with score 0. Equal scores go to the first language in alphabetical order. Rows are predicted one
@@ -29,6 +30,8 @@ from .words import in_runs
 
 UNKNOWN = "und"
 _RUN = 1 << 18
+#: Bounds of the sample: languages and documents in all.
+LANGUAGES, SAMPLE = 256, 8000
 
 
 def presence(texts: list[str], buckets: int, longest: int) -> np.ndarray:
@@ -68,11 +71,16 @@ class Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list:
-    """At most ``per_label`` (text, label) rows for each label: of each slot of ids, the one with the least hash."""
+    """At most ``per_label`` (text, label) rows for each label, and ``SAMPLE`` in all: of each slot of ids, the one with the least hash."""
     h = F.xxhash64(F.col(id_col).cast("string"))
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), h.alias("h"))
+    labels = [r["label"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()]
+    if not labels:
+        return []
+    per_label = min(per_label, SAMPLE // len(labels))
+    rows = rows.where(F.col("label").isin(*labels))
     chosen = rows.groupBy("label", F.pmod("h", F.lit(per_label)).alias("slot")).agg(F.min("h").alias("h")).select("label", "h")
-    texts = rows.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.first("text").alias("text"))
+    texts = rows.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
     return texts.orderBy("label", "h").collect()
 
 

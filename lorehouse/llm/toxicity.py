@@ -15,7 +15,8 @@
 The sample is bounded: at most ``per_class`` rows of each mark. Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts have no feature and get the score of the bias alone, below 0.5; without labelled
-rows every score is 0. Rows are scored one by one, so repeated rows agree; other columns pass through.
+rows every score is 0. Rows are scored one by one, so repeated rows agree; other columns pass through, one named like the
+score is replaced by it. Of the sample only features come to the driver, never texts.
 """
 
 from __future__ import annotations
@@ -138,13 +139,40 @@ def apart(n: int, doc: np.ndarray, col: np.ndarray, n_cols: int, bands: int = 8,
     return keep
 
 
+def packed_features(texts: pa.Array) -> pa.Array:
+    """The features of each text as 64-bit numbers in a row, so that no text of the sample has to leave its task."""
+    out = [b""] * len(texts)
+    for first, n, doc, f in features_of(texts):
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        for k in range(n):
+            out[first + k] = f[ends[k] : ends[k + 1]].astype("<u8").tobytes()
+    return pa.array(out, pa.binary())
+
+
+def regression(doc: np.ndarray, col: np.ndarray, post: np.ndarray, width: int, epochs: int, rate: float, shrink: float) -> np.ndarray:
+    """Weights, none below 0, of a logistic regression on 0/1 features (row, column) to the posteriors, both classes alike, by
+    steps that adapt to each weight."""
+    n, w, b = len(post), np.zeros(width), 0.0
+    gw, gb = np.full(width, 1e-8), 1e-8
+    weight = np.where(post > 0.5, 0.5 / max(1, (post > 0.5).sum()), 0.5 / max(1, (post <= 0.5).sum()))
+    for _ in range(epochs):
+        out = np.bincount(doc, w[col], minlength=n) + b
+        miss = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - post) * weight
+        grad = np.bincount(col, miss[doc], minlength=width) + shrink * w / n
+        gw += grad**2
+        gb += miss.sum() ** 2
+        w = np.maximum(w - rate * grad / np.sqrt(gw), 0)  # a word can only speak for a toxic text
+        b -= rate * miss.sum() / np.sqrt(gb)
+    return w
+
+
 def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4, contrast: float = 12.0, least: float = 30.0) -> Model | None:
-    """Label model and classifier from (text, label) rows, label 0 or 1."""
+    """Label model and classifier from (features, label) rows, features as ``packed_features`` gives them, label 0 or 1."""
     if not rows or len({r["label"] for r in rows}) < 2:
         return None
     mark = np.array([float(r["label"]) for r in rows])
-    parts = [(first + doc, f) for first, _, doc, f in features_of(pa.array([r["text"] for r in rows], pa.large_string()))]
-    doc, f = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
+    parts = [np.frombuffer(r["features"], "<u8") for r in rows]
+    doc, f = np.repeat(np.arange(len(rows), dtype=np.int32), list(map(len, parts))), np.concatenate(parts)
     del parts
     names, many = np.unique(f, return_counts=True)
     names = names[many >= SEEN]
@@ -169,17 +197,7 @@ def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4,
     toxic, clean = post.sum(), (1 - post).sum()
     used = (evidence(yes, no, toxic, clean) >= least) & (yes / toxic >= contrast * (no + 0.5) / clean)
     doc, col = doc[used[col]], (np.cumsum(used) - 1)[col[used[col]]]
-    w, b = np.zeros(used.sum()), 0.0
-    gw, gb = np.full(len(w), 1e-8), 1e-8
-    weight = np.where(post > 0.5, 0.5 / max(1, (post > 0.5).sum()), 0.5 / max(1, (post <= 0.5).sum()))
-    for _ in range(epochs):
-        out = np.bincount(doc, w[col], minlength=n) + b
-        miss = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - post) * weight
-        grad = np.bincount(col, miss[doc], minlength=len(w)) + shrink * w / n
-        gw += grad**2
-        gb += miss.sum() ** 2
-        w = np.maximum(w - rate * grad / np.sqrt(gw), 0)  # a word can only speak for a toxic text
-        b -= rate * miss.sum() / np.sqrt(gb)
+    w = regression(doc, col, post, int(used.sum()), epochs, rate, shrink)
     # The bias: the sample's marks, each class alike, decide where 0.5 lies; no feature at all stays below it.
     out = np.bincount(doc, w[col], minlength=n)
     cuts = np.unique(out)
@@ -191,7 +209,9 @@ def fit(rows: list, epochs: int = 100, rate: float = 0.1, shrink: float = 1e-4,
 
 def train(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> Model | None:
     """A model from the texts of ``docs`` and the 0/1 marks of their ids."""
-    return fit(marked_sample(docs, marks, label_col, per_class, id_col, text_col).orderBy("label", "h").collect())
+    small_batches(docs.sparkSession)
+    rows = marked_sample(docs, marks, label_col, per_class, id_col, text_col)
+    return fit(rows.select("label", "h", F.arrow_udf(packed_features, "binary")("text").alias("features")).orderBy("label", "h").collect())
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:

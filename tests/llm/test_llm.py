@@ -1,5 +1,6 @@
 """The training-data operators: brute force, round trips, held-out accuracy, and the awkward rows."""
 
+import math
 import random
 import re
 import zlib
@@ -228,7 +229,7 @@ def held_out_errors(spark, name, label, data="/root/testdata/sf0.1"):
 def test_toxicity_held_out_and_awkward(spark, awkward, empty):
     assert held_out_errors(spark, "op7_toxicity", "toxic") < 0.08
     rows = [{"text": f"you {random.Random(i).choice(['idiot', 'moron'])} n{i} m{i}", "label": 1} for i in range(60)] + [{"text": f"fine words n{i} p{i}", "label": 0} for i in range(60)]
-    model = toxicity.fit(rows)
+    model = toxicity.fit([{"label": r["label"], "features": f} for r, f in zip(rows, toxicity.packed_features(pa.array([r["text"] for r in rows])).to_pylist(), strict=True)])
     odd = {r.doc_id: r.score for r in toxicity.score(awkward, model).collect()}
     assert len(odd) == 9 and all(odd[k] < 0.5 for k in (1, 2, 3, 6))
     assert toxicity.train(empty, empty.withColumn("toxic", F.lit(1))) is None and toxicity.score(awkward, None).where("score > 0").count() == 0
@@ -592,3 +593,54 @@ def test_url_filters_spread_repeated_rows(spark):
     pages = spark.range(2000).select(F.lit(1).alias("page_id"), F.lit("http://a.com/en/").alias("url"))
     found = url_filters.decide(pages, url_filters.rule_table(spark), salts=16)
     assert found.count() == 2000 and found.where("rule = 'com/en/' and verdict = 'block'").count() == 2000
+
+
+def test_label_model_and_regression_equal_plain_loops():
+    """Expectation-maximisation and the logistic steps, number by number."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(120) < 0.3
+    votes = (rng.random((120, 6)) < np.where(truth[:, None], [0.7, 0.6, 0.6, 0.5, 0.4, 0.1], [0.05, 0.1, 0.1, 0.02, 0.05, 0.8])).astype(float)
+    votes[:, 2] = votes[:, 1]  # a copy of a voter
+    post, yes, no, copies = toxicity.label_model(votes, toxicity.majority(votes), 6)
+    rows, voters = range(120), range(6)
+    p, many = [min(max(x, 0.05), 0.95) for x in toxicity.majority(votes)], [1.0] * 6
+    for step in range(6):
+        a = [(sum(votes[i, j] * p[i] for i in rows) + 0.5) / (sum(p) + 1) for j in voters]
+        b = [(sum(votes[i, j] * (1 - p[i]) for i in rows) + 0.05) / (sum(1 - x for x in p) + 1) for j in voters]
+        if step == 2:
+            rest = [[votes[i, j] - p[i] * a[j] - (1 - p[i]) * b[j] for j in voters] for i in rows]
+            size = [math.sqrt(sum(rest[i][j] ** 2 for i in rows)) + 1e-9 for j in voters]
+            linked = [[sum(rest[i][j] * rest[i][k] for i in rows) / size[j] / size[k] for k in voters] for j in voters]
+            many = [max(1.0, sum(linked[j][k] for j in voters if linked[j][k] > 0.2)) for k in voters]
+        prior = min(max(sum(p) / 120, 0.01), 0.99)
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(a[j] / b[j]) / many[j] for j in voters if votes[i, j]) + max(sum(math.log((1 - a[j]) / (1 - b[j])) / many[j] for j in voters if not votes[i, j]), -6) for i in rows]
+        p = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in odds]
+    assert np.allclose(post, p) and np.allclose(yes, a) and np.allclose(no, b) and np.allclose(copies, many) and copies[1] > 1.5
+    assert ((post > 0.5) == truth).mean() > 0.9
+    doc, col = np.nonzero(votes[:, :5])
+    w = toxicity.regression(doc, col, post, 5, 30, 0.1, 1e-4)
+    own, bias, gw, gb = [0.0] * 5, 0.0, [1e-8] * 5, 1e-8
+    high = sum(x > 0.5 for x in post)
+    each = [0.5 / max(1, high) if x > 0.5 else 0.5 / max(1, 120 - high) for x in post]
+    for _ in range(30):
+        miss = [(1 / (1 + math.exp(-(sum(own[j] for j in range(5) if votes[i, j]) + bias))) - post[i]) * each[i] for i in rows]
+        grad = [sum(miss[i] for i in rows if votes[i, j]) + 1e-4 * own[j] / 120 for j in range(5)]
+        gw, gb = [g + x * x for g, x in zip(gw, grad, strict=True)], gb + sum(miss) ** 2
+        own = [max(0.0, x - 0.1 * g / math.sqrt(s)) for x, g, s in zip(own, grad, gw, strict=True)]
+        bias -= 0.1 * sum(miss) / math.sqrt(gb)
+    assert np.allclose(w, own)
+
+
+def test_toxicity_replaces_a_column_of_the_scores_name(spark, awkward):
+    found = toxicity.score(awkward.withColumn("score", F.lit("x")), None)
+    assert found.columns == [*awkward.columns, "score"] and {r.score for r in found.collect()} == {0.0}
+
+
+def test_the_language_sample_is_bounded_whatever_the_tags(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 300, F.concat(F.lit("l"), (F.col("id") % 3).cast("string"))).otherwise(F.concat(F.lit("junk"), F.col("id").cast("string"))).alias("lang"))
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit("~"))))
+    rows = language_id.sample(twice, "doc_id", "text", "lang", 400)
+    assert len(rows) <= 39 and {r["label"] for r in rows} == {"l0", "l1", "l2"} and not any(r["text"].endswith("~") for r in rows)
+    assert language_id.sample(docs.limit(0), "doc_id", "text", "lang", 400) == []
