@@ -102,25 +102,35 @@ def csv_fragments(content: Column) -> Column:
 
         def record(r: Column, i: Column) -> Column:
             row, values = number(i + 2), F.split(r["text"], ",", -1)
-            named = F.transform(F.arrays_zip(names.alias("name"), values.alias("value")), lambda z, k: F.struct(z["name"].alias("name"), z["value"].alias("value"), k.alias("k")))
-            columns = F.array_join(F.transform(F.array_sort(named), lambda z: _join(_as_json(z["name"]), ":", _as_json(z["value"]))), ",")
-            whole = _fragment(
-                "parsed-table-row", _join('{"kind":"table-row","row":', row, ',"source_line":', number(r["line"]), "}"), F.array_join(values, ", "),
-                _join('{"columns":{', columns, '},"row":', row, ',"values":', listed(values), "}"), F.array_join(values, " "), F.lit(None).cast("string"), True,
-            )
 
-            def cell(z: Column) -> Column:
-                name, value, at = _as_json(z["name"]), z["value"], number(z["k"] + 1)
-                others = F.transform(F.filter(named, lambda x: (x["k"] != z["k"]) & (trimmed(x["value"]) != "")), lambda x: F.struct(x["name"].alias("name"), _as_json(x["value"]).alias("raw"), F.length(x["value"]).alias("chars")))
-                place = F.octet_length(F.array_join(F.slice(values, F.lit(1), z["k"]), ",")) + F.when(z["k"] > 0, 2).otherwise(1)
-                return _fragment(
-                    "parsed-table-cell",
-                    _join('{"column":', name, ',"column_index":', at, ',"kind":"table-cell","row":', row, ',"source_column":', number(place), ',"source_line":', number(r["line"]), "}"),
-                    truncate(_join(z["name"], ": ", value), EXCERPT_CHARS), _join('{"column":', name, ',"column_index":', at, ',"row":', row, ',"value":', _as_json(value), "}"), value,
-                    _context(others, '},"kind":"table-record-context","row":', row), False,
+            def entry(z: Column, k: Column) -> Column:
+                return F.struct(z["name"].alias("name"), z["value"].alias("value"), k.alias("k"), _as_json(z["name"]).alias("said"), _as_json(z["value"]).alias("raw"), F.length(z["value"]).alias("chars"), (trimmed(z["value"]) != "").alias("full"))
+
+            def of_entries(named: Column) -> Column:  # each made once for all cells of the row
+                columns = F.array_join(F.transform(F.array_sort(named), lambda z: _join(z["said"], ":", z["raw"])), ",")
+                whole = _fragment(
+                    "parsed-table-row", _join('{"kind":"table-row","row":', row, ',"source_line":', number(r["line"]), "}"), F.array_join(values, ", "),
+                    _join('{"columns":{', columns, '},"row":', row, ',"values":[', F.array_join(F.transform(named, lambda z: z["raw"]), ","), "]}"), F.array_join(values, " "), F.lit(None).cast("string"), True,
                 )
+                near = F.transform(F.slice(F.filter(named, lambda x: x["full"]), 1, CONTEXT_LOOKS + 1), lambda x: F.struct(x["name"].alias("name"), x["raw"].alias("raw"), x["chars"].alias("chars"), x["k"].alias("k")))
+
+                def cells(around: Column) -> Column:  # a neighbour is one of the first cells, so a row's cost is linear in its cells
+                    def cell(z: Column) -> Column:
+                        others, at = F.filter(around, lambda x: x["k"] != z["k"]), number(z["k"] + 1)
+                        place = F.when(z["k"] > 0, F.octet_length(F.call_function("substring_index", r["text"], F.lit(","), z["k"])) + 2).otherwise(1)
+                        return _fragment(
+                            "parsed-table-cell",
+                            _join('{"column":', z["said"], ',"column_index":', at, ',"kind":"table-cell","row":', row, ',"source_column":', number(place), ',"source_line":', number(r["line"]), "}"),
+                            truncate(_join(z["name"], ": ", z["value"]), EXCERPT_CHARS), _join('{"column":', z["said"], ',"column_index":', at, ',"row":', row, ',"value":', z["raw"], "}"), z["value"],
+                            _context(others, '},"kind":"table-record-context","row":', row), False,
+                        )
+
+                    return F.transform(F.filter(named, lambda z: z["full"]), cell)
+
+                return F.concat(F.array(whole), F.get(F.transform(F.array(near), cells), F.lit(0)))
 
-            return F.concat(F.array(whole), F.transform(F.filter(named, lambda z: trimmed(z["value"]) != ""), cell))
+            entries = F.transform(F.arrays_zip(names.alias("name"), values.alias("value")), entry)
+            return F.get(F.transform(F.array(entries), of_entries), F.lit(0))
 
         return F.concat(F.array(header), F.flatten(F.transform(F.slice(rows, F.lit(2), F.size(rows)), record)))
 
