@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, free_name, hub_join, small_batches
+from .common import cut, discard, free_name, give_back, hub_join, small_batches, tidied
 from .components import components
 from .words import mix, runs_of_words
 
@@ -106,7 +106,7 @@ def _classed(rows: DataFrame, kept: str, n: int, salt: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(-count.astype(np.int64))], names=names)
                 turn += 1
 
-    return rows.mapInArrow(of, f"{kept}, v bigint, w bigint, n bigint")
+    return rows.mapInArrow(tidied(of), f"{kept}, v bigint, w bigint, n bigint")
 
 
 def classes(rows: DataFrame, kept: str, n: int) -> tuple[DataFrame, np.ndarray, int, int]:
@@ -181,14 +181,16 @@ def fragments(docs: DataFrame, text_col: str, n: int, parts: int, salt: int = 0,
                 names=["f", "v", "n", "k", "lo", "hi"],
             )
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(of, "f int, v array<bigint>, n array<int>, k array<int>, lo binary, hi binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(of), "f int, v array<bigint>, n array<int>, k array<int>, lo binary, hi binary")
 
 
 def _shared(parts: int, groups: int):
     """Of one fragment: the n-grams found in two classes or more, by class, under their number of classes."""
 
     def of(key: tuple, group: pa.Table) -> pa.Table:
-        return _shared_of(group, groups, key[0].as_py() >= parts)
+        found = _shared_of(group, groups, key[0].as_py() >= parts)
+        give_back()
+        return found
 
     return of
 
@@ -242,7 +244,9 @@ def _whole(percent: int):
         owner, keys = owner[use], keys[use]
         keys = keys[np.lexsort((keys, owner))]
         offsets = pa.array(np.concatenate([[0], np.cumsum(count[good])]).astype(np.int32))
-        return pa.table({"v": pa.array(names[good]), "n": pa.array(n[first][good].astype(np.int64)), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+        found = pa.table({"v": pa.array(names[good]), "n": pa.array(n[first][good].astype(np.int64)), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+        give_back()
+        return found
 
     return of
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, free_name, small_batches
+from .common import bucket_of, free_name, give_back, small_batches
 from .words import in_runs
 
 UNKNOWN = "und"
@@ -137,6 +137,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
                     letters = any(map(str.isalpha, t))
                     names.append(m.languages[k] if letters else UNKNOWN)
                     scores.append(float(p) if letters else 0.0)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     # Not deterministic, for the optimiser: it would run the function again for each use of its result.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidied
 from .words import in_runs
 
 WINDOW, END = 2048, 1
@@ -128,7 +128,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         if counted and kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([np.trim_zeros(seen, "b").tobytes()], pa.binary())], names=["doc_id", "n", "ids"])
 
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
+    return rows.mapInArrow(tidied(of), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, ids binary")
 
 
 def _ids(row: bytes, n: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def term_statistics(counts: DataFrame, tokens: DataFrame) -> tuple[np.ndarray, i
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "docs"])
 
-    summed = counts.select("ids").mapInArrow(of, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+    summed = counts.select("ids").mapInArrow(tidied(of), "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
     docs, mean = tokens.agg(F.count("*"), F.avg("n")).first()
     df = np.zeros(max((r["term"] for r in summed), default=0) + 1, np.int64)
     for r in summed:
@@ -219,7 +219,7 @@ def content_order(tokens: DataFrame, idf: np.ndarray, n_docs: int, mean: float,
 
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 11) / F.lit(float(1 << 53))
     # At most 2 * SAMPLE sketches come to the driver: they only place the cuts, every document is dealt by them.
-    sample = tokens.where(u < SAMPLE / max(n_docs, 1)).select("n", "ids").mapInArrow(sampled, "n bigint, x binary").limit(2 * SAMPLE).collect()
+    sample = tokens.where(u < SAMPLE / max(n_docs, 1)).select("n", "ids").mapInArrow(tidied(sampled), "n bigint, x binary").limit(2 * SAMPLE).collect()
     x = np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(-1, SKETCH)
     tree = Tree(x[np.lexsort(x.T)])
     # A leaf's size in shards, by documents or tokens, whichever fill a shard first; leaves in order, one after the other.
@@ -238,7 +238,7 @@ def content_order(tokens: DataFrame, idf: np.ndarray, n_docs: int, mean: float,
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n", "ids", "u")], pa.array(leaf), pa.array(shard)], names=["doc_id", "n", "ids", "u", "leaf", "shard"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.withColumn("u", u).mapInArrow(dealt, f"doc_id {kind}, n bigint, ids binary, u double, leaf bigint, shard bigint")
+    return tokens.withColumn("u", u).mapInArrow(tidied(dealt), f"doc_id {kind}, n bigint, ids binary, u double, leaf bigint, shard bigint")
 
 
 def _ranked(score: np.ndarray, count: int, first: int = 64) -> Iterator[int]:
@@ -401,7 +401,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = tokens.schema["doc_id"].dataType.simpleString()
     shards = max(1, int(np.ceil(max(n_docs / shard_docs, n_docs * mean / shard_tokens) / FILL)))
     ordered = content_order(tokens, idf, n_docs, mean, shards).repartition(shards, "shard").sortWithinPartitions("shard", "leaf", "u")
-    return ordered.select("doc_id", "n", "ids", "shard").mapInArrow(of, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return ordered.select("doc_id", "n", "ids", "shard").mapInArrow(tidied(of), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
