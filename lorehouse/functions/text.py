@@ -89,7 +89,7 @@ def confidence_text(confidence: Column) -> Column:
 
 def file_size(size: Column) -> Column:
     """Bytes, or the largest unit of 1024 that fits, with one decimal below ten."""
-    value, text = size.cast("double"), F.format_string("%d B", size)
+    value, text = size.cast("double"), F.concat(size.try_cast("bigint").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         scaled = value / F.lit(float(1024**power))
         text = F.when(value >= float(1024**power), F.when(scaled >= 10, F.format_string(f"%.0f {unit}", scaled)).otherwise(F.format_string(f"%.1f {unit}", scaled))).otherwise(text)

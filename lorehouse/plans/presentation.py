@@ -77,8 +77,12 @@ SELECT o_orderkey, CASE WHEN u = 0 THEN CAST(b AS BIGINT) || ' B' WHEN b / pow(1
 FROM u"""
 )
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes as text; halves are rounded up, and dividing by a power of two keeps them exact."""
-    return D.table(spark, sf_dir, "orders").select("o_orderkey", T.file_size(F.col("o_orderkey") * F.col("o_orderkey") * (F.col("o_custkey") + 1)).alias("text"))
+    """Sizes as text; halves are rounded up, and dividing by a power of two keeps them exact. Products past 64 bits are decimal
+    numbers, those past 38 digits doubles."""
+    key, more = F.col("o_orderkey").cast("decimal(20,0)"), F.col("o_custkey").cast("decimal(20,0)") + 1
+    exact = F.try_multiply(F.try_multiply(key, key), more)
+    size = F.coalesce(exact.cast("double"), key.cast("double") * key.cast("double") * more.cast("double"))
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", T.file_size(size).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 500 THEN left(text, 500) || chr(10) || '…' ELSE coalesce(text, '') END AS preview, length(coalesce(text, '')) <= 128 AS fits FROM documents")

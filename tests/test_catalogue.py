@@ -48,3 +48,12 @@ def test_document_fragments_equal_the_grammar(spark):
         for i, f in enumerate(parsers.fragments_of(r.parser, bytes(r.content))):
             want[(r.original_id, i, f["kind"], canonical_json(f["selector"]), f["structural_only"])] += 1
     assert Counter(map(tuple, found)) == want
+
+
+def test_file_sizes_past_64_bits(spark, tmp_path):
+    """Keys of tables 60 and more times as large; their product has no 64-bit number."""
+    keys = [(0, 5), (3, 10), (8_999_999, 899_999), (2**62, 2**62), (None, 1)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    told = {r["o_orderkey"]: r["text"] for r in catalogue.queries()["file_sizes"](spark, str(tmp_path)).collect()}
+    assert told[0] == "0 B" and told[3] == "99 B" and told[None] is None
+    assert told[8_999_999] == f"{(8_999_999**2 * 900_000 + 2**39) // 2**40} TB" and told[2**62].endswith(" TB")
