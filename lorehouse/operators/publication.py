@@ -38,9 +38,10 @@ def with_ids(sources: DataFrame, records: DataFrame, kinds: list[str]) -> DataFr
 
 
 def of_source(source: DataFrame, records: DataFrame, ids_col: str) -> DataFrame:
-    """(original_id, record columns): records whose id is in a source's id array."""
+    """(original_id, record columns): records whose id is in a source's id array. A source may come in several rows, each
+    with a part of its ids; neither side is broadcast, since both grow with the archive."""
     wanted = source.select(F.col("id").alias("original_id"), F.explode(ids_col).alias("id")).distinct()
-    return wanted.join(records, "id")
+    return wanted.join(records.hint("merge"), "id")
 
 
 def resumable(stored: DataFrame, batches: DataFrame) -> DataFrame:

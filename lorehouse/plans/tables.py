@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes records of.
+PER_TASK = 65_536
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in parts of about ``PER_TASK``, whatever the bytes of the files: repeated values compress so well that a task
+    would read millions of rows, and hold all that is made of them. The count comes from the files' footers."""
+    parts = -(-rows.count() // PER_TASK)
+    return rows.repartition(parts, key) if parts > 1 else rows
+
+
 def item_id(n: Column) -> Column:
     return F.format_string("%08x-0000-4000-8000-%012x", n, n)
 
@@ -58,7 +69,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("customer", "c_custkey", "c_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
     found = None
     for name, key, label in kinds:
-        rows = table(spark, sf_dir, name).select(F.lit(name).alias("type"), F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"))
+        rows = spread(table(spark, sf_dir, name), key).select(F.lit(name).alias("type"), F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"))
         found = rows if found is None else found.unionByName(rows)
     noisy = table(spark, sf_dir, "region").select(F.lit("region").alias("type"), F.col("r_regionkey").cast("bigint").alias("key"), F.concat(F.lit("  "), F.lower("r_name"), F.lit(" \t")).alias("label"))
     return found.unionByName(noisy).withColumn("confidence", F.lit(0.9)).withColumn("entity_id", entity_id(F.col("label"), F.col("type")))
@@ -78,7 +89,7 @@ named AS (
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the customer graph: a name and a segment each, and the nation each lives in; one in eleven is superseded."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     who, where = entity_id(F.col("c_name"), F.lit("customer")), entity_id(F.col("n_name"), F.lit("nation"))
     none = F.lit(None).cast("string")
@@ -112,14 +123,14 @@ CLAIM_SQL = (
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     rows = c.select("c_custkey", F.explode(F.array(*map(F.lit, (0, 1, 2, 9, 10)))).alias("k"))
     confidence = F.when((F.col("c_custkey") % 5 > 0) | (F.col("k") == 9), F.round(0.5 + (F.col("c_custkey") % 50) / 100.0, 2))
     return rows.select(F.format_string("o-%d-%d", "c_custkey", "k").alias("observation_id"), F.array(F.format_string("e-%d", "c_custkey")).alias("evidence_ids"), confidence.alias("confidence"), "c_custkey", "k")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.format_string("e-%d", "c_custkey").alias("evidence_id"), item_id(F.col("c_custkey") % 100).alias("original_id"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.format_string("e-%d", "c_custkey").alias("evidence_id"), item_id(F.col("c_custkey") % 100).alias("original_id"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 from lorehouse.functions.text import canonical_json
-from lorehouse.plans import catalogue
+from lorehouse.plans import catalogue, tables
 from lorehouse.sources import ingest, parsers
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
 
@@ -57,3 +58,18 @@ def test_file_sizes_past_64_bits(spark, tmp_path):
     told = {r["o_orderkey"]: r["text"] for r in catalogue.queries()["file_sizes"](spark, str(tmp_path)).collect()}
     assert told[0] == "0 B" and told[3] == "99 B" and told[None] is None
     assert told[8_999_999] == f"{(8_999_999**2 * 900_000 + 2**39) // 2**40} TB" and told[2**62].endswith(" TB")
+
+
+def test_millions_of_small_rows_are_spread(spark, tmp_path):
+    """A file of few bytes may have many rows: records are made of them in many tasks, and nothing that grows is broadcast."""
+    c = spark.range(150_000).select(F.col("id").alias("c_custkey"), F.lit("Customer#1").alias("c_name"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    c.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for t in ("nation", "region"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    for made in (tables.claims, tables.observations, tables.evidence, tables.entities):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() >= 3
+    for name in ("provenance_walk", "claim_groups", "source_knowledge"):
+        plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and all("nationkey" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+        assert "collect_list" not in plan
+    assert catalogue.queries()["provenance_walk"](spark, str(tmp_path)).count() == 450_000
