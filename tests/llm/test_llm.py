@@ -538,6 +538,26 @@ def test_quality_fit_is_the_pairwise_minimum_and_cuts_at_the_quantile():
     assert ((scaled >= quality_classifier.CUT) == (s >= model.threshold)).all()
 
 
+def test_quality_uses_every_marked_row(spark):
+    """The weights are the least loss over all pairs and the cut is the exact quantile; a row outside any sample counts."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((5000, len(quality_classifier.FEATURES))).round(6)
+    mark = (x[:, 0] - 0.5 * x[:, 3] + rng.standard_normal(5000) > 0.3).astype(int)
+    rows = spark.createDataFrame([(int(m), v.tolist()) for m, v in zip(mark, x, strict=True)], "label int, x array<double>")
+    model = quality_classifier.fit_all(rows)
+    w, good, bad = np.array(model.weights), x[mark == 1], x[mark == 0]
+    d = (good @ w)[:, None] - (bad @ w)[None, :]
+    miss = 1 / (1 + np.exp(d))
+    slope = -(miss.sum(1) @ good - miss.sum(0) @ bad) / d.size + quality_classifier.SHRINK * w
+    assert np.abs(slope).max() < 1e-4
+    s = np.sort(x @ w)
+    assert abs(model.threshold - (s[len(bad) - 1] + s[len(bad)]) / 2) < 1e-12
+    assert quality_classifier.fit_all(rows.unionByName(rows.where("label = 0"))).threshold > model.threshold + 0.1
+    docs = spark.createDataFrame([(i, f"w{i} x") for i in range(5000)], "doc_id bigint, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert {r[0]: r[1] for r in quality_classifier.marked(docs, marks).groupBy("label").count().collect()} == {0: 2500, 1: 2500}
+
+
 def greedy(tokens, idf, mean, window):
     """Full windows by the rule alone: seeds in order, unused neighbours by score, a cut document seeds the next."""
     left = {d: [0, len(t)] for d, t in enumerate(tokens)}
