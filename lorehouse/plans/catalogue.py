@@ -125,8 +125,8 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
     content = F.concat(F.lit(",".join(CSV_COLUMNS) + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     found = parsers.parse(files.select(F.col("o_custkey").alias("original_id"), F.lit("csv").alias("parser"), content.alias("content"))).where("kind = 'parsed-table-cell'")
-    at = lambda p: F.get_json_object("payload", p)
-    return found.select("original_id", at("$.row").cast("bigint").alias("row"), at("$.column").alias("column"), F.col("text").alias("value"))
+    cell = F.from_json("payload", "row bigint, column string")  # read once for both
+    return found.select("original_id", F.explode(F.array(cell)).alias("c"), F.col("text").alias("value")).select("original_id", "c.row", "c.column", "value")
 
 
 @query(

@@ -280,7 +280,8 @@ def parse(originals: DataFrame, id_col: str = "original_id", parser_col: str = "
     Flat JSON, plain CSV and plain text are read by expressions; only the other originals go through Python.
     """
     rows = originals.select(F.col(id_col).alias("original_id"), F.col(parser_col).alias("parser"), F.col(content_col).cast("binary").alias("content"))
-    routed = rows.withColumn("route", native.route(F.col("parser"), F.col("content")))
+    # A generator, so that the optimiser cannot copy the route's tests into each of its uses.
+    routed = rows.select("*", F.explode(F.array(native.route(F.col("parser"), F.col("content")))).alias("route"))
     told = routed.where("route is not null").select("original_id", F.posexplode(native.fragments(F.col("route"), F.col("content"))).alias("ordinal", "f"))
     return told.select("original_id", "ordinal", "f.*").unionByName(by_grammar(routed.where("route is null")))
 

@@ -73,3 +73,10 @@ def test_millions_of_small_rows_are_spread(spark, tmp_path):
         assert "SortMergeJoin" in plan and all("nationkey" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
         assert "collect_list" not in plan
     assert catalogue.queries()["provenance_walk"](spark, str(tmp_path)).count() == 450_000
+
+
+def test_routes_are_tested_once(spark):
+    """The tests of an original's bytes are not copied into the uses of what they tell."""
+    o = spark.createDataFrame([(1, "csv", "a,b\n1,2")], "original_id int, parser string, content string")
+    plan = parsers.parse(o)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:^|[,") == 2
