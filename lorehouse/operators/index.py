@@ -4,9 +4,10 @@ All tables lie in one ``Store``, so what a synchronisation adds counts as a whol
 the originals that changed, and for what they replace only marks (``dead``) and negative statistics: nothing is rewritten
 until ``compact``.
 
-Chunks are dealt into blocks of about ``PER_BLOCK``, chunks of similar length together, and numbered inside. A posting row is
-one term in one block, with the highest count and the least length in it: an upper bound of what the term can add to any
-chunk there. A query reads these bounds first, scores the ``FIRST`` best blocks, and then only those whose bound reaches the
+Chunks are dealt into blocks of about ``PER_BLOCK``, chunks of similar length together, and numbered inside. The files of chunks
+have whole blocks one after the other, so a block is inverted where it is read. A posting row is one term in one block, with
+the highest count and the least length in it: an upper bound of what the term can add to any chunk there. Its entries are
+packed; a text is moved once, its postings once, in parts whose number grows with the text and not with a setting. A query reads these bounds first, scores the ``FIRST`` best blocks, and then only those whose bound reaches the
 last of the hits so far; the others cannot hold a better one. Postings and statistics are filed by a hash of the term, so
 only the files of the query's terms are opened; frequent terms are spread over several files.
 """
@@ -17,9 +18,10 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,17 +37,18 @@ from ..sources.store import Corrupt, Store, latest
 from . import retrieval as R
 from .knowledge import embedded
 
-#: The index's own version, chunks in a block and for a term file, blocks scored first, blocks and ties that the driver may
-#: hold, and the processor that cuts chunks.
-VERSION, PER_BLOCK, PER_FILE, FIRST = 2, 512, 1024, 8
+#: The store's format and how postings lie in it, chunks in a block and for a term file, blocks scored first, bytes of text in
+#: a block and in a part that chunks are dealt to, blocks and ties that the driver may hold, and the processor that cuts chunks.
+VERSION, LAYOUT, PER_BLOCK, PER_FILE, FIRST = 2, 2, 512, 1024, 8
+BLOCK_BYTES, PART_BYTES = 16 << 20, 32 << 20
 BLOCKS, TIES = 1000, 200
 CHUNKER, CHUNKER_VERSION = "retrieval-chunks", "1"
 IDENTITY = ("chunk_id", "observation_id", "evidence_id", "selector", "text", "producer")
 CHUNK = "original_id string, chunk_id string, observation_id string, evidence_id string, selector string, text string, producer string"
 TABLES = {
-    "chunks": f"{CHUNK}, n_tokens int, block bigint, ord int",
-    "originals": "original_id string, n_chunks bigint, n_tokens bigint, digest string, live boolean",
-    "postings": "term string, block bigint, max_tf int, min_len int, n_docs bigint, n_occurrences bigint, entries array<struct<ord:int,n:int,at:array<int>>>",
+    "chunks": f"{CHUNK}, block bigint, ord int",
+    "originals": "original_id string, n_chunks bigint, digest string, live boolean",
+    "postings": "term string, block bigint, max_tf int, min_len int, n_docs bigint, n_occurrences bigint, entries binary",
     "terms": "term string, n_docs bigint, n_occurrences bigint",
     "dead": "of bigint, block bigint, ord int",
     "vectors": "chunk_id string, embedding array<float>",
@@ -101,31 +104,53 @@ def embedding_plan(chunks: DataFrame, vectors: DataFrame, stored: Model | None,
     return "rebuilding", R.missing_embeddings(chunks, vectors)
 
 
+def sized(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``n_bytes`` of their text, told before a join so that lengths alone can be counted behind it."""
+    return chunks.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))))
+
+
 def located(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``n_tokens``, ``block`` and ``ord``, their number in the block by id."""
-    counted = chunks.withColumn("n_tokens", F.size(tokens(F.coalesce("text", F.lit("")))))
-    length = F.floor(4 * F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).cast("int")
-    sizes = {r["c"]: r["n"] for r in chunks.groupBy(length.alias("c")).agg(F.count("*").alias("n")).collect()}  # four for each doubling
+    """Sized chunks with ``block`` and ``ord``, their number in the block by id; whole blocks one after the other."""
+    length = F.floor(4 * F.log2(F.col("n_bytes") + 1)).cast("int")  # four for each doubling
+    sizes = {r["c"]: r for r in chunks.groupBy(length.alias("c")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).collect()}
     if not sizes:
-        return counted.withColumns({"block": F.lit(0).cast("bigint"), "ord": F.lit(0)})
-    blocks = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / PER_BLOCK))]), length)
+        return chunks.withColumns({"block": F.lit(0).cast("bigint"), "ord": F.lit(0)})
+    blocks = F.element_at(F.create_map(*[F.lit(x) for c, r in sizes.items() for x in (c, math.ceil(max(r["n"] / PER_BLOCK, r["bytes"] / BLOCK_BYTES)))]), length)
     block = F.shiftleft(length.cast("bigint"), 40) + F.pmod(F.xxhash64("chunk_id"), blocks)
-    return counted.withColumn("block", block).withColumn("ord", F.row_number().over(Window.partitionBy("block").orderBy("chunk_id")))
+    parts = math.ceil(sum(r["bytes"] for r in sizes.values()) / PART_BYTES)
+    dealt = chunks.withColumn("block", block).repartition(max(1, parts), "block")
+    return dealt.withColumn("ord", F.row_number().over(Window.partitionBy("block").orderBy("chunk_id")))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """Posting rows of located chunks. A block, of a bounded number of chunks, is inverted in one task as Arrow columns."""
-    words = chunks.select("block", "ord", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    return words.groupBy("block").applyInArrow(_inverted, TABLES["postings"])
-
-
-def _inverted(table: pa.Table) -> pa.Table:
-    table = table.sort_by("ord").combine_chunks()
+    """Posting rows of located chunks as they were written. Each task inverts the blocks that it reads, one at a time; should a
+    block lie in two tasks, its terms have a row from either."""
+    return chunks.select("block", "ord", tokens(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(_by_block, TABLES["postings"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, now = [], None
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(block)) + 1), len(block)] if len(block) else []):
+            if held and block[a] != now:
+                yield _inverted(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(a, b - a))
+            now = block[a]
+    if held:
+        yield _inverted(pa.Table.from_batches(held))
+
+
+def _inverted(table: pa.Table) -> pa.RecordBatch:
+    """The posting rows of one block. ``entries`` of a row are (ord, n, tf) of each chunk, then all its places: numbers of 16
+    bits if the block's fit, else of 32."""
+    table = table.combine_chunks()
     words = table["w"].combine_chunks()
     length = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
     chunk = np.repeat(np.arange(len(length)), length)
-    place = np.arange(len(chunk), dtype=np.int32) - np.repeat(np.cumsum(length) - length, length).astype(np.int32)
+    place = np.arange(len(chunk)) - np.repeat(np.cumsum(length) - length, length)
     code = coded.indices.to_numpy()
     order = np.argsort(code, kind="stable")  # by term, then chunk, then place
     code, chunk = code[order], chunk[order]
@@ -134,14 +159,32 @@ def _inverted(table: pa.Table) -> pa.Table:
     entry = np.flatnonzero(new)
     code, chunk, times = code[entry], chunk[entry], np.diff(np.append(entry, len(order)))
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
-    each = lambda f, x, kind: pa.array(f.reduceat(x, first) if len(first) else x[:0], kind)
-    at = pa.ListArray.from_arrays(pa.array(np.append(entry, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-    entries = pa.StructArray.from_arrays([pa.array(table["ord"].to_numpy()[chunk], pa.int32()), pa.array(length[chunk], pa.int32()), at], ["ord", "n", "at"])
+    each = lambda f, x: f.reduceat(x, first) if len(first) else x[:0]
+    n_docs, n_occurrences, number = np.diff(np.append(first, len(code))), each(np.add, times), table["ord"].to_numpy()
+    kind = np.uint16 if max(length.max(initial=0), number.max(initial=0)) < 1 << 16 else np.uint32
+    packed = np.empty(3 * len(code) + len(order), kind)
+    before = np.cumsum(n_occurrences) - n_occurrences  # places of the rows above
+    at = 3 * np.arange(len(code)) + np.repeat(before, n_docs)
+    packed[at], packed[at + 1], packed[at + 2] = number[chunk], length[chunk], times
+    packed[np.arange(len(order)) + 3 * np.repeat(np.cumsum(n_docs), n_occurrences)] = place[order]
+    ends = kind().itemsize * np.cumsum(3 * n_docs + n_occurrences)
+    entries = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(packed)])
     columns = {
-        "term": coded.dictionary.take(pa.array(code[first])), "block": pa.array([table["block"][0].as_py()] * len(first), pa.int64()), "max_tf": each(np.maximum, times, pa.int32()), "min_len": each(np.minimum, length[chunk], pa.int32()),
-        "n_docs": pa.array(np.diff(np.append(first, len(code))), pa.int64()), "n_occurrences": each(np.add, times, pa.int64()), "entries": pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), entries),
+        "term": coded.dictionary.take(pa.array(code[first])), "block": pa.array([table["block"][0].as_py()] * len(first), pa.int64()), "max_tf": pa.array(each(np.maximum, times), pa.int32()),
+        "min_len": pa.array(each(np.minimum, length[chunk]), pa.int32()), "n_docs": pa.array(n_docs, pa.int64()), "n_occurrences": pa.array(n_occurrences, pa.int64()), "entries": entries,
     }
-    return pa.table(columns)
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, block, term, ord, n, at) of posting rows (of, block, term, n_docs, n_occurrences, entries)."""
+    for batch in batches:
+        for of, block, term, docs, occurrences, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            x = np.frombuffer(packed, np.uint16 if len(packed) == 2 * (3 * docs + occurrences) else np.uint32).astype(np.int32)
+            number, length, times = x[: 3 * docs].reshape(docs, 3).T
+            at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)), pa.int32()), pa.array(x[3 * docs :]))
+            same = [pa.array([of] * docs, pa.int64()), pa.array([block] * docs, pa.int64()), pa.array([term] * docs)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(number), pa.array(length), at], names=["of", "block", "term", "ord", "n", "at"])
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
@@ -163,10 +206,14 @@ class SearchIndex:
 
     # What is in force.
 
+    def outdated(self) -> bool:
+        """Whether the postings were written in another layout than this code reads; ``sync`` and ``recover`` build anew."""
+        return bool(self.store.folders("postings")) and self.store.facts().get("layout") != LAYOUT
+
     def originals(self, upto: int | None = None) -> DataFrame:
-        """(original_id, n_chunks, n_tokens, digest, of): the originals in force, and the commit that has their chunks."""
+        """(original_id, n_chunks, digest, of): the originals in force, and the commit that has their chunks."""
         now = latest(self.store.read("originals", upto=upto), "original_id")
-        return now.where("live").select("original_id", "n_chunks", "n_tokens", "digest", F.col("_version").alias("of"))
+        return now.where("live").select("original_id", "n_chunks", "digest", F.col("_version").alias("of"))
 
     def _live(self) -> DataFrame:
         """Chunk rows in force, with their place and commit."""
@@ -196,7 +243,7 @@ class SearchIndex:
         ``version`` names the state of the input: if the index was last brought to the same one, no text is read. Without it
         every original costs its digest, written once; only changed ones are cut into terms.
         """
-        if self.store.damaged():
+        if self.store.damaged() or self.outdated():
             self.store.quarantine()
         if version is not None and self.store.facts().get("input") == version:
             return self.originals().select("original_id", F.lit("keep").alias("action"))
@@ -206,7 +253,9 @@ class SearchIndex:
         facts = {} if version is None else {"input": version}
         changed = plan.where("action <> 'keep'")
         if not changed.isEmpty():
-            fresh = chunks.join(changed.where("action <> 'delete'").select("original_id"), "original_id", "left_semi")
+            fresh = sized(chunks)
+            if not plan.where("action = 'keep'").isEmpty():  # else all there are
+                fresh = fresh.join(changed.where("action <> 'delete'").select("original_id"), "original_id", "left_semi")
             self._commit(after, fresh, changed.select("original_id"), changed.where("action <> 'delete'").select("original_id", "digest"), facts)
         elif facts:
             self.store.commit({}, after, facts)
@@ -215,27 +264,29 @@ class SearchIndex:
     def put(self, chunks: DataFrame, original_ids: DataFrame) -> None:
         """The chunks of some originals (original_id) in place of what the index has of them; no other text is read."""
         ids = original_ids.select("original_id").distinct()
-        self._commit(self.store.version(), chunks.join(ids, "original_id", "left_semi"), ids, None, {"input": None})
+        self._commit(self.store.version(), sized(chunks).join(ids, "original_id", "left_semi"), ids, None, {"input": None})
 
     def delete(self, original_ids: DataFrame) -> None:
         """Drop originals (original_id) with all their chunks, postings and vectors."""
-        none = self.spark.createDataFrame([], CHUNK)
+        none = sized(self.spark.createDataFrame([], CHUNK))
         self._commit(self.store.version(), none, original_ids.select("original_id").distinct(), None, {"input": None})
 
     def _commit(self, after: int, fresh: DataFrame, touched: DataFrame, digests: DataFrame | None, facts: dict, anew: bool = False) -> None:
-        """One commit: new chunks, and what the originals touched had until now no longer counts."""
+        """One commit: new chunks, sized, and what the originals touched had until now no longer counts."""
+        if self.outdated():
+            raise Corrupt(f"{self.path} is of another layout; synchronise it to build it anew")
         store, v = self.store, after + 1
-        parts = {"chunks": [store.stage("chunks", located(fresh.select(*[c.split()[0] for c in CHUNK.split(", ")])))]}
+        parts = {"chunks": [store.stage("chunks", located(fresh))]}
         added = store.staged("chunks", parts["chunks"][0], v)
         if digests is None:
             digests = source_digests(added).select("original_id", "digest")
-        new = added.groupBy("original_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).join(digests, "original_id").withColumn("live", F.lit(True))
+        new = added.groupBy("original_id").agg(F.count("*").alias("n_chunks")).join(digests, "original_id").withColumn("live", F.lit(True))
         old = self.originals() if not anew else self.originals().limit(0)
         gone = old.join(touched, "original_id", "left_semi")
         ended = gone.select("original_id").join(new.select("original_id"), "original_id", "left_anti")
-        ended = ended.select("original_id", F.lit(0).cast("bigint").alias("n_chunks"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit("").alias("digest"), F.lit(False).alias("live"))
+        ended = ended.select("original_id", F.lit(0).cast("bigint").alias("n_chunks"), F.lit("").alias("digest"), F.lit(False).alias("live"))
         parts["originals"] = [store.stage("originals", new.unionByName(ended))]
-        sums = lambda df: df.agg(*[F.coalesce(x, F.lit(0)).cast("bigint").alias(n) for n, x in (("n_sources", F.count("*")), ("n_chunks", F.sum("n_chunks")), ("n_tokens", F.sum("n_tokens")))]).first().asDict()
+        sums = lambda df: df.agg(*[F.coalesce(x, F.lit(0)).cast("bigint").alias(n) for n, x in (("n_sources", F.count("*")), ("n_chunks", F.sum("n_chunks")))]).first().asDict()
         plus, minus = sums(store.staged("originals", parts["originals"][0], v).where("live")), sums(gone)
         facts_now = store.facts()
         before = {} if anew else facts_now
@@ -250,11 +301,13 @@ class SearchIndex:
             both = counts.unionByName(less).groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_occurrences").alias("n_occurrences"))
             counts = both.where("n_docs <> 0 or n_occurrences <> 0")
         parts["terms"] = [self._by_term("terms", counts, plus["n_chunks"])]
+        more = store.staged("terms", parts["terms"][0], v).agg(F.coalesce(F.sum("n_occurrences"), F.lit(0))).first()[0]
+        totals["n_tokens"] = int(before.get("n_tokens", 0)) + int(more)
         if anew and (model := self.model()) is not None:
             parts["vectors"] = [store.stage("vectors", self.vectors())]
             whole = R.missing_embeddings(self._live(), self.vectors()).isEmpty()
             facts = facts | {"embedded": v if whole else 0, "model": asdict(model)}
-        store.commit(parts, after, totals | facts, [t for t in TABLES if t != "plan"] if anew else [])
+        store.commit(parts, after, totals | {"layout": LAYOUT} | facts, [t for t in TABLES if t != "plan"] if anew else [])
 
     def _by_term(self, table: str, rows: DataFrame, n_chunks: int) -> dict:
         """Stage rows in files by a hash of their term; posting rows of one term also by block."""
@@ -270,7 +323,7 @@ class SearchIndex:
     def compact(self) -> None:
         """Write what lives as one commit without the marks and negative statistics of the past, and delete what went."""
         if self.store.version():
-            self._commit(self.store.version(), self.chunks(), self.originals().select("original_id"), self.originals().select("original_id", "digest"), {}, anew=True)
+            self._commit(self.store.version(), sized(self.chunks()), self.originals().select("original_id"), self.originals().select("original_id", "digest"), {}, anew=True)
             self.store.vacuum(1)
 
     # Reading terms.
@@ -294,7 +347,7 @@ class SearchIndex:
         """(of, block, ord, n, tf): chunks in force of these blocks (of, block) that have one of the phrases' words."""
         terms = sorted({w for p in wanted for w in p})
         rows = self._of_terms("postings", terms).withColumnRenamed("_version", "of").join(blocks, ["of", "block"], "left_semi")
-        rows = rows.select("of", "block", "term", F.explode("entries").alias("e")).select("of", "block", "term", "e.*")
+        rows = rows.select("of", "block", "term", "n_docs", "n_occurrences", "entries").mapInArrow(_entries, "of bigint, block bigint, term string, ord int, n int, at array<int>")
         if self.store.folders("dead"):
             rows = rows.join(self.store.read("dead").select("of", "block", "ord"), ["of", "block", "ord"], "left_anti")
         by_term = F.map_from_entries(F.collect_list(F.struct("term", "at")))  # at most as many as the query has terms
@@ -304,8 +357,8 @@ class SearchIndex:
     def bounds(self, wanted: list[list[str]], idf: Sequence[float], mean: float) -> DataFrame:
         """(of, block, bound): the most that any chunk of a block can score. Only the bounds' columns are read."""
         terms = sorted({w for p in wanted for w in p})
-        heads = self._of_terms("postings", terms).select(F.col("_version").alias("of"), "block", "term", F.struct("max_tf", "min_len").alias("m"))
-        per = heads.groupBy("of", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "m"))).alias("m"))
+        heads = self._of_terms("postings", terms).groupBy(F.col("_version").alias("of"), "block", "term").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+        per = heads.select("of", "block", "term", F.struct("max_tf", "min_len").alias("m")).groupBy("of", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "m"))).alias("m"))
         most = F.lit(0.0)
         for p, weight in zip(wanted, idf, strict=True):
             at = [F.try_element_at("m", F.lit(w)) for w in dict.fromkeys(p)]
@@ -433,7 +486,7 @@ class SearchIndex:
 
     def recover(self) -> bool:
         """Put a damaged index aside and build it anew from all chunks; whether it was damaged."""
-        if not self.store.damaged() and not self.store.unreadable():
+        if not self.store.damaged() and not self.outdated() and not self.store.unreadable():
             return False
         if self.all_chunks is None:
             raise Corrupt(f"{self.path} is damaged; synchronise it to build it anew")

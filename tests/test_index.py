@@ -156,3 +156,21 @@ def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
         two.store.commit({"vectors": [part]}, 0)
     assert two.chunks().count() == 5 and two.store.read("vectors").count() == 0
     assert two.store.add({"vectors": [part]}) == 2 and two.store.read("vectors").count() == 1
+
+
+def test_postings_are_made_where_a_block_is_read(spark, tmp_path, monkeypatch):
+    """No shuffle of words; a block that two tasks read, and one with a text of more words than 16 bits count, give the hits of a scan."""
+    df = chunks(spark, [*FIRST, ("s6", "g", "word " * 70_000 + "foo bar copper kettle")])
+    plan = index.postings(index.located(index.sized(df)).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    whole = index.postings
+    monkeypatch.setattr(index, "PER_BLOCK", 1000)
+    monkeypatch.setattr(index, "postings", lambda c: whole(c.repartition(5)))
+    found = index.SearchIndex(spark, str(tmp_path / "i"))
+    found.sync(df)
+    same_as_scan(found, df, ("kettle copper", "foo-bar copper-kettle"))
+    assert found.counts().first().n_tokens == df.select(F.sum(F.size(index.tokens(F.coalesce("text", F.lit("")))))).first()[0]
+    found.store.commit({}, found.store.version(), {"layout": index.LAYOUT - 1})
+    with pytest.raises(store.Corrupt):
+        found.delete(spark.createDataFrame([("s1",)], "original_id string"))
+    assert {r.action for r in found.sync(df).collect()} == {"insert"} and not found.outdated()
