@@ -52,13 +52,14 @@ ACCENTED, BASE = _accented()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks on Latin letters, precomposed or combining."""
-    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"\p{M}+", ""))
+    """Lower case without marks on Latin letters, precomposed or combining; a text of ASCII alone has none to look for."""
+    plain = F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"\p{M}+", ""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters, numbers and private-use characters of the folded text."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
 def search_text(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import pandas as pd
 
+from lorehouse.functions import text
 from lorehouse.operators import bronze, graph, knowledge, retrieval, sync
 from lorehouse.sources import dispatch
 from lorehouse.streaming import reconcile
@@ -110,3 +111,13 @@ def test_embedder_rows_are_checked(spark):
     vectors = {"a": [1.0, 0.0], "b": [0.0, 0.0], "c": [1.0]}
     found = knowledge.embedded(chunks, lambda t: pd.Series([vectors[x] for x in t]), 2)
     assert [r.chunk_id for r in found.collect()] == [1]
+
+
+def test_fold_skips_marks_of_ascii_alone(spark):
+    """ASCII texts are lowered and not searched for marks; tokens are the same as with the search."""
+    texts = ["", None, "Foo_BAR 12-ab\tX", "Ünï CAFÉ", "éa İ ǅ", "\x00A\x7f", "Straße Ⅳ ½", "Á"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    long = F.lower(F.regexp_replace(F.translate("t", text.ACCENTED, text.BASE), r"\p{M}+", ""))
+    plain = F.regexp_extract_all(F.coalesce(long, F.lit("")), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    assert all(r[0] == r[1] and r[2] == r[3] for r in df.select(text.fold(F.col("t")), long, text.tokens(F.col("t")), plain).collect())
+    assert "octet_length(" in df.select(text.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
