@@ -3,12 +3,15 @@
 1. ``classes``: documents with the same set of n-grams share a class ``v``. A second 64-bit hash of the set is compared in
    every class; should two sets ever share a class, all are hashed again with another salt.
 2. ``fragments``: every document's distinct n-grams are cut by hash range, into as many fragments as hold ``FRAGMENT``
-   n-grams each; a fragment of a batch of documents is one row of packed arrays, a class is sent once per batch.
-3. ``active_sets``: each fragment counts in how many classes its n-grams occur. N-grams of one class alone cannot
-   overlap with anything and end here; the others return to their class as a sorted list, rarest first, in groups of
-   classes whose number grows like that of the fragments. A class keeps its list only if at least the threshold's share
-   of its n-grams is left. N-grams so frequent that they would fill a fragment (``heavy``, found in a sample of the
-   batches) skip the count: they are shared and come last in the order.
+   n-grams each. Documents come in batches, a class once in each; a fragment of a batch is one row of bytes, where an
+   n-gram is its hash and the gap from the last one's document to its own in the batch. Classes and set sizes go once a
+   document into a directory, dealt by class, so that an n-gram takes the same bytes whatever the number of fragments.
+3. ``active_sets``: each fragment counts in how many documents its n-grams occur. N-grams of one alone cannot overlap
+   with anything and end here; the others return to their batch. The directory tells the batch its documents' classes,
+   how often each class was sent, and which of its documents stands for it. N-grams found no more often than their
+   class was sent are in that class alone and end here; the others are its sorted list, rarest first. A class keeps its
+   list only if at least the threshold's share of its n-grams is left. N-grams so frequent that they would fill a
+   fragment (``heavy``, found in a sample of the batches) skip the count: they are shared and come last in the order.
 4. ``prefix_index``: two sets of the wanted similarity share an n-gram in their prefixes of that order.
 5. ``link``: a bucket of the index compares all its classes with a few pivots, and in later waves with many times as
    many, but only across components: a group of near copies that has grown together costs no more pairs. When the last
@@ -31,6 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +43,12 @@ from .common import cut, discard, free_name, give_back, hub_join, small_batches,
 from .components import components
 from .words import mix, runs_of_words
 
-#: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of classes, at most TOP.
+#: Documents' n-grams carry 48 bits of hash; the 16 bits above hold the number of documents, at most TOP.
 BITS, TOP = 48, 32_000
-#: N-grams of a fragment, and of a group of classes; one in so many runs is looked through for heavy n-grams.
-FRAGMENT, SAMPLED = 600_000, 16
+#: N-grams of a fragment, and at most of a batch of documents; one in so many runs is looked through for heavy n-grams.
+FRAGMENT, BATCH, SAMPLED = 600_000, 2_000_000, 16
+#: Bytes of a gap between documents, a batch having fewer than 2^24; a hash; an n-gram's key; a class, a set size, a count.
+GAP, HASH, KEY, CLASS, SIZE, COUNT = 3, BITS // 8, 8, 8, 4, 2
 _LOW = np.uint64((1 << BITS) - 1)
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -124,137 +131,173 @@ def classes(rows: DataFrame, kept: str, n: int) -> tuple[DataFrame, np.ndarray,
 
 
 def sizes_of(total: int) -> tuple[int, int]:
-    """Numbers of fragments and of groups of classes for so many n-grams."""
+    """Numbers of fragments for so many n-grams, and of those for heavy n-grams and of the directory's parts."""
     parts = max(1, -(-total // FRAGMENT))
-    return parts, 1 << max(4, (parts - 1).bit_length())
-
-
-def fragments(docs: DataFrame, text_col: str, n: int, parts: int, salt: int = 0, heavy: np.ndarray | None = None) -> DataFrame:
-    """(f, v, n, k, lo, hi): for each batch of documents and fragment, the classes with n-grams there, their set sizes
-    and numbers of n-grams in the fragment, and these n-grams' hashes in two packed arrays. Heavy n-grams are in fragments
-    of their own, numbered from ``parts`` on by class."""
+    return parts, max(1, parts // 4)
+
+
+def packed(starts: np.ndarray, place: np.ndarray, *columns: tuple[np.ndarray, int]) -> pa.Array:
+    """Rows of bytes, one from each of ``starts`` to the next: the gaps between the ascending ``place``, then the columns in
+    so many bytes a value; of each the lowest bytes of all the row's values first, so that equal bytes lie together."""
+    count = np.diff(np.append(starts, len(place)))
+    gap = np.diff(place, prepend=0)
+    gap[starts] = place[starts]
+    columns = ((gap, GAP), *columns)
+    width = sum(w for _, w in columns)
+    at, step = np.arange(len(place)) + np.repeat((width - 1) * starts, count), np.repeat(count, count)
+    out = np.empty(width * len(place), np.uint8)
+    for values, w in columns:
+        split = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        for byte in range(w):
+            out[at] = split[:, byte]
+            at += step
+    offsets = (np.append(starts, len(place)) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked(data: pa.ChunkedArray, *widths: int) -> tuple[np.ndarray, ...]:
+    """Of rows from ``packed``: each value's row, its place, and the columns as uint64."""
+    widths = (GAP, *widths)
+    raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+    count = pc.binary_length(data).to_numpy().astype(np.int64) // sum(widths)
+    starts = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(count)), count)
+    at, step, found = np.arange(len(row)) + (sum(widths) - 1) * starts[row], count[row], []
+    for w in widths:
+        split = np.zeros((len(row), 8), np.uint8)
+        for byte in range(w):
+            split[:, byte] = raw[at]
+            at += step
+        found.append(split.view("<u8")[:, 0])
+    sums = np.cumsum(gap := found[0].astype(np.int64))
+    return row, sums - (sums - gap)[starts][row], *found[1:]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the values of ``x`` change, the first included."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+
+
+def fragments(docs: DataFrame, text_col: str, n: int, parts: int, spread: int, salt: int = 0, heavy: np.ndarray | None = None) -> DataFrame:
+    """(f, run, data): for each batch ``run`` of documents with n-grams, packed by their place in it, a row for each
+    fragment: its hashes below ``parts``; heavy ones, in one of the next ``spread``; classes ``v`` and set sizes in the
+    ``spread`` after these, dealt by class."""
     heavy = np.empty(0, np.uint64) if heavy is None else heavy
-    spread = max(1, parts // 4)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Runs together until they have ``most`` n-grams, so that a fragment's row is not too short."""
-        held, size, most = [], 0, min(2_000_000, max(300_000, 64 * parts))
+        held, size, most = [], 0, min(BATCH, max(300_000, 64 * parts))
         for batch in batches:
             for _, sizes, v, hashes in shingle_sets(batch.column(0), n, salt):
+                if not len(hashes):
+                    continue
                 if held and size + len(hashes) > most:
                     yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held, size = [], 0
-                held.append((sizes, v, hashes))
+                held.append((sizes[sizes > 0], v[sizes > 0], hashes))
                 size += len(hashes)
         if held:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
+    def rows(f: np.ndarray, run: int, place: np.ndarray, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
+        order = np.argsort(f.astype(np.min_scalar_type(parts + 2 * spread)), kind="stable")
+        starts = _starts(f := f[order])
+        data = packed(starts, place[order], *[(x[order], w) for x, w in columns])
+        return pa.RecordBatch.from_arrays([pa.array(f[starts].astype(np.int32)), pa.array(np.full(len(starts), run, np.int64)), data], names=["f", "run", "data"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sizes, v, hashes in runs(batches):
+        for turn, (sizes, v, hashes) in enumerate(runs(batches)):
             once = np.zeros(len(v), bool)
             once[np.unique(v, return_index=True)[1]] = True
-            doc = np.repeat(np.arange(len(v), dtype=np.int32), sizes)
-            hashes, doc = hashes[once[doc]], doc[once[doc]]
+            hashes, sizes, v = hashes[np.repeat(once, sizes)], sizes[once], v[once]
+            # Its number tells a batch from all others, and from itself with other documents should a task be repeated.
+            run = int(mix(np.array([TaskContext.get().partitionId() << 32 | turn], np.uint64) ^ np.bitwise_xor.reduce(mix(v + np.arange(len(v), dtype=np.uint64)))).view(np.int64)[0])
             f = ((hashes >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             if len(heavy):
                 at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
-                f = np.where(heavy[at] == hashes, parts + (v[doc] % np.uint64(spread)).astype(np.int64), f)
-            order = np.argsort(f * len(v) + doc, kind="stable")
-            f, doc, hashes = f[order], doc[order], hashes[order]
-            if not len(f):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])]))
-            count, in_f, who = np.diff(np.append(new, len(f))), f[new], doc[new]
-            lists = np.flatnonzero(np.concatenate([[True], in_f[1:] != in_f[:-1]]))
-            offsets = pa.array(np.append(lists, len(in_f)).astype(np.int32))
-            bounds = np.append(new[lists], len(f))
-            lo, hi = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint16).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(in_f[lists].astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(v[who].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(sizes[who].astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
-                    pa.array([lo[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                    pa.array([hi[2 * a : 2 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                ],
-                names=["f", "v", "n", "k", "lo", "hi"],
-            )
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(of), "f int, v array<bigint>, n array<int>, k array<int>, lo binary, hi binary")
-
-
-def _shared(parts: int, groups: int):
-    """Of one fragment: the n-grams found in two classes or more, by class, under their number of classes."""
+                f = np.where(heavy[at] == hashes, parts + run % spread, f)
+            yield rows(f, run, np.repeat(np.arange(len(v)), sizes), (hashes, HASH))
+            yield rows(parts + spread + (v % np.uint64(spread)).astype(np.int64), run, np.arange(len(v)), (v, CLASS), (sizes, SIZE))
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(of), "f int, run bigint, data binary")
+
+
+def _shared(parts: int, spread: int):
+    """Of one fragment: the n-grams found in two documents or more, under their number of documents, to their batches; of
+    one part of the directory: its documents, with how often their class was sent at the first, 0 at the others."""
 
     def of(key: tuple, group: pa.Table) -> pa.Table:
-        found = _shared_of(group, groups, key[0].as_py() >= parts)
+        f = key[0].as_py()
+        found = _told(group) if f >= parts + spread else _shared_of(group, f >= parts)
         give_back()
         return found
 
     return of
 
 
-def _shared_of(group: pa.Table, groups: int, heavy: bool) -> pa.Table:
-    flat = lambda name: group.column(name).combine_chunks().flatten().to_numpy()
-    packed = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind).astype(np.uint64)
-    v, n, k = flat("v"), flat("n"), flat("k")
-    h = packed("lo", np.uint32) | packed("hi", np.uint16) << np.uint64(32)
-    once = np.zeros(len(v), bool)
-    once[np.unique(v, return_index=True)[1]] = True
-    h, v, n, k = h[np.repeat(once, k)], v[once], n[once], k[once]
-    order = np.argsort(h, kind="stable")
-    ordered = h[order]
-    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    seen = np.empty(len(h), np.uint64)
-    seen[order] = np.repeat(lengths := np.diff(np.append(new, len(h))), lengths).astype(np.uint64)
+def _shared_of(group: pa.Table, heavy: bool) -> pa.Table:
+    row, place, h = unpacked(group.column("data"), HASH)
     if heavy:
-        seen[:] = TOP
+        seen = np.full(len(h), TOP, np.uint64)
+    else:
+        order = np.argsort(h, kind="stable")
+        lengths = np.diff(np.append(_starts(h[order]), len(h)))
+        seen = np.empty(len(h), np.uint64)
+        seen[order] = np.repeat(lengths, lengths).astype(np.uint64)
     keep = seen > 1
-    keys = (np.minimum(seen, np.uint64(TOP)) << np.uint64(BITS) | h)[keep].view(np.int64)
-    left = np.bincount(np.repeat(np.arange(len(v)), k)[keep], minlength=len(v))
-    some = left > 0
-    return _by_group(v[some], n[some], left[some], keys, groups)
+    keys = (np.minimum(seen, np.uint64(TOP)) << np.uint64(BITS) | h)[keep]
+    row, place = row[keep], place[keep]
+    starts = _starts(row)
+    return _to_runs(group, row[starts], False, packed(starts, place, (keys, KEY)))
 
 
-def _by_group(v: np.ndarray, n: np.ndarray, count: np.ndarray, keys: np.ndarray, groups: int) -> pa.Table:
-    """(g, v, n, k, keys): classes and their n-grams dealt to groups, a row for each group."""
-    g = (mix(v.view(np.uint64)) & np.uint64(groups - 1)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    starts = np.cumsum(count) - count
-    moved = np.repeat(starts[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(int(count.sum()))
-    g, v, n, count, keys = g[order], v[order], n[order], count[order], keys[moved]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-    per_class = pa.array(np.append(first, len(g)).astype(np.int32))
-    per_key = pa.array(np.concatenate([[0], np.cumsum(count)])[np.append(first, len(g))].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(per_class, pa.array(x)) for x in (v.astype(np.int64), n.astype(np.int32), count.astype(np.int32))]
-    return pa.table([pa.array(g[first].astype(np.int32)), *lists, pa.ListArray.from_arrays(per_key, pa.array(keys))], names=["g", "v", "n", "k", "keys"])
+def _told(group: pa.Table) -> pa.Table:
+    row, place, v, n = unpacked(group.column("data"), CLASS, SIZE)
+    run = group.column("run").to_numpy()[row]
+    order = np.lexsort((place, run, v))
+    first = _starts(v[order])
+    sent = np.zeros(len(v), np.int64)
+    sent[order[first]] = np.minimum(np.diff(np.append(first, len(v))), TOP)
+    starts = _starts(row)
+    return _to_runs(group, row[starts], True, packed(starts, place, (v, CLASS), (n, SIZE), (sent, COUNT)))
+
+
+def _to_runs(group: pa.Table, rows: np.ndarray, told: bool, data: pa.Array) -> pa.Table:
+    return pa.table([pa.array(group.column("run").to_numpy()[rows]), pa.array(np.full(len(rows), told)), data], names=["run", "told", "data"])
 
 
 def _whole(percent: int):
-    """One group of classes: their shared n-grams from all fragments, rarest first, where enough are left."""
+    """One batch: the classes that its documents stand for, and their shared n-grams from all fragments, rarest first,
+    where enough are left."""
 
     def of(group: pa.Table) -> pa.Table:
-        v, n, k, keys = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("v", "n", "k", "keys"))
-        names, first, back = np.unique(v, return_index=True, return_inverse=True)
-        count = np.bincount(back, k, minlength=len(names)).astype(np.int64)
-        good = count * 100 >= n[first].astype(np.int64) * percent
-        owner = np.repeat(back, k)
+        told = group.column("told")
+        _, place, v, n, sent = unpacked(group.filter(told).column("data"), CLASS, SIZE, COUNT)
+        _, owner, keys = unpacked(group.filter(pc.invert(told)).column("data"), KEY)
+        order = np.argsort(place)
+        if not np.array_equal(place[order], np.arange(len(place))) or owner.max(initial=-1) >= len(place):
+            raise ValueError("a repeated task had its documents in another order; write them to a table first")
+        v, n, sent = v[order].view(np.int64), n[order].astype(np.int64), sent[order]
+        seen = keys >> np.uint64(BITS)
+        elsewhere = (sent[owner] > 0) & ((seen > sent[owner]) | (seen == TOP))
+        owner, keys = owner[elsewhere], keys[elsewhere]
+        count = np.bincount(owner, minlength=len(v))
+        good = (count > 0) & (count * 100 >= n * percent)
         use = good[owner]
-        owner, keys = owner[use], keys[use]
+        owner, keys = owner[use], keys[use].view(np.int64)
         keys = keys[np.lexsort((keys, owner))]
         offsets = pa.array(np.concatenate([[0], np.cumsum(count[good])]).astype(np.int32))
-        found = pa.table({"v": pa.array(names[good]), "n": pa.array(n[first][good].astype(np.int64)), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+        found = pa.table({"v": pa.array(v[good]), "n": pa.array(n[good]), "keys": pa.ListArray.from_arrays(offsets, pa.array(keys))})
         give_back()
         return found
 
     return of
 
 
-def active_sets(cut_sets: DataFrame, percent: int, parts: int, groups: int) -> DataFrame:
+def active_sets(cut_sets: DataFrame, percent: int, parts: int, spread: int) -> DataFrame:
     """(v, n, keys): each class's shared n-grams, rarest first, if they are at least ``percent`` of its set."""
-    shared = cut_sets.groupBy("f").applyInArrow(_shared(parts, groups), "g int, v array<bigint>, n array<int>, k array<int>, keys array<bigint>")
-    return shared.groupBy("g").applyInArrow(_whole(percent), "v bigint, n bigint, keys array<bigint>")
+    shared = cut_sets.groupBy("f").applyInArrow(_shared(parts, spread), "run bigint, told boolean, data binary")
+    return shared.groupBy("run").applyInArrow(_whole(percent), "v bigint, n bigint, keys array<bigint>")
 
 
 def prefix_index(sets: DataFrame, percent: int) -> DataFrame:
@@ -319,8 +362,8 @@ def link(sets: DataFrame, percent: int, cuts: int = 4, pivots: int = 8) -> DataF
 
 
 def _labels(docs: DataFrame, text_col: str, n: int, percent: int, total: int, salt: int, heavy: np.ndarray) -> DataFrame:
-    parts, groups = sizes_of(total)
-    sets = cut(active_sets(fragments(docs, text_col, n, parts, salt, heavy), percent, parts, groups))
+    parts, spread = sizes_of(total)
+    sets = cut(active_sets(fragments(docs, text_col, n, parts, spread, salt, heavy), percent, parts, spread))
     label = link(sets, percent)
     discard(docs.sparkSession, sets)
     return label

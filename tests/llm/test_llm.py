@@ -436,6 +436,42 @@ def test_jaccard_with_many_fragments_and_heavy_shingles_equals_brute_force(spark
     assert Counter((r.id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows, 4, 85)
 
 
+def test_bytes_of_an_ngram_do_not_grow_with_the_fragments(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(200))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    total = sum(len(set(t.split())) - 3 for _, t in rows)
+    sent = {}
+    for each in (total, 200):  # one fragment, and as many as leave most documents one n-gram or none in each
+        monkeypatch.setattr(jaccard_join, "FRAGMENT", each)
+        sent[each] = jaccard_join.fragments(docs, "text", 4, *jaccard_join.sizes_of(total)).toArrow().nbytes
+    assert sent[200] < 1.25 * sent[total] and sent[200] < 12 * total
+
+
+def test_jaccard_copies_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 400)
+    texts = near_copies(6, 60) + [" ".join(f"c{i}x{j}" for j in range(40)) for i in range(5)]
+    rows = [(i, t) for i, t in enumerate(texts * 3)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    found = jaccard_join.jaccard_components(docs)
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows, 4, 85)
+    parts, spread = jaccard_join.sizes_of(12_000)
+    sets = jaccard_join.active_sets(jaccard_join.fragments(docs, "text", 4, parts, spread), 85, parts, spread).collect()
+    alone = jaccard_join.shingle_sets(pa.array([t for t in texts if t.startswith("c0x") or t.startswith("c4x")]), 4)
+    # A class is told once, and not at all if its n-grams are in its own copies alone.
+    assert len({r.v for r in sets}) == len(sets) > 5 and not {r.v for r in sets} & {int(x) for _, _, v, _ in alone for x in v.view(np.int64)}
+
+
+def test_packed_rows_come_back():
+    place, starts = np.array([0, 0, 70_000, 3, 1_000_000, 5]), np.array([0, 3, 5])
+    values = np.array([2**48 - 1, 0, 1, 2**40, 77, 256], np.uint64)
+    data = pa.chunked_array([jaccard_join.packed(starts, place, (values, 6), (values, 2))])
+    row, at, all_of, low = jaccard_join.unpacked(data, 6, 2)
+    assert row.tolist() == [0, 0, 0, 1, 1, 2] and at.tolist() == place.tolist() and all_of.tolist() == values.tolist() and low.tolist() == (values % 65536).tolist()
+    assert all(len(x) == 0 for x in jaccard_join.unpacked(pa.chunked_array([], pa.binary()), 6))
+
+
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(components, "LEAST_HUB", 3)
     monkeypatch.setattr(components, "SHARE", 1e-9)
